@@ -20,29 +20,30 @@ def text_key(text: Column) -> Column:
 def attach_by_key(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     counts: DataFrame,
     spread_by: Sequence[str],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left join to a right side that has one row per key.
 
-    ``counts(key, n_rows)`` says how often a key occurs on the left. Keys above
+    ``counts(key…, n_rows)`` says how often a key occurs on the left. Keys above
     ``hot_rows`` are split: left rows get a salt from a hash of ``spread_by``
     and the one right row is repeated once per salt. At most
     ``total rows / hot_rows`` keys can be hot, which bounds the broadcast list.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     hot = counts.filter(F.col("n_rows") > hot_rows).select(
-        key, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("_splits")
+        *keys, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("_splits")
     )
     splits = F.coalesce("_splits", F.lit(1))
-    salted_left = left.join(F.broadcast(hot), key, "left").withColumn(
+    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread_by), splits).cast("int")
     ).drop("_splits")
-    salted_right = right.join(F.broadcast(hot), key, "left").withColumn(
+    salted_right = right.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), splits - 1))
     ).drop("_splits")
-    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
+    return salted_left.join(salted_right, [*keys, "_salt"], "left").drop("_salt")
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str, edges: int = 64) -> DataFrame:

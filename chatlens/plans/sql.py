@@ -135,8 +135,9 @@ def retranslation(original: str, translated: str, source: str, keep: str = "*")
 
 def collapse_text(text: str) -> str:
     toks = rf"regexp_extract_all({text}, '\S+')"
-    kept = f"list_filter({toks}, lambda w, i: i = 1 OR w <> {toks}[i - 1])"
-    return f"array_to_string({kept}, ' ')"
+    pairs = f"list_zip({toks}, list_prepend(NULL, {toks}))"
+    kept = f"list_filter({pairs}, lambda z: z[1] IS NOT NULL AND z[1] IS DISTINCT FROM z[2])"
+    return f"array_to_string(list_transform({kept}, lambda z: z[1]), ' ')"
 
 
 def preprocess(text: str) -> str:

@@ -126,17 +126,17 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """
     mono = F.monotonically_increasing_id()
     stored = materialise(
-        df.withColumn("_at", mono).select(
-            "*", F.shiftright("_at", 33).cast("int").alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_pos")
-        ).drop("_at"),
+        df.withColumn("_index_at", mono).select(
+            "*", F.shiftright("_index_at", 33).cast("int").alias("_index_part"), F.col("_index_at").bitwiseAND((1 << 33) - 1).alias("_index_pos")
+        ).drop("_index_at"),
         "row-index",
     )
-    sizes = stored.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = stored.groupBy("_index_part").agg(F.count("*").alias("_index_n"))
     # This window sees one row per partition of the input, never the rows themselves.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    before = Window.orderBy("_index_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_index_part", F.coalesce(F.sum("_index_n").over(before), F.lit(0)).alias("_index_start"))
     return (
-        stored.join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + F.col("_pos"))
-        .drop("_part", "_pos", "_start")
+        stored.join(F.broadcast(starts), "_index_part")
+        .withColumn(name, F.col("_index_start") + F.col("_index_pos"))
+        .drop("_index_part", "_index_pos", "_index_start")
     )

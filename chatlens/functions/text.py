@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
 
-_BLANKS = f"[{fv.BLANK_CLASS}]+"
 _NOT_IN_WORD_BEFORE = f"(?<![{fv.WORD_CLASS}])"
 _NOT_IN_WORD_AFTER = f"(?![{fv.WORD_CLASS}])"
 _ASSISTANT_PATTERN = (
     f"(?iu)^(?:{fv.ASSISTANT_OPENERS}){_NOT_IN_WORD_AFTER}|" + "|".join(fv.ASSISTANT_TEMPLATES)
 )
-# The e-mail rule removes each unbroken run with an inner "@". Anchoring it at
-# the start of the run keeps the cost linear on long runs.
-_EMAIL_PATTERN = (
-    rf"(?<![^{fv.BLANK_CLASS}])[^{fv.BLANK_CLASS}][^{fv.BLANK_CLASS}@]*+@[^{fv.BLANK_CLASS}]+"
-)
+# These patterns expect text in which every blank is a space. The e-mail rule
+# removes each unbroken run with an inner "@"; anchoring it at the start of the
+# run keeps the cost linear on long runs.
 _URL_PATTERN = r"https?://[!$-_a-z]+"
-_NUMBER_PATTERN = rf"{_NOT_IN_WORD_BEFORE}\p{{Nd}}+{_NOT_IN_WORD_AFTER}"
+_EMAIL_PATTERN = r"(?<![^ ])[^ ][^ @]*+@[^ ]+"
+_NUMBER_PATTERN = rf"(?=\p{{Nd}}){_NOT_IN_WORD_BEFORE}\p{{Nd}}+{_NOT_IN_WORD_AFTER}"
 
 
 def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -44,13 +42,22 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
+def spaced(text: Column) -> Column:
+    """Turn every blank character into a space, which keeps later patterns cheap."""
+    return F.translate(F.coalesce(text, F.lit("")), fv.BLANK_CHARS, " " * len(fv.BLANK_CHARS))
+
+
+def _split_words(text: Column) -> Column:
+    return F.split(F.btrim(spaced(text), F.lit(" ")), " +")
+
+
 def tokens(text: Column) -> Column:
     """Tokens between runs of blanks, without empty tokens."""
-    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(F.split(strip(text), _BLANKS))
+    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(_split_words(text))
 
 
 def token_count(text: Column) -> Column:
-    return F.when(is_blank(text), 0).otherwise(F.size(F.split(strip(text), _BLANKS)))
+    return F.when(is_blank(text), 0).otherwise(F.size(_split_words(text)))
 
 
 def latin_words(text: Column) -> Column:
@@ -139,10 +146,10 @@ def is_assistant_like(text: Column) -> Column:
 
 def preprocess(text: Column) -> Column:
     """Remove addresses and stand-alone numbers, squeeze blanks, lower-case, collapse repeats."""
-    out = F.coalesce(text, F.lit(""))
+    out = spaced(text)
     for pattern in (_URL_PATTERN, _EMAIL_PATTERN, _NUMBER_PATTERN):
         out = F.regexp_replace(out, pattern, "")
-    return _drop_repeats(F.btrim(F.lower(F.regexp_replace(out, _BLANKS, " ")), F.lit(" ")))
+    return _drop_repeats(F.btrim(F.lower(F.regexp_replace(out, " {2,}", " ")), F.lit(" ")))
 
 
 def merge_phrases(text: Column, phrases: Sequence[tuple[str, str]] = fv.PHRASE_TOKENS) -> Column:
@@ -209,7 +216,8 @@ def clean_message(df: DataFrame, text_col: str, out: str = "cleaned") -> DataFra
 
 def squeeze(text: Column) -> Column:
     """Replace runs of two or more blanks by one space and trim."""
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{fv.BLANK_CLASS}]{{2,}}", " "))
+    blank = f"[{fv.BLANK_CLASS}]"
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), f"{blank}{blank}+", " "))
 
 
 def truncate_tokens(text: Column, limit: int = fv.AGENCY_MAX_TOKENS) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatlens.operators.cleaning import clean_export, role_long
 from chatlens.operators.translate import WordTranslator, translate_messages
+from chatlens.session import spread
 
 # Short word lists whose entries occur in the given tables.
 TEST_POSITIVE = ["the", "of", "to", "was", "la", "der", "el", "with"]
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns with the reply in the next turn; time, user and state come from events.
 
@@ -74,7 +79,7 @@ def probe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 6, F.concat(F.lit("Please provide the text "), text))
         .otherwise(F.concat(F.lit("business idea "), text))
     )
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", decorated.alias("text"))
+    return documents(spark, sf_dir).select("doc_id", "lang", decorated.alias("text"))
 
 
 def translation_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +103,7 @@ def translation_run(spark: SparkSession, sf_dir: str):
 def topics_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with a supplied topic: one per source, every 11th an outlier."""
     number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("row_index"),
         F.when(F.col("lang") == "en", "user").otherwise("assistant").alias("message_role"),
         F.when(F.col("doc_id") % 11 == 0, -1).otherwise(number).alias("topic_id"),

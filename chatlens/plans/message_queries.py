@@ -125,7 +125,7 @@ def nullify_na(spark, d):
 
 
 def dedup_messages(spark, d):
-    docs = fx.table(spark, d, "documents").select(
+    docs = fx.documents(spark, d).select(
         F.col("doc_id").alias("row_index"), F.col("text").alias("user_msg"), F.lit(None).cast("string").alias("whatsapp_id")
     )
     return cleaning.dedup_first(docs, translate.DEDUP_KEYS)
@@ -263,7 +263,7 @@ class _LengthModel:
 
 
 def score_texts_plugin(spark, d):
-    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("row_index"), "text")
+    docs = fx.documents(spark, d).select(F.col("doc_id").alias("row_index"), "text")
     scored = scoring.score_texts(docs, "text", _LengthModel, agency.MODEL_RESULT)
     return scored.select("row_index", _r("agency_score"))
 

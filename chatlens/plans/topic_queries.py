@@ -26,7 +26,7 @@ def lang_flags(spark, d):
 
 
 def english_ratio(spark, d):
-    words = tx.evaluated_once(fx.table(spark, d, "documents"), w=tx.latin_words(F.col("text")))
+    words = tx.evaluated_once(fx.documents(spark, d), w=tx.latin_words(F.col("text")))
     return words.select("doc_id", F.round(tx.english_ratio(F.col("w")), 6).alias("english_ratio"))
 
 
@@ -47,7 +47,7 @@ def merge_phrases(spark, d):
 
 
 def lemmatize(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", tx.lemmatise(F.lower("text")).alias("lemmas"))
+    return fx.documents(spark, d).select("doc_id", tx.lemmatise(F.lower("text")).alias("lemmas"))
 
 
 def clean_message(spark, d):
@@ -55,7 +55,7 @@ def clean_message(spark, d):
 
 
 def truncate_tokens(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", tx.truncate_tokens(tx.squeeze(F.col("text"))).alias("truncated"))
+    return fx.documents(spark, d).select("doc_id", tx.truncate_tokens(tx.squeeze(F.col("text"))).alias("truncated"))
 
 
 def topic_eligible(spark, d):
@@ -86,7 +86,7 @@ def _keywords(spark, d):
 
 
 def stopword_table(spark, d):
-    return terms.stopword_table(fx.table(spark, d, "documents"), "text")
+    return terms.stopword_table(fx.documents(spark, d), "text")
 
 
 def vocabulary(spark, d):

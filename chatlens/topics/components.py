@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.operators.joins import HOT_ROWS, attach_by_key
 from chatlens.session import materialise
 
 
-def _to_minimum(directed: DataFrame, hot_rows: int) -> DataFrame:
-    """Add to each directed edge (u, v) the smallest node around u, including u."""
-    least = directed.groupBy("u").agg(
-        F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n_rows")
-    )
-    return attach_by_key(directed, least.select("u", "m"), "u", least.select("u", "n_rows"), ["v"], hot_rows)
+def _to_minimum(directed: DataFrame) -> DataFrame:
+    """Add to each directed edge (u, v) the smallest node around u, including u.
+
+    One side of the join has one row per node, so the adaptive skew join can
+    split a node with very many edges.
+    """
+    least = directed.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+    return directed.join(least, "u")
 
 
-def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u, v)``; the smallest node names it.
 
     Alternates the large-star and small-star steps of Kiveris et al.,
     "Connected Components in MapReduce and Beyond" (2014): each node connects
     its larger, then its smaller neighbours to the smallest one around it. The
     number of rounds grows with the logarithm of the graph, the edge table never
-    grows, and large neighbourhoods are split by the keyed join. Each round is
-    stored, which cuts the lineage.
+    grows, and each round is stored, which cuts the lineage.
     """
     now = materialise(
         edges.filter(F.col("u") != F.col("v"))
@@ -33,12 +33,12 @@ def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds:
     mark = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_minimum(both, hot_rows).filter(F.col("v") > F.col("u")).select(
-            F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = _to_minimum(both).filter(F.col("v") > F.col("u")).select(
+            F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         # All edges now point from the larger to the smaller node.
-        seen = _to_minimum(large, hot_rows)
+        seen = _to_minimum(large)
         small = seen.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            seen.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+            seen.select("u", F.col("m").alias("v"))).filter("u != v")
         now = materialise(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
+from chatlens.session import materialise
 from chatlens.topics.eligibility import TOPIC
 from chatlens.topics.terms import add_terms, topic_sizes
 
@@ -38,37 +39,45 @@ def topic_metrics(docs: DataFrame, ranked: DataFrame) -> DataFrame:
 def topic_coherence(docs: DataFrame, text_col: str, ranked: DataFrame, top: int = 10) -> DataFrame:
     """Mean NPMI of the top terms of each topic, from co-occurrence in messages.
 
-    Messages are reduced to their top terms by an equi-join; the pairs are made
-    inside one (message, topic), which holds at most ``top`` terms. Pairs that
+    Each message is reduced to one bit mask per topic that says which of the
+    ``top`` terms it holds. Messages are counted per mask, so at most 2^top
+    rows per topic are left before any pair of terms is formed. Pairs that
     never meet score -1.
     """
-    tops = ranked.filter(F.col("rank") <= top).select(*TOPIC, "term")
+    tops = ranked.filter(F.col("rank") <= top).select(*TOPIC, "term", "rank")
     roles = F.broadcast(docs.groupBy("message_role").agg(F.count("*").alias("_n")))
     present = add_terms(docs.select("row_index", "message_role", text_col), text_col).select(
         "row_index", "message_role", F.explode(F.array_distinct("terms")).alias("term")
     )
-    hits = present.join(tops, ["message_role", "term"]).groupBy("message_role", "row_index", "topic_id").agg(
-        F.array_sort(F.collect_list("term")).alias("_t")
+    bit = F.pow(F.lit(2), F.col("rank") - 1).cast("bigint")
+    masks = (
+        present.join(tops.withColumn("_bit", bit).drop("rank"), ["message_role", "term"])
+        .groupBy("message_role", "row_index", "topic_id").agg(F.sum("_bit").alias("_mask"))
+        .groupBy(*TOPIC, "_mask").agg(F.count("*").alias("_c"))
     )
-    # Equal terms stand for the document count of one term, unequal ones for a pair.
-    pairs = F.flatten(F.transform("_t", lambda a: F.transform(
-        F.filter("_t", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    counts = hits.select(*TOPIC, F.inline(pairs)).groupBy(*TOPIC, "a", "b").agg(F.count("*").alias("_c"))
-    single = counts.filter(F.col("a") == F.col("b")).select(*TOPIC, F.col("a"), F.col("_c"))
-    met = counts.filter(F.col("a") != F.col("b")).withColumnRenamed("_c", "_ab")
+    has = lambda mask, rank: F.getbit(mask, rank - 1) == 1
+    # Equal ranks stand for the message count of one term, unequal ones for a pair.
+    pairs = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"))
+                      for i in range(1, top + 1) for j in range(i, top + 1)])
+    counts = materialise(
+        masks.select(*TOPIC, "_mask", "_c", F.inline(pairs))
+        .filter(has(F.col("_mask"), F.col("a")) & has(F.col("_mask"), F.col("b")))
+        .groupBy(*TOPIC, "a", "b").agg(F.sum("_c").alias("_ab")), "term-pairs")
+    single = counts.filter("a = b")
     scored = (
-        met.join(single.withColumnRenamed("_c", "_ca"), [*TOPIC, "a"])
-        .join(single.withColumnRenamed("a", "b").withColumnRenamed("_c", "_cb"), [*TOPIC, "b"])
+        counts.filter("a < b")
+        .join(single.select(*TOPIC, "a", F.col("_ab").alias("_ca")), [*TOPIC, "a"])
+        .join(single.select(*TOPIC, "b", F.col("_ab").alias("_cb")), [*TOPIC, "b"])
         .join(roles, "message_role")
     )
     p_ab = F.col("_ab") / F.col("_n")
-    ratio = F.ln(p_ab * F.col("_n") * F.col("_n") / (F.col("_ca") * F.col("_cb")))
+    ratio = F.ln(F.col("_ab") * F.col("_n").cast("double") / (F.col("_ca").cast("double") * F.col("_cb")))
     npmi = F.when(F.col("_ab") == F.col("_n"), 1.0).otherwise(ratio / -F.ln(p_ab))
-    met_sums = scored.groupBy(*TOPIC).agg(F.sum(npmi).alias("_s"), F.count("*").alias("_k"))
+    met = scored.groupBy(*TOPIC).agg(F.sum(npmi).alias("_s"), F.count("*").alias("_k"))
     sizes = tops.groupBy(*TOPIC).agg(F.count("*").alias("_m"))
     all_pairs = F.col("_m") * (F.col("_m") - 1) / 2
     unmet = all_pairs - F.coalesce("_k", F.lit(0))
-    return sizes.filter(F.col("_m") > 1).join(met_sums, TOPIC, "left").select(
+    return sizes.filter(F.col("_m") > 1).join(met, TOPIC, "left").select(
         *TOPIC, ((F.coalesce("_s", F.lit(0.0)) - unmet) / all_pairs).alias("coherence_c_npmi")
     )
 

@@ -41,7 +41,8 @@ def hashed_vectors(docs: DataFrame, text_col: str, dims: int = 256) -> tuple[Dat
 
     Also returns a function that embeds another table with the same weights.
     """
-    hashed = _hashed(docs, text_col, dims)
+    # Stored, because the fit and each later use would hash all texts again.
+    hashed = materialise(_hashed(docs, text_col, dims), "hashed-terms")
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(hashed)
     return _weighted(hashed, idf), lambda other, column: _weighted(_hashed(other, column, dims), idf)
 

@@ -206,13 +206,16 @@ ORACLE = {
         ("pts", """SELECT row_index, CAST(floor(list_sum(v[1:8]) / 0.2) AS BIGINT) AS x, CAST(floor(list_sum(v[9:16]) / 0.2) AS BIGINT) AS y,
             CAST(floor(list_sum(v[17:24]) / 0.2) AS BIGINT) AS z FROM emb"""),
         ("cells", "SELECT x, y, z, count(*) AS n, min(row_index) AS id FROM pts GROUP BY 1, 2, 3"),
-        ("touch", """SELECT a.id AS id, a.n AS n, b.id AS to_id, b.n AS to_n FROM cells a
-            JOIN cells b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 WHERE b.n >= 4"""),
-        ("reach", """SELECT id AS a, id AS b FROM cells WHERE n >= 4
-            UNION SELECT r.a, t.to_id FROM reach r JOIN touch t ON t.id = r.b AND t.n >= 4"""),
+        ("near", """SELECT a.id AS id, b.id AS to_id, b.n AS to_n FROM cells a
+            JOIN cells b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1"""),
+        ("dense", """SELECT c.id FROM cells c LEFT JOIN (SELECT id, sum(to_n) AS s FROM near GROUP BY 1) n ON n.id = c.id
+            WHERE c.n + coalesce(n.s, 0) >= 4"""),
+        ("touch", "SELECT * FROM near WHERE to_id IN (SELECT id FROM dense)"),
+        ("reach", """SELECT id AS a, id AS b FROM dense
+            UNION SELECT r.a, t.to_id FROM reach r JOIN touch t ON t.id = r.b"""),
         ("part", "SELECT a AS id, min(b) AS p FROM reach GROUP BY 1"),
         ("border", """SELECT id, to_id AS d FROM (SELECT id, to_id, row_number() OVER (PARTITION BY id ORDER BY to_n DESC, to_id) AS r
-            FROM touch WHERE n < 4) WHERE r = 1"""),
+            FROM touch WHERE id NOT IN (SELECT id FROM dense)) WHERE r = 1"""),
         ("cell_part", """SELECT id, p FROM part UNION ALL SELECT b.id, p.p FROM border b JOIN part p ON p.id = b.d"""),
         ("sized", """SELECT cp.p, sum(c.n) AS s, min(c.id) AS f FROM cell_part cp JOIN cells c ON c.id = cp.id GROUP BY 1 HAVING sum(c.n) >= 8"""),
         ("numbered", "SELECT p, CAST(row_number() OVER (ORDER BY s DESC, f) - 1 AS INTEGER) AS topic_id FROM sized"),

@@ -51,8 +51,8 @@ def density_clusters(
 ) -> DataFrame:
     """Add ``topic_id``: clusters of dense grid cells, -1 for outliers.
 
-    * Points fall into cells of ``width``. A cell with at least ``min_samples``
-      points is dense.
+    * Points fall into cells of ``width``. A cell is dense if it and the cells
+      that share a face with it hold at least ``min_samples`` points.
     * Dense cells that share a face belong together; so do the points of a
       thinner cell and its fullest dense neighbour.
     * Groups below ``min_cluster_size`` points are outliers; ids go by size.
@@ -66,21 +66,25 @@ def density_clusters(
     cells = materialise(
         placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.min(id_col).alias("_id")), "grid-cells"
     )
-    dense = cells.filter(F.col("_n") >= min_samples)
-    # Only dense cells reach out, and there are at most 1 / min_samples as many as points.
-    around = dense.select(
-        *by, F.col("_id").alias("_to"), F.col("_n").alias("_to_n"),
-        F.explode(touching_cells(F.col("_cell"), dims)).alias("_cell"))
-    touching = around.join(cells, [*by, "_cell"])
-
-    edges = touching.filter((F.col("_n") >= min_samples) & (F.col("_id") < F.col("_to"))).select(
-        F.col("_id").alias("u"), F.col("_to").alias("v"))
-    parts = connected_components(edges)
+    around = cells.select(*by, "_id", F.explode(touching_cells(F.col("_cell"), dims)).alias("_cell"))
+    near = materialise(
+        around.join(cells.select(*by, "_cell", F.col("_id").alias("_to"), F.col("_n").alias("_to_n")), [*by, "_cell"])
+        .select("_id", "_to", "_to_n"), "touching-cells",
+    )
+    beside = near.groupBy("_id").agg(F.sum("_to_n").alias("_beside"))
+    dense = materialise(
+        cells.join(beside, "_id", "left").filter(F.col("_n") + F.coalesce("_beside", F.lit(0)) >= min_samples)
+        .select("_id"), "dense-cells",
+    )
+    near_dense = near.join(dense.withColumnRenamed("_id", "_to"), "_to", "left_semi")
+
+    edges = near_dense.join(dense, "_id", "left_semi").filter(F.col("_id") < F.col("_to"))
+    parts = connected_components(edges.select(F.col("_id").alias("u"), F.col("_to").alias("v")))
     dense_parts = dense.join(parts, dense["_id"] == parts["node"], "left").select(
         F.col("_id").alias("_dense"), F.coalesce("component", "_id").alias("_part"))
 
     own = dense.select("_id", F.col("_id").alias("_dense"))
-    border = touching.filter(F.col("_n") < min_samples).groupBy("_id").agg(
+    border = near_dense.join(dense, "_id", "left_anti").groupBy("_id").agg(
         F.max_by("_to", F.struct("_to_n", -F.col("_to"))).alias("_dense"))
     cell_parts = materialise(
         own.unionByName(border).join(dense_parts, "_dense").join(cells, "_id").select(*by, "_cell", "_n", "_id", "_part"),

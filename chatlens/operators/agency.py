@@ -57,7 +57,10 @@ def agency_messages(
 
 
 def agency_summary(scored: DataFrame) -> DataFrame:
-    """Per role: messages, scored messages, mean, median, share high and low."""
+    """Per role: messages, scored messages, mean, median, share high and low.
+
+    The exact median needs several passes, so pass a stored table.
+    """
     def share(flag: str):
         return F.round(F.avg(F.col(flag).cast("int")) * 100, 1)
 
@@ -76,10 +79,13 @@ def agency_summary(scored: DataFrame) -> DataFrame:
 
 
 def agency_histogram(scored: DataFrame, bins: int = fv.HISTOGRAM_BINS) -> DataFrame:
-    """Messages per role and equal-width bin over the joint range; the last bin is closed."""
+    """Messages per role and equal-width bin over the joint range; the last bin is closed.
+
+    Reads ``scored`` twice (range, then bins), so pass a stored table.
+    """
     rows = scored.filter(F.col("agency_score").isNotNull())
-    low = rows.agg(F.min("agency_score")).scalar()
-    high = rows.agg(F.max("agency_score")).scalar()
+    bounds = rows.agg(F.struct(F.min("agency_score").alias("low"), F.max("agency_score").alias("high"))).scalar()
+    low, high = bounds["low"], bounds["high"]
     width = (high - low) / bins
     position = F.when(high == low, 1).otherwise(F.least(F.floor((F.col("agency_score") - low) / width) + 1, F.lit(bins)))
     return rows.groupBy("message_role", position.cast("int").alias("bin")).agg(F.count("*").alias("messages"))

@@ -64,7 +64,10 @@ def sentiment_counts(scored: DataFrame) -> DataFrame:
 
 
 def sentiment_overview(scored: DataFrame, labels: Sequence[str] = fv.SENTIMENT_LABELS) -> DataFrame:
-    """Per role: rows, mean and median score, mean stars, one count column per label."""
+    """Per role: rows, mean and median score, mean stars, one count column per label.
+
+    The exact median needs several passes, so pass a stored table.
+    """
     rows = nonblank(scored, "message")
     label_counts = [
         F.nullif(F.count_if(F.col("sentiment_label") == label), F.lit(0)).alias("count_" + label.replace(" ", "_"))

@@ -10,7 +10,7 @@ from chatlens.operators import agency, cleaning, scoring, sentiment, summary, tr
 from chatlens.plans import fixtures as fx
 from chatlens.plans import sql
 from chatlens.plans.sql import BASE, BASE_LONG, EVENTS, PROBE, RAW, query, strip
-from chatlens.session import scratch_path
+from chatlens.session import materialise, scratch_path
 from chatlens.sources import tables
 
 _WORDS = {"positive": fx.TEST_POSITIVE, "negative": fx.TEST_NEGATIVE}
@@ -210,7 +210,7 @@ def sentiment_messages(spark, d):
 
 
 def sentiment_overview(spark, d):
-    out = sentiment.sentiment_overview(_sentiment(spark, d))
+    out = sentiment.sentiment_overview(materialise(_sentiment(spark, d), "sentiment"))
     return out.withColumns({c: F.round(c, 6) for c in ("mean_score", "median_score", "mean_stars")})
 
 
@@ -236,11 +236,11 @@ def agency_all(spark, d):
 
 
 def agency_summary(spark, d):
-    return agency.agency_summary(_agency(spark, d))
+    return agency.agency_summary(materialise(_agency(spark, d), "agency"))
 
 
 def agency_histogram(spark, d):
-    return agency.agency_histogram(_agency(spark, d))
+    return agency.agency_histogram(materialise(_agency(spark, d), "agency"))
 
 
 def agency_top_high(spark, d):

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
-from chatlens.operators.joins import attach_by_key
 from chatlens.session import materialise
 from chatlens.topics.components import connected_components
 from chatlens.topics.eligibility import TOPIC, topic_quality
-from chatlens.topics.terms import topic_sizes
 from chatlens.topics.vectors import similar_pairs
 
 
-def _relabel(docs: DataFrame, mapping: DataFrame, spread_by: str = "row_index") -> DataFrame:
-    """Replace topic ids by ``mapping(message_role, topic_id, new_id)``; others stay."""
+def _relabel(docs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Replace topic ids by ``mapping(message_role, topic_id, new_id)``; others stay.
+
+    The mapping is stored first: with its size known, the join broadcasts it
+    unless there are very many topics, and the messages are not moved.
+    """
     stored = materialise(mapping, "topic-mapping")
-    counts = topic_sizes(docs).withColumnRenamed("message_count", "n_rows")
-    return attach_by_key(docs, stored, TOPIC, counts, [spread_by]).withColumn(
-        "topic_id", F.coalesce("new_id", "topic_id")).drop("new_id")
+    return docs.join(stored, TOPIC, "left").withColumn("topic_id", F.coalesce("new_id", "topic_id")).drop("new_id")
 
 
 def drop_low_quality_topics(docs: DataFrame, text_col: str) -> DataFrame:

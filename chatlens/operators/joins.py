@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from chatlens.session import materialise
 
 HOT_ROWS = 1_000_000
+NULL_SPLITS = 4096
 
 
 def text_key(text: Column) -> Column:
@@ -37,8 +40,11 @@ def attach_by_key(
         *keys, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("_splits")
     )
     splits = F.coalesce("_splits", F.lit(1))
+    # Rows without a key match nothing, so they may go anywhere: spread them too.
+    no_key = functools.reduce(operator.or_, [F.col(k).isNull() for k in keys])
+    left_splits = F.when(no_key, F.lit(NULL_SPLITS)).otherwise(splits)
     salted_left = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_by), splits).cast("int")
+        "_salt", F.pmod(F.xxhash64(*spread_by), left_splits).cast("int")
     ).drop("_splits")
     salted_right = right.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), splits - 1))

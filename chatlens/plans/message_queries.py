@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatlens import schemas
-from chatlens.functions.text import evaluated_once, flag_retranslation
+from chatlens.functions.text import flag_retranslation
 from chatlens.operators import agency, cleaning, scoring, sentiment, summary, translate
 from chatlens.plans import fixtures as fx
 from chatlens.plans import sql

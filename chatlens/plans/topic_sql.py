@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from chatlens import fixed_values as fv
 from chatlens.plans import sql
-from chatlens.plans.message_queries import _AG, _SENT
-from chatlens.plans.sql import BASE, EVENTS, KEYWORDS, PROBE, SIZES, TABLE, TOPICS, array, in_list, mapping, query
+from chatlens.plans.message_queries import _SENT
+from chatlens.plans.sql import EVENTS, PROBE, TABLE, TOPICS, array, in_list, mapping, query
 
 _BANNED = in_list(fv.BANNED_LABEL_WORDS)
 _PARTS = array([*fv.BANNED_LABEL_WORDS, *fv.BANNED_LABEL_PARTS])
@@ -179,7 +179,8 @@ ORACLE = {
         ("seeds", """SELECT * FROM (VALUES (0, ['the', 'and', 'of']), (1, ['idea', 'business', 'in']), (2, ['de', 'la', 'les']),
             (3, ['der', 'die', 'und']), (4, ['text', 'please'])) s(seed, words)"""),
         ("sets", r"SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM probe"),
-        ("sims", """SELECT doc_id, seed, len(list_intersect(w, words)) / sqrt(CAST(len(w) AS DOUBLE) * len(words)) AS s FROM sets, seeds"""),
+        ("sims", """SELECT doc_id, seed, CASE WHEN len(w) = 0 THEN 0.0
+            ELSE len(list_intersect(w, words)) / sqrt(CAST(len(w) AS DOUBLE) * len(words)) END AS s FROM sets, seeds"""),
         ("best", "SELECT doc_id, seed, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, seed) AS r FROM sims"),
         body="""SELECT doc_id, CASE WHEN s > 0 THEN CAST(seed AS INTEGER) END AS seed_topic, CASE WHEN s > 0 THEN round(s, 6) END AS seed_similarity
             FROM best WHERE r = 1"""),

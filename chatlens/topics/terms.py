@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
-from chatlens.functions.text import evaluated_once
+from chatlens.functions.text import evaluated_once, token_count
 from chatlens.session import materialise
 from chatlens.topics.eligibility import TOPIC
 
@@ -156,8 +156,6 @@ def topic_examples(docs: DataFrame, text_col: str, per_topic: int = 3) -> DataFr
 
 def topic_diagnostics(docs: DataFrame, cleaned_col: str, original_col: str, info: DataFrame, labels: DataFrame) -> DataFrame:
     """Label, keywords, size, mean tokens, warning and three examples of each topic."""
-    from chatlens.functions.text import token_count
-
     sized = docs.filter(F.col("topic_id") != -1).groupBy(*TOPIC).agg(F.avg(token_count(F.col(cleaned_col))).alias("avg_tokens"))
     examples = topic_examples(docs, original_col).groupBy(*TOPIC).agg(*[
         F.coalesce(F.max(F.when(F.col("rank") == i, F.col("example"))), F.lit("")).alias(f"example_{i}") for i in (1, 2, 3)

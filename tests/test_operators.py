@@ -110,6 +110,16 @@ def test_join_with_hot_key_keeps_every_row(spark, hot_rows):
     assert all(r.v == (r.k * 10 if r.k % 2 else None) for r in got)
 
 
+def test_rows_without_a_key_are_kept_and_spread(spark):
+    left = spark.range(4000).select(F.col("id").alias("row_index"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
+    right = left.filter("k is not null").select("k").withColumn("v", F.lit(1))
+    counts = right.select("k", F.lit(1).alias("n_rows"))
+    got = joins.attach_by_key(left, right, "k", counts, ["row_index"])
+    assert got.count() == 4000 and got.filter("v is null").count() == 2000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "4096" in plan
+
+
 def test_exact_median_equals_brute_force(spark):
     rng = random.Random(1)
     data = [("a", rng.gauss(0, 1)) for _ in range(4001)] + [("b", 0.5)] * 3000 + [("b", rng.random()) for _ in range(1000)]

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_FOLDER = "chatlens.local.folder"
+
 
 def build_session(master: str = "local[*]", app: str = "chatlens", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use the session you are given."""
@@ -28,15 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
     Only a local-mode session may run without the setting: it then gets a
-    temporary folder, which is put into the session so later calls agree.
+    temporary folder, noted in the session so that later calls agree.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
+        or spark.conf.get(_LOCAL_FOLDER, None)
+    )
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="chatlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(_LOCAL_FOLDER, folder)
     return folder
 
 

@@ -2,8 +2,10 @@
 
 import itertools
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.ml.functions import array_to_vector
@@ -77,6 +79,19 @@ def test_shared_folder_is_fixed_for_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
 
+def _session_like(master, **settings):
+    conf = SimpleNamespace(get=lambda key, default=None: settings.get(key, default), set=settings.__setitem__)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+
+def test_shared_folder_must_be_named_on_a_cluster(tmp_path):
+    with pytest.raises(RuntimeError):
+        shared_dir(_session_like("yarn"))
+    assert shared_dir(_session_like("yarn", **{"spark.checkpoint.dir": "hdfs:///work"})) == "hdfs:///work"
+    local = _session_like("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+
+
 def test_translation_with_a_text_on_a_third_of_the_rows(spark):
     rows = spark.range(30_000).select(
         F.col("id").alias("row_index"), F.when(F.col("id") % 3 == 0, "hello mera hai").otherwise(F.concat(F.lit("w "), F.col("id").cast("string"))).alias("user_msg"))

@@ -63,29 +63,38 @@ def read_vocabulary(path: str) -> dict:
 def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply the merges to one pre-token."""
     n = len(symbols)
-    symbols = list(symbols)
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    if n < 2:
+        return symbols
+    find, push, pop = merges.get, heapq.heappush, heapq.heappop
     heap = []
-    for i in range(n - 1):
-        found = merges.get((symbols[i], symbols[i + 1]))
+    left = symbols[0]
+    for i in range(1, n):
+        right = symbols[i]
+        found = find((left, right))
         if found:
-            heap.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+            heap.append((found[0], i - 1, left, right, found[1]))
+        left = right
+    if not heap:
+        return symbols
+    symbols = [*symbols, -1]  # the last one ends the list and takes part in no merge
+    before, after = list(range(-1, n)), list(range(1, n + 2))
     heapq.heapify(heap)
     while heap:
-        _, i, left, right, merged = heapq.heappop(heap)
+        _, i, left, right, merged = pop(heap)
         j = after[i]
-        if symbols[i] != left or j >= n or symbols[j] != right:
+        if symbols[i] != left or symbols[j] != right:
             continue  # stale: one of the two symbols has been merged since
         symbols[i], symbols[j] = merged, -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for a in (before[i], i):
-            b = after[a] if a >= 0 else n
-            if b < n:
-                found = merges.get((symbols[a], symbols[b]))
-                if found:
-                    heapq.heappush(heap, (found[0], a, symbols[a], symbols[b], found[1]))
+        after[i] = k = after[j]
+        before[k] = i
+        found = find((merged, symbols[k]))
+        if found:
+            push(heap, (found[0], i, merged, symbols[k], found[1]))
+        h = before[i]
+        if h >= 0:
+            found = find((symbols[h], merged))
+            if found:
+                push(heap, (found[0], h, symbols[h], merged, found[1]))
     return [s for s in symbols if s >= 0]
 
 
@@ -111,7 +120,7 @@ class _Lately(dict):
 class Codec:
     """Encoder and decoder of one vocabulary. Ids travel as little-endian 32-bit integers."""
 
-    def __init__(self, vocabulary: dict, limit: int = 300_000):
+    def __init__(self, vocabulary: dict, limit: int = 250_000):
         self.merges, self.first, self.added = vocabulary["merges"], vocabulary["bytes"], vocabulary["added"]
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         of_character = {c: b for b, c in enumerate(byte_characters())}
@@ -172,6 +181,13 @@ def broadcast_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(read_vocabulary(path))
 
 
+def _id_lists(codec: Codec, texts: list[str | None]) -> tuple[pa.Array, list[np.ndarray]]:
+    arrays = [codec.encode(t or "") for t in texts]
+    ends = np.cumsum([0, *map(len, arrays)])
+    flat = np.concatenate([np.empty(0, np.int32), *arrays])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), arrays
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep=None) -> DataFrame:
     """Add the token ids of ``text`` as array<int>.
 
@@ -181,11 +197,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
     vocabulary = broadcast_vocabulary(docs.sparkSession, path)
 
     def run(texts: pa.Array):
-        codec = codec_of(vocabulary)
-        arrays = [codec.encode(value or "") for value in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, arrays)])
-        flat = np.concatenate([np.empty(0, np.int32), *arrays])
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+        return [_id_lists(codec_of(vocabulary), texts.to_pylist())[0]]
 
     return map_columns(docs, [text], f"`{ids}` array<int>", run, keep)
 
@@ -201,9 +213,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ke
     return map_columns(df, [ids], f"`{text}` string", run, keep)
 
 
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", keep=None) -> DataFrame:
+    """Add ``ids`` and ``decoded`` in one pass, so that a text enters a Python worker once."""
+    vocabulary = broadcast_vocabulary(docs.sparkSession, path)
+
+    def run(texts: pa.Array):
+        codec = codec_of(vocabulary)
+        lists, arrays = _id_lists(codec, texts.to_pylist())
+        return [lists, [codec.decode(a.tolist()) for a in arrays]]
+
+    return map_columns(docs, [text], "ids array<int>, decoded string", run, keep)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and decoded text of ``documents``."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, keep=["doc_id"]), path)
+    coded = encode_and_decode(docs.select("doc_id", "text"), path, keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -10,12 +10,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # White space between words: the six ASCII characters. Everything else belongs to a word.
 BLANK = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
 
 _PIECE = 1 << 22
+_ROWS = 500  # rows handled at a time, which bounds the memory of a task
 _MASK = (1 << 64) - 1
 
 
@@ -54,12 +56,10 @@ def map_columns(
     at_input = [f"_in{i}" for i in range(len(inputs))]
     schema = T.StructType([*passed, *added.fields])
     source = df.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"`{c}`").alias(a) for c, a in zip(inputs, at_input)])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow_out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             got = function(*[batch.column(len(carried) + i) for i in range(len(at_input))])
             columns = [batch.column(i) for i in range(len(carried))]
             for field, values in zip(list(arrow_out)[len(carried):], got):

@@ -128,6 +128,7 @@ class Codec:
             bytes(of_character[c] for c in s) if all(c in of_character for c in s) else s.encode()
             for s in vocabulary["strings"]
         ]
+        self.lengths = np.array([len(s) for s in self.strings], np.int64)  # in bytes
         self.of_pre_token = _Lately(self._pre_token, limit)
         self.of_part = _Lately(self._part, limit)
 

@@ -113,7 +113,8 @@ def flight(chance: np.ndarray, size: np.ndarray, random: np.random.Generator, la
 
 def _fly(land: bool, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", "doc_id"], kind="stable").reset_index(drop=True)
+        # Large units first: what stays open at the end is small, and so is the landing error.
+        pdf = pdf.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         first = pdf.iloc[0]
         name = f"{seed}|{first['source']!r}|{first['_level']}|{first['_block']}"
         random = np.random.default_rng(xxhash.xxh3_64_intdigest(name.encode()))

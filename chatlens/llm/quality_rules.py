@@ -20,7 +20,7 @@ from chatlens.llm.texts import words
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 BUCKETS = 1 << 14
 TRUSTED_ROWS = 20_000  # bound of the trusted sample
-THRESHOLD = -0.15
+THRESHOLD = -0.5  # nats per n-gram; clean text lies near 0 whatever the size of the corpus
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 _WIDTH = 5
@@ -32,14 +32,10 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(_OWN + name))
 
 
-def _buckets(text: Column) -> Column:
-    """Bucket of each token and of each pair of neighbouring tokens."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
-    return F.transform(tokens, lambda t: F.xxhash64(t))
-
-
 def _bucket_lists(df: DataFrame, text: str, buckets: int) -> DataFrame:
-    df = _once(df, "t", _buckets(F.col(f"`{text}`")))
+    """Add the bucket of each token and of each pair of neighbouring tokens."""
+    tokens = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
+    df = _once(df, "t", F.transform(tokens, lambda t: F.xxhash64(t)))
     t = F.col(_OWN + "t")
     single = F.transform(t, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
     pair = F.transform(
@@ -81,15 +77,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = B
     return log_ratios(bucket_counts(trusted, text, buckets), bucket_counts(docs, text, buckets), buckets)
 
 
-def _repeated_words(hashes: Column, doubled: Column) -> Column:
-    """Words inside windows that occur twice or more; ``doubled`` are the (hash, place) pairs in order."""
+def _repeated_places(doubled: Column) -> Column:
+    """Where windows start that occur twice or more; ``doubled`` are the (hash, place) pairs in order."""
     n = F.size(doubled)
     same = lambda i, j: F.get(doubled, i)["h"] == F.get(doubled, j)["h"]
-    places = F.array_sort(F.transform(
+    return F.array_sort(F.transform(
         F.filter(doubled, lambda x, i: F.coalesce(((i > 0) & same(i, i - 1)) | ((i < n - 1) & same(i, i + 1)), F.lit(False))),
         lambda x: x["i"],
     ))
-    return places
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -108,7 +103,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     df = _once(df, "s", F.when(F.size(F.array_distinct(h)) < F.size(h), pairs).otherwise(none))
-    df = _once(df, "p", _repeated_words(h, F.col(_OWN + "s"))).drop(_OWN + "s")
+    df = _once(df, "p", _repeated_places(F.col(_OWN + "s"))).drop(_OWN + "s")
     p = F.col(_OWN + "p")
     covered = F.aggregate(
         F.transform(p, lambda x, i: F.least(F.lit(_WIDTH), F.coalesce(F.get(p, i + 1) - x, F.lit(_WIDTH)))),

@@ -3,20 +3,107 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatlens.llm import bpe
+from chatlens.llm import (
+    bpe, mixing, near_dedup, permutation_index, quality_knn, quality_rules, secret_scan, substring_dedup, token_counts,
+    url_filter,
+)
 from chatlens.llm.texts import table
 
+# The rules that the url query is asked to apply.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of an installed public tokenizer file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        F.round("mean_ratio", 9).alias("mean_ratio"), "kept")
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("log_odds", 9).alias("log_odds"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.fields_and_lines(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op9_bpe_codec": op9_bpe_codec}
-ORACLE: dict[str, str] = {}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_votes, op2_quality_rules, op3_near_duplicates, op4_url_filter, op5_token_counts, op6_nearest_vectors,
+    op7_source_mix, op8_repeated_passages, op9_bpe_codec, op10_secret_scan,
+)}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op3_near_duplicates": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_transform({_WORDS},
+    lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept
+FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op8_repeated_passages": rf"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS pos, unnest(list_transform(range(1, len(w) - 18),
+    lambda i: array_to_string(w[i:i + 19], ' '))) AS x FROM w WHERE len(w) >= 20),
+later AS (SELECT doc_id, pos FROM windows QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM later),
+each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY pos) AS text
+  FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
+}

@@ -210,6 +210,10 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Counts and span lists of ``documents``."""
     found = find_secrets(docs.select("doc_id", "text"), keep=["doc_id"])
@@ -217,7 +221,7 @@ def digests(docs: DataFrame) -> DataFrame:
     base = F.filter(spans, lambda s: s["kind"].isin(BASE_KINDS))
     return found.select(
         "doc_id",
-        *[F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[_count(spans, kind).alias(f"n_{kind}") for kind in KINDS],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(spans).alias("spans"),
     )

@@ -4,9 +4,10 @@
    sequence. Texts with one digest are one class; only its smallest id goes on.
 2. Classes that share a band bucket are candidates. A bucket is never expanded into all its
    pairs. First each member meets the smallest and the largest id of its buckets. Members that
-   are then connected need no further comparison; only pairs of members that share a bucket but
-   not a component are compared in the last round. So no pair that the bands find is lost, and a
-   large group of copies costs a few comparisons per member.
+   are then connected need no further comparison. Of the others, members of a small bucket are
+   compared one by one; members of large buckets are compared through what sets them apart from a
+   hub (see ``crowd_pairs``). So no pair that the bands find is lost, and a large group of copies
+   costs a few comparisons per member.
 3. A candidate pair is compared batch by batch of signature values. It is dropped as soon as the
    posterior probability that its similarity reaches the threshold falls below ``miss``; what is
    left is confirmed on the full shingle sets.
@@ -23,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.llm.texts import map_columns, mixed, window_hashes, word_hashes
@@ -35,6 +36,7 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 16
+CROWD = 24  # members up to which a bucket is compared member by member
 MISS = 1e-6
 
 _random = np.random.default_rng(20)
@@ -169,10 +171,71 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT, miss:
     ).filter("linked").select("a", "b")
 
 
-def _across(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of shared buckets with their component; a node without one is its own."""
-    placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    return placed
+def _shingle_hashes(texts: pa.Array):
+    return [[np.unique(window_hashes(word_hashes(lowered(t)), WIDTH)).view(np.int64) for t in texts.to_pylist()]]
+
+
+def crowd_pairs(crowd: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) that may be linked, among the members of large buckets ``crowd(bucket, node, part)``.
+
+    Buckets that share members form a group, and the member with the most and largest buckets is
+    its hub. With d(x) the shingles in which x and the hub differ, w(x) = (100 + p) |d(x)| -
+    (100 - p) |x| turns the link condition into
+
+        w(x) + w(y) <= 2 (100 + p) |d(x) & d(y)|
+
+    exactly, whatever the hub is. If w(x) + w(y) <= 0 the pair is linked, and the member with the
+    smallest w is then linked with both, so one star finds all of these. Any other pair must share
+    differences: they are ordered from rare to frequent, differences of one member alone are left
+    out, and a pair is kept only where the places of a shared difference leave room for enough of
+    them. Near copies differ from their hub in few and different shingles, so few pairs remain.
+    """
+    high, low = 100 + percent, 100 - percent
+    least = crowd.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("n"))
+    sized = materialise(crowd.join(least, "bucket"), "near-crowd")
+    groups = connected_components(sized.select("u", F.col("node").alias("v")))
+    weight = sized.groupBy("node").agg(F.sum("n").alias("n"), F.min("part").alias("part"))
+    placed = weight.join(groups.withColumnRenamed("component", "group"), "node")
+    hubs = placed.groupBy("group").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("hub"))
+    sets = map_columns(
+        nodes.join(weight.select("node"), "node", "left_semi"), ["text"], "tokens array<long>", _shingle_hashes, keep=["node"])
+    sets = materialise(placed.select("node", "group", "part").join(sets, "node"), "near-sets")
+    hub_sets = hubs.join(sets.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub").select("group", "hub_tokens")
+    apart = sets.join(hub_sets, "group").withColumn(
+        "d", F.concat(F.array_except("tokens", "hub_tokens"), F.array_except("hub_tokens", "tokens")))
+    apart = materialise(apart.select(
+        "group", "node", "part", "d", F.size("d").alias("n"), (high * F.size("d") - low * F.size("tokens")).alias("w")), "near-apart")
+
+    centre = apart.groupBy("group").agg(F.min_by(F.struct("node", "w", "part"), F.struct("w", "node")).alias("c"))
+    star = apart.join(centre, "group").filter((F.col("w") + F.col("c.w") <= 0) & (F.col("part") != F.col("c.part"))).select(
+        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+
+    single = apart.select("group", "node", "part", "n", "w", F.explode("d").alias("token"))
+    shared = single.groupBy("group", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = Window.partitionBy("node")
+    # How many differences of the member follow in the order, this one included.
+    entries = materialise(
+        single.join(shared, ["group", "token"])
+        .withColumn("room", F.count("*").over(mine) - F.row_number().over(mine.orderBy("df", "token")) + 1)
+        .select("group", "token", "node", "part", "w", "room"), "near-entries")
+    side = lambda x: entries.select(
+        "group", "token", F.col("node").alias(x), F.col("part").alias(f"part_{x}"), F.col("w").alias(f"w_{x}"), F.col("room").alias(f"room_{x}"))
+    need = F.col("w_a") + F.col("w_b")
+    met = side("a").join(side("b"), ["group", "token"]).filter(
+        (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))
+        & (need > 0) & (2 * high * F.least("room_a", "room_b") >= need))
+    return star.unionByName(met.select("a", "b")).distinct()
+
+
+def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of buckets with their component; a node without one is its own."""
+    return members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
+def _spanning(placed: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
+    spans = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).filter("p < q")
+    return placed.join(spans.select("bucket", "n"), "bucket")
 
 
 def components(sketch: DataFrame, docs: DataFrame, text: str = "text", percent: int = PERCENT, miss: float = MISS) -> DataFrame:
@@ -184,42 +247,36 @@ def components(sketch: DataFrame, docs: DataFrame, text: str = "text", percent:
     wanted = members.select("node").distinct()
     # One row per node, even where a doc_id is repeated. Signatures and texts of candidates only.
     nodes = materialise(
-        sketch.select(F.col("doc_id").alias("node"), "signature", "key").join(wanted, "node").dropDuplicates(["node"])
+        sketch.select(F.col("doc_id").alias("node"), "signature").join(wanted, "node").dropDuplicates(["node"])
         .join(docs.select(F.col("doc_id").alias("node"), F.col(f"`{text}`").alias("text")).join(wanted, "node", "left_semi")
               .dropDuplicates(["node"]), "node"),
         "near-nodes")
+    as_edges = lambda links: links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     first = members.filter("node > low").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
     links = materialise(confirmed(first, nodes, percent, miss), "near-links")
-    parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = materialise(_placed(members, connected_components(as_edges(links))), "near-placed")
 
-    placed = materialise(_across(members, parts), "near-placed")
     part_of = placed.select("node", "part").distinct()
     ends = placed.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(
         placed.select(F.col("node").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
     open_pairs = ends.join(part_of.select(F.col("node").alias("a"), F.col("part").alias("part_a")), "a").join(
         part_of.select(F.col("node").alias("b"), F.col("part").alias("part_b")), "b").filter("part_a <> part_b")
     second = materialise(open_pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), "near-second")
-    more = materialise(confirmed(second, nodes, percent, miss), "near-links")
-    links = links.unionByName(more)
-    parts = connected_components(
-        links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # Last round: for each bucket that still spans several components, every pair across two of them.
-    placed = _across(members.select("bucket", "node"), parts)
-    spans = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    placed = materialise(placed.join(spans.select("bucket"), "bucket"), "near-placed")
-    groups = placed.select("bucket", "part").distinct()
-    left = groups.withColumnRenamed("part", "part_a")
-    right = groups.withColumnRenamed("part", "part_b")
-    across = left.join(right, "bucket").filter("part_a < part_b")
-    side = lambda name: placed.select("bucket", F.col("part").alias(f"part_{name}"), F.col("node").alias(name))
-    pairs = across.join(side("a"), ["bucket", "part_a"]).join(side("b"), ["bucket", "part_b"]).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = first.unionByName(second)
-    third = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "near-third")
+    links = links.unionByName(materialise(confirmed(second, nodes, percent, miss), "near-links"))
+
+    # Last round: buckets that still span several components. Small ones compare their members
+    # across components, at most CROWD per member; large ones go another way.
+    open_members = materialise(
+        _spanning(_placed(members.select("bucket", "node"), connected_components(as_edges(links)))), "near-open")
+    few = open_members.filter(F.col("n") <= CROWD)
+    side = lambda name: few.select("bucket", F.col("part").alias(f"part_{name}"), F.col("node").alias(name))
+    pairs = side("a").join(side("b"), "bucket").filter("a < b and part_a <> part_b").select("a", "b")
+    crowd = open_members.filter(F.col("n") > CROWD).select("bucket", "node", "part")
+    pairs = pairs.unionByName(crowd_pairs(crowd, nodes, percent)).distinct()
+    third = materialise(pairs.join(first.unionByName(second), ["a", "b"], "left_anti"), "near-third")
     links = links.unionByName(confirmed(third, nodes, percent, miss))
-    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return connected_components(as_edges(links))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT, miss: float = MISS) -> DataFrame:

@@ -52,6 +52,17 @@ def _measure(texts: pa.Array):
     return [counts, digests]
 
 
+def _combined(keys: tuple[np.ndarray, ...], docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in the order of (doc, place): which repeat an earlier key, and a key of its own for each row."""
+    order = np.lexsort(keys)  # stable: equal keys stay in their order
+    same = np.ones(len(order) - 1, bool)
+    for key in keys:
+        same &= key[order[1:]] == key[order[:-1]]
+    later = np.zeros(len(order), bool)
+    later[order[1:]] = same
+    return later, mixed(docs.view(np.uint64) ^ (places.astype(np.uint64) << np.uint64(40)))
+
+
 def _anchors(width: int):
     period = period_for(width)
     size = width - period + 1
@@ -74,11 +85,9 @@ def _anchors(width: int):
             # Combine before the shuffle: of equal anchors in this slice only the first goes out
             # under its hash, so a frequent anchor sends a few rows per task. The others are known
             # to be repeated and go out under keys of their own.
-            _, first, group, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            _, group, times = np.unique(h, return_inverse=True, return_counts=True)
             n = times[group]
-            later = np.ones(len(h), bool)
-            later[first] = False
-            own = mixed(d.view(np.uint64) ^ (p.astype(np.uint64) << np.uint64(40)))
+            later, own = _combined((h,), d, p)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.where(later, own, h).view(np.int64)), pa.array(d), pa.array(p),
                 pa.array(np.minimum(n, 2).astype(np.int32)),
@@ -92,7 +101,8 @@ def _windows(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, _SLICE) for b in batches for i in range(0, b.num_rows, _SLICE)):
-            for doc, text, anchors in zip(*[c.to_pylist() for c in batch.columns]):
+            lows, highs, docs, places = [], [], [], []
+            for doc, text, anchors in sorted(zip(*[c.to_pylist() for c in batch.columns]), key=lambda r: r[0]):
                 words = word_hashes(_raw(text))
                 n = len(words) - width + 1
                 if n <= 0:
@@ -103,13 +113,20 @@ def _windows(width: int):
                 np.add.at(edge, np.maximum(a - period + 1, 0), 1)
                 np.add.at(edge, a + 1, -1)
                 at = np.flatnonzero(np.cumsum(edge)[:n])
-                if not len(at):
-                    continue
-                low = window_hashes(words, width, 1)[at].view(np.int64)
-                high = (window_hashes(words, width, 2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(low), pa.array(high), pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "at"])
+                lows.append(window_hashes(words, width, 1)[at])
+                highs.append((window_hashes(words, width, 2)[at] >> np.uint64(32)).astype(np.uint32))
+                docs.append(np.full(len(at), doc, np.int64))
+                places.append(at.astype(np.int32))
+            if not lows:
+                continue
+            low, high, d, p = (np.concatenate(x) for x in (lows, highs, docs, places))
+            # Combine before the shuffle, as for the anchors: of equal windows in this slice only
+            # the first goes out under its hash; the others are known to come later.
+            later, own = _combined((low, high), d, p)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.where(later, own, low).view(np.int64)), pa.array(high.view(np.int32)), pa.array(d), pa.array(p),
+                pa.array(later),
+            ], names=["h1", "h2", "doc_id", "at", "later"])
 
     return run
 
@@ -165,10 +182,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
         F.collect_list("at").alias("anchors")).join(copies, "doc_id", "left_anti")
     # The one shuffle of texts; only documents with a repeated anchor are kept for what follows.
     work = materialise(source.dropDuplicates(["doc_id"]).join(repeated, "doc_id"), "passages-work")
-    windows = work.select("doc_id", "text", "anchors").mapInArrow(_windows(width), "h1 long, h2 int, doc_id long, at int")
+    windows = work.select("doc_id", "text", "anchors").mapInArrow(_windows(width), "h1 long, h2 int, doc_id long, at int, later boolean")
     place = F.struct("doc_id", "at")
     first = F.min(place).over(Window.partitionBy("h1", "h2"))
-    later = windows.withColumn("first", first).filter(place > F.col("first")).groupBy("doc_id").agg(
+    later = windows.withColumn("first", first).filter(F.col("later") | (place > F.col("first"))).groupBy("doc_id").agg(
         F.collect_list("at").alias("starts"))
     cut = map_columns(
         work.select("doc_id", "text").join(later, "doc_id"), ["text", "starts"],

@@ -18,19 +18,24 @@ WORD_CLASS = r"\p{L}\p{N}_"
 # Malayalam blocks, which follow each other without a gap.
 INDIC_PATTERN = r"[\x{0900}-\x{0D7F}]"
 
-ENGLISH_WORDS = """
-a about after all also an and any are as at be because been before but by can come could day do for from
-get give go good have he her here him how i if in into is it its just know like long look make man many me
-more my new no not now of on one only or other our out people say see she so some take than that the their
-them then there these they thing think this those time to two up use very want was we well what when which
-who will with work would year you your
-""".split()
-
-ROMANISED_HINDI_WORDS = """
-hai hain ho hona hogaa hoga honge hun hu hua haii kya kyu kyun kyon kaise kaisey kahaan kahan kab kar kare
-karen karenge kariye karo karna karne karte nahi nahin mujhe hum hume humko batao kripya mein mera meri mere
-tha thi tum unka unki unke vala wala wale wali ky kr raha rahe rahi sakta sakte sakthi sakti
-""".split()
+ENGLISH_WORDS = [
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been",
+    "before", "but", "by", "can", "come", "could", "day", "do", "for", "from", "get", "give", "go", "good",
+    "have", "he", "her", "here", "him", "how", "i", "if", "in", "into", "is", "it", "its", "just", "know",
+    "like", "long", "look", "make", "man", "many", "me", "more", "my", "new", "no", "not", "now", "of", "on",
+    "one", "only", "or", "other", "our", "out", "people", "say", "see", "she", "so", "some", "take", "than",
+    "that", "the", "their", "them", "then", "there", "these", "they", "thing", "think", "this", "those", "time",
+    "to", "two", "up", "use", "very", "want", "was", "we", "well", "what", "when", "which", "who", "will",
+    "with", "work", "would", "year", "you", "your",
+]
+
+ROMANISED_HINDI_WORDS = [
+    "hai", "hain", "ho", "hona", "hogaa", "hoga", "honge", "hun", "hu", "hua", "haii", "kya", "kyu", "kyun",
+    "kyon", "kaise", "kaisey", "kahaan", "kahan", "kab", "kar", "kare", "karen", "karenge", "kariye", "karo",
+    "karna", "karne", "karte", "nahi", "nahin", "mujhe", "hum", "hume", "humko", "batao", "kripya", "mein",
+    "mera", "meri", "mere", "tha", "thi", "tum", "unka", "unki", "unke", "vala", "wala", "wale", "wali", "ky",
+    "kr", "raha", "rahe", "rahi", "sakta", "sakte", "sakthi", "sakti",
+]
 
 ENGLISH_MIN_RATIO = 0.4
 HINDI_MIN_HITS = 2
@@ -54,6 +59,7 @@ SHORT_RESPONSES = [
     "hmm", "hmmm", "hm", "h", "mhm", "mm", "mmm", "understood", "noted", "noted sir", "yes sir", "ok sir",
 ]
 
+# The rules that use it add the anchor at the start and the word boundary, which differ between engines.
 ASSISTANT_OPENERS = "sure|please provide|please share|provide|send|done|okay|ok|thank|thanks"
 ASSISTANT_TEMPLATES = [
     "please provide (the )?text",
@@ -99,11 +105,24 @@ PHRASE_TOKENS = [
 ]
 
 # Irregular English plurals for the built-in lemmatiser.
+# Nouns that the suffix rules would get wrong.
 IRREGULAR_NOUNS = {
-    "children": "child", "feet": "foot", "geese": "goose", "lives": "life", "knives": "knife",
-    "leaves": "leaf", "men": "man", "mice": "mouse", "shelves": "shelf", "teeth": "tooth",
-    "wives": "wife", "women": "woman",
+    "analyses": "analysis", "aliases": "alias", "biases": "bias", "bonuses": "bonus", "buses": "bus", "calories": "calorie",
+    "calves": "calf", "campuses": "campus", "canvases": "canvas", "censuses": "census", "children": "child",
+    "cookies": "cookie", "crises": "crisis", "criteria": "criterion", "echoes": "echo", "elves": "elf", "feet": "foot",
+    "focuses": "focus", "gases": "gas", "geese": "goose", "goes": "go", "gurus": "guru", "halves": "half", "heroes": "hero",
+    "hypotheses": "hypothesis", "knives": "knife", "leaves": "leaf", "lenses": "lens", "lives": "life", "loaves": "loaf",
+    "men": "man", "menus": "menu", "mice": "mouse", "movies": "movie", "phenomena": "phenomenon", "potatoes": "potato",
+    "quizzes": "quiz", "selfies": "selfie", "selves": "self", "shelves": "shelf", "statuses": "status", "taxis": "taxi",
+    "teeth": "tooth", "theses": "thesis", "thieves": "thief", "tomatoes": "tomato", "viruses": "virus", "wives": "wife",
+    "wolves": "wolf", "women": "woman", "zombies": "zombie",
 }
+# Words in -s that are no plurals.
+UNCHANGED_NOUNS = [
+    "always", "perhaps", "besides", "sometimes", "towards", "afterwards", "nowadays", "whereas", "series", "species",
+    "news", "thanks", "alias", "atlas", "bias", "canvas", "christmas", "lens", "chaos", "mathematics", "physics",
+    "economics", "electronics", "politics", "athletics",
+]
 
 SEED_TOPICS = [
     ["register", "team", "portal"],
@@ -118,23 +137,30 @@ SEED_TOPICS = [
     ["eligibility", "rules", "program"],
 ]
 
-ENGLISH_STOPWORDS = """
-i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
-herself it its itself they them their theirs themselves what which who whom this that these those am is are
-was were be been being have has had having do does did doing a an the and but if or because as until while of
-at by for with about against between into through during before after above below to from up down in out on
-off over under again further then once here there when where why how all any both each few more most other
-some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain
-aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn
-""".split()
+ENGLISH_STOPWORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they",
+    "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those",
+    "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does",
+    "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at",
+    "by", "for", "with", "about", "against", "between", "into", "through", "during", "before", "after", "above",
+    "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then",
+    "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most",
+    "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t",
+    "can", "will", "just", "don", "should", "now", "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren",
+    "couldn", "didn", "doesn", "hadn", "hasn", "haven", "isn", "ma", "mightn", "mustn", "needn", "shan",
+    "shouldn", "wasn", "weren", "won", "wouldn",
+]
 
-PLATFORM_STOPWORDS = """
-kbc portal please clarify thanks thank hello hi hey okay ok yes no yeah fine sir madam ma'am maa'm pls plz
-dear regards understood noted done teacher respected nice great thankyou super awesome chat message messages
-cluster clusters theme themes topic topics conversation conversations sure provide upload summarize send kindly
-""".split()
+PLATFORM_STOPWORDS = [
+    "kbc", "portal", "please", "clarify", "thanks", "thank", "hello", "hi", "hey", "okay", "ok", "yes", "no",
+    "yeah", "fine", "sir", "madam", "ma'am", "maa'm", "pls", "plz", "dear", "regards", "understood", "noted",
+    "done", "teacher", "respected", "nice", "great", "thankyou", "super", "awesome", "chat", "message",
+    "messages", "cluster", "clusters", "theme", "themes", "topic", "topics", "conversation", "conversations",
+    "sure", "provide", "upload", "summarize", "send", "kindly",
+]
 
-FILLER_STOPWORDS = "eh ah uh mm mmm hm hmm um umm ya yo".split()
+FILLER_STOPWORDS = ["eh", "ah", "uh", "mm", "mmm", "hm", "hmm", "um", "umm", "ya", "yo"]
 
 # --- Fixed values: topic labels --------------------------------------------
 
@@ -198,20 +224,23 @@ MIN_DIVERSITY = 0.6
 
 # --- Word lists of the built-in scorers (not taken from any model) ----------
 
-POSITIVE_WORDS = """
-good great nice excellent helpful happy love like thanks thank best better easy clear useful success win
-awesome amazing interesting enjoy glad excited proud perfect support correct right fine
-""".split()
-NEGATIVE_WORDS = """
-bad worse worst hard difficult confused confusing problem issue error wrong fail failed failure sad angry
-hate boring useless unclear stuck lost slow broken late never cannot unable
-""".split()
-AGENTIC_WORDS = """
-achieve build change choose create decide design develop goal improve initiative lead learn make plan prepare
-solve start try win work manage organise register submit sell launch
-""".split()
-PASSIVE_WORDS = """
-cannot confused depend difficult fail failed forced helpless impossible lost must never problem stuck told
-unable wait waiting worried afraid hopeless
-""".split()
+POSITIVE_WORDS = [
+    "good", "great", "nice", "excellent", "helpful", "happy", "love", "like", "thanks", "thank", "best",
+    "better", "easy", "clear", "useful", "success", "win", "awesome", "amazing", "interesting", "enjoy", "glad",
+    "excited", "proud", "perfect", "support", "correct", "right", "fine",
+]
+NEGATIVE_WORDS = [
+    "bad", "worse", "worst", "hard", "difficult", "confused", "confusing", "problem", "issue", "error", "wrong",
+    "fail", "failed", "failure", "sad", "angry", "hate", "boring", "useless", "unclear", "stuck", "lost",
+    "slow", "broken", "late", "never", "cannot", "unable",
+]
+AGENTIC_WORDS = [
+    "achieve", "build", "change", "choose", "create", "decide", "design", "develop", "goal", "improve",
+    "initiative", "lead", "learn", "make", "plan", "prepare", "solve", "start", "try", "win", "work", "manage",
+    "organise", "register", "submit", "sell", "launch",
+]
+PASSIVE_WORDS = [
+    "cannot", "confused", "depend", "difficult", "fail", "failed", "forced", "helpless", "impossible", "lost",
+    "must", "never", "problem", "stuck", "told", "unable", "wait", "waiting", "worried", "afraid", "hopeless",
+]
 AGENCY_SCALE = 5.0

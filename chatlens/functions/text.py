@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
+from chatlens.operators.joins import attach_by_key
 
 _NOT_IN_WORD_BEFORE = f"(?<![{fv.WORD_CLASS}])"
 _NOT_IN_WORD_AFTER = f"(?![{fv.WORD_CLASS}])"
@@ -168,15 +169,19 @@ def merge_phrases(text: Column, phrases: Sequence[tuple[str, str]] = fv.PHRASE_T
     return F.when(text.rlike(any_phrase), merged).otherwise(text)
 
 
-def lemma(word: Column, irregular: Mapping[str, str] = fv.IRREGULAR_NOUNS) -> Column:
-    """Singular form of an English noun by a short list and suffix rules."""
+def lemma(word: Column, irregular: Mapping[str, str] = fv.IRREGULAR_NOUNS, unchanged: Sequence[str] = fv.UNCHANGED_NOUNS) -> Column:
+    """Singular form of an English noun by two short lists and suffix rules.
+
+    Two letters go only after a hissing sound that needs the extra syllable
+    (classes, boxes, branches); words in -se, -ze or -ce lose one (houses, sizes).
+    """
     length = F.length(word)
     singulars = F.create_map(*[F.lit(part) for pair in irregular.items() for part in pair])
     return (
         F.when(word.isin(list(irregular)), F.element_at(singulars, word))
-        .when(length <= 3, word)
+        .when((length <= 3) | word.isin(list(unchanged)), word)
         .when(word.endswith("ies") & (length > 4), F.concat(_without_last(word, 3), F.lit("y")))
-        .when(word.rlike("(?:ses|xes|zes|ches|shes)$"), _without_last(word, 2))
+        .when(word.rlike("(?:sses|xes|zzes|ches|shes)$"), _without_last(word, 2))
         .when(word.rlike("(?:ss|us|is|[^a-z]s)$"), word)
         .when(word.endswith("s"), _without_last(word, 1))
         .otherwise(word)
@@ -192,24 +197,37 @@ def lemmatise(text: Column, irregular: Mapping[str, str] = fv.IRREGULAR_NOUNS) -
 
 
 def lemmatise_with(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame) -> DataFrame:
-    """Lemmatise with a dictionary table ``(form, lemma)`` of any size.
+    """Lemmatise with a dictionary table ``(form, lemma)`` of any size; ``id_col`` must be unique.
 
-    Words outside the dictionary stay as they are. The regrouping is by row, so
-    a group is never longer than one text.
+    Each distinct word is looked up once; a form with several lemmas gets the
+    shortest, then the first in order. Words outside the dictionary stay as they
+    are. Frequent words are split in the join back, and the regrouping is by row,
+    so no task holds all uses of a word and no group is longer than one text.
     """
     words = df.select(id_col, F.posexplode_outer(tokens(F.col(text_col))).alias("_pos", "form"))
-    found = words.join(dictionary.select("form", "lemma"), "form", "left")
+    entries = dictionary.groupBy("form").agg(F.min(F.struct(F.length("lemma"), "lemma"))["lemma"].alias("lemma"))
+    counts = words.groupBy("form").agg(F.count("*").alias("n_rows")).join(entries, "form")
+    found = attach_by_key(words, counts.select("form", "lemma"), "form", counts.select("form", "n_rows"), (id_col, "_pos"))
     joined = found.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("w")))).alias("_parts")
     ).select(id_col, F.array_join(F.col("_parts.w"), " ").alias("lemmas"))
     return df.join(joined, id_col, "left").withColumn(text_col, F.coalesce("lemmas", F.lit(""))).drop("lemmas")
 
 
-def clean_message(df: DataFrame, text_col: str, out: str = "cleaned") -> DataFrame:
-    """The full topic preparation; assistant-like text becomes blank."""
+def clean_message(
+    df: DataFrame, text_col: str, out: str = "cleaned", dictionary: DataFrame | None = None, id_col: str = "row_index"
+) -> DataFrame:
+    """The full topic preparation; assistant-like text becomes blank.
+
+    Lemmas come from the built-in rules, or from a ``dictionary(form, lemma)``
+    if one is given; then ``id_col`` must be unique.
+    """
     df = evaluated_once(df, _pre=preprocess(F.col(text_col)))
     df = evaluated_once(df, _mrg=merge_phrases(F.col("_pre")))
-    df = evaluated_once(df, _lem=lemmatise(F.col("_mrg")))
+    if dictionary is None:
+        df = evaluated_once(df, _lem=lemmatise(F.col("_mrg")))
+    else:
+        df = lemmatise_with(df.withColumn("_lem", F.col("_mrg")), id_col, "_lem", dictionary)
     cleaned = F.when(is_assistant_like(F.col("_lem")), F.lit("")).otherwise(F.col("_lem"))
     return evaluated_once(df, **{out: cleaned}).drop("_pre", "_mrg", "_lem")
 

@@ -20,6 +20,9 @@ cloudpickle.register_pickle_by_value(chatlens)
 
 Model = Callable[[list[str]], Sequence[Any]]
 
+# A lost task repeats at most about this many model calls.
+TEXTS_PER_TASK = 2000
+
 
 def as_model(model: Any) -> Model:
     """Accept a function or an object with a ``score`` or ``predict`` method."""
@@ -45,12 +48,14 @@ def run_model(
     result: T.StructType,
     batch_size: int,
     partitions: int | None = None,
+    texts_per_task: int = TEXTS_PER_TASK,
 ) -> DataFrame:
     """Add the model's columns to a table with a ``text`` column.
 
     The model is loaded once per task and called with lists of at most
     ``batch_size`` texts. Rows are spread evenly first, because the cost is per
-    text and not per byte, so the partitions must not be merged by size.
+    text and not per byte, so the partitions must not be merged by size. The
+    texts are stored and counted, and the number of tasks follows from that.
     """
     names = result.fieldNames()
     single = len(names) == 1
@@ -69,8 +74,9 @@ def run_model(
             scored = pd.DataFrame(found, columns=names, index=frame.index)
             yield pd.concat([frame, scored], axis=1)
 
-    spark = texts.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if partitions is None:
+        texts = materialise(texts, "model-texts")
+    n = partitions or max(texts.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // texts_per_task))
     schema = T.StructType(texts.schema.fields + result.fields)
     return texts.repartition(n).mapInPandas(score, schema)
 

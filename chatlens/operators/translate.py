@@ -35,7 +35,7 @@ class WordTranslator:
 
 
 def _guarded(load: Callable[[], Any]) -> Callable[[], Any]:
-    """A text whose call fails keeps its original wording at no cost."""
+    """A text whose call fails keeps its original wording at no cost and is marked as failed."""
     def load_guarded():
         model = as_model(load())
 
@@ -43,8 +43,8 @@ def _guarded(load: Callable[[], Any]) -> Callable[[], Any]:
             try:
                 answer = model([text])[0]
             except Exception:  # noqa: BLE001
-                return text, 0, 0
-            return (answer[0] or "").strip(), answer[1], answer[2]
+                return text, 0, 0, True
+            return (answer[0] or "").strip(), answer[1], answer[2], False
 
         def call(texts: list[str]):
             try:
@@ -53,7 +53,7 @@ def _guarded(load: Callable[[], Any]) -> Callable[[], Any]:
                 answers = []
             if len(answers) != len(texts):
                 return [one(t) for t in texts]
-            return [((a[0] or "").strip(), a[1], a[2]) for a in answers]
+            return [((a[0] or "").strip(), a[1], a[2], False) for a in answers]
 
         return call
 
@@ -71,10 +71,19 @@ def work_list(messages: DataFrame, column: str = "user_msg") -> DataFrame:
     return distinct_texts(rows, "_text", "row_index").withColumn("text_key", text_key(F.col("text")))
 
 
+def cached_answers(cache: DataFrame) -> DataFrame:
+    """``(text_key, cached_en)`` of a cache ``(text, text_en)``, one row per text.
+
+    Texts are trimmed as messages are. Of several answers to one text the first
+    in alphabetical order counts; blank texts and missing answers are left out.
+    """
+    rows = normalised(cache, "text").filter(F.col("_text").isNotNull() & F.col("text_en").isNotNull())
+    return rows.groupBy(text_key(F.col("_text")).alias("text_key")).agg(F.min("text_en").alias("cached_en"))
+
+
 def translation_misses(messages: DataFrame, cache: DataFrame, column: str = "user_msg") -> DataFrame:
     """The distinct texts that the cache ``(text, text_en)`` does not answer."""
-    known = cache.select(text_key(F.col("text")).alias("text_key"))
-    return work_list(messages, column).join(known, "text_key", "left_anti")
+    return work_list(messages, column).join(cached_answers(cache).select("text_key"), "text_key", "left_anti")
 
 
 def cache_from_previous(previous: DataFrame) -> DataFrame:
@@ -126,8 +135,7 @@ def translate_messages(
         return TranslationRun(same, texts)
 
     if cache is not None:
-        known = cache.select(text_key(F.col("text")).alias("text_key"), F.col("text_en").alias("cached_en"))
-        work = materialise(work.join(known, "text_key", "left"), "translation-work")
+        work = materialise(work.join(cached_answers(cache), "text_key", "left"), "translation-work")
     else:
         work = materialise(work.withColumn("cached_en", F.lit(None).cast("string")), "translation-work")
 
@@ -146,10 +154,10 @@ def translate_messages(
     )
     second = again.select(
         "text_key", F.col("text_en").alias("retry_en"), F.col("input_tokens").alias("retry_input_tokens"),
-        F.col("output_tokens").alias("retry_output_tokens"), (~F.col("needs_retranslation")).alias("retry_ok"),
+        F.col("output_tokens").alias("retry_output_tokens"), (~F.col("needs_retranslation") & ~F.col("failed")).alias("retry_ok"),
     )
     called = first.select(
-        "text_key", F.col("text_en").alias("first_en"), "input_tokens", "output_tokens", "needs_retranslation"
+        "text_key", F.col("text_en").alias("first_en"), "input_tokens", "output_tokens", "needs_retranslation", "failed"
     )
     answers = called.join(second, "text_key", "left")
     texts = materialise(
@@ -183,6 +191,7 @@ def translation_stats(run: TranslationRun) -> DataFrame:
     retried = F.col("retry_ok").isNotNull()
     calls = run.texts.agg(
         F.count("first_en").alias("first_calls"),
+        F.count_if("failed").alias("failed_calls"),
         F.count_if(retried).alias("retries"),
         F.count_if(F.col("retry_ok")).alias("retries_ok"),
         (F.coalesce(F.sum("input_tokens"), F.lit(0)) + F.coalesce(F.sum("retry_input_tokens"), F.lit(0)))
@@ -207,6 +216,7 @@ def translation_stats(run: TranslationRun) -> DataFrame:
         (cost / F.nullif(api_calls, F.lit(0))).alias("cost_per_call"),
         F.col("_c.retries").alias("retries"), F.col("_c.retries_ok").alias("retries_ok"),
         (F.col("_c.retries") - F.col("_c.retries_ok")).alias("retries_failed"),
+        F.col("_c.failed_calls").alias("failed_calls"),
     )
 
 

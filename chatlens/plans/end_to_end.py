@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,33 @@ class Models:
     labeller: Callable[[], Any] | None = None
 
 
+def representative_messages(rows: DataFrame, centres: DataFrame, top: int) -> DataFrame:
+    """``(message_role, topic_id, rank, example)``: the cleaned messages closest to their topic's centroid."""
+    return vectors.representative_docs(rows, centres, "vector", top).select(*TOPIC, "rank", F.col("cleaned").alias("example"))
+
+
+def cluster_role(
+    docs: DataFrame, models: Models, min_cluster_size: int, cell_width: float | None, use_seeds: bool, stopwords: Sequence[str]
+) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
+    """Vectors, reduction and clusters of one role's messages, and the function that embeds other texts alike."""
+    if models.embedder is None:
+        embedded, embed_more = vectors.hashed_vectors(docs, "cleaned", stopwords=stopwords)
+    else:
+        embedded = vectors.model_vectors(docs, "cleaned", models.embedder)
+        embed_more = lambda other, column: vectors.model_vectors(other, column, models.embedder)
+    if use_seeds:
+        seeds = docs.sparkSession.createDataFrame(
+            [(i, i, " ".join(words)) for i, words in enumerate(fv.SEED_TOPICS)], "row_index bigint, seed_topic int, words string")
+        seed_vectors = embed_more(seeds, "words").select("seed_topic", F.col("features").alias("seed_features"))
+        embedded = vectors.blend_seeds(vectors.seed_match(embedded, "cleaned"), seed_vectors).drop(
+            "seed_topic", "seed_similarity")
+    reduced = materialise(vectors.reduce_dimensions(embedded).drop("features"), "reduced")
+    width = cell_width or cluster.suggested_width(reduced, "reduced")
+    found = cluster.density_clusters(
+        reduced, "reduced", "doc_index", width, min_cluster_size=min_cluster_size, by=["message_role"])
+    return found.withColumnRenamed("reduced", "vector"), embed_more
+
+
 def model_topics(
     long: DataFrame,
     models: Models | None = None,
@@ -39,44 +68,56 @@ def model_topics(
     use_seeds: bool = True,
     max_docs: int | None = None,
     min_docs: int = fv.MIN_TERM_DOCS,
+    roles: Sequence[str] = tuple(cleaning.ROLE_COLUMNS),
+    stopwords: Sequence[str] = terms.STOPWORDS,
+    dictionary: DataFrame | None = None,
+    by_representation: bool = False,
 ) -> dict[str, DataFrame]:
-    """Topic tables of the role-long message table, one model over both roles' vectors."""
+    """Topic tables of the role-long message table, with a topic model of its own for each role.
+
+    ``by_representation`` compares topics by the vector of their representation
+    text (terms and representative messages) instead of their centroid when
+    they are merged. ``dictionary(form, lemma)`` replaces the built-in lemmas.
+    """
     models = models or Models()
-    role_no = F.when(F.col("role") == "assistant", 1).otherwise(0)
     docs = materialise(
-        eligibility.topic_eligible(long, max_docs=max_docs)
-        .withColumn("doc_index", F.col("row_index") * 2 + role_no).withColumnRenamed("role", "message_role"),
+        tables.with_row_index(
+            eligibility.topic_eligible(long.filter(F.col("role").isin(list(roles))), max_docs=max_docs, dictionary=dictionary),
+            "doc_index").withColumnRenamed("role", "message_role"),
         "topic-docs",
     )
-    if models.embedder is None:
-        embedded, embed_more = vectors.hashed_vectors(docs, "cleaned")
-    else:
-        embedded = vectors.model_vectors(docs, "cleaned", models.embedder)
-        embed_more = lambda other, column: vectors.model_vectors(other, column, models.embedder)
-    if use_seeds:
-        seeds = long.sparkSession.createDataFrame(
-            [(i, i, " ".join(words)) for i, words in enumerate(fv.SEED_TOPICS)], "row_index bigint, seed_topic int, words string")
-        seed_vectors = embed_more(seeds, "words").select("seed_topic", F.col("features").alias("seed_features"))
-        embedded = vectors.blend_seeds(vectors.seed_match(embedded, "cleaned"), seed_vectors).drop(
-            "seed_topic", "seed_similarity")
-    reduced = materialise(vectors.reduce_dimensions(embedded).drop("features"), "reduced")
-    width = cell_width or cluster.suggested_width(reduced, "reduced")
-    found = cluster.density_clusters(
-        reduced, "reduced", "doc_index", width, min_cluster_size=min_cluster_size, by=["message_role"])
-    assigned = materialise(found.withColumnRenamed("reduced", "vector"), "assigned")
+    present = {r.message_role for r in docs.select("message_role").distinct().collect()}
+    roles = [r for r in roles if r in present]
+    if not roles:
+        raise ValueError("no message is worth modelling")
+    parts, embedders = [], {}
+    for role in roles:
+        part, embedders[role] = cluster_role(
+            docs.filter(F.col("message_role") == role), models, min_cluster_size, cell_width, use_seeds, stopwords)
+        parts.append(part)
+    assigned = materialise(functools.reduce(DataFrame.unionByName, parts), "assigned")
 
     def ranked_terms(rows: DataFrame) -> DataFrame:
-        return materialise(terms.topic_terms(terms.term_table(rows, "cleaned", min_docs=min_docs)), "ranked-terms")
+        return materialise(
+            terms.topic_terms(terms.term_table(rows, "cleaned", stopwords, min_docs=min_docs)), "ranked-terms")
 
     def measured(rows: DataFrame, ranked: DataFrame, stage: str) -> DataFrame:
-        coherence = metrics.role_coherence(metrics.topic_coherence(rows, "cleaned", ranked))
+        coherence = metrics.role_coherence(metrics.topic_coherence(rows, "cleaned", ranked, stopwords=stopwords))
         return metrics.topic_metrics(rows, ranked).join(coherence, "message_role", "left").withColumn("stage", F.lit(stage))
 
     initial = measured(assigned, ranked_terms(assigned), "initial")
     rows = assigned
     if reduce_threshold is not None:
         rows = refine.reduce_topics(rows, vectors.stored_centroids(rows), reduce_threshold)
-    rows = refine.merge_topics(rows, vectors.stored_centroids(rows), merge_threshold)
+    centres = vectors.stored_centroids(rows)
+    if by_representation:
+        texts = vectors.topic_representation(
+            terms.term_lists(ranked_terms(rows)), representative_messages(rows, centres, 2)).withColumn("row_index", F.col("topic_id"))
+        texts = functools.reduce(DataFrame.unionByName, [
+            embedders[role](texts.filter(F.col("message_role") == role), "representation").select(
+                *TOPIC, vector_to_array("features").alias("centroid")) for role in roles])
+        centres = materialise(texts.join(centres.drop("centroid"), TOPIC), "representations")
+    rows = refine.merge_topics(rows, centres, merge_threshold)
     rows = eligibility.filter_trivial(rows, "cleaned")
     rows = materialise(refine.drop_low_quality_topics(rows, "cleaned"), "final-topics")
 
@@ -84,7 +125,8 @@ def model_topics(
     info = materialise(terms.topic_info(rows, ranked), "topic-info")
     named = info
     if models.labeller is not None:
-        prompts = labels.labelling_prompts(info, terms.topic_examples(rows, "cleaned", 10))
+        examples = representative_messages(rows, vectors.stored_centroids(rows), 10)
+        prompts = labels.labelling_prompts(info, examples)
         named = info.join(labels.supplied_labels(prompts, models.labeller), TOPIC, "left")
     label_table = materialise(labels.intent_labels(named), "topic-labels")
     return {

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.operators.cleaning import clean_export, role_long
-from chatlens.operators.translate import WordTranslator, translate_messages
+from chatlens.operators.translate import WordTranslator, cache_from_previous, translate_messages
 from chatlens.session import spread
 
 # Short word lists whose entries occur in the given tables.
 TEST_POSITIVE = ["the", "of", "to", "was", "la", "der", "el", "with"]
 TEST_NEGATIVE = ["and", "is", "it", "by", "de", "die", "los", "from"]
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 FIRST_WORDS = {"batao": "tell", "the": "the"}
 RETRY_WORDS = {"mujhe": "me", "batao": "tell", "kya": "what", "hai": "is"}
 
@@ -100,6 +101,45 @@ def translation_run(spark: SparkSession, sf_dir: str):
     )
 
 
+def cached_translation_run(spark: SparkSession, sf_dir: str):
+    """The same with the acceptable answers of the earlier run as cache, each entry twice, once padded."""
+    cache = cache_from_previous(previous_run(spark, sf_dir))
+    padded = cache.withColumn("text", F.concat(F.lit(" "), "text", F.lit("\n")))
+    return translate_messages(
+        translation_input(spark, sf_dir), lambda: WordTranslator(FIRST_WORDS), lambda: WordTranslator(RETRY_WORDS),
+        cache=cache.unionByName(padded),
+    )
+
+
+def letter_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the shares of the 26 letters in their text, with language and source as role and topic."""
+    return with_letter_shares(documents(spark, sf_dir).select(
+        F.col("doc_id").alias("row_index"), F.col("lang").alias("message_role"),
+        F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("topic_id"), "text")).drop("text")
+
+
+def with_letter_shares(docs: DataFrame) -> DataFrame:
+    """Add ``vector``: the shares of the 26 letters in ``text``, a model that both engines can compute."""
+    text = F.lower("text")
+    counted = docs.select("*", F.explode(F.array(F.array(*[F.regexp_count(text, F.lit(c)) for c in LETTERS]))).alias("counts"))
+    total = F.greatest(F.aggregate("counts", F.lit(0), lambda a, x: a + x), F.lit(1))
+    return counted.withColumn("vector", F.transform("counts", lambda n: n / total)).drop("counts")
+
+
+class LetterCounter:
+    """A stand-in for an embedding model: how often each letter occurs."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(c)) for c in LETTERS] for t in texts]
+
+
+def linked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have a vector, as messages with text and vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_index"), F.col("embedding").cast("array<double>").alias("vector"))
+    return topics_given(spark, sf_dir).drop("topic_id").join(vectors, "row_index")
+
+
 def topics_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with a supplied topic: one per source, every 11th an outlier."""
     number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")

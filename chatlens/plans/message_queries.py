@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chatlens import fixed_values as fv
 from chatlens import schemas
 from chatlens.functions.text import flag_retranslation
 from chatlens.operators import agency, cleaning, scoring, sentiment, summary, translate
@@ -12,6 +13,7 @@ from chatlens.plans import sql
 from chatlens.plans.sql import BASE, BASE_LONG, EVENTS, PROBE, RAW, query, strip
 from chatlens.session import materialise, scratch_path
 from chatlens.sources import tables
+from chatlens.topics import eligibility
 
 _WORDS = {"positive": fx.TEST_POSITIVE, "negative": fx.TEST_NEGATIVE}
 _AGENCY_WORDS = {"agentic": fx.TEST_POSITIVE, "passive": fx.TEST_NEGATIVE}
@@ -105,6 +107,11 @@ def max_items_cap(spark, d):
     return cleaning.nonblank(capped, "text").select("row_index", "role", F.length("text").alias("n_chars"))
 
 
+def max_docs_cap(spark, d):
+    long = fx.probe_texts(spark, d).select(F.col("doc_id").alias("row_index"), F.col("lang").alias("role"), "text")
+    return eligibility.topic_eligible(long, max_docs=50).select("row_index", "role", "cleaned")
+
+
 def role_long(spark, d):
     return fx.long_messages(spark, d).withColumn("datetime", F.col("datetime").cast("string"))
 
@@ -117,11 +124,14 @@ def valid_datetime(spark, d):
 
 
 def nullify_na(spark, d):
+    # Each missing-value token in turn, bare and with a blank before it, next to real values.
+    listed = F.array(*[F.lit(t) for t in fv.NA_TOKENS])
+    token = F.get(listed, F.pmod("row_index", F.lit(len(fv.NA_TOKENS))).cast("int"))
     raw = fx.raw_export(spark, d).select(
-        "row_index", F.coalesce("cal_state", F.lit("NA")).alias("cal_state"),
-        F.coalesce("Response", F.lit("")).alias("Response"),
+        "row_index", F.coalesce("cal_state", token).alias("cal_state"), token.alias("token"),
+        F.concat(F.lit(" "), token).alias("padded"), F.coalesce("Response", F.lit("")).alias("Response"),
     )
-    return tables.nullify_na_tokens(raw, ["cal_state", "Response"])
+    return tables.nullify_na_tokens(raw, ["cal_state", "token", "padded", "Response"])
 
 
 def dedup_messages(spark, d):
@@ -133,7 +143,7 @@ def dedup_messages(spark, d):
 
 def message_ids(spark, d):
     events = fx.table(spark, d, "events").select("event_id")
-    numbered = tables.with_row_index(events.repartitionByRange(8, "event_id").sortWithinPartitions("event_id"))
+    numbered = tables.with_row_index(events.orderBy("event_id"))
     return numbered.select("event_id", "row_index", F.concat(F.lit("user_"), F.col("row_index").cast("string")).alias("message_id"))
 
 
@@ -174,13 +184,25 @@ def cache_reuse(spark, d):
 
 
 def cache_strict_match(spark, d):
-    return translate.same_messages(fx.previous_run(spark, d), fx.translation_input(spark, d))
+    # The earlier run lacks some rows, has others changed, and some only padded with blanks.
+    row, text = F.col("row_index") % 10, F.col("user_msg")
+    changed = F.when(row == 1, F.concat(text, F.lit("!"))).when(row == 2, F.concat(F.lit(" "), text, F.lit("\n"))).otherwise(text)
+    previous = fx.previous_run(spark, d).filter(row != 0).withColumn("user_msg", changed)
+    return translate.same_messages(previous, fx.translation_input(spark, d))
 
 
 def translated_messages(spark, d):
     return fx.translation_run(spark, d).messages
 
 
+def translated_messages_cached(spark, d):
+    return fx.cached_translation_run(spark, d).messages
+
+
+def translation_preview(spark, d):
+    return translate.translation_preview(fx.translation_run(spark, d))
+
+
 def translation_retry(spark, d):
     texts = fx.translation_run(spark, d).texts
     return texts.filter(F.col("retry_ok").isNotNull()).select("text", "first_en", "retry_en", "retry_ok", "text_en", "n_rows")
@@ -197,7 +219,7 @@ def failed_retry_preview(spark, d):
 
 
 def needs_retranslation(spark, d):
-    # Lower-cased German stands in for a poor translation.
+    # Some English words become a Hindi one, which stands in for a poor translation.
     rows = fx.probe_texts(spark, d).withColumn(
         "translated", F.regexp_replace("text", "(?:the|of|and|is) ", "mera "))
     return flag_retranslation(rows, "text", "translated").select("doc_id", "needs_retranslation")
@@ -270,10 +292,10 @@ def score_texts_plugin(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scan_csv_roundtrip, datetime_overview, overview_json_scan, agency_parquet_roundtrip, named_tables_sql,
-    ensure_columns, parse_session, parse_session_quarantine, clean_messages, nonblank_messages, max_items_cap,
+    ensure_columns, parse_session, parse_session_quarantine, clean_messages, nonblank_messages, max_items_cap, max_docs_cap,
     role_long, valid_datetime, nullify_na, dedup_messages, message_ids, messages_by_date, timeline_hourly,
     cal_state_by_user, cal_state_share, message_stats, translation_misses, cache_reuse, cache_strict_match,
-    translated_messages, translation_retry, translation_stats, failed_retry_preview, needs_retranslation,
+    translated_messages, translated_messages_cached, translation_preview, translation_retry, translation_stats, failed_retry_preview, needs_retranslation,
     sentiment_messages, sentiment_overview, sentiment_counts, sentiment_top_labels, agency_messages, agency_all,
     agency_summary, agency_histogram, agency_top_high, agency_top_low, agency_neutral_sample, score_texts_plugin,
 )}
@@ -348,12 +370,16 @@ ORACLE = {
         WHERE try_strptime(substring(session_id, 1, 19), '%Y-%m-%d %H:%M:%S') IS NULL"""),
     "clean_messages": query(*BASE, body="SELECT * REPLACE (CAST(datetime AS VARCHAR) AS datetime) FROM cleaned"),
     "nonblank_messages": query(*BASE_LONG, body=f"SELECT row_index, role, text FROM long WHERE {strip('text')} <> ''"),
+    "max_docs_cap": query(PROBE, ("capped", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r
+        FROM probe WHERE {strip('text')} <> '') WHERE r <= 50"""), *sql.clean_steps("capped"), body=f"""SELECT doc_id AS row_index, lang AS role, cleaned
+        FROM cleaned_rows WHERE {sql.eligible('cleaned')}"""),
     "max_items_cap": query(*BASE_LONG, body=f"""SELECT row_index, role, CAST(length(text) AS INTEGER) AS n_chars FROM (
         SELECT *, row_number() OVER (PARTITION BY role ORDER BY row_index) AS r FROM long) WHERE r <= 100 AND {strip('text')} <> ''"""),
     "role_long": query(*BASE_LONG, body="SELECT * REPLACE (CAST(datetime AS VARCHAR) AS datetime) FROM long"),
     "valid_datetime": query(RAW, _DAMAGED, body="""SELECT row_index, CAST(dt AS VARCHAR) AS datetime FROM (
         SELECT row_index, try_strptime(substring(session_id, 1, 19), '%Y-%m-%d %H:%M:%S') AS dt FROM damaged) WHERE dt IS NOT NULL"""),
-    "nullify_na": query(RAW, body="SELECT row_index, cal_state, Response FROM raw_export"),
+    "nullify_na": query(RAW, body=f"""SELECT row_index, cal_state, CAST(NULL AS VARCHAR) AS token, Response,
+        ' ' || {sql.array(fv.NA_TOKENS)}[row_index % {len(fv.NA_TOKENS)} + 1] AS padded FROM raw_export"""),
     "dedup_messages": """SELECT row_index, user_msg, CAST(NULL AS VARCHAR) AS whatsapp_id FROM (
         SELECT min(doc_id) AS row_index, text AS user_msg FROM documents GROUP BY text)""",
     "message_ids": """SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row_index,
@@ -374,9 +400,12 @@ ORACLE = {
     "translation_misses": query(*_CACHE, body=f"""SELECT {strip('text')} AS text, count(*) AS n_rows, min(doc_id) AS first_row
         FROM probe WHERE {strip('text')} <> '' AND {strip('text')} NOT IN (SELECT text FROM cache) GROUP BY 1"""),
     "cache_reuse": query(*_CACHE, body="SELECT text, text_en FROM cache"),
-    "cache_strict_match": """SELECT count(*) AS previous_rows, count(*) AS current_rows, CAST(0 AS BIGINT) AS mismatches,
-        true AS reusable FROM documents""",
+    "cache_strict_match": """SELECT count(*) FILTER (WHERE doc_id % 10 <> 0) AS previous_rows, count(*) AS current_rows,
+        count(*) FILTER (WHERE doc_id % 10 < 2) AS mismatches, count(*) FILTER (WHERE doc_id % 10 < 2) = 0 AS reusable FROM documents""",
     "translated_messages": query(*_RUN, body="SELECT * FROM out"),
+    "translated_messages_cached": query(*_CACHE, *_RUN[1:], body=f"""SELECT o.row_index, o.user_msg,
+        coalesce(c.text_en, o.user_msg_en) AS user_msg_en FROM out o LEFT JOIN cache c ON c.text = {strip('o.user_msg')}"""),
+    "translation_preview": query(*_RUN, body="SELECT row_index, user_msg, user_msg_en FROM out ORDER BY row_index LIMIT 20"),
     "translation_retry": query(*_RUN, body="SELECT text, first_en, retry_en, retry_ok, text_en, n_rows FROM texts WHERE retry_ok IS NOT NULL"),
     "translation_stats": query(*_RUN, (
         "rows_", f"""SELECT count(*) AS total_rows, count(*) FILTER (WHERE {strip('user_msg')} <> {strip('user_msg_en')}) AS changed_rows,
@@ -391,7 +420,7 @@ ORACLE = {
             tokens AS input_tokens, tokens AS output_tokens,
             round(CAST(tokens AS DOUBLE) / 1e6 * 0.150 + CAST(tokens AS DOUBLE) / 1e6 * 0.600, 9) AS total_cost,
             round((CAST(tokens AS DOUBLE) / 1e6 * 0.150 + CAST(tokens AS DOUBLE) / 1e6 * 0.600) / (first_calls + retries), 9) AS cost_per_call,
-            retries, retries_ok, retries - retries_ok AS retries_failed FROM rows_, calls_"""),
+            retries, retries_ok, retries - retries_ok AS retries_failed, CAST(0 AS BIGINT) AS failed_calls FROM rows_, calls_"""),
     "failed_retry_preview": query(*_RUN, body="""SELECT first_row, CASE WHEN length(text) > 75 THEN left(text, 75) || '...' ELSE text END AS preview
         FROM texts WHERE NOT retry_ok ORDER BY first_row LIMIT 10"""),
     "needs_retranslation": query(PROBE, (

@@ -157,9 +157,9 @@ def merge_phrases(text: str) -> str:
 def lemma(word: str) -> str:
     return (
         f"CASE WHEN {word} IN {in_list(fv.IRREGULAR_NOUNS)} THEN {mapping(fv.IRREGULAR_NOUNS)}[{word}] "
-        f"WHEN len({word}) <= 3 THEN {word} "
+        f"WHEN len({word}) <= 3 OR {word} IN {in_list(fv.UNCHANGED_NOUNS)} THEN {word} "
         f"WHEN {word} LIKE '%ies' AND len({word}) > 4 THEN left({word}, len({word}) - 3) || 'y' "
-        f"WHEN regexp_matches({word}, '(?:ses|xes|zes|ches|shes)$') THEN left({word}, len({word}) - 2) "
+        f"WHEN regexp_matches({word}, '(?:sses|xes|zzes|ches|shes)$') THEN left({word}, len({word}) - 2) "
         f"WHEN regexp_matches({word}, '(?:ss|us|is|[^a-z]s)$') THEN {word} "
         f"WHEN {word} LIKE '%s' THEN left({word}, len({word}) - 1) ELSE {word} END"
     )
@@ -169,10 +169,7 @@ def lemmatise(text: str) -> str:
     return rf"array_to_string(list_transform(regexp_extract_all({text}, '\S+'), lambda w: {lemma('w')}), ' ')"
 
 
-ASSISTANT = (
-    r"(?i)^(sure|please provide|please share|provide|send|done|okay|ok|thank|thanks)\b|please provide (the )?text"
-    r"|summari[sz]e this|upload (your )?idea|send (it|the details)|share (the )?(details|text)"
-)
+ASSISTANT = rf"(?i)^({fv.ASSISTANT_OPENERS})\b|" + "|".join(fv.ASSISTANT_TEMPLATES)
 
 
 def assistant_like(text: str) -> str:
@@ -190,6 +187,12 @@ def clean_steps(source: str, text: str = "text") -> tuple[tuple[str, str], ...]:
     )
 
 
+def eligible(cleaned: str) -> str:
+    """Whether a cleaned message is worth modelling."""
+    return (f"trim({cleaned}) <> '' AND {cleaned} NOT IN {in_list(fv.SHORT_RESPONSES)} AND NOT {assistant_like(cleaned)} "
+            f"AND {token_count(cleaned)} >= {fv.MIN_MESSAGE_TOKENS}")
+
+
 # --- built-in scorers --------------------------------------------------------
 
 

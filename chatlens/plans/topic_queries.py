@@ -146,6 +146,13 @@ def supplied_labels(spark, d):
     return labels.supplied_labels(prompts, _FirstWordsLabeller)
 
 
+def supplied_to_final_labels(spark, d):
+    info = materialise(_info(spark, d), "info")
+    prompts = labels.labelling_prompts(info, terms.topic_examples(fx.topics_given(spark, d), "text", 10))
+    answers = labels.supplied_labels(prompts, _FirstWordsLabeller)
+    return labels.intent_labels(info.join(answers, TOPIC, "left"))
+
+
 def topic_metrics(spark, d):
     return metrics.topic_metrics(fx.topics_given(spark, d), _ranked(spark, d))
 
@@ -160,14 +167,20 @@ def topic_coherence(spark, d):
 
 
 def drop_low_quality_topics(spark, d):
-    # Texts are cut to their first two tokens in three topics.
-    short = F.array_join(F.slice(tx.tokens(F.col("text")), 1, 2), " ")
-    docs = fx.topics_given(spark, d).withColumn("text", F.when(F.col("topic_id") < 3, short).otherwise(F.col("text")))
+    # Next to the whole texts, three more topics hold only the first two tokens of a text.
+    docs = fx.topics_given(spark, d)
+    short = docs.filter(F.col("topic_id").between(0, 2)).select(
+        (-1 - F.col("row_index")).alias("row_index"), "message_role", (F.col("topic_id") + 100).alias("topic_id"),
+        F.array_join(F.slice(tx.tokens(F.col("text")), 1, 2), " ").alias("text"))
+    docs = docs.unionByName(short)
     return refine.drop_low_quality_topics(docs, "text").select("row_index", *TOPIC)
 
 
 def filter_trivial(spark, d):
-    docs = fx.topics_given(spark, d).withColumn("text", F.regexp_extract("text", r"^[^.]*", 0))
+    # Next to the whole texts, each text's first sentence is a message of its own.
+    docs = fx.topics_given(spark, d)
+    first = docs.select((-1 - F.col("row_index")).alias("row_index"), *TOPIC, F.regexp_extract("text", r"^[^.]*", 0).alias("text"))
+    docs = docs.unionByName(first)
     return eligibility.filter_trivial(docs, "text", 6).select("row_index", *TOPIC)
 
 
@@ -179,6 +192,9 @@ def seed_topic_match(spark, d):
 
 # --- vectors -----------------------------------------------------------------------
 
+REDUCE_AT = 0.9995
+CHAIN_WIDTH = 0.45
+
 def _embedded(spark, d):
     return fx.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("row_index"), F.lit("user").alias("message_role"), F.col("label").alias("topic_id"),
@@ -186,18 +202,18 @@ def _embedded(spark, d):
 
 
 def topic_similarity_pairs(spark, d):
-    pairs = vectors.similar_pairs(vectors.centroids(_embedded(spark, d)), 0.0)
+    pairs = vectors.similar_pairs(vectors.stored_centroids(fx.letter_shares(spark, d)), 0.99)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 def merge_topics(spark, d):
-    docs = _embedded(spark, d)
-    return refine.merge_topics(docs, vectors.stored_centroids(docs), 0.0).select("row_index", *TOPIC)
+    docs = materialise(fx.letter_shares(spark, d), "letter-shares")
+    return refine.merge_topics(docs, vectors.stored_centroids(docs), 0.95).select("row_index", *TOPIC)
 
 
 def reduce_topics(spark, d):
-    docs = _embedded(spark, d)
-    return refine.reduce_topics(docs, vectors.stored_centroids(docs), 0.12).select("row_index", *TOPIC)
+    docs = materialise(fx.letter_shares(spark, d), "letter-shares")
+    return refine.reduce_topics(docs, vectors.stored_centroids(docs), REDUCE_AT).select("row_index", *TOPIC)
 
 
 def representative_docs(spark, d):
@@ -207,7 +223,31 @@ def representative_docs(spark, d):
 
 
 def topic_representation(spark, d):
-    return vectors.topic_representation(terms.term_lists(_ranked(spark, d)), terms.topic_examples(fx.topics_given(spark, d), "text", 2))
+    docs = materialise(fx.with_letter_shares(fx.topics_given(spark, d)), "letter-shares")
+    best = vectors.representative_docs(docs, vectors.stored_centroids(docs)).withColumnRenamed("text", "example")
+    return vectors.topic_representation(terms.term_lists(_ranked(spark, d)), best)
+
+
+def model_vectors(spark, d):
+    embedded = vectors.model_vectors(fx.topics_given(spark, d), "text", fx.LetterCounter)
+    scaled = F.transform(vector_to_array("features"), lambda x: F.round(x * 1e6).cast("long").cast("string"))
+    return embedded.select("row_index", F.array_join(scaled, " ").alias("vector_millionths"))
+
+
+def _thirds(vector: str):
+    """Three sums over all of a 64-value vector, which keep the points reproducible in SQL."""
+    part = lambda lo, n: F.aggregate(F.slice(vector, lo, n), F.lit(0.0), lambda t, x: t + x)
+    return F.array(part(1, 21), part(22, 21), part(43, 22))
+
+
+def topic_chain(spark, d):
+    """Vectors, clusters of each role, terms, topic table and metrics, one after the other."""
+    points = materialise(fx.linked_vectors(spark, d).select("row_index", "message_role", "text", _thirds("vector").alias("xyz")), "points")
+    found = materialise(cluster.density_clusters(
+        points, "xyz", "row_index", CHAIN_WIDTH, dims=3, min_samples=4, min_cluster_size=8, by=["message_role"]).drop("xyz"), "found")
+    ranked = materialise(terms.topic_terms(terms.term_table(found, "text")), "ranked-terms")
+    totals = metrics.topic_metrics(found, ranked).select("message_role", "num_topics", "outliers")
+    return terms.topic_info(found, ranked).select(*TOPIC, "message_count", "name").join(totals, "message_role")
 
 
 def doc_vectors(spark, d):
@@ -221,10 +261,8 @@ def reduced_vectors(spark, d):
 
 
 def density_clusters(spark, d):
-    # Three sums over the vector keep the points reproducible in SQL.
-    part = lambda lo: F.aggregate(F.slice("vector", lo, 8), F.lit(0.0), lambda t, x: t + x)
-    points = _embedded(spark, d).select("row_index", "message_role", F.array(part(1), part(9), part(17)).alias("xyz"))
-    found = cluster.density_clusters(points, "xyz", "row_index", 0.2, dims=3, min_samples=4, min_cluster_size=8, by=["message_role"])
+    points = _embedded(spark, d).select("row_index", "message_role", _thirds("vector").alias("xyz"))
+    found = cluster.density_clusters(points, "xyz", "row_index", 0.3, dims=3, min_samples=4, min_cluster_size=8, by=["message_role"])
     return found.select("row_index", "message_role", "topic_id")
 
 
@@ -273,7 +311,7 @@ def report_insights(spark, d):
 QUERIES = {f.__name__: f for f in (
     lang_flags, english_ratio, collapse_tokens, assistant_like, preprocess_text, merge_phrases, lemmatize, clean_message,
     truncate_tokens, topic_eligible, stopword_table, vocabulary, topic_terms, topic_info, topic_keywords, active_topics,
-    message_topics, topic_examples, topic_diagnostics, topic_labels, supplied_labels, topic_metrics, topic_quality_flags,
+    message_topics, topic_examples, topic_diagnostics, topic_labels, supplied_labels, supplied_to_final_labels, topic_chain, model_vectors, topic_metrics, topic_quality_flags,
     topic_coherence, drop_low_quality_topics, filter_trivial, seed_topic_match, topic_similarity_pairs, merge_topics,
     reduce_topics, representative_docs, topic_representation, doc_vectors, reduced_vectors, density_clusters,
     label_backfill, top_topics, topic_summary_text, keyword_variants, highlight_examples, summary_sentences, report_insights,

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from chatlens import fixed_values as fv
+from chatlens.plans import fixtures as fx
 from chatlens.plans import sql
 from chatlens.plans.message_queries import _SENT
+from chatlens.plans.topic_queries import CHAIN_WIDTH, REDUCE_AT
 from chatlens.plans.sql import EVENTS, PROBE, TABLE, TOPICS, array, in_list, mapping, query
 
 _BANNED = in_list(fv.BANNED_LABEL_WORDS)
@@ -38,23 +40,27 @@ def _format(parts: str) -> str:
 INFO = ("info", """
   SELECT s.message_role, s.topic_id, s.message_count, coalesce(k.name, CAST(s.topic_id AS VARCHAR)) AS name, k.terms, k.keywords
   FROM topic_sizes s LEFT JOIN topic_kw k ON k.message_role = s.message_role AND k.topic_id = s.topic_id""")
-LABELS = (
-    ("lab_1", "SELECT *, terms[1:8] AS head FROM info"),
-    ("lab_2", f"""SELECT *, flatten(list_transform(list_concat(list_filter(head, lambda t: contains(t, '_'))[1:3],
-        list_filter(head, lambda t: NOT contains(t, '_'))[1:5]), lambda t: {_label_tokens('t')})) AS parts FROM lab_1"""),
-    ("lab_3", f"SELECT *, {_synonyms('(CASE WHEN len(parts) = 0 THEN terms[1:1] ELSE parts END)')} AS syn FROM lab_2"),
-    ("lab_4", f"""SELECT *, {_ordered_distinct('syn')} AS uniq,
-        flatten(list_transform(terms[1:10], lambda t: {_label_tokens('t')})) AS more FROM lab_3"""),
-    ("lab_5", "SELECT *, list_concat(uniq, more) AS longer FROM lab_4"),
-    ("lab_6", f"""SELECT *, (CASE WHEN len(uniq) < 2 THEN ({_ordered_distinct('longer')})[1:3] ELSE uniq END)[1:5] AS kw,
-        {_synonyms(_label_tokens('name'))} AS own FROM lab_5"""),
-    ("lab_7", f"SELECT *, CASE WHEN len(own) < 2 OR {_has_banned('name')} THEN kw ELSE own END AS pick FROM lab_6"),
-    ("lab_8", f"SELECT *, {_format('pick')} AS first_label, {_format('kw')} AS kw_label FROM lab_7"),
-    ("labels_", f"""SELECT message_role, topic_id, CASE WHEN {_has_banned('first_label')} THEN kw_label ELSE first_label END
-        AS intent_label FROM lab_8"""),
-)
+def _label_steps(source: str = "info", raw: str = "name") -> tuple[tuple[str, str], ...]:
+    """CTEs that end in ``labels_``; ``raw`` is the label or name to start from."""
+    return (
+        ("lab_1", f"SELECT *, {raw} AS raw, terms[1:8] AS head FROM {source}"),
+        ("lab_2", f"""SELECT *, flatten(list_transform(list_concat(list_filter(head, lambda t: contains(t, '_'))[1:3],
+            list_filter(head, lambda t: NOT contains(t, '_'))[1:5]), lambda t: {_label_tokens('t')})) AS parts FROM lab_1"""),
+        ("lab_3", f"SELECT *, {_synonyms('(CASE WHEN len(parts) = 0 THEN terms[1:1] ELSE parts END)')} AS syn FROM lab_2"),
+        ("lab_4", f"""SELECT *, {_ordered_distinct('syn')} AS uniq,
+            flatten(list_transform(terms[1:10], lambda t: {_label_tokens('t')})) AS more FROM lab_3"""),
+        ("lab_5", "SELECT *, list_concat(uniq, more) AS longer FROM lab_4"),
+        ("lab_6", f"""SELECT *, (CASE WHEN len(uniq) < 2 THEN ({_ordered_distinct('longer')})[1:3] ELSE uniq END)[1:5] AS kw,
+            {_synonyms(_label_tokens('raw'))} AS own FROM lab_5"""),
+        ("lab_7", f"SELECT *, CASE WHEN len(own) < 2 OR {_has_banned('raw')} THEN kw ELSE own END AS pick FROM lab_6"),
+        ("lab_8", f"SELECT *, {_format('pick')} AS first_label, {_format('kw')} AS kw_label FROM lab_7"),
+        ("labels_", f"""SELECT message_role, topic_id, CASE WHEN {_has_banned('first_label')} THEN kw_label ELSE first_label END
+            AS intent_label FROM lab_8"""),
+    )
+
+
 _INFO = (*TABLE, INFO)
-_LABELLED = (*_INFO, *LABELS)
+_LABELLED = (*_INFO, *_label_steps())
 _KW = (*_INFO, ("kw", "SELECT message_role, topic_id, name AS intent_label, keywords, message_count FROM info WHERE len(terms) > 0"))
 
 
@@ -73,27 +79,42 @@ _METRICS = (*TABLE, ("metric", """
   LEFT JOIN (SELECT message_role, round(CAST(count(DISTINCT term) AS DOUBLE) / count(*), 3) AS d FROM topic_terms GROUP BY 1) t
   USING (message_role)"""))
 
-_EMB = ("emb", """SELECT vec_id AS row_index, label AS topic_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+_EMB = ("emb", """SELECT vec_id AS row_index, 'user' AS message_role, label AS topic_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
   FROM embeddings""")
 
 
+_LINKED = ("linked", """SELECT vec_id AS row_index, CASE WHEN lang = 'en' THEN 'user' ELSE 'assistant' END AS message_role, text,
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings JOIN documents ON doc_id = vec_id""")
+_LETTER_COUNTS = ("letter_counts", f"""SELECT doc_id AS row_index,
+    list_transform({array(fx.LETTERS)}, lambda c: length(lower(text)) - length(replace(lower(text), c, ''))) AS n FROM documents""")
+_TOPIC_LETTERS = ("emb", f"""SELECT t.row_index, t.message_role, t.topic_id, t.text,
+    list_transform(n, lambda x: CAST(x AS DOUBLE) / greatest(list_sum(n), 1)) AS v FROM topics t JOIN letter_counts USING (row_index)
+    WHERE t.topic_id <> -1""")
+_LETTERS = ("emb", f"""SELECT row_index, message_role, topic_id,
+    list_transform(n, lambda x: CAST(x AS DOUBLE) / greatest(list_sum(n), 1)) AS v FROM (
+    SELECT doc_id AS row_index, lang AS message_role, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS topic_id,
+    list_transform({array(fx.LETTERS)}, lambda c: length(lower(text)) - length(replace(lower(text), c, ''))) AS n FROM documents)""")
+
+
 def _centroids(name: str, source: str) -> tuple[str, str]:
-    return (name, f"""SELECT topic_id, list(m ORDER BY pos) AS c FROM (SELECT topic_id, pos, avg(x) AS m FROM (
-        SELECT topic_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {source}) GROUP BY 1, 2) GROUP BY 1""")
+    return (name, f"""SELECT message_role, topic_id, list(m ORDER BY pos) AS c FROM (
+        SELECT message_role, topic_id, pos, avg(x) AS m FROM (
+        SELECT message_role, topic_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {source}) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 
 
 def _pairs(name: str, centres: str, threshold: float) -> tuple[str, str]:
     cosine = "list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c)))"
-    return (name, f"""SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, {cosine} AS similarity
-        FROM {centres} a JOIN {centres} b ON a.topic_id < b.topic_id WHERE {cosine} >= {threshold}""")
+    return (name, f"""SELECT a.message_role, a.topic_id AS topic_a, b.topic_id AS topic_b, {cosine} AS similarity
+        FROM {centres} a JOIN {centres} b ON a.message_role = b.message_role AND a.topic_id < b.topic_id WHERE {cosine} >= {threshold}""")
 
 
 def _merge_round(i: int, source: str) -> tuple[tuple[str, str], ...]:
     return (
-        _centroids(f"cen_{i}", source), _pairs(f"pair_{i}", f"cen_{i}", 0.0),
-        (f"best_{i}", f"SELECT topic_a, topic_b FROM pair_{i} ORDER BY round(similarity, 9) DESC, topic_a, topic_b LIMIT 1"),
-        (f"emb_{i}", f"""SELECT e.row_index, CASE WHEN b.topic_b IS NOT NULL THEN b.topic_a ELSE e.topic_id END AS topic_id, e.v
-            FROM {source} e LEFT JOIN best_{i} b ON b.topic_b = e.topic_id"""),
+        _centroids(f"cen_{i}", source), _pairs(f"pair_{i}", f"cen_{i}", 0.95),
+        (f"best_{i}", f"""SELECT message_role, topic_a, topic_b FROM pair_{i} QUALIFY row_number() OVER (
+            PARTITION BY message_role ORDER BY round(similarity, 9) DESC, topic_a, topic_b) = 1"""),
+        (f"emb_{i}", f"""SELECT e.row_index, e.message_role, CASE WHEN b.topic_b IS NOT NULL THEN b.topic_a ELSE e.topic_id END AS topic_id, e.v
+            FROM {source} e LEFT JOIN best_{i} b ON b.message_role = e.message_role AND b.topic_b = e.topic_id"""),
     )
 
 
@@ -102,6 +123,36 @@ _SPELL = """list_filter([b, replace(b, '_', ' '),
     CASE WHEN e AND length(b) > 2 THEN stem || 'ed' END, CASE WHEN e AND length(b) > 2 THEN stem || 'ing' END,
     CASE WHEN e THEN stem || 'ion' END, CASE WHEN NOT b LIKE '%ment' THEN b || 'ment' END], lambda x: x IS NOT NULL)"""
 
+def _recursive(*named: tuple[str, str], body: str) -> str:
+    return "WITH RECURSIVE " + query(*named, body=body)[len("WITH "):]
+
+
+def _density(source: str, width: float) -> tuple[tuple[str, str], ...]:
+    """CTEs from ``source(row_index, message_role, v)`` to ``found(row_index, message_role, topic_id)``."""
+    third = lambda a, b: f"CAST(floor(list_sum(v[{a}:{b}]) / {width}) AS BIGINT)"
+    return (
+        ("pts", f"SELECT row_index, message_role, {third(1, 21)} AS x, {third(22, 42)} AS y, {third(43, 64)} AS z FROM {source}"),
+        ("cells", "SELECT message_role, x, y, z, count(*) AS n, min(row_index) AS id FROM pts GROUP BY 1, 2, 3, 4"),
+        ("near", """SELECT a.id AS id, b.id AS to_id, b.n AS to_n FROM cells a
+            JOIN cells b ON a.message_role = b.message_role AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1"""),
+        ("dense", """SELECT c.id FROM cells c LEFT JOIN (SELECT id, sum(to_n) AS s FROM near GROUP BY 1) n ON n.id = c.id
+            WHERE c.n + coalesce(n.s, 0) >= 4"""),
+        ("touch", "SELECT * FROM near WHERE to_id IN (SELECT id FROM dense)"),
+        ("reach", """SELECT id AS a, id AS b FROM dense
+            UNION SELECT r.a, t.to_id FROM reach r JOIN touch t ON t.id = r.b"""),
+        ("part", "SELECT a AS id, min(b) AS p FROM reach GROUP BY 1"),
+        ("border", """SELECT id, to_id AS d FROM (SELECT id, to_id, row_number() OVER (PARTITION BY id ORDER BY to_n DESC, to_id) AS r
+            FROM touch WHERE id NOT IN (SELECT id FROM dense)) WHERE r = 1"""),
+        ("cell_part", """SELECT id, p FROM part UNION ALL SELECT b.id, p.p FROM border b JOIN part p ON p.id = b.d"""),
+        ("sized", """SELECT message_role, cp.p, sum(c.n) AS s, min(c.id) AS f FROM cell_part cp JOIN cells c ON c.id = cp.id GROUP BY 1, 2
+            HAVING sum(c.n) >= 8"""),
+        ("numbered", "SELECT p, CAST(row_number() OVER (PARTITION BY message_role ORDER BY s DESC, f) - 1 AS INTEGER) AS topic_id FROM sized"),
+        ("found", """SELECT pts.row_index, pts.message_role, coalesce(nm.topic_id, -1) AS topic_id FROM pts
+            JOIN cells c ON c.message_role = pts.message_role AND c.x = pts.x AND c.y = pts.y AND c.z = pts.z
+            LEFT JOIN cell_part cp ON cp.id = c.id LEFT JOIN numbered nm ON nm.p = cp.p"""),
+    )
+
+
 ORACLE = {
     "lang_flags": query(PROBE, ("f", f"SELECT doc_id, {sql.language_columns('text')} FROM probe"),
                         body="SELECT * REPLACE (round(english_ratio, 6) AS english_ratio) FROM f"),
@@ -118,8 +169,7 @@ ORACLE = {
         body=rf"""SELECT doc_id, CASE WHEN len(regexp_extract_all(t, '\S+')) > {fv.AGENCY_MAX_TOKENS}
             THEN array_to_string(regexp_extract_all(t, '\S+')[1:{fv.AGENCY_MAX_TOKENS}], ' ') ELSE t END AS truncated FROM s"""),
     "topic_eligible": query(PROBE, *sql.clean_steps("probe"), body=f"""SELECT doc_id AS row_index, cleaned FROM cleaned_rows
-        WHERE trim(cleaned) <> '' AND cleaned NOT IN {in_list(fv.SHORT_RESPONSES)} AND NOT {sql.assistant_like('cleaned')}
-        AND {sql.token_count('cleaned')} >= {fv.MIN_MESSAGE_TOKENS}"""),
+        WHERE {sql.eligible('cleaned')}"""),
     "stopword_table": f"""SELECT word, count(*) AS occurrences FROM (
         SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM documents)
         WHERE word IN {in_list(sql.STOP)} GROUP BY 1""",
@@ -148,6 +198,10 @@ ORACLE = {
         CASE WHEN length(terms[1]) > 2 THEN ' ' || terms[1] || ' ' || terms[2] || ' ' END AS supplied_label FROM info"""),
         body=f"""SELECT * FROM answer WHERE supplied_label IS NOT NULL
         AND len(list_filter({array(fv.TOO_SPECIFIC_PARTS)}, lambda p: contains(lower(supplied_label), p))) = 0"""),
+    "supplied_to_final_labels": query(*_INFO, ("answer", f"""SELECT message_role, topic_id, ' ' || terms[1] || ' ' || terms[2] || ' ' AS given
+        FROM info WHERE length(terms[1]) > 2"""), ("with_answer", f"""SELECT i.*, coalesce(CASE WHEN len(list_filter(
+        {array(fv.TOO_SPECIFIC_PARTS)}, lambda p: contains(lower(given), p))) = 0 THEN given END, name) AS start FROM info i
+        LEFT JOIN answer USING (message_role, topic_id)"""), *_label_steps("with_answer", "start"), body="SELECT * FROM labels_"),
     "topic_metrics": query(*_METRICS, body="SELECT * FROM metric"),
     "topic_quality_flags": query(*_METRICS, body="""SELECT message_role, num_topics, diversity, num_topics < 10 AS too_few_topics,
         num_topics > 30 AS too_many_topics, diversity < 0.6 AS low_diversity FROM metric"""),
@@ -166,13 +220,15 @@ ORACLE = {
             LEFT JOIN two ON two.message_role = a.message_role AND two.topic_id = a.topic_id AND two.ta = a.term AND two.tb = b.term"""),
         body="SELECT message_role, topic_id, round(avg(npmi), 6) AS coherence_c_npmi FROM scored GROUP BY 1, 2"),
     "drop_low_quality_topics": query(TOPICS,
-        ("cut", rf"""SELECT * REPLACE (CASE WHEN topic_id < 3 THEN array_to_string(regexp_extract_all(text, '\S+')[1:2], ' ') ELSE text END AS text)
-            FROM topics"""),
+        ("cut", r"""SELECT row_index, message_role, topic_id, text FROM topics UNION ALL
+            SELECT -1 - row_index, message_role, topic_id + 100, array_to_string(regexp_extract_all(text, '\S+')[1:2], ' ') FROM topics
+            WHERE topic_id BETWEEN 0 AND 2"""),
         ("q", f"""SELECT message_role, topic_id, coalesce(avg(nullif({sql.token_count('text')}, 0)), 0) < 3
             OR avg(CAST({sql.assistant_like('text')} AS INTEGER)) > 0.6 AS low FROM cut WHERE topic_id <> -1 GROUP BY 1, 2"""),
         body="""SELECT c.row_index, c.message_role, CASE WHEN q.low THEN -1 ELSE c.topic_id END AS topic_id
             FROM cut c LEFT JOIN q USING (message_role, topic_id)"""),
-    "filter_trivial": query(TOPICS, ("cut", "SELECT * REPLACE (regexp_extract(text, '^[^.]*', 0) AS text) FROM topics"),
+    "filter_trivial": query(TOPICS, ("cut", """SELECT row_index, message_role, topic_id, text FROM topics UNION ALL
+            SELECT -1 - row_index, message_role, topic_id, regexp_extract(text, '^[^.]*', 0) FROM topics"""),
         body=f"""SELECT row_index, message_role, CASE WHEN {sql.token_count('text')} < 6 OR text IN {in_list(fv.SHORT_RESPONSES)}
             THEN -1 ELSE topic_id END AS topic_id FROM cut"""),
     "seed_topic_match": query(PROBE,
@@ -184,45 +240,43 @@ ORACLE = {
         ("best", "SELECT doc_id, seed, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, seed) AS r FROM sims"),
         body="""SELECT doc_id, CASE WHEN s > 0 THEN CAST(seed AS INTEGER) END AS seed_topic, CASE WHEN s > 0 THEN round(s, 6) END AS seed_similarity
             FROM best WHERE r = 1"""),
-    "topic_similarity_pairs": query(_EMB, _centroids("cen", "emb"), _pairs("pair", "cen", 0.0),
-        body="SELECT 'user' AS message_role, topic_a, topic_b, round(similarity, 6) AS similarity FROM pair"),
-    "merge_topics": query(_EMB, *_merge_round(1, "emb"), *_merge_round(2, "emb_1"),
-        body="SELECT row_index, 'user' AS message_role, topic_id FROM emb_2"),
-    "reduce_topics": "WITH RECURSIVE " + query(_EMB, _centroids("cen", "emb"), _pairs("pair", "cen", 0.12),
-        ("reach", """SELECT topic_id AS a, topic_id AS b FROM cen
-            UNION SELECT r.a, CASE WHEN p.topic_a = r.b THEN p.topic_b ELSE p.topic_a END FROM reach r
-            JOIN pair p ON p.topic_a = r.b OR p.topic_b = r.b"""),
-        ("named", "SELECT a, min(b) AS n FROM reach GROUP BY 1"),
-        body="SELECT e.row_index, 'user' AS message_role, m.n AS topic_id FROM emb e JOIN named m ON m.a = e.topic_id")[len("WITH "):],
+    "topic_similarity_pairs": query(_LETTERS, _centroids("cen", "emb"), _pairs("pair", "cen", 0.99),
+        body="SELECT message_role, topic_a, topic_b, round(similarity, 6) AS similarity FROM pair"),
+    "merge_topics": query(_LETTERS, *_merge_round(1, "emb"), *_merge_round(2, "emb_1"),
+        body="SELECT row_index, message_role, topic_id FROM emb_2"),
+    "reduce_topics": "WITH RECURSIVE " + query(_LETTERS, _centroids("cen", "emb"), _pairs("pair", "cen", REDUCE_AT),
+        ("reach", """SELECT message_role, topic_id AS a, topic_id AS b FROM cen
+            UNION SELECT r.message_role, r.a, CASE WHEN p.topic_a = r.b THEN p.topic_b ELSE p.topic_a END FROM reach r
+            JOIN pair p ON p.message_role = r.message_role AND (p.topic_a = r.b OR p.topic_b = r.b)"""),
+        ("named", "SELECT message_role, a, min(b) AS n FROM reach GROUP BY 1, 2"),
+        body="SELECT e.row_index, e.message_role, m.n AS topic_id FROM emb e JOIN named m ON m.message_role = e.message_role AND m.a = e.topic_id")[len("WITH "):],
     "representative_docs": query(_EMB, _centroids("cen", "emb"),
         ("sim", """SELECT e.topic_id, e.row_index, list_dot_product(e.v, c.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.c, c.c))) AS s
             FROM emb e JOIN cen c USING (topic_id)"""),
         body="""SELECT 'user' AS message_role, topic_id, rank, row_index, round(s, 6) AS similarity FROM (
             SELECT *, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY round(s, 9) DESC, row_index) AS INTEGER) AS rank FROM sim) WHERE rank <= 2"""),
-    "topic_representation": query(*_INFO, _examples(2), body="""SELECT k.message_role, k.topic_id,
+    "topic_representation": query(*_INFO, _LETTER_COUNTS, _TOPIC_LETTERS, _centroids("cen", "emb"),
+        ("sim", """SELECT e.message_role, e.topic_id, e.row_index, e.text,
+            list_dot_product(e.v, c.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.c, c.c))) AS s
+            FROM emb e JOIN cen c USING (message_role, topic_id)"""),
+        ("best", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_role, topic_id
+            ORDER BY round(s, 9) DESC, row_index) AS rank FROM sim) WHERE rank <= 2"""),
+        body="""SELECT k.message_role, k.topic_id,
         trim(array_to_string(k.terms[1:10], ' ') || coalesce(' ' || e.t, '')) AS representation FROM topic_kw k
-        LEFT JOIN (SELECT message_role, topic_id, string_agg(example, ' ' ORDER BY rank) AS t FROM examples GROUP BY 1, 2) e
+        LEFT JOIN (SELECT message_role, topic_id, string_agg(text, ' ' ORDER BY rank) AS t FROM best GROUP BY 1, 2) e
         USING (message_role, topic_id)"""),
-    "density_clusters": "WITH RECURSIVE " + query(_EMB,
-        ("pts", """SELECT row_index, CAST(floor(list_sum(v[1:8]) / 0.2) AS BIGINT) AS x, CAST(floor(list_sum(v[9:16]) / 0.2) AS BIGINT) AS y,
-            CAST(floor(list_sum(v[17:24]) / 0.2) AS BIGINT) AS z FROM emb"""),
-        ("cells", "SELECT x, y, z, count(*) AS n, min(row_index) AS id FROM pts GROUP BY 1, 2, 3"),
-        ("near", """SELECT a.id AS id, b.id AS to_id, b.n AS to_n FROM cells a
-            JOIN cells b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1"""),
-        ("dense", """SELECT c.id FROM cells c LEFT JOIN (SELECT id, sum(to_n) AS s FROM near GROUP BY 1) n ON n.id = c.id
-            WHERE c.n + coalesce(n.s, 0) >= 4"""),
-        ("touch", "SELECT * FROM near WHERE to_id IN (SELECT id FROM dense)"),
-        ("reach", """SELECT id AS a, id AS b FROM dense
-            UNION SELECT r.a, t.to_id FROM reach r JOIN touch t ON t.id = r.b"""),
-        ("part", "SELECT a AS id, min(b) AS p FROM reach GROUP BY 1"),
-        ("border", """SELECT id, to_id AS d FROM (SELECT id, to_id, row_number() OVER (PARTITION BY id ORDER BY to_n DESC, to_id) AS r
-            FROM touch WHERE id NOT IN (SELECT id FROM dense)) WHERE r = 1"""),
-        ("cell_part", """SELECT id, p FROM part UNION ALL SELECT b.id, p.p FROM border b JOIN part p ON p.id = b.d"""),
-        ("sized", """SELECT cp.p, sum(c.n) AS s, min(c.id) AS f FROM cell_part cp JOIN cells c ON c.id = cp.id GROUP BY 1 HAVING sum(c.n) >= 8"""),
-        ("numbered", "SELECT p, CAST(row_number() OVER (ORDER BY s DESC, f) - 1 AS INTEGER) AS topic_id FROM sized"),
-        body="""SELECT pts.row_index, 'user' AS message_role, coalesce(nm.topic_id, -1) AS topic_id FROM pts
-            JOIN cells c ON c.x = pts.x AND c.y = pts.y AND c.z = pts.z
-            LEFT JOIN cell_part cp ON cp.id = c.id LEFT JOIN numbered nm ON nm.p = cp.p""")[len("WITH "):],
+    "density_clusters": _recursive(_EMB, *_density("emb", 0.3), body="SELECT * FROM found"),
+    "topic_chain": _recursive(_LINKED, *_density("linked", CHAIN_WIDTH),
+        ("chained", "SELECT f.row_index, f.message_role, f.topic_id, l.text FROM found f JOIN linked l USING (row_index)"),
+        *sql.term_steps("chained"), sql.KEYWORDS,
+        ("sized_topics", "SELECT message_role, topic_id, count(*) AS n FROM chained WHERE topic_id <> -1 GROUP BY 1, 2"),
+        ("roles", """SELECT message_role, count(*) FILTER (WHERE topic_id = -1) AS outliers,
+            count(DISTINCT CASE WHEN topic_id <> -1 THEN topic_id END) AS num_topics FROM chained GROUP BY 1"""),
+        body="""SELECT s.message_role, s.topic_id, s.n AS message_count, coalesce(k.name, CAST(s.topic_id AS VARCHAR)) AS name,
+            r.num_topics, r.outliers FROM sized_topics s JOIN roles r USING (message_role) LEFT JOIN topic_kw k USING (message_role, topic_id)"""),
+    "model_vectors": query(_LETTER_COUNTS, body="""SELECT row_index, array_to_string(list_transform(n, lambda x:
+        CAST(CAST(round(CASE WHEN list_sum(n) = 0 THEN 0 ELSE x / sqrt(CAST(list_sum(list_transform(n, lambda y: y * y)) AS DOUBLE)) END * 1e6) AS BIGINT)
+        AS VARCHAR)), ' ') AS vector_millionths FROM letter_counts"""),
     "label_backfill": query(*_LABELLED, ("lk", """SELECT i.message_role, i.topic_id, l.intent_label, i.keywords, i.message_count
         FROM info i JOIN labels_ l USING (message_role, topic_id) WHERE len(i.terms) > 0"""),
         body="""SELECT message_role, topic_id, keywords, message_count,

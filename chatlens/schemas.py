@@ -27,4 +27,4 @@ DATETIME_OVERVIEW = T.StructType([
     T.StructField("start_datetime", _S), T.StructField("end_datetime", _S), T.StructField("total_days", _I),
     T.StructField("messages_by_date", T.ArrayType(_table(date=_S, messages=_L))),
 ])
-TRANSLATION_RESULT = _table(text_en=_S, input_tokens=_L, output_tokens=_L)
+TRANSLATION_RESULT = _table(text_en=_S, input_tokens=_L, output_tokens=_L, failed=_B)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDER = "chatlens.local.folder"
+_SCOPE = "chatlens.scope.folder"
 
 
 def build_session(master: str = "local[*]", app: str = "chatlens", shuffle_partitions: int = 8) -> SparkSession:
@@ -48,8 +51,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/chatlens/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the folder of the present scope."""
+    folder = spark.conf.get(_SCOPE, None) or f"{shared_dir(spark)}/chatlens"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_stored(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder that this package has written."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[str]:
+    """Give the tables stored inside the block an end: they are deleted when it is left.
+
+    Results must be written or collected inside the block. Only the block's own
+    folder is removed, never the shared folder or what others have put there.
+    """
+    folder = f"{shared_dir(spark)}/chatlens/scope-{uuid.uuid4().hex}"
+    outer = spark.conf.get(_SCOPE, None)
+    spark.conf.set(_SCOPE, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.set(_SCOPE, outer) if outer else spark.conf.unset(_SCOPE)
+        remove_stored(spark, folder)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.session import materialise
+from chatlens.session import remove_stored, scratch_path
 
 
 def _to_minimum(directed: DataFrame) -> DataFrame:
@@ -25,11 +25,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     "Connected Components in MapReduce and Beyond" (2014): each node connects
     its larger, then its smaller neighbours to the smallest one around it. The
     number of rounds grows with the logarithm of the graph, the edge table never
-    grows, and each round is stored, which cuts the lineage.
+    grows, and each round is stored, which cuts the lineage. A round's table is
+    deleted when the next one has been written.
     """
-    now = materialise(
+    spark = edges.sparkSession
+
+    def stored(table: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, "edges")
+        table.write.parquet(path)
+        return spark.read.schema(table.schema).parquet(path), path
+
+    now, path = stored(
         edges.filter(F.col("u") != F.col("v"))
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -39,7 +47,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         seen = _to_minimum(large)
         small = seen.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             seen.select("u", F.col("m").alias("v"))).filter("u != v")
-        now = materialise(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        before = path
+        now, path = stored(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        remove_stored(spark, before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
             break

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatlens import fixed_values as fv
 from chatlens.functions.text import clean_message, evaluated_once, is_assistant_like, is_blank, token_count
 from chatlens.operators.cleaning import cap_per_role, nonblank
+from chatlens.sources.tables import with_row_index
 
 TOPIC = ["message_role", "topic_id"]
 
@@ -19,6 +20,7 @@ def topic_eligible(
     min_tokens: int = fv.MIN_MESSAGE_TOKENS,
     short_responses: Sequence[str] = fv.SHORT_RESPONSES,
     max_docs: int | None = None,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """Clean the role-long table and keep the messages worth modelling.
 
@@ -28,7 +30,11 @@ def topic_eligible(
     if max_docs is not None:
         rows = cap_per_role(rows, max_docs)
     cleaned = F.col("cleaned")
-    return clean_message(rows, "text").filter(
+    if dictionary is None:
+        done = clean_message(rows, "text")
+    else:
+        done = clean_message(with_row_index(rows, "_row"), "text", dictionary=dictionary, id_col="_row").drop("_row")
+    return done.filter(
         ~is_blank(cleaned)
         & ~cleaned.isin(list(short_responses))
         & ~is_assistant_like(cleaned)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
 from chatlens.session import materialise
 from chatlens.topics.eligibility import TOPIC
-from chatlens.topics.terms import add_terms, topic_sizes
+from chatlens.topics.terms import STOPWORDS, add_terms, topic_sizes
 
 
 def topic_metrics(docs: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -36,7 +38,9 @@ def topic_metrics(docs: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
-def topic_coherence(docs: DataFrame, text_col: str, ranked: DataFrame, top: int = 10) -> DataFrame:
+def topic_coherence(
+    docs: DataFrame, text_col: str, ranked: DataFrame, top: int = 10, stopwords: Sequence[str] = STOPWORDS
+) -> DataFrame:
     """Mean NPMI of the top terms of each topic, from co-occurrence in messages.
 
     Each message is reduced to one bit mask per topic that says which of the
@@ -46,7 +50,7 @@ def topic_coherence(docs: DataFrame, text_col: str, ranked: DataFrame, top: int
     """
     tops = ranked.filter(F.col("rank") <= top).select(*TOPIC, "term", "rank")
     roles = F.broadcast(docs.groupBy("message_role").agg(F.count("*").alias("_n")))
-    present = add_terms(docs.select("row_index", "message_role", text_col), text_col).select(
+    present = add_terms(docs.select("row_index", "message_role", text_col), text_col, stopwords).select(
         "row_index", "message_role", F.explode(F.array_distinct("terms")).alias("term")
     )
     bit = F.pow(F.lit(2), F.col("rank") - 1).cast("bigint")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
 from chatlens.session import materialise
+from chatlens.sources.tables import with_row_index
 from chatlens.topics.components import connected_components
 from chatlens.topics.eligibility import TOPIC, topic_quality
 from chatlens.topics.vectors import similar_pairs
@@ -66,14 +67,19 @@ def merge_topics(
 
 
 def reduced_ids(topics: DataFrame, threshold: float) -> DataFrame:
-    """Join all topics that are linked by pairs of at least ``threshold``."""
+    """Join all topics of a role that are linked by pairs of at least ``threshold``.
+
+    Each (role, topic) is a node of its own, whatever the roles are called; a
+    group takes its smallest topic id.
+    """
     pairs = materialise(similar_pairs(topics, threshold), "similar-pairs")
-    # Topic ids of the two roles are kept apart by their parity.
-    parity = F.when(F.col("message_role") == "assistant", 1).otherwise(0)
-    node = lambda column: (F.col(column).cast("bigint") * 2 + parity)
-    parts = connected_components(pairs.select(node("topic_a").alias("u"), node("topic_b").alias("v")))
-    joined = topics.select(*TOPIC, node("topic_id").alias("node")).join(parts, "node", "left")
-    return joined.select(*TOPIC, F.coalesce(F.floor(F.col("component") / 2).cast("int"), "topic_id").alias("new_id"))
+    nodes = with_row_index(topics.select(*TOPIC), "node")
+    end = lambda topic, node: nodes.select("message_role", F.col("topic_id").alias(topic), F.col("node").alias(node))
+    edges = pairs.join(end("topic_a", "u"), ["message_role", "topic_a"]).join(end("topic_b", "v"), ["message_role", "topic_b"])
+    parts = connected_components(edges.select("u", "v"))
+    placed = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("topic_id").alias("new_id"))
+    return placed.join(least, "component").select(*TOPIC, "new_id")
 
 
 def reduce_topics(docs: DataFrame, topics: DataFrame, threshold: float) -> DataFrame:

@@ -55,7 +55,7 @@ def term_table(
     the first of equal neighbours is a document, every one is an occurrence.
     """
     sorted_terms = evaluated_once(
-        add_terms(docs.select(*TOPIC, text_col), text_col).drop(text_col), _s=F.sort_array("terms")
+        add_terms(docs.select(*TOPIC, text_col), text_col, stopwords).drop(text_col), _s=F.sort_array("terms")
     )
     flagged = F.transform(
         "_s", lambda term, i: F.struct(term.alias("term"), ((i == 0) | (term != F.get(F.col("_s"), i - 1))).alias("first"))

@@ -27,8 +27,8 @@ VECTOR_RESULT = T.StructType([T.StructField("vector", T.ArrayType(T.DoubleType()
 
 # --- vectors -------------------------------------------------------------------
 
-def _hashed(docs: DataFrame, text_col: str, dims: int) -> DataFrame:
-    with_terms = add_terms(docs, text_col, STOPWORDS, "_terms")
+def _hashed(docs: DataFrame, text_col: str, dims: int, stopwords: Sequence[str]) -> DataFrame:
+    with_terms = add_terms(docs, text_col, stopwords, "_terms")
     return HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims).transform(with_terms).drop("_terms")
 
 
@@ -36,15 +36,17 @@ def _weighted(hashed: DataFrame, idf: IDFModel) -> DataFrame:
     return Normalizer(inputCol="_idf", outputCol="features").transform(idf.transform(hashed)).drop("_tf", "_idf")
 
 
-def hashed_vectors(docs: DataFrame, text_col: str, dims: int = 256) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
+def hashed_vectors(
+    docs: DataFrame, text_col: str, dims: int = 256, stopwords: Sequence[str] = STOPWORDS
+) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
     """The built-in embedding: hashed TF-IDF of unit length in column ``features``.
 
     Also returns a function that embeds another table with the same weights.
     """
     # Stored, because the fit and each later use would hash all texts again.
-    hashed = materialise(_hashed(docs, text_col, dims), "hashed-terms")
+    hashed = materialise(_hashed(docs, text_col, dims, stopwords), "hashed-terms")
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(hashed)
-    return _weighted(hashed, idf), lambda other, column: _weighted(_hashed(other, column, dims), idf)
+    return _weighted(hashed, idf), lambda other, column: _weighted(_hashed(other, column, dims, stopwords), idf)
 
 
 def model_vectors(docs: DataFrame, text_col: str, load_model: Callable[[], Any], batch_size: int = 32) -> DataFrame:
@@ -125,28 +127,52 @@ def centroids(docs: DataFrame, vector_col: str = "vector") -> DataFrame:
     ).select(*TOPIC, "message_count", vector_to_array("_mean").alias("centroid"))
 
 
-def similar_pairs(topics: DataFrame, threshold: float, vector_col: str = "centroid", grid_dims: int = 3) -> DataFrame:
-    """All pairs of topics of a role with cosine of at least ``threshold``.
+def leading_axes(topics: DataFrame, column: str, k: int) -> DataFrame:
+    """Add ``_p``: the coordinates of the vectors along their ``k`` leading principal axes.
+
+    The fit is one distributed pass that returns a (dims x dims) matrix.
+    """
+    with_vector = topics.withColumn("_dense", array_to_vector(column))
+    fitted = PCA(k=k, inputCol="_dense", outputCol="_pc").fit(with_vector)
+    return fitted.transform(with_vector).withColumn("_p", vector_to_array("_pc")).drop("_dense", "_pc")
+
 
-    Unit vectors with cosine t are at most r = sqrt(2 - 2t) apart, also in every
-    single coordinate. Topics are put into a grid of width r over the leading
-    coordinates and only meet topics of the same or a touching cell, through an
-    equi-join on the cell. No qualifying pair can be missed.
+def candidate_pairs(topics: DataFrame, threshold: float, vector_col: str = "centroid", grid_dims: int = 3) -> DataFrame:
+    """Pairs of topics of a role that may reach the cosine ``threshold``, with their unit vectors.
+
+    Unit vectors with cosine t are at most r = sqrt(2 - 2t) apart, and no
+    projection makes them farther. They are projected to the axes along which
+    they differ most and put into a grid of width r; topics only meet topics of
+    the same or a touching cell, through an equi-join on the cell. No
+    qualifying pair can be missed. Of each two touching cells only one reaches
+    for the other.
     """
     width = max(math.sqrt(max(2 - 2 * threshold, 0.0)) * (1 + 1e-9), 1e-6)
-    cell = [F.floor(F.coalesce(F.get("_u", F.lit(i)), F.lit(0.0)) / width).alias(f"_c{i}") for i in range(grid_dims)]
-    placed = evaluated_once(topics.select(*TOPIC, vector_col), _u=unit(F.col(vector_col).cast("array<double>"))).select(
-        *TOPIC, "_u", *cell)
+    units = evaluated_once(topics.select(*TOPIC, vector_col), _u=unit(F.col(vector_col).cast("array<double>"))).drop(vector_col)
+    size = units.agg(F.count("*").alias("n"), F.max(F.size("_u")).alias("d")).first()
+    if size.n >= 2:
+        units = leading_axes(units, "_u", min(grid_dims, size.d))
+    else:
+        units = units.withColumn("_p", F.array(F.lit(0.0)))
+    cell = [F.floor(F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)) / width).alias(f"_c{i}") for i in range(grid_dims)]
+    placed = units.select(*TOPIC, "_u", *cell)
+    # The zero step and those whose first step other than zero goes up: half of the neighbours.
+    ahead = [step for step in itertools.product((-1, 0, 1), repeat=grid_dims) if step >= (0,) * grid_dims]
     steps = F.array(*[
-        F.struct(*[F.lit(s).alias(f"_s{i}") for i, s in enumerate(step)])
-        for step in itertools.product((-1, 0, 1), repeat=grid_dims)
+        F.struct(*[F.lit(s).alias(f"_s{i}") for i, s in enumerate(step)], F.lit(any(step)).alias("_moved")) for step in ahead
     ])
     names = [f"_c{i}" for i in range(grid_dims)]
-    reach = placed.select("message_role", F.col("topic_id").alias("topic_a"), F.col("_u").alias("_a"), *names,
-                          F.inline(steps)).select(
-        "message_role", "topic_a", "_a", *[(F.col(f"_c{i}") + F.col(f"_s{i}")).alias(f"_c{i}") for i in range(grid_dims)])
-    other = placed.select("message_role", F.col("topic_id").alias("topic_b"), F.col("_u").alias("_b"), *names)
-    met = reach.join(other, ["message_role", *names]).filter(F.col("topic_a") < F.col("topic_b"))
+    reach = placed.select("message_role", F.col("topic_id").alias("_x"), F.col("_u").alias("_a"), *names, F.inline(steps)).select(
+        "message_role", "_x", "_a", "_moved", *[(F.col(f"_c{i}") + F.col(f"_s{i}")).alias(f"_c{i}") for i in range(grid_dims)])
+    other = placed.select("message_role", F.col("topic_id").alias("_y"), F.col("_u").alias("_b"), *names)
+    met = reach.join(other, ["message_role", *names]).filter(F.col("_moved") | (F.col("_x") < F.col("_y")))
+    return met.select(
+        "message_role", F.least("_x", "_y").alias("topic_a"), F.greatest("_x", "_y").alias("topic_b"), "_a", "_b")
+
+
+def similar_pairs(topics: DataFrame, threshold: float, vector_col: str = "centroid", grid_dims: int = 3) -> DataFrame:
+    """All pairs of topics of a role with cosine of at least ``threshold``."""
+    met = candidate_pairs(topics, threshold, vector_col, grid_dims)
     return evaluated_once(met, similarity=dot(F.col("_a"), F.col("_b"))).filter(
         F.col("similarity") >= threshold
     ).select("message_role", "topic_a", "topic_b", "similarity")

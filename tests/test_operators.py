@@ -75,6 +75,12 @@ def test_cap_before_blank_filter(spark):
     assert [r.text for r in cleaning.nonblank(cleaning.cap_per_role(rows, 2), "text").collect()] == ["a"]
 
 
+def test_cap_keeps_every_role(spark):
+    rows = spark.createDataFrame([(i, ("user", "assistant", "system", None)[i % 4]) for i in range(40)], "row_index int, role string")
+    got = cleaning.cap_per_role(rows, 3).collect()
+    assert sorted(r.row_index for r in got) == list(range(12))
+
+
 def test_dedup_keeps_first_and_treats_nulls_as_equal(spark):
     rows = spark.createDataFrame([(2, None, "u1", "hi"), (1, None, "u1", "hi"), (3, None, None, "hi")],
                                  "row_index int, datetime timestamp_ntz, whatsapp_id string, user_msg string")
@@ -129,6 +135,28 @@ def test_exact_median_equals_brute_force(spark):
     assert got == {g: pytest.approx(statistics.median(v for k, v in data if k == g)) for g in "abc"}
 
 
+def test_median_slices_stay_small(spark, monkeypatch):
+    """No task ranks more than one of the sorted partitions, for all-different and for equal values."""
+    seen = []
+    real = joins.materialise
+
+    def kept(df, name):
+        out = real(df, name)
+        if name == "median-values":
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(joins, "materialise", kept)
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"),
+        F.when(F.col("id") % 2 == 0, F.rand(3)).otherwise(F.lit(0.25)).alias("v"))
+    got = {r.g: r.m for r in joins.exact_median(rows, ["g"], "v", "m").collect()}
+    values = sorted(r.v for r in rows.filter("g = 'a'").collect())
+    assert got == {"a": pytest.approx((values[9999] + values[10000]) / 2), "b": 0.25}
+    assert seen[0].filter("g = 'b'").count() == 1
+    assert joins.exact_median(rows.limit(0), ["g"], "v", "m").count() == 0
+
+
 class CountingModel:
     def score(self, texts):
         assert len(texts) <= 4
@@ -235,3 +263,60 @@ def test_results_do_not_depend_on_partitions(spark):
     a = {tuple(r) for r in summary.cal_state_by_user(rows.repartition(1)).collect()}
     b = {tuple(r) for r in summary.cal_state_by_user(rows.repartition(13)).collect()}
     assert a == b and {r[1] for r in a} == {"Unknown"}
+
+
+def test_cache_with_doubled_and_padded_entries(spark):
+    messages = spark.createDataFrame([(0, "hola"), (1, " hola "), (2, "adios"), (3, None)], "row_index int, user_msg string")
+    cache = spark.createDataFrame([(" hola ", "hello"), ("hola", "hi"), ("adios\n", None), ("  ", "blank"), (None, "none")], "text string, text_en string")
+    calls = translate.WordTranslator({"adios": "bye"})
+    run = translate.translate_messages(messages, lambda: calls, cache=cache)
+    got = {r.row_index: r.user_msg_en for r in run.messages.collect()}
+    assert got == {0: "hello", 1: "hello", 2: "bye", 3: ""}
+    assert [r.text for r in translate.translation_misses(messages, cache).collect()] == ["adios"]
+    assert translate.translation_stats(run).first().api_calls == 1
+
+
+class Unreachable:
+    def __call__(self, texts):
+        if any("bad" in t for t in texts):
+            raise OSError("no answer")
+        return [(t, 1, 1) for t in texts]
+
+
+def test_failed_calls_are_counted(spark):
+    messages = spark.createDataFrame([(0, "the good one"), (1, "the bad one"), (2, "the other one")], "row_index int, user_msg string")
+    run = translate.translate_messages(messages, Unreachable)
+    assert {r.row_index: r.user_msg_en for r in run.messages.collect()}[1] == "the bad one"
+    stats = translate.translation_stats(run).first()
+    assert (stats.failed_calls, stats.api_calls, stats.retries) == (1, 3, 0)
+
+
+def test_model_tasks_follow_the_number_of_texts(spark):
+    texts = lambda n: spark.range(n).select(F.col("id").cast("string").alias("text"))
+    result = schemas.T.StructType([schemas.T.StructField("n", schemas.T.DoubleType())])
+    tasks = lambda n: scoring.run_model(texts(n), CountingModel, result, 4, texts_per_task=100).select(
+        F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(10) <= 4 and tasks(3000) == 30
+
+
+def test_stored_tables_end_with_their_block(spark, tmp_path):
+    import os
+
+    from chatlens import session
+    kept = session.materialise(spark.range(3), "kept")
+    with session.stored_tables(spark) as folder:
+        inside = session.materialise(spark.range(5), "inside")
+        assert inside.count() == 5 and os.listdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:")) and kept.count() == 3
+
+
+def test_outputs_follow_their_contracts(spark):
+    raw = spark.createDataFrame([("2024-01-31 23:00:0091987", "hi you", "c", "yes of course", "yes of course", "user", "Goa", "{}")], schemas.RAW_EXPORT)
+    messages = tables.with_row_index(cleaning.clean_export(raw))
+    names = lambda df: {(f.name, f.dataType.simpleString()) for f in df.schema.fields}
+    contract = lambda c: {(f.name, f.dataType.simpleString()) for f in c.fields}
+    assert contract(schemas.MESSAGES_CLEANED) <= names(messages)
+    long = cleaning.role_long(translate.translate_messages(messages, None).messages)
+    assert contract(schemas.ROLE_LONG) <= names(long)
+    assert contract(schemas.SENTIMENT_MESSAGES) <= names(sentiment.sentiment_messages(long))
+    assert contract(schemas.AGENCY_MESSAGES) <= names(agency.agency_messages(long))

@@ -60,6 +60,23 @@ def test_lemmas(spark):
         "class city box woman us bus time women's 's"]
 
 
+def test_lemmas_of_words_with_a_silent_e(spark):
+    words = ("houses courses purposes cases responses exercises sizes prizes series species movies always news branches wishes "
+             "boxes passes quizzes buses stories ties heroes menus bias axes places changes")
+    want = ("house course purpose case response exercise size prize series species movie always news branch wish "
+            "box pass quiz bus story tie hero menu bias ax place change")
+    assert one(spark, tx.lemmatise, words) == [want]
+
+
+def test_clean_message_with_a_dictionary(spark):
+    words = spark.createDataFrame([("ran", "run"), ("dogs", "dogge"), ("dogs", "dog"), ("please", "please")], "form string, lemma string")
+    rows = spark.createDataFrame([(1, "Dogs ran FAR far 12"), (2, ""), (3, None), (4, "please provide the text")], "row_index int, t string")
+    got = {r.row_index: r.cleaned for r in tx.clean_message(rows, "t", dictionary=words).collect()}
+    assert got == {1: "dog run far", 2: "", 3: "", 4: ""}
+    many = spark.range(3000).select(F.col("id").alias("row_index"), F.lit("dogs ran").alias("t"))
+    assert {r.cleaned for r in tx.clean_message(many, "t", dictionary=words).collect()} == {"dog run"}
+
+
 def test_lemma_dictionary_of_any_size(spark):
     words = spark.createDataFrame([("ran", "run"), ("dogs", "dog")], "form string, lemma string")
     rows = spark.createDataFrame([(1, "dogs ran far"), (2, "")], "id int, t string")

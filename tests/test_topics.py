@@ -155,6 +155,41 @@ def test_reduce_joins_chains_within_a_role(spark):
     assert got == {(role, i): 0 if i < 4 else 4 for role in ("user", "assistant") for i in range(5)}
 
 
+def test_reduce_keeps_any_roles_apart(spark):
+    rows = [("user", 0, 1, [1.0, 0.0]), ("user", 1, 1, [0.0, 1.0]), ("system", 0, 1, [1.0, 0.0]), ("system", 1, 1, [1.0, 0.01]),
+            ("assistant", 5, 1, [1.0, 0.0]), ("assistant", 3, 1, [1.0, 0.0])]
+    topics = spark.createDataFrame(rows, "message_role string, topic_id int, message_count long, centroid array<double>")
+    got = {(r.message_role, r.topic_id): r.new_id for r in refine.reduced_ids(topics, 0.95).collect()}
+    assert got == {("user", 0): 0, ("user", 1): 1, ("system", 0): 0, ("system", 1): 0, ("assistant", 5): 3, ("assistant", 3): 3}
+
+
+@pytest.mark.parametrize("dims", [64, 256])
+def test_similar_pairs_prune(spark, dims):
+    """Topics of separate subjects are not all compared with each other."""
+    rng = random.Random(dims)
+    subjects = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(4)]
+    rows = [("user", i, [x + rng.gauss(0, 0.1) for x in subjects[i % 4]]) for i in range(80)]
+    topics = spark.createDataFrame(rows, "message_role string, topic_id int, centroid array<double>")
+    compared = vectors.candidate_pairs(topics, 0.95).select("topic_a", "topic_b").collect()
+    assert len(compared) == len(set(compared)) < 0.35 * 80 * 79 / 2
+    found = {(r.topic_a, r.topic_b) for r in vectors.similar_pairs(topics, 0.95).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b)
+    assert found == {(i, j) for i, j in itertools.combinations(range(80), 2) if cos(rows[i][2], rows[j][2]) >= 0.95}
+
+
+def test_stopwords_are_passed_on(spark):
+    docs = doc_rows(spark, [(i, "user", i % 2, "alpha beta gamma" + str(i % 3)) for i in range(12)])
+    assert "alpha" in {r.term for r in terms.term_table(docs, "text", max_share=1.0).collect()}
+    table = terms.term_table(docs, "text", stopwords=["alpha"], max_share=1.0)
+    assert not any("alpha" in r.term.split() for r in table.collect())
+    ranked = spark.createDataFrame([("user", 0, 1, "alpha"), ("user", 0, 2, "beta")], "message_role string, topic_id int, rank int, term string")
+    scores = [metrics.topic_coherence(docs, "text", ranked, stopwords=s).first().coherence_c_npmi for s in ([], ["alpha"])]
+    assert scores == [1.0, -1.0]
+    one, _ = vectors.hashed_vectors(docs, "text", 64, stopwords=["alpha", "beta"])
+    two, _ = vectors.hashed_vectors(docs, "text", 64, stopwords=[])
+    assert one.first().features != two.first().features
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i != 30] + [(100, 100 + i) for i in range(1, 40)] + [(5, 5)]
     random.Random(0).shuffle(edges)
@@ -233,3 +268,7 @@ def test_analyse_export(spark):
     assert out["topic_metrics"].count() == 4
     assert {len(r.keywords) > 0 for r in out["topic_keywords"].collect()} == {True}
     assert out["topic_examples"].first().example_1
+    one_role = analyse_export(raw, cell_width=0.2, min_cluster_size=10, roles=["user"], by_representation=True)
+    assert {r.message_role for r in one_role["message_topics"].collect()} == {"user"}
+    alone = sorted((r.row_index, r.topic_id) for r in one_role["message_topics"].collect())
+    assert alone == sorted((r.row_index, r.topic_id) for r in assigned if r.message_role == "user")

@@ -59,7 +59,10 @@ def map_columns(
     names = set(added.fieldNames())
     passed = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
     carried = [f.name for f in passed]
-    at_input = [f"_in{i}" for i in range(len(inputs))]
+    prefix = "_in"
+    while any(c.startswith(prefix) for c in carried):
+        prefix = "_" + prefix
+    at_input = [f"{prefix}{i}" for i in range(len(inputs))]
     schema = T.StructType([*passed, *added.fields])
     source = df.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"`{c}`").alias(a) for c, a in zip(inputs, at_input)])
     arrow_out = to_arrow_schema(schema)

@@ -1,8 +1,8 @@
 """URL filters: longest matching rule, else a verdict from the words inside the host and path.
 
 Names such as ``cheappills`` are split into words by the most probable segmentation under a
-unigram model (Viterbi). The unigram counts come from the text of all crawled pages and from
-all parts of their addresses. A multinomial naive Bayes model then scores the words of host
+unigram model (Viterbi). The unigram counts come from the text of all crawled pages; names of
+hosts are left out, since a name that is seen often would then count as one word. A multinomial naive Bayes model then scores the words of host
 and path. It is trained on the table itself: a host that contains a seed word counts as an
 example of the blocked class, every other host as one of the allowed class, so words that go
 along with the seeds gain weight of their own.
@@ -120,14 +120,13 @@ def tokens_of(host: str, path: str, judge: _Judge) -> list[str]:
 
 
 def unigram_counts(pages: DataFrame, html: str = "html", least: float = LEAST_SHARE) -> dict[str, float]:
-    """Counts of the words in all page texts and of the parts of all hosts and paths.
+    """Counts of the words in all page texts.
 
     Only words with at least the share ``least`` of all words are sent to the driver, at most
     ``1 / least`` of them.
     """
     text = F.lower(F.regexp_replace(F.coalesce(F.col(f"`{html}`"), F.lit("")), r"<[^>]*>", " "))
-    runs = lambda c: F.explode(F.regexp_extract_all(c, F.lit(r"([\p{L}]+)"), F.lit(1))).alias("w")
-    words = pages.select(runs(text)).unionByName(pages.select(runs(F.concat_ws(" ", "host", "path"))))
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}]+)"), F.lit(1))).alias("w"))
     counted = materialise(words.filter(F.length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n")), "url-words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     return {r.w: float(r.n) for r in counted.filter(F.col("n") >= total * least).collect()}

@@ -193,7 +193,7 @@ def seed_topic_match(spark, d):
 # --- vectors -----------------------------------------------------------------------
 
 REDUCE_AT = 0.9995
-CHAIN_WIDTH = 0.45
+CHAIN_WIDTH = 0.225
 
 def _embedded(spark, d):
     return fx.table(spark, d, "embeddings").select(
@@ -262,7 +262,7 @@ def reduced_vectors(spark, d):
 
 def density_clusters(spark, d):
     points = _embedded(spark, d).select("row_index", "message_role", _thirds("vector").alias("xyz"))
-    found = cluster.density_clusters(points, "xyz", "row_index", 0.3, dims=3, min_samples=4, min_cluster_size=8, by=["message_role"])
+    found = cluster.density_clusters(points, "xyz", "row_index", 0.15, dims=3, min_samples=4, min_cluster_size=8, by=["message_role"])
     return found.select("row_index", "message_role", "topic_id")
 
 

@@ -6,8 +6,9 @@ from chatlens import fixed_values as fv
 from chatlens.plans import fixtures as fx
 from chatlens.plans import sql
 from chatlens.plans.message_queries import _SENT
-from chatlens.plans.topic_queries import CHAIN_WIDTH, REDUCE_AT
 from chatlens.plans.sql import EVENTS, PROBE, TABLE, TOPICS, array, in_list, mapping, query
+from chatlens.plans.topic_queries import CHAIN_WIDTH, REDUCE_AT
+from chatlens.topics.cluster import WIDTHS_PER_CELL, grid_shifts
 
 _BANNED = in_list(fv.BANNED_LABEL_WORDS)
 _PARTS = array([*fv.BANNED_LABEL_WORDS, *fv.BANNED_LABEL_PARTS])
@@ -129,27 +130,22 @@ def _recursive(*named: tuple[str, str], body: str) -> str:
 
 def _density(source: str, width: float) -> tuple[tuple[str, str], ...]:
     """CTEs from ``source(row_index, message_role, v)`` to ``found(row_index, message_role, topic_id)``."""
-    third = lambda a, b: f"CAST(floor(list_sum(v[{a}:{b}]) / {width}) AS BIGINT)"
+    cell = lambda axis: f"CAST(floor(({axis} + s) / {width}) AS BIGINT) AS {axis}"
+    shifts = ", ".join(f"({k}, CAST({shift!r} AS DOUBLE))" for k, shift in enumerate(grid_shifts(width, 3)))
     return (
-        ("pts", f"SELECT row_index, message_role, {third(1, 21)} AS x, {third(22, 42)} AS y, {third(43, 64)} AS z FROM {source}"),
-        ("cells", "SELECT message_role, x, y, z, count(*) AS n, min(row_index) AS id FROM pts GROUP BY 1, 2, 3, 4"),
-        ("near", """SELECT a.id AS id, b.id AS to_id, b.n AS to_n FROM cells a
-            JOIN cells b ON a.message_role = b.message_role AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1"""),
-        ("dense", """SELECT c.id FROM cells c LEFT JOIN (SELECT id, sum(to_n) AS s FROM near GROUP BY 1) n ON n.id = c.id
-            WHERE c.n + coalesce(n.s, 0) >= 4"""),
-        ("touch", "SELECT * FROM near WHERE to_id IN (SELECT id FROM dense)"),
-        ("reach", """SELECT id AS a, id AS b FROM dense
-            UNION SELECT r.a, t.to_id FROM reach r JOIN touch t ON t.id = r.b"""),
-        ("part", "SELECT a AS id, min(b) AS p FROM reach GROUP BY 1"),
-        ("border", """SELECT id, to_id AS d FROM (SELECT id, to_id, row_number() OVER (PARTITION BY id ORDER BY to_n DESC, to_id) AS r
-            FROM touch WHERE id NOT IN (SELECT id FROM dense)) WHERE r = 1"""),
-        ("cell_part", """SELECT id, p FROM part UNION ALL SELECT b.id, p.p FROM border b JOIN part p ON p.id = b.d"""),
-        ("sized", """SELECT message_role, cp.p, sum(c.n) AS s, min(c.id) AS f FROM cell_part cp JOIN cells c ON c.id = cp.id GROUP BY 1, 2
-            HAVING sum(c.n) >= 8"""),
+        ("sums", f"SELECT row_index, message_role, list_sum(v[1:21]) AS x, list_sum(v[22:42]) AS y, list_sum(v[43:64]) AS z FROM {source}"),
+        ("pts", f"SELECT row_index, message_role, g, {cell('x')}, {cell('y')}, {cell('z')} FROM sums, (VALUES {shifts}) AS grids(g, s)"),
+        ("dense", """SELECT message_role, g, x, y, z, row_number() OVER (ORDER BY message_role, g, x, y, z) AS node FROM pts
+            GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 4"""),
+        ("inside", "SELECT row_index, message_role, node FROM pts JOIN dense USING (message_role, g, x, y, z)"),
+        ("touch", "SELECT DISTINCT a.node AS u, b.node AS v FROM inside a JOIN inside b USING (row_index)"),
+        ("reach", "SELECT node AS a, node AS b FROM dense UNION SELECT r.a, t.v FROM reach r JOIN touch t ON t.u = r.b"),
+        ("part", "SELECT a AS node, min(b) AS p FROM reach GROUP BY 1"),
+        ("member", "SELECT DISTINCT row_index, message_role, p FROM inside JOIN part USING (node)"),
+        ("sized", "SELECT message_role, p, count(*) AS s, min(row_index) AS f FROM member GROUP BY 1, 2 HAVING count(*) >= 8"),
         ("numbered", "SELECT p, CAST(row_number() OVER (PARTITION BY message_role ORDER BY s DESC, f) - 1 AS INTEGER) AS topic_id FROM sized"),
-        ("found", """SELECT pts.row_index, pts.message_role, coalesce(nm.topic_id, -1) AS topic_id FROM pts
-            JOIN cells c ON c.message_role = pts.message_role AND c.x = pts.x AND c.y = pts.y AND c.z = pts.z
-            LEFT JOIN cell_part cp ON cp.id = c.id LEFT JOIN numbered nm ON nm.p = cp.p"""),
+        ("found", """SELECT s.row_index, s.message_role, coalesce(topic_id, -1) AS topic_id FROM sums s
+            LEFT JOIN member m USING (row_index) LEFT JOIN numbered USING (p)"""),
     )
 
 
@@ -265,8 +261,8 @@ ORACLE = {
         trim(array_to_string(k.terms[1:10], ' ') || coalesce(' ' || e.t, '')) AS representation FROM topic_kw k
         LEFT JOIN (SELECT message_role, topic_id, string_agg(text, ' ' ORDER BY rank) AS t FROM best GROUP BY 1, 2) e
         USING (message_role, topic_id)"""),
-    "density_clusters": _recursive(_EMB, *_density("emb", 0.3), body="SELECT * FROM found"),
-    "topic_chain": _recursive(_LINKED, *_density("linked", CHAIN_WIDTH),
+    "density_clusters": _recursive(_EMB, *_density("emb", 0.15 * WIDTHS_PER_CELL), body="SELECT * FROM found"),
+    "topic_chain": _recursive(_LINKED, *_density("linked", CHAIN_WIDTH * WIDTHS_PER_CELL),
         ("chained", "SELECT f.row_index, f.message_role, f.topic_id, l.text FROM found f JOIN linked l USING (row_index)"),
         *sql.term_steps("chained"), sql.KEYWORDS,
         ("sized_topics", "SELECT message_role, topic_id, count(*) AS n FROM chained WHERE topic_id <> -1 GROUP BY 1, 2"),

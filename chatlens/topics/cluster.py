@@ -13,16 +13,22 @@ from chatlens.sources.tables import with_row_index
 from chatlens.topics.components import connected_components
 
 
-def grid_cell(coords: Column, width: float) -> Column:
-    return F.transform(coords, lambda x: F.floor(x / width))
+# A cell spans two widths: as much as a cell of one width with half of its neighbours on both sides.
+WIDTHS_PER_CELL = 2.0
 
 
-def touching_cells(cell: Column, dims: int) -> Column:
-    """The cells that share a face with ``cell``."""
-    def moved(axis: int, step: int) -> Column:
-        return F.transform(cell, lambda x, i: F.when(i == axis, x + step).otherwise(x))
+def grid_shifts(width: float, dims: int) -> list[float]:
+    """Offsets of the grids: one more than there are axes."""
+    return [k * width / (dims + 1) for k in range(dims + 1)]
 
-    return F.array(*[moved(axis, step) for axis in range(dims) for step in (-1, 1)])
+
+def grid_cells(coords: Column, width: float, dims: int) -> Column:
+    """The cell of a point in each of the shifted grids."""
+    return F.array(*[_cell(coords, width, shift) for shift in grid_shifts(width, dims)])
+
+
+def _cell(coords: Column, width: float, shift: float) -> Column:
+    return F.transform(coords, lambda x: F.floor((x + shift) / width))
 
 
 def numbered_by_size(clusters: DataFrame, by: Sequence[str], size: str, first: str) -> DataFrame:
@@ -51,51 +57,41 @@ def density_clusters(
 ) -> DataFrame:
     """Add ``topic_id``: clusters of dense grid cells, -1 for outliers.
 
-    * Points fall into cells of ``width``. A cell is dense if it and the cells
-      that share a face with it hold at least ``min_samples`` points.
-    * Dense cells that share a face belong together; so do the points of a
-      thinner cell and its fullest dense neighbour.
+    * Points fall into cells of two ``width`` in several grids, which are shifted
+      against each other by equal steps. An axis can separate two points that are
+      closer than one step in one of the grids only, so with one grid more than
+      there are axes they share a cell in at least one, wherever the grids begin.
+    * A cell is dense if it holds at least ``min_samples`` points. Dense cells that
+      share a point belong together; a point outside of all dense cells is an outlier.
     * Groups below ``min_cluster_size`` points are outliers; ids go by size.
 
-    Points are counted per cell before anything is joined and no pairs of
-    points are formed, so a cell holding a third of all points costs no more
-    than its one row. ``id_col`` must be unique and integral.
+    Points are counted per combination of cells before anything is joined and no
+    pairs of points are formed, so a cell holding a third of all points costs no
+    more than its one row. ``id_col`` must be unique and integral.
     """
     by = list(by)
-    placed = points.withColumn("_cell", grid_cell(F.col(coords_col), width))
-    cells = materialise(
-        placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.min(id_col).alias("_id")), "grid-cells"
-    )
-    around = cells.select(*by, "_id", F.explode(touching_cells(F.col("_cell"), dims)).alias("_cell"))
-    near = materialise(
-        around.join(cells.select(*by, "_cell", F.col("_id").alias("_to"), F.col("_n").alias("_to_n")), [*by, "_cell"])
-        .select("_id", "_to", "_to_n"), "touching-cells",
-    )
-    beside = near.groupBy("_id").agg(F.sum("_to_n").alias("_beside"))
-    dense = materialise(
-        cells.join(beside, "_id", "left").filter(F.col("_n") + F.coalesce("_beside", F.lit(0)) >= min_samples)
-        .select("_id"), "dense-cells",
-    )
-    near_dense = near.join(dense.withColumnRenamed("_id", "_to"), "_to", "left_semi")
-
-    edges = near_dense.join(dense, "_id", "left_semi").filter(F.col("_id") < F.col("_to"))
-    parts = connected_components(edges.select(F.col("_id").alias("u"), F.col("_to").alias("v")))
-    dense_parts = dense.join(parts, dense["_id"] == parts["node"], "left").select(
-        F.col("_id").alias("_dense"), F.coalesce("component", "_id").alias("_part"))
-
-    own = dense.select("_id", F.col("_id").alias("_dense"))
-    border = near_dense.join(dense, "_id", "left_anti").groupBy("_id").agg(
-        F.max_by("_to", F.struct("_to_n", -F.col("_to"))).alias("_dense"))
-    cell_parts = materialise(
-        own.unionByName(border).join(dense_parts, "_dense").join(cells, "_id").select(*by, "_cell", "_n", "_id", "_part"),
-        "cell-parts",
-    )
-    groups = cell_parts.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"), F.min("_id").alias("_first")).filter(
+    placed = points.withColumn("_cells", grid_cells(F.col(coords_col), width * WIDTHS_PER_CELL, dims))
+    spots = materialise(
+        placed.groupBy(*by, "_cells").agg(F.count("*").alias("_n"), F.min(id_col).alias("_id")), "grid-cells")
+    single = spots.select(*by, "_id", "_n", F.posexplode("_cells").alias("_grid", "_cell"))
+    dense = with_row_index(
+        single.groupBy(*by, "_grid", "_cell").agg(F.sum("_n").alias("_total")).filter(F.col("_total") >= min_samples), "_node")
+    # At most one cell per grid and spot.
+    inside = materialise(
+        single.join(dense, [*by, "_grid", "_cell"]).groupBy("_id").agg(F.sort_array(F.collect_list("_node")).alias("_nodes")),
+        "dense-spots")
+    first = F.get("_nodes", F.lit(0))
+    edges = inside.select(first.alias("u"), F.explode("_nodes").alias("v"))
+    parts = connected_components(edges)
+    spot_parts = inside.select("_id", first.alias("node")).join(parts, "node", "left").select(
+        "_id", F.coalesce("component", "node").alias("_part"))
+    spot_parts = materialise(spots.join(spot_parts, "_id"), "spot-parts")
+    groups = spot_parts.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"), F.min("_id").alias("_first")).filter(
         F.col("_size") >= min_cluster_size)
     numbered = numbered_by_size(groups, by, "_size", "_first").select("_part", "topic_id")
-    assigned = materialise(cell_parts.join(numbered, "_part").select(*by, "_cell", "topic_id"), "cell-topics")
-    return placed.join(assigned, [*by, "_cell"], "left").withColumn(
-        "topic_id", F.coalesce("topic_id", F.lit(-1))).drop("_cell")
+    assigned = materialise(spot_parts.join(numbered, "_part").select(*by, "_cells", "topic_id"), "spot-topics")
+    return placed.join(assigned, [*by, "_cells"], "left").withColumn(
+        "topic_id", F.coalesce("topic_id", F.lit(-1))).drop("_cells")
 
 
 def suggested_width(points: DataFrame, coords_col: str, dims: int = fv.REDUCED_DIMENSIONS, cells_per_axis: int = 12) -> float:

@@ -222,6 +222,24 @@ def test_clusters_of_planted_blobs(spark):
     assert all(len(groups[t]) == 1 for t in (0, 1, 2)) and {min(groups[t]) for t in (0, 1, 2)} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("shift", [0.0, 0.25, 0.5, 0.77])
+def test_clusters_do_not_depend_on_the_origin(spark, shift):
+    points, _ = planted(random.Random(7))
+    found = []
+    for by in (0.0, shift):
+        df = spark.createDataFrame([(i, [x + by for x in p]) for i, p in enumerate(points)], "row_index int, xyz array<double>")
+        got = {r.row_index: r.topic_id for r in cluster.density_clusters(df, "xyz", "row_index", 1.0, dims=3).collect()}
+        found.append({frozenset(i for i in got if got[i] == t) for t in set(got.values())})
+    assert found[0] == found[1]
+
+
+def test_points_across_a_corner_meet(spark):
+    """Two halves of one blob that a grid corner separates are one cluster."""
+    points = [[s * 0.01 * (1 + i % 5), s * 0.01 * (1 + i // 5)] for s in (-1, 1) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(points)), "row_index int, xy array<double>")
+    assert {r.topic_id for r in cluster.density_clusters(df, "xy", "row_index", 1.0, dims=2).collect()} == {0}
+
+
 def test_clusters_with_one_third_equal_points(spark):
     rng = random.Random(2)
     points = [[0.5, 0.5]] * 3000 + [[rng.uniform(-50, 50), rng.uniform(-50, 50)] for _ in range(6000)]

@@ -154,7 +154,8 @@ def choose_copies(
     # Units without words change no total, and a rate without a rest leaves nothing to draw.
     is_open = (F.col("chance") > _NEAR) & (F.col("chance") < 1 - _NEAR) & (F.col("size") > 0)
     keep = ["source", "doc_id", "size", "chance"]
-    schema = "source string, doc_id long, size long, chance double, n_open long, _order long, _level int, _block long"
+    # Ids travel as text, because pandas would turn whole numbers next to a null into floats.
+    schema = "source string, doc_id string, size long, chance double, n_open long, _order long, _level int, _block long"
     n_open = targets.select(F.col("source").alias("_source"), F.col("n_units").alias("n_open"))
     left = rated.filter(is_open).select(*keep)
     level, done = 0, []
@@ -163,9 +164,10 @@ def choose_copies(
         last = largest <= block
         dealt = _blocks(
             left.join(n_open, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), level, largest, block, seed)
-        dealt = dealt.select("source", "doc_id", "size", "chance", "n_open", "_order", "_level", "_block")
+        dealt = dealt.select("source", F.col("doc_id").cast("string").alias("doc_id"), "size", "chance", "n_open", "_order", "_level", "_block")
         flown = dealt.groupBy("source", "_block").applyInPandas(_fly(last, seed), schema)
-        flown = materialise(flown.select(*keep), f"mix-level-{level}")
+        flown = materialise(
+            flown.select("source", F.col("doc_id").cast("long").alias("doc_id"), "size", "chance"), f"mix-level-{level}")
         settled = (F.col("chance") == 0) | (F.col("chance") == 1)
         done.append(flown.filter(settled).select("source", "doc_id", F.col("chance").cast("int").alias("_drawn")))
         if last:

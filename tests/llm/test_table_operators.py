@@ -246,6 +246,9 @@ def test_mix_on_messy_rows(spark):
     words = sum(len(WORD.findall(r.text or "")) for r in mixed_rows.collect())
     assert words == sum(r.taken for r in rows)
     assert mixing.mix_report(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+    large = [((1 << 60) + i, "a b c " * (1 + i % 7), "s") for i in range(300)] + [(None, "x y", "s")]
+    ids = {r.doc_id for r in mixing.mix_report(spark.createDataFrame(large, "doc_id long, text string, source string")).collect()}
+    assert ids == {r[0] for r in large}
     hot = spark.createDataFrame([(5, "a b c", "s")] * 3000 + [(6, "a b", "t")], "doc_id long, text string, source string")
     assert mixing.mix_report(hot).count() == 3001
 

@@ -120,7 +120,7 @@ class _Lately(dict):
 class Codec:
     """Encoder and decoder of one vocabulary. Ids travel as little-endian 32-bit integers."""
 
-    def __init__(self, vocabulary: dict, limit: int = 250_000):
+    def __init__(self, vocabulary: dict, limit: int = 150_000):
         self.merges, self.first, self.added = vocabulary["merges"], vocabulary["bytes"], vocabulary["added"]
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         of_character = {c: b for b, c in enumerate(byte_characters())}

@@ -19,7 +19,6 @@ from chatlens.llm.texts import words
 # Runs of letters and digits, and runs of other visible characters.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 BUCKETS = 1 << 14
-TRUSTED_ROWS = 20_000  # bound of the trusted sample
 THRESHOLD = -0.5  # nats per n-gram; clean text lies near 0 whatever the size of the corpus
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -45,10 +44,22 @@ def _bucket_lists(df: DataFrame, text: str, buckets: int) -> DataFrame:
     return _once(df, "b", F.concat(single, pair)).drop(_OWN + "t")
 
 
-def bucket_counts(docs: DataFrame, text: str, buckets: int = BUCKETS) -> dict[int, int]:
-    """How many n-grams of all rows fall into each bucket; at most ``buckets`` rows reach the driver."""
-    spread = _bucket_lists(docs.select(text), text, buckets).select(F.explode(_OWN + "b").alias("b"))
-    return {r.b: r.n for r in spread.groupBy("b").agg(F.count("*").alias("n")).collect()}
+def bucket_counts(
+    docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS
+) -> tuple[dict[int, int], dict[int, int]]:
+    """How many n-grams fall into each bucket: of the rows labelled as good, and of all rows.
+
+    Every row is counted, in one pass over the texts. At most ``buckets`` rows reach the driver.
+    """
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    mark = _OWN + "g"
+    rows = docs.select("doc_id", text)
+    marked = rows.filter("doc_id is not null").join(good.withColumn(mark, F.lit(True)), "doc_id", "left")
+    # Rows without an id match no label and stay out of the join, where they would share one key.
+    marked = marked.unionByName(rows.filter("doc_id is null").withColumn(mark, F.lit(False)))
+    spread = _bucket_lists(marked.select(text, mark), text, buckets).select(mark, F.explode(_OWN + "b").alias("b"))
+    counted = spread.groupBy("b").agg(F.count("*").alias("n"), F.count_if(mark).alias("good")).collect()
+    return {r.b: r.good for r in counted if r.good}, {r.b: r.n for r in counted}
 
 
 def log_ratios(trusted: dict[int, int], raw: dict[int, int], buckets: int = BUCKETS) -> list[float]:
@@ -64,17 +75,9 @@ def log_ratios(trusted: dict[int, int], raw: dict[int, int], buckets: int = BUCK
     ]
 
 
-def trusted_sample(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """``doc_id`` of at most ``rows`` documents labelled as good, chosen by a hash of the id."""
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", buckets: int = BUCKETS) -> list[float]:
-    """The ratios from a bounded trusted sample and the counts of all of ``docs``."""
-    # The sample has at most TRUSTED_ROWS ids, which is what makes the broadcast safe.
-    trusted = docs.select("doc_id", text).join(F.broadcast(trusted_sample(labels)), "doc_id", "left_semi")
-    return log_ratios(bucket_counts(trusted, text, buckets), bucket_counts(docs, text, buckets), buckets)
+    """The ratios from the counts of all documents labelled as good and of all of ``docs``."""
+    return log_ratios(*bucket_counts(docs, labels, text, buckets), buckets)
 
 
 def _repeated_places(doubled: Column) -> Column:

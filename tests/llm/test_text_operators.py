@@ -237,6 +237,12 @@ def test_quality_rules_on_messy_rows(spark):
     assert quality_rules.base_counts(repeat).first().n_repeat_words == 10
 
 
+def test_all_trusted_rows_are_counted(spark):
+    # Every document is good, so both sides hold the same n-grams, however many there are.
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text t"), F.col("id") * 7919 % 21_001).alias("text"))
+    assert set(quality_rules.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))) == {0.0}
+
+
 def test_quality_plan_has_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     judged = quality_rules.judge(docs, spark.read.parquet(f"{SF}/labels.parquet"))

@@ -31,13 +31,12 @@ SEEDS = [
 # A word enters the dictionary if it makes up at least this share of all words seen, so the
 # dictionary never has more than 1 / LEAST_SHARE entries, whatever the size of the corpus.
 LEAST_SHARE = 1 / 100_000
-# A token gets a weight of its own if it makes up at least this share of its class.
-LEAST_TOKEN_SHARE = 1 / 50_000
 LONGEST = 24
 THRESHOLD = 0.0
 
 BLOCK, ALLOW = "block", "allow"
 _PARTS = re.compile(r"[^\W\d_]+")
+_SCORE = "_uf_score"
 
 
 def host_of(url: Column) -> Column:
@@ -93,30 +92,9 @@ class Segmenter:
         return words[::-1]
 
 
-def url_words(text: str, segmenter: Segmenter) -> list[str]:
-    """Words of a host or path: runs of letters, each split by the segmenter."""
-    return [w for run in _PARTS.findall(text.lower()) for w in segmenter.split(run)]
-
-
-class _Judge:
-    def __init__(self, segmenter: Segmenter, limit: int = 200_000):
-        self.segmenter, self.limit, self.seen = segmenter, limit, {}
-
-    def words(self, run: str) -> list[str]:
-        """Segmented words of a host or path, remembering short ones."""
-        found = self.seen.get(run)
-        if found is None:
-            found = url_words(run, self.segmenter)
-            if len(run) <= 128:
-                if len(self.seen) >= self.limit:
-                    self.seen.clear()
-                self.seen[run] = found
-        return found
-
-
-def tokens_of(host: str, path: str, judge: _Judge) -> list[str]:
-    """Tokens of one url: host words and path words are told apart."""
-    return ["h:" + w for w in judge.words(host)] + ["p:" + w for w in judge.words(path)]
+def name_runs(text: str) -> list[str]:
+    """The runs of letters of a host or path, in lower case."""
+    return _PARTS.findall(text.lower())
 
 
 def unigram_counts(pages: DataFrame, html: str = "html", least: float = LEAST_SHARE) -> dict[str, float]:
@@ -138,41 +116,75 @@ def with_seeds(counts: Mapping[str, float], seeds: Sequence[str]) -> dict[str, f
     return {**counts, **{s: max(counts.get(s, 0.0), usual) for s in seeds}}
 
 
-def fit(pages: DataFrame, segmenter: Segmenter, seeds: Sequence[str] = SEEDS, least: float = LEAST_TOKEN_SHARE) -> dict[str, float]:
-    """Log-odds (blocked against allowed) of each token; the key "" holds the prior.
+def split_names(names: DataFrame, segmenter: Segmenter) -> DataFrame:
+    """``run, words``: each distinct run of letters with its segmentation."""
+    sent = names.sparkSession.sparkContext.broadcast(segmenter)
+    return map_columns(
+        names, ["run"], "words array<string>", lambda runs: [[sent.value.split(r) for r in runs.to_pylist()]], keep=["run"])
+
 
-    All rows are counted. Tokens below the share ``least`` in both classes count as unknown, so
-    the table has at most ``2 / least`` rows.
+def distinct_urls(parts: DataFrame) -> DataFrame:
+    """``host, path, m, runs``: each distinct host and path, its rows, and its runs of letters.
+
+    ``runs`` has a (kind, run) for each run; host runs ("h:") and path runs ("p:") are told apart.
     """
-    bad = set(seeds)
-    sent = pages.sparkSession.sparkContext.broadcast(segmenter)
 
     def run(hosts: pa.Array, paths: pa.Array):
-        judge = _Judge(sent.value)
-        tokens, blocked = [], []
-        for host, path in zip(hosts.to_pylist(), paths.to_pylist()):
-            blocked.append(any(w in bad for w in judge.words(host)))
-            tokens.append(tokens_of(host, path, judge))
-        return [tokens, blocked]
-
-    rows = map_columns(pages.select("host", "path"), ["host", "path"], "tokens array<string>, blocked boolean", run, keep=[])
-    # One more token per url carries the class sizes through the same aggregation.
+        return [[
+            [{"kind": "h:", "run": r} for r in name_runs(h)] + [{"kind": "p:", "run": r} for r in name_runs(p)]
+            for h, p in zip(hosts.to_pylist(), paths.to_pylist())
+        ]]
+
+    counted = parts.groupBy("host", "path").agg(F.count("*").alias("m"))
+    return map_columns(counted, ["host", "path"], "runs array<struct<kind:string,run:string>>", run)
+
+
+def run_classes(urls: DataFrame, split: DataFrame, seeds: Sequence[str] = SEEDS) -> DataFrame:
+    """``kind, run, b, a``: how often each run occurs in blocked and in other rows.
+
+    A row with the kind "" carries the number of rows of the two classes.
+    """
+    bad_runs = split.filter(F.arrays_overlap("words", F.array(*map(F.lit, seeds)))).select("run") if seeds else split.select("run").limit(0)
+    in_hosts = urls.select("host", F.explode("runs").alias("r")).filter("r.kind = 'h:'").select("host", F.col("r.run").alias("run")).distinct()
+    bad_hosts = in_hosts.join(bad_runs, "run", "left_semi").select("host").distinct()
+    # Runs are counted per host before the join, so a host meets it once for each of its runs.
+    none = F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("run")))
+    by_host = urls.select("host", "m", F.explode(F.concat(none, "runs")).alias("r")).groupBy(
+        "host", F.col("r.kind").alias("kind"), F.col("r.run").alias("run")).agg(F.sum("m").alias("m"))
+    flagged = by_host.join(bad_hosts.withColumn("bad", F.lit(True)), "host", "left")
+    return flagged.groupBy("kind", "run").agg(
+        F.sum(F.when(F.col("bad"), F.col("m")).otherwise(0)).alias("b"),
+        F.sum(F.when(F.col("bad").isNull(), F.col("m")).otherwise(0)).alias("a"))
+
+
+def fit(classes: DataFrame, split: DataFrame) -> tuple[DataFrame, float]:
+    """The log-odds (blocked against allowed) of every token as ``token, odds``, and the prior.
+
+    All rows are counted and every token keeps its weight; the table stays in Spark.
+    """
+    words = classes.join(split, "run").select("kind", F.explode("words").alias("w"), "b", "a")
     counted = materialise(
-        rows.select(F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("t"), "blocked")
-        .groupBy("t").agg(F.count_if("blocked").alias("b"), F.count_if(~F.col("blocked")).alias("a")), "url-tokens")
-    totals = counted.agg(
-        F.sum(F.when(F.col("t") != "", F.col("b"))).alias("b"), F.sum(F.when(F.col("t") != "", F.col("a"))).alias("a"),
-        F.count("*").alias("kinds")).first()
-    b, a, kinds = totals.b or 0, totals.a or 0, totals.kinds or 1
-    frequent = counted.filter((F.col("t") == "") | (F.col("b") >= b * least) | (F.col("a") >= a * least)).filter(
-        (F.col("b") > 0) | (F.col("a") > 0)).collect()
-    odds = {}
-    for r in frequent:
-        if r.t:
-            odds[r.t] = math.log((r.b + 1) / (b + kinds)) - math.log((r.a + 1) / (a + kinds))
-        else:
-            odds[""] = math.log(r.b + 1) - math.log(r.a + 1)
-    return odds
+        words.groupBy(F.concat("kind", "w").alias("token")).agg(F.sum("b").alias("b"), F.sum("a").alias("a")), "url-tokens")
+    totals = counted.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("kinds")).first()
+    rows = classes.filter("kind = ''").agg(F.sum("b").alias("b"), F.sum("a").alias("a")).first()
+    kinds = totals.kinds + 1  # one for all tokens that are not in the table
+    odds = F.log((F.col("b") + 1) / ((totals.b or 0) + kinds)) - F.log((F.col("a") + 1) / ((totals.a or 0) + kinds))
+    return counted.select("token", odds.alias("odds")), math.log((rows.b or 0) + 1) - math.log((rows.a or 0) + 1)
+
+
+def _in_order(values: Column) -> Column:
+    """The sum of collected numbers, added by size, so that it doesn't depend on how they arrived."""
+    return F.aggregate(F.array_sort(values), F.lit(0.0), lambda total, x: total + x)
+
+
+def url_scores(urls: DataFrame, classes: DataFrame, split: DataFrame, odds: DataFrame) -> DataFrame:
+    """``host, path, score``: the summed log-odds of the tokens of each distinct url that has any."""
+    tokens = classes.join(split, "run").select("kind", "run", F.explode("words").alias("w"))
+    of_run = tokens.select("kind", "run", F.concat("kind", "w").alias("token")).join(odds, "token").groupBy("kind", "run").agg(
+        _in_order(F.collect_list("odds")).alias("score"))
+    of_run = materialise(of_run, "url-runs")
+    spread = urls.select("host", "path", F.explode("runs").alias("r")).select("host", "path", F.col("r.kind").alias("kind"), F.col("r.run").alias("run"))
+    return spread.join(of_run, ["kind", "run"]).groupBy("host", "path").agg(_in_order(F.collect_list("score")).alias("score"))
 
 
 def judge_urls(
@@ -188,18 +200,16 @@ def judge_urls(
     """
     parts = pages.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
     segmenter = Segmenter(with_seeds(unigram_counts(parts, html), seeds))
-    odds = fit(parts, segmenter, seeds)
-    sent = pages.sparkSession.sparkContext.broadcast((segmenter, odds))
-
-    def run(hosts: pa.Array, paths: pa.Array):
-        judge, weight = _Judge(sent.value[0]), sent.value[1]
-        prior = weight.get("", 0.0)
-        return [pa.array([
-            prior + math.fsum(weight.get(t, 0.0) for t in tokens_of(h, p, judge))
-            for h, p in zip(hosts.to_pylist(), paths.to_pylist())
-        ], pa.float64())]
-
-    judged = map_columns(parts.drop(html), ["host", "path"], "log_odds double", run)
+    urls = materialise(distinct_urls(parts), "url-names")
+    names = urls.select(F.explode("runs.run").alias("run")).distinct()
+    split = materialise(split_names(names, segmenter), "url-split")
+    classes = materialise(run_classes(urls, split, seeds), "url-classes")
+    odds, prior = fit(classes, split)
+    scores = materialise(url_scores(urls, classes, split, odds), "url-scores")
+
+    kept = parts.drop(html, "log_odds")
+    judged = kept.join(scores.withColumnRenamed("score", _SCORE), ["host", "path"], "left").select(
+        *[F.col(f"`{c}`") for c in kept.columns], (F.lit(prior) + F.coalesce(_SCORE, F.lit(0.0))).alias("log_odds"))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     by_rule = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]) if rules else None
     verdict = F.when(F.col("log_odds") > threshold, BLOCK).otherwise(ALLOW)

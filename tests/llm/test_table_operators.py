@@ -307,6 +307,16 @@ def test_naive_bayes_learns_from_seeds(spark):
     assert all(got[100 + i].verdict == "block" for i in range(40)) and all(got[i].verdict == "allow" for i in range(80))
 
 
+def test_every_counted_token_scores(spark):
+    # "zq" is seen twice, in blocked urls only, among far more than 50,000 tokens of each class.
+    spark_pages = spark.range(120_000).select(
+        "id", F.when(F.col("id") % 2 == 0, "x://casino/a").otherwise("x://news/a").alias("url"))
+    rare = spark.createDataFrame([(-1, "x://casino.zq/a"), (-2, "x://casino.zq/a"), (-3, "x://casino/a")], "id long, url string")
+    pages = spark_pages.unionByName(rare).withColumn("html", F.lit("casino news zq a"))
+    got = {r.id: r for r in url_filter.judge_urls(pages, {}).filter("id < 0").collect()}
+    assert got[-1].log_odds == got[-2].log_odds > got[-3].log_odds + 0.5
+
+
 def test_pipeline_equals_its_parts(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()

@@ -28,10 +28,7 @@ SEEDS = [
     "malware", "nude", "pharma", "phish", "pills", "poker", "popup", "porn", "prize", "replica", "sex", "slots",
     "spam", "spyware", "torrent", "track", "tracker", "tracking", "viagra", "virus", "warez", "win", "winner", "xxx",
 ]
-# A word enters the dictionary if it makes up at least this share of all words seen, so the
-# dictionary never has more than 1 / LEAST_SHARE entries, whatever the size of the corpus.
-LEAST_SHARE = 1 / 100_000
-LONGEST = 24
+PER_LETTER = 2.5  # what each letter of an unknown word costs
 THRESHOLD = 0.0
 
 BLOCK, ALLOW = "block", "allow"
@@ -67,24 +64,29 @@ def matching_rule(host: Column, path: Column, rules: Mapping[str, str]) -> Colum
 class Segmenter:
     """Most probable split of a name under a unigram model with a length penalty for unknown words."""
 
-    def __init__(self, counts: Mapping[str, float], longest: int = LONGEST):
-        total = sum(counts.values()) or 1.0
+    def __init__(self, counts: Mapping[str, float], total: float | None = None):
+        """``total`` is that of the whole dictionary, if ``counts`` are a part of it."""
+        total = total or sum(counts.values()) or 1.0
         self.log = {w: math.log(n / total) for w, n in counts.items()}
-        self.longest, self.floor = longest, math.log(1 / (10 * total))
+        self.lengths, self.floor = {len(w) for w in counts if w}, math.log(1 / (10 * total))
 
     def unknown(self, length: int) -> float:
-        return self.floor - 2.5 * length
+        return self.floor - PER_LETTER * length
 
     def split(self, name: str) -> list[str]:
         """Viterbi over the end positions; ties go to the longer last word."""
         n = len(name)
-        best, step = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        best, step = [0.0] * (n + 1), [0] * (n + 1)
+        far = 0  # where the best unknown word begins, wherever it ends
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                word = self.log.get(name[start:end])
-                value = best[start] + (self.unknown(end - start) if word is None else word)
-                if value > best[end]:
-                    best[end], step[end] = value, start
+            best[end], step[end] = best[far] + self.unknown(end - far), far
+            for length in self.lengths:
+                start = end - length
+                word = self.log.get(name[start:end]) if start >= 0 else None
+                if word is not None and (best[start] + word, -start) > (best[end], -step[end]):
+                    best[end], step[end] = best[start] + word, start
+            if best[end] + PER_LETTER * end > best[far] + PER_LETTER * far:
+                far = end
         words, end = [], n
         while end > 0:
             words.append(name[step[end]:end])
@@ -97,30 +99,44 @@ def name_runs(text: str) -> list[str]:
     return _PARTS.findall(text.lower())
 
 
-def unigram_counts(pages: DataFrame, html: str = "html", least: float = LEAST_SHARE) -> dict[str, float]:
-    """Counts of the words in all page texts.
-
-    Only words with at least the share ``least`` of all words are sent to the driver, at most
-    ``1 / least`` of them.
-    """
+def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``w, n``: every word in the page texts with its count, stored."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col(f"`{html}`"), F.lit("")), r"<[^>]*>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}]+)"), F.lit(1))).alias("w"))
-    counted = materialise(words.filter(F.length("w") <= LONGEST).groupBy("w").agg(F.count("*").alias("n")), "url-words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    return {r.w: float(r.n) for r in counted.filter(F.col("n") >= total * least).collect()}
+    return materialise(words.groupBy("w").agg(F.count("*").cast("double").alias("n")), "url-words")
+
+
+def with_seeds(counted: DataFrame, seeds: Sequence[str] = SEEDS) -> tuple[DataFrame, float]:
+    """The dictionary with every seed word at least as frequent as a common word, and its total."""
+    total = counted.agg(F.sum("n")).first()[0] or 0.0
+    own = {r.w: r.n for r in counted.filter(F.col("w").isin(*seeds)).collect()} if seeds else {}
+    usual = max(total / 1000, 1.0)
+    lifted = {s: max(own.get(s, 0.0), usual) for s in seeds}
+    if lifted:
+        added = counted.sparkSession.createDataFrame(list(lifted.items()), "w string, n double")
+        counted = counted.filter(~F.col("w").isin(*seeds)).unionByName(added)
+    return counted, total + sum(lifted.values()) - sum(own.values())
 
 
-def with_seeds(counts: Mapping[str, float], seeds: Sequence[str]) -> dict[str, float]:
-    """The dictionary with every seed word at least as frequent as a common word."""
-    usual = max(sum(counts.values()) / 1000, 1.0)
-    return {**counts, **{s: max(counts.get(s, 0.0), usual) for s in seeds}}
+def split_names(names: DataFrame, dictionary: DataFrame, total: float) -> DataFrame:
+    """``run, words``: each distinct run of letters (stored) with its segmentation.
 
+    Each run meets the dictionary words inside it by a join on its substrings, so the dictionary
+    has no bound. Only lengths that the dictionary has are tried.
+    """
+    longest = names.agg(F.max(F.length("run"))).first()[0] or 0
+    lengths = [r.k for r in dictionary.select(F.length("w").alias("k")).filter(F.col("k") <= longest).distinct().collect()]
+    tried = names.select("run", F.explode(F.lit(sorted(lengths)).cast("array<int>")).alias("k")).filter(F.length("run") >= F.col("k"))
+    inside = tried.select("run", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("run") - F.col("k") + 1), lambda i: F.substr(F.col("run"), i, F.col("k"))))).alias("w"))
+    found = inside.join(dictionary, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("found"))
+
+    def run(runs: pa.Array, known: pa.Array):
+        return [[
+            Segmenter({x["w"]: x["n"] for x in k or ()}, total).split(r) for r, k in zip(runs.to_pylist(), known.to_pylist())
+        ]]
 
-def split_names(names: DataFrame, segmenter: Segmenter) -> DataFrame:
-    """``run, words``: each distinct run of letters with its segmentation."""
-    sent = names.sparkSession.sparkContext.broadcast(segmenter)
-    return map_columns(
-        names, ["run"], "words array<string>", lambda runs: [[sent.value.split(r) for r in runs.to_pylist()]], keep=["run"])
+    return map_columns(names.join(found, "run", "left"), ["run", "found"], "words array<string>", run, keep=["run"])
 
 
 def distinct_urls(parts: DataFrame) -> DataFrame:
@@ -199,10 +215,10 @@ def judge_urls(
     page text is read for the dictionary and not returned.
     """
     parts = pages.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
-    segmenter = Segmenter(with_seeds(unigram_counts(parts, html), seeds))
+    dictionary, total = with_seeds(word_counts(parts, html), seeds)
     urls = materialise(distinct_urls(parts), "url-names")
-    names = urls.select(F.explode("runs.run").alias("run")).distinct()
-    split = materialise(split_names(names, segmenter), "url-split")
+    names = materialise(urls.select(F.explode("runs.run").alias("run")).distinct(), "url-parts")
+    split = materialise(split_names(names, dictionary, total), "url-split")
     classes = materialise(run_classes(urls, split, seeds), "url-classes")
     odds, prior = fit(classes, split)
     scores = materialise(url_scores(urls, classes, split, odds), "url-scores")

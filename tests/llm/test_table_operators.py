@@ -317,6 +317,16 @@ def test_every_counted_token_scores(spark):
     assert got[-1].log_odds == got[-2].log_odds > got[-3].log_odds + 0.5
 
 
+def test_rare_and_long_words_stay_whole(spark):
+    # Each is seen once among 200,000 words and ends in a seed word.
+    long = "abcdefghijklmnopqrstuvwxyzsex"
+    many = spark.range(200).select("id", F.lit("x://casino/").alias("url"), F.expr("repeat('casino news ', 500)").alias("html"))
+    few = spark.createDataFrame(
+        [(-1, "x://sussex/", "sussex"), (-2, f"x://{long}/", long), (-3, "x://news/", None)], "id long, url string, html string")
+    got = {r.id: r.verdict for r in url_filter.judge_urls(many.unionByName(few), {}).collect()}
+    assert got[-1] == got[-2] == "allow" == got[-3] and got[0] == "block"
+
+
 def test_pipeline_equals_its_parts(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()

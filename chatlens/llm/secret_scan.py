@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import itertools
 import json
 import re
 
@@ -30,9 +31,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a greedy run of 32 or more; shorter runs are dropped anyway
 _PEM = re.compile(
     r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z-]+:\x20[^\n]*\n)*)([A-Za-z0-9+/=\s]*)-----END \1-----")
-_BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3Blb)[A-Za-z0-9+/_-]{40,}={0,2}")
+# The same with line breaks written as escapes, as in JSON strings and settings files.
+_ESCAPED_PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----"
+    r"((?:(?:\s|\\+[nr])*[A-Za-z-]+:\x20(?:[^\n\\]|\\(?![nr\\]))*(?:\n|\\+[nr]))*)"
+    r"([A-Za-z0-9+/=\s]*(?:\\+[nr][A-Za-z0-9+/=\s]*)*)-----END \1-----")
+_BASE64_KEY = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?:M|b3Blb)[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+# Tried at each word, so that a name before a token hides nothing. The least lengths are those of
+# {"alg":"HS256"}, of {} and of 32 bytes.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{20,}+)\.([A-Za-z0-9_-]{3,}+)\.([A-Za-z0-9_-]{43,}+))")
 
 # Signature bytes of signing algorithms; RSA signatures have the length of the key.
 _SIGNATURE_BYTES = {
@@ -42,8 +50,11 @@ _RSA_ALGORITHMS = {"RS256", "RS384", "RS512", "PS256", "PS384", "PS512"}
 
 
 def decode_base64(text: str) -> bytes | None:
-    """Bytes of standard or URL-safe base64, padded or not; None if it is not base64."""
-    body = re.sub(r"\s+", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    """Bytes of standard or URL-safe base64, padded or not; None if it is not base64.
+
+    Line breaks may be written as escapes.
+    """
+    body = re.sub(r"\s+|\\+[nr]", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -151,7 +162,10 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     blocks = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
+        escaped = _ESCAPED_PEM.finditer(text) if "\\n" in text or "\\r" in text else ()
+        for m in itertools.chain(_PEM.finditer(text), escaped):
+            if m.span() in blocks:
+                continue
             encrypted = "ENCRYPTED" in m[2]  # the body of an old encrypted block has no structure to read
             data = decode_base64(m[3])
             if is_key(data) or encrypted and data and len(data) >= 64 and len(data) % 8 == 0:
@@ -163,8 +177,7 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
         ("key", *m.span()) for m in _HEX_KEY.finditer(text)
         if len(m[0]) % 2 == 0 and outside(m) and is_key(bytes.fromhex(m[0]))
     ]
-    if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2], m[3])]
+    found += [("jwt", m.start(1), m.end(3)) for m in _JWT.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -144,6 +144,23 @@ def test_secret_structure():
     assert secret_scan.is_key(ssh) and not secret_scan.is_key(ssh[:-1])
 
 
+def test_secrets_with_escapes_and_blanks():
+    kinds = lambda t: [k for k, *_ in secret_scan.secret_spans(t)]
+    body = base64.encodebytes(rsa_key()).decode()
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + body + "-----END RSA PRIVATE KEY-----"
+    locked = pem.replace("-----\n", "-----\nProc-Type: 4,ENCRYPTED\n\n", 1)
+    for text in (pem, locked if len(rsa_key()) % 8 == 0 else pem):
+        for line_break in ("\\n", "\\r\\n", "\\\\n"):
+            escaped = text.replace("\n", line_break)
+            assert secret_scan.secret_spans(f'k: "{escaped}"') == [("pem", 4, 4 + len(escaped))]
+    assert kinds("x\\n" + base64.b64encode(rsa_key()).decode() + "\\n") == ["key"]
+    assert kinds("xn" + base64.b64encode(rsa_key()).decode()) == []
+    _, rest = signed_token().split(".", 1)
+    for head in ('{ "alg":"HS256"}', '{\n  "alg": "HS256"\n}', '{"alg":"HS256"}'):
+        token = base64.urlsafe_b64encode(head.encode()).rstrip(b"=").decode() + "." + rest
+        assert secret_scan.secret_spans(f"a.{token} b") == [("jwt", 2, 2 + len(token))]
+
+
 def brute_base(text):
     key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token"))
     pattern = rf"""({key}|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""

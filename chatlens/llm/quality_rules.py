@@ -54,7 +54,8 @@ def bucket_counts(
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     mark = _OWN + "g"
     rows = docs.select("doc_id", text)
-    marked = rows.filter("doc_id is not null").join(good.withColumn(mark, F.lit(True)), "doc_id", "left")
+    # A merge join whatever the number of labels, so that cost grows in proportion to the rows.
+    marked = rows.filter("doc_id is not null").join(good.withColumn(mark, F.lit(True)).hint("merge"), "doc_id", "left")
     # Rows without an id match no label and stay out of the join, where they would share one key.
     marked = marked.unionByName(rows.filter("doc_id is null").withColumn(mark, F.lit(False)))
     spread = _bucket_lists(marked.select(text, mark), text, buckets).select(mark, F.explode(_OWN + "b").alias("b"))

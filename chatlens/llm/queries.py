@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.llm import (
-    bpe, mixing, near_dedup, permutation_index, quality_knn, quality_rules, secret_scan, substring_dedup, token_counts,
-    url_filter,
+    bpe, hard_negatives, license_scan, mixing, near_dedup, periodic_runs, permutation_index, quality_knn, quality_rules,
+    secret_scan, substring_dedup, token_counts, url_filter,
 )
-from chatlens.llm.texts import table
+from chatlens.llm.texts import table, words
 
 # The rules that the url query is asked to apply.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -68,9 +68,38 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with the tail of every tenth text made periodic, as the query on runs asks.
+
+    With h = crc32 of the decimal id and g = h / 10, a text with h % 10 = 0 and n > 0 words repeats
+    the p words from word a = g % n on, where p = 1 + (n - a) / (3 + g % 8). Rows without an id stay.
+    """
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    n, a = F.size("w").cast("long"), F.col("a")
+    cut = hashed.withColumn("g", F.expr("h div 10")).withColumn("w", F.when(F.col("h") % 10 == 0, words(F.col("text"))))
+    cut = cut.withColumn("a", F.when(F.size("w") > 0, F.col("g") % n))
+    cut = cut.withColumn("p", 1 + F.floor((n - a) / (3 + F.col("g") % 8)))
+    periodic = F.transform("w", lambda x, i: F.when(i < a, x).otherwise(F.get("w", (a + (i - a) % F.col("p")).cast("int"))))
+    return cut.select("doc_id", F.when(a.isNotNull(), F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(with_planted_periods(table(spark, sf_dir, "documents")))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_votes, op2_quality_rules, op3_near_duplicates, op4_url_filter, op5_token_counts, op6_nearest_vectors,
     op7_source_mix, op8_repeated_passages, op9_bpe_codec, op10_secret_scan,
+    op11_hard_negatives, op12_periodic_runs, op13_license_scan,
 )}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -106,4 +135,22 @@ kept AS (
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10""",
 }

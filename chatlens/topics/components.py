@@ -38,22 +38,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     now, path = stored(
         edges.filter(F.col("u") != F.col("v"))
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    mark = None
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_minimum(both).filter(F.col("v") > F.col("u")).select(
-            F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        # Edges that a step moves are marked; a round that moves none has met stars only.
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _to_minimum(both).filter(F.col("v") > F.col("u")).groupBy(F.col("v").alias("u"), F.col("m").alias("v")).agg(
+            F.max(F.col("m") != F.col("u")).alias("moved"))
         # All edges now point from the larger to the smaller node.
-        seen = _to_minimum(large)
-        small = seen.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            seen.select("u", F.col("m").alias("v"))).filter("u != v")
+        seen = _to_minimum(large).withColumn("moved", F.col("moved") | (F.col("m") != F.col("v")))
+        ends = F.array(F.struct(F.col("m").alias("u"), "v"), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))
+        small = seen.select("moved", F.inline(ends)).filter("u != v")
         before = path
-        now, path = stored(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        now, path = stored(small.groupBy("u", "v").agg(F.max("moved").alias("moved")))
         remove_stored(spark, before)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == mark:
+        if not now.agg(F.max("moved")).first()[0]:
             break
-        mark = state
     else:
         raise RuntimeError("components did not settle")
     members = now.select(F.col("v").alias("node"), F.col("u").alias("component"))

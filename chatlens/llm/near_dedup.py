@@ -188,7 +188,9 @@ def crowd_pairs(crowd: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> D
     smallest w is then linked with both, so one star finds all of these. Any other pair must share
     differences: they are ordered from rare to frequent, differences of one member alone are left
     out, and a pair is kept only where the places of a shared difference leave room for enough of
-    them. Near copies differ from their hub in few and different shingles, so few pairs remain.
+    them. Near copies differ from their hub in few and different shingles, so few pairs remain. A
+    difference that most members share comes last and leaves little room, so only members whose
+    values of w nearly cancel out meet at it.
     """
     high, low = 100 + percent, 100 - percent
     least = crowd.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("n"))
@@ -214,14 +216,21 @@ def crowd_pairs(crowd: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> D
     shared = single.groupBy("group", "token").agg(F.count("*").alias("df")).filter("df > 1")
     mine = Window.partitionBy("node")
     # How many differences of the member follow in the order, this one included.
-    entries = materialise(
-        single.join(shared, ["group", "token"])
-        .withColumn("room", F.count("*").over(mine) - F.row_number().over(mine.orderBy("df", "token")) + 1)
-        .select("group", "token", "node", "part", "w", "room"), "near-entries")
-    side = lambda x: entries.select(
-        "group", "token", F.col("node").alias(x), F.col("part").alias(f"part_{x}"), F.col("w").alias(f"w_{x}"), F.col("room").alias(f"room_{x}"))
+    placed = single.join(shared, ["group", "token"]).withColumn(
+        "room", F.count("*").over(mine) - F.row_number().over(mine.orderBy("df", "token")) + 1)
+    entries = materialise(placed.select("group", "token", "node", "part", "w", "room"), "near-entries")
+    # A pair needs 0 < w(x) + w(y) <= 2 (100 + p) room, so the w of a partner lies in a band behind
+    # -w(x). Bands as wide as the most room of a token split the members of a frequent one, and
+    # each side reaches for two of them only.
+    widest = entries.groupBy("group", "token").agg((2 * high * F.max("room")).alias("band"))
+    banded = materialise(entries.join(widest, ["group", "token"]), "near-bands")
+    side = lambda x: banded.select(
+        "group", "token", "band", F.col("node").alias(x), F.col("part").alias(f"part_{x}"), F.col("w").alias(f"w_{x}"), F.col("room").alias(f"room_{x}"))
+    here = F.floor(-F.col("w_a") / F.col("band"))
+    reach = side("a").withColumn("at", F.explode(F.array(here, here + 1))).drop("band")
+    found = side("b").withColumn("at", F.floor(F.col("w_b") / F.col("band"))).drop("band")
     need = F.col("w_a") + F.col("w_b")
-    met = side("a").join(side("b"), ["group", "token"]).filter(
+    met = reach.join(found, ["group", "token", "at"]).filter(
         (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b"))
         & (need > 0) & (2 * high * F.least("room_a", "room_b") >= need))
     return star.unionByName(met.select("a", "b")).distinct()
@@ -238,64 +247,87 @@ def _spanning(placed: DataFrame) -> DataFrame:
     return placed.join(spans.select("bucket", "n"), "bucket")
 
 
-def components(sketch: DataFrame, docs: DataFrame, text: str = "text", percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """``node, component`` of the class representatives that are linked with others."""
+def components(
+    sketch: DataFrame, docs: DataFrame, several: DataFrame | None, text: str = "text", percent: int = PERCENT, miss: float = MISS,
+) -> DataFrame:
+    """``node, component`` of the class representatives that are linked with others.
+
+    ``several(doc_id, chosen)`` has the key of the text that counts for ids with more than one.
+    """
     shared = sketch.filter("bands is not null").select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     ends = shared.groupBy("bucket").agg(
         F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     members = materialise(shared.join(ends, "bucket").distinct(), "near-members")
     wanted = members.select("node").distinct()
     # One row per node, even where a doc_id is repeated. Signatures and texts of candidates only.
+    texts = docs.select(F.col("doc_id").alias("node"), F.col(f"`{text}`").alias("text")).join(wanted, "node", "left_semi")
+    if several is not None:
+        keyed = map_columns(texts, ["text"], "n_shingles long, key binary, signature binary, bands array<long>", _sketch)
+        texts = keyed.join(several.withColumnRenamed("doc_id", "node"), "node", "left").filter(
+            F.col("key") == F.coalesce("chosen", "key")).select("node", "text")
     nodes = materialise(
         sketch.select(F.col("doc_id").alias("node"), "signature").join(wanted, "node").dropDuplicates(["node"])
-        .join(docs.select(F.col("doc_id").alias("node"), F.col(f"`{text}`").alias("text")).join(wanted, "node", "left_semi")
-              .dropDuplicates(["node"]), "node"),
-        "near-nodes")
+        .join(texts.dropDuplicates(["node"]), "node"), "near-nodes")
     as_edges = lambda links: links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    first = members.filter("node > low").groupBy(F.col("node").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
+    # First round: each member meets the smallest and the largest id of all its buckets.
+    ends = members.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    first = ends.select(F.explode(F.array(
+        F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")
+    ).select("p.*").filter("a < b").distinct()
+    first = materialise(first, "near-first")
     links = materialise(confirmed(first, nodes, percent, miss), "near-links")
-    placed = materialise(_placed(members, connected_components(as_edges(links))), "near-placed")
+    parts = materialise(connected_components(as_edges(links)), "near-parts")
 
-    part_of = placed.select("node", "part").distinct()
-    ends = placed.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(
-        placed.select(F.col("node").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
-    open_pairs = ends.join(part_of.select(F.col("node").alias("a"), F.col("part").alias("part_a")), "a").join(
-        part_of.select(F.col("node").alias("b"), F.col("part").alias("part_b")), "b").filter("part_a <> part_b")
-    second = materialise(open_pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), "near-second")
-    links = links.unionByName(materialise(confirmed(second, nodes, percent, miss), "near-links"))
-
-    # Last round: buckets that still span several components. Small ones compare their members
+    # Second round: buckets that still span several components. Small ones compare their members
     # across components, at most CROWD per member; large ones go another way.
-    open_members = materialise(
-        _spanning(_placed(members.select("bucket", "node"), connected_components(as_edges(links)))), "near-open")
+    open_members = materialise(_spanning(_placed(members.select("bucket", "node"), parts)), "near-open")
     few = open_members.filter(F.col("n") <= CROWD)
     side = lambda name: few.select("bucket", F.col("part").alias(f"part_{name}"), F.col("node").alias(name))
     pairs = side("a").join(side("b"), "bucket").filter("a < b and part_a <> part_b").select("a", "b")
     crowd = open_members.filter(F.col("n") > CROWD).select("bucket", "node", "part")
     pairs = pairs.unionByName(crowd_pairs(crowd, nodes, percent)).distinct()
-    third = materialise(pairs.join(first.unionByName(second), ["a", "b"], "left_anti"), "near-third")
-    links = links.unionByName(confirmed(third, nodes, percent, miss))
-    return connected_components(as_edges(links))
+    second = materialise(pairs.join(first, ["a", "b"], "left_anti"), "near-second")
+    more = confirmed(second, nodes, percent, miss)
+
+    # Components of the first round are the nodes of the second.
+    part = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"part_{name}"))
+    between = more.join(part("a"), "a", "left").join(part("b"), "b", "left").select(
+        F.coalesce("part_a", "a").alias("u"), F.coalesce("part_b", "b").alias("v"))
+    joined = materialise(connected_components(between), "near-joined")
+    settled = parts.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select(
+        "node", F.coalesce("_to", "component").alias("component"))
+    # Nodes without a link in the first round stand for themselves in the second.
+    return settled.unionByName(joined.join(parts, "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``.
 
     Null, empty and blank texts have no shingles and stay alone. A row without an id is kept
-    with a null component. Repeated rows of an id are one document and get the same answer.
-    Only doc_id and the text are read, so other columns cannot clash. An empty table gives an
-    empty result.
+    with a null component. Rows of an id with words are one document and get the same answer; if
+    their texts differ, the one whose words have the smallest digest is the document's. Only doc_id and the
+    text are read, so other columns cannot clash. An empty table gives an empty result.
     """
     sketch = materialise(sketches(docs, text), "near-sketch")
     wordy = sketch.filter("key is not null and doc_id is not null")
+    several = materialise(wordy.groupBy("doc_id").agg(F.min("key").alias("chosen"), F.max("key").alias("_last")).filter(
+        F.col("chosen") != F.col("_last")).drop("_last"), "near-several")
+    if several.isEmpty():
+        several = None
+    else:
+        wordy = materialise(wordy.join(several, "doc_id", "left").filter(F.col("key") == F.coalesce("chosen", "key")).drop("chosen"), "near-chosen")
     classes = materialise(wordy.groupBy("key").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = wordy.join(classes, [wordy.key == classes.key, wordy.doc_id == classes.rep], "left_semi")
-    found = components(reps, docs, text, percent, miss)
+    found = components(reps, docs, several, text, percent, miss)
     placed = wordy.select("doc_id", "n_shingles", "key").join(classes, "key").join(
         found.select(F.col("node").alias("rep"), "component"), "rep", "left"
     ).select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    # A repeated id whose rows differ belongs to one component: the smallest that any row has.
-    alone = sketch.filter("key is null or doc_id is null").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if several is not None:
+        # All rows of an id that have words get the answer of its document.
+        one = placed.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id")
+        rows = sketch.filter("key is not null and doc_id is not null").select("doc_id")
+        placed = rows.join(one, F.col("doc_id") == F.col("_id")).drop("_id")
+    alone = sketch.filter("key is null or doc_id is null")
+    alone = alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

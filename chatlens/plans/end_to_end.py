@@ -15,7 +15,7 @@ from chatlens import fixed_values as fv
 from chatlens.operators import agency, cleaning, sentiment, summary, translate
 from chatlens.session import materialise
 from chatlens.sources import tables
-from chatlens.topics import cluster, eligibility, labels, metrics, refine, terms, vectors
+from chatlens.topics import cluster, cluster_tree, eligibility, guidance, labels, metrics, neighbours, refine, terms, vectors
 from chatlens.topics.eligibility import TOPIC
 
 
@@ -36,8 +36,21 @@ def representative_messages(rows: DataFrame, centres: DataFrame, top: int) -> Da
     return vectors.representative_docs(rows, centres, "vector", top).select(*TOPIC, "rank", F.col("cleaned").alias("example"))
 
 
+def _clusters(reduced: DataFrame, method: str, width: float, least: int) -> DataFrame:
+    """``topic_id`` of reduced vectors: grid cells, exact neighbours, or the tree over several radii."""
+    by = ["message_role"]
+    if method == "grid":
+        return cluster.density_clusters(reduced, "reduced", "doc_index", width, min_cluster_size=least, by=by)
+    if method == "neighbours":
+        return neighbours.neighbour_clusters(reduced, "reduced", "doc_index", width, min_cluster_size=least, by=by).drop("is_core")
+    if method == "tree":
+        return cluster_tree.cluster_tree(reduced, "reduced", "doc_index", width, min_cluster_size=least, by=by).points
+    raise ValueError(f"no clustering is called {method}")
+
+
 def cluster_role(
-    docs: DataFrame, models: Models, min_cluster_size: int, cell_width: float | None, use_seeds: bool, stopwords: Sequence[str]
+    docs: DataFrame, models: Models, min_cluster_size: int, cell_width: float | None, use_seeds: bool, stopwords: Sequence[str],
+    clustering: str = "grid", seed_radius: float | None = None,
 ) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
     """Vectors, reduction and clusters of one role's messages, and the function that embeds other texts alike."""
     if models.embedder is None:
@@ -49,13 +62,16 @@ def cluster_role(
         seeds = docs.sparkSession.createDataFrame(
             [(i, i, " ".join(words)) for i, words in enumerate(fv.SEED_TOPICS)], "row_index bigint, seed_topic int, words string")
         seed_vectors = embed_more(seeds, "words").select("seed_topic", F.col("features").alias("seed_features"))
-        embedded = vectors.blend_seeds(vectors.seed_match(embedded, "cleaned"), seed_vectors).drop(
-            "seed_topic", "seed_similarity")
+        matched = vectors.seed_match(embedded, "cleaned").drop("seed_similarity")
+        if seed_radius is not None:
+            # Messages without a seed word take the seed of the messages around them.
+            placed = materialise(vectors.reduce_dimensions(matched), "seeded")
+            matched = guidance.spread_seeds(placed, "reduced", "doc_index", seed_radius, by=["message_role"]).drop(
+                "seed_topic", "spread_step", "reduced").withColumnRenamed("spread_topic", "seed_topic")
+        embedded = vectors.blend_seeds(matched, seed_vectors).drop("seed_topic")
     reduced = materialise(vectors.reduce_dimensions(embedded).drop("features"), "reduced")
     width = cell_width or cluster.suggested_width(reduced, "reduced")
-    found = cluster.density_clusters(
-        reduced, "reduced", "doc_index", width, min_cluster_size=min_cluster_size, by=["message_role"])
-    return found.withColumnRenamed("reduced", "vector"), embed_more
+    return _clusters(reduced, clustering, width, min_cluster_size).withColumnRenamed("reduced", "vector"), embed_more
 
 
 def model_topics(
@@ -72,9 +88,15 @@ def model_topics(
     stopwords: Sequence[str] = terms.STOPWORDS,
     dictionary: DataFrame | None = None,
     by_representation: bool = False,
+    clustering: str = "grid",
+    seed_radius: float | None = None,
+    target_topics: int | None = None,
 ) -> dict[str, DataFrame]:
     """Topic tables of the role-long message table, with a topic model of its own for each role.
 
+    ``clustering`` is ``grid``, ``neighbours`` (exact neighbours within ``cell_width``) or ``tree``
+    (the clusters that last longest below that radius). With ``seed_radius``, seed topics spread to
+    messages without a seed word. ``target_topics`` merges the topics of a role down to that number.
     ``by_representation`` compares topics by the vector of their representation
     text (terms and representative messages) instead of their centroid when
     they are merged. ``dictionary(form, lemma)`` replaces the built-in lemmas.
@@ -93,7 +115,8 @@ def model_topics(
     parts, embedders = [], {}
     for role in roles:
         part, embedders[role] = cluster_role(
-            docs.filter(F.col("message_role") == role), models, min_cluster_size, cell_width, use_seeds, stopwords)
+            docs.filter(F.col("message_role") == role), models, min_cluster_size, cell_width, use_seeds, stopwords, clustering,
+            seed_radius)
         parts.append(part)
     assigned = materialise(functools.reduce(DataFrame.unionByName, parts), "assigned")
 
@@ -109,6 +132,8 @@ def model_topics(
     rows = assigned
     if reduce_threshold is not None:
         rows = refine.reduce_topics(rows, vectors.stored_centroids(rows), reduce_threshold)
+    if target_topics is not None:
+        rows = refine.reduce_to_target(rows, vectors.stored_centroids(rows), target_topics)
     centres = vectors.stored_centroids(rows)
     if by_representation:
         texts = vectors.topic_representation(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from chatlens.functions import text as tx
@@ -10,7 +10,7 @@ from chatlens.operators import report, sentiment, summary
 from chatlens.plans import fixtures as fx
 from chatlens.plans.message_queries import _agency, _sentiment
 from chatlens.session import materialise
-from chatlens.topics import cluster, eligibility, labels, metrics, refine, terms, vectors
+from chatlens.topics import cluster, cluster_tree as tree, eligibility, guidance, labels, metrics, neighbours, refine, terms, vectors
 from chatlens.topics.eligibility import TOPIC
 
 
@@ -266,6 +266,57 @@ def density_clusters(spark, d):
     return found.select("row_index", "message_role", "topic_id")
 
 
+NEAR = 0.3
+TREE_RADIUS, TREE_LEVELS = 0.4, 4
+TARGET_TOPICS = 12
+
+
+def _placed(spark, d):
+    return materialise(fx.linked_vectors(spark, d).select("row_index", "message_role", _thirds("vector").alias("xyz")), "points")
+
+
+def neighbour_clusters(spark, d):
+    """Density clusters over the exact neighbours of each message, per role."""
+    found = neighbours.neighbour_clusters(_placed(spark, d), "xyz", "row_index", NEAR, 3, 4, 8, ["message_role"])
+    return found.select("row_index", "message_role", "topic_id", "is_core")
+
+
+def cluster_tree(spark, d):
+    """The clusters that last longest in the tree of each role."""
+    found = tree.cluster_tree(_placed(spark, d), "xyz", "row_index", TREE_RADIUS, 3, 4, 8, ["message_role"], levels=TREE_LEVELS, grain=0.0)
+    return found.points.select("row_index", "message_role", "topic_id")
+
+
+def cluster_tree_nodes(spark, d):
+    """All clusters of the tree with size and stability."""
+    found = tree.cluster_tree(_placed(spark, d), "xyz", "row_index", TREE_RADIUS, 3, 4, 8, ["message_role"], levels=TREE_LEVELS, grain=0.0)
+    return found.clusters.select(
+        F.get_json_object("group", "$.k0").alias("message_role"), "level", F.round("radius", 9).alias("radius"), "size",
+        _r("stability"), "chosen", "topic_id")
+
+
+def spread_seeds(spark, d):
+    """Every 20th message has one of three seed topics; the others take theirs along the neighbour graph."""
+    seed = F.when(F.col("row_index") % 20 == 0, (F.floor(F.col("row_index") / 20) % 3).cast("int"))
+    found = guidance.spread_seeds(_placed(spark, d).withColumn("seed_topic", seed), "xyz", "row_index", NEAR, 3, 4, ["message_role"])
+    return found.select("row_index", "message_role", "spread_topic", "spread_step")
+
+
+def blend_seeds(spark, d):
+    """The vectors of messages with a seed topic, pulled towards the seed's vector."""
+    rows = fx.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("row_index"), F.when(F.col("vec_id") % 4 < 3, (F.col("vec_id") % 4).cast("int")).alias("seed_topic"),
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    seeds = rows.filter("row_index < 3").select("seed_topic", F.col("features").alias("seed_features"))
+    scaled = F.transform(vector_to_array("features"), lambda x: F.floor(x * 1e6 + 0.5).cast("long").cast("string"))
+    return vectors.blend_seeds(rows, seeds).select("row_index", F.array_join(scaled, " ").alias("vector_millionths"))
+
+
+def topics_to_target(spark, d):
+    docs = materialise(fx.letter_shares(spark, d), "letter-shares")
+    return refine.reduce_to_target(docs, vectors.stored_centroids(docs), TARGET_TOPICS).select("row_index", *TOPIC)
+
+
 # --- report ------------------------------------------------------------------------
 
 def label_backfill(spark, d):
@@ -314,5 +365,6 @@ QUERIES = {f.__name__: f for f in (
     message_topics, topic_examples, topic_diagnostics, topic_labels, supplied_labels, supplied_to_final_labels, topic_chain, model_vectors, topic_metrics, topic_quality_flags,
     topic_coherence, drop_low_quality_topics, filter_trivial, seed_topic_match, topic_similarity_pairs, merge_topics,
     reduce_topics, representative_docs, topic_representation, doc_vectors, reduced_vectors, density_clusters,
+    neighbour_clusters, cluster_tree, cluster_tree_nodes, spread_seeds, blend_seeds, topics_to_target,
     label_backfill, top_topics, topic_summary_text, keyword_variants, highlight_examples, summary_sentences, report_insights,
 )}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from chatlens import fixed_values as fv
 from chatlens.plans import fixtures as fx
 from chatlens.plans import sql
 from chatlens.plans.message_queries import _SENT
 from chatlens.plans.sql import EVENTS, PROBE, TABLE, TOPICS, array, in_list, mapping, query
-from chatlens.plans.topic_queries import CHAIN_WIDTH, REDUCE_AT
+from chatlens.plans.topic_queries import CHAIN_WIDTH, NEAR, REDUCE_AT, TARGET_TOPICS, TREE_LEVELS, TREE_RADIUS
 from chatlens.topics.cluster import WIDTHS_PER_CELL, grid_shifts
+from chatlens.topics.cluster_tree import ladder
 
 _BANNED = in_list(fv.BANNED_LABEL_WORDS)
 _PARTS = array([*fv.BANNED_LABEL_WORDS, *fv.BANNED_LABEL_PARTS])
@@ -149,6 +152,92 @@ def _density(source: str, width: float) -> tuple[tuple[str, str], ...]:
     )
 
 
+_CELL = NEAR / math.sqrt(3) * (1 - 1e-9)
+SPREAD_STEPS = 12  # more than the given tables need
+_PLACED = ("pts", "SELECT row_index, message_role, list_sum(v[1:21]) AS x, list_sum(v[22:42]) AS y, list_sum(v[43:64]) AS z FROM linked")
+_APART = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+def _near(radius: float) -> tuple[tuple[str, str], ...]:
+    """CTEs: ``near(a, b, d)`` for all neighbours, themselves included, and ``core(a)``."""
+    return (
+        _LINKED, _PLACED,
+        ("near", f"""SELECT a.row_index AS a, b.row_index AS b, {_APART} AS d FROM pts a JOIN pts b
+            ON a.message_role = b.message_role AND {_APART} <= {radius * radius!r}"""),
+        ("core", "SELECT a FROM near GROUP BY a HAVING count(*) >= 4"),
+    )
+
+
+_GRAPH = (
+    *_near(NEAR),
+    ("link", "SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)"),
+    ("edge", """SELECT a, b AS nearest FROM near WHERE a NOT IN (SELECT a FROM core) AND b IN (SELECT a FROM core)
+        QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1"""),
+)
+
+
+def _tree_steps() -> tuple[tuple[str, str], ...]:
+    """CTEs that end in ``head_K`` for each level, ``heads`` and ``chosen_part(level, part, row_index)``."""
+    radii = ladder(TREE_RADIUS, TREE_LEVELS)
+    last = TREE_LEVELS - 1
+    steps = [
+        *_near(TREE_RADIUS),
+        ("corelen", "SELECT a, d AS c FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 4"),
+        ("mutual", """SELECT n.a, n.b, greatest(n.d, x.c, y.c) AS w FROM near n JOIN corelen x ON x.a = n.a JOIN corelen y ON y.a = n.b
+            WHERE n.a <> n.b"""),
+    ]
+    for k, r in enumerate(radii):
+        # A least member that does not get smaller in any further step names the part.
+        steps += [
+            (f"reach_{k}", f"""SELECT a, a AS p FROM corelen WHERE c <= {r * r!r} UNION
+                SELECT m.b, r.p FROM reach_{k} r JOIN mutual m ON m.a = r.a WHERE m.w <= {r * r!r} AND r.p < m.b"""),
+            (f"part_{k}", f"SELECT a, min(p) AS p FROM reach_{k} GROUP BY a"),
+            (f"node_{k}", f"SELECT message_role, p, count(*) AS n FROM part_{k} JOIN pts ON row_index = a GROUP BY 1, 2 HAVING count(*) >= 8"),
+        ]
+    for k in range(last, -1, -1):
+        step = 1 / radii[k] - 1 / radii[k - 1] if k else 0.0
+        child = (f"SELECT above AS p, count(*) AS k, sum(round(greatest(chain, below), 9)) AS worth, max(chain) AS c1, max(below) AS b1 "
+                 f"FROM weigh_{k + 1} GROUP BY 1") if k < last else "SELECT CAST(NULL AS BIGINT) AS p, 0 AS k, 0.0 AS worth, 0.0 AS c1, 0.0 AS b1 WHERE false"
+        above = f"(SELECT u.p FROM part_{k - 1} u WHERE u.a = n.p)" if k else "CAST(NULL AS BIGINT)"
+        steps.append((f"weigh_{k}", f"""SELECT n.message_role, n.p, n.n, {above} AS above, coalesce(c.k, 0) AS k,
+            n.n * CAST({step!r} AS DOUBLE) + CASE WHEN c.k = 1 THEN c1 ELSE 0.0 END AS chain,
+            CASE WHEN c.k = 1 THEN b1 WHEN c.k > 1 THEN worth ELSE 0.0 END AS below FROM node_{k} n LEFT JOIN ({child}) c ON c.p = n.p"""))
+    for k in range(TREE_LEVELS):
+        before = f"LEFT JOIN head_{k - 1} u ON u.p = w.above" if k else "LEFT JOIN (SELECT 0 AS k, 0 AS hl, CAST(0 AS BIGINT) AS hp, '' AS st WHERE false) u ON true"
+        steps.append((f"head_{k}", f"""SELECT w.message_role, w.p, w.n, w.k, w.chain, coalesce(u.k = 1, false) AS goes_on,
+            CASE WHEN u.k = 1 THEN u.hl ELSE {k} END AS hl, CASE WHEN u.k = 1 THEN u.hp ELSE w.p END AS hp,
+            CASE WHEN u.k = 1 THEN CASE WHEN u.st = 'split' THEN 'split' ELSE 'within' END
+                 WHEN u.st IS NOT NULL AND u.st <> 'split' THEN 'within'
+                 WHEN round(w.chain, 9) >= round(w.below, 9) THEN 'chosen' ELSE 'split' END AS st FROM weigh_{k} w {before}"""))
+    steps.append(("heads", " UNION ALL ".join(
+        f"SELECT message_role, {k} AS level, CAST({r!r} AS DOUBLE) AS radius, p, n, chain, st = 'chosen' AS chosen FROM head_{k} WHERE NOT goes_on"
+        for k, r in enumerate(radii))))
+    steps.append(("members", " UNION ALL ".join(
+        f"SELECT h.message_role, h.level, h.p, q.a AS row_index FROM heads h JOIN part_{k} q ON q.p = h.p WHERE h.level = {k} AND h.chosen"
+        for k in range(TREE_LEVELS))))
+    steps.append(("numbers", """SELECT level, p, CAST(row_number() OVER (PARTITION BY message_role ORDER BY count(*) DESC, min(row_index)) - 1 AS INTEGER)
+        AS topic_id FROM members GROUP BY message_role, level, p"""))
+    return tuple(steps)
+
+
+def _target_round(i: int, source: str) -> tuple[tuple[str, str], ...]:
+    cosine = "list_dot_product(a.c, b.c) / (sqrt(list_dot_product(a.c, a.c)) * sqrt(list_dot_product(b.c, b.c)))"
+    return (
+        _centroids(f"cen_{i}", source),
+        (f"near_{i}", f"""SELECT a.message_role, a.topic_id AS a, b.topic_id AS b, round({cosine}, 9) AS s FROM cen_{i} a JOIN cen_{i} b
+            ON a.message_role = b.message_role AND a.topic_id <> b.topic_id
+            QUALIFY row_number() OVER (PARTITION BY a.message_role, a.topic_id ORDER BY round({cosine}, 9) DESC, b.topic_id) = 1"""),
+        (f"over_{i}", f"SELECT message_role, count(*) - {TARGET_TOPICS} AS x FROM cen_{i} GROUP BY 1"),
+        (f"join_{i}", f"""SELECT message_role, a, b FROM (SELECT n.message_role, n.a, n.b, row_number() OVER (
+            PARTITION BY n.message_role ORDER BY n.s DESC, n.a) AS r FROM near_{i} n JOIN near_{i} m
+            ON m.message_role = n.message_role AND m.a = n.b AND m.b = n.a WHERE n.a < n.b) JOIN over_{i} USING (message_role) WHERE r <= x"""),
+        (f"emb_{i}", f"""SELECT e.row_index, e.message_role, coalesce(j.a, e.topic_id) AS topic_id, e.v FROM {source} e
+            LEFT JOIN join_{i} j ON j.message_role = e.message_role AND j.b = e.topic_id"""),
+    )
+
+
+TARGET_ROUNDS = 10  # more than the given tables need; a round without excess changes nothing
+
 ORACLE = {
     "lang_flags": query(PROBE, ("f", f"SELECT doc_id, {sql.language_columns('text')} FROM probe"),
                         body="SELECT * REPLACE (round(english_ratio, 6) AS english_ratio) FROM f"),
@@ -262,6 +351,45 @@ ORACLE = {
         LEFT JOIN (SELECT message_role, topic_id, string_agg(text, ' ' ORDER BY rank) AS t FROM best GROUP BY 1, 2) e
         USING (message_role, topic_id)"""),
     "density_clusters": _recursive(_EMB, *_density("emb", 0.15 * WIDTHS_PER_CELL), body="SELECT * FROM found"),
+    "neighbour_clusters": _recursive(*_GRAPH,
+        ("reach", "SELECT a, a AS p FROM core UNION SELECT l.b, r.p FROM reach r JOIN link l ON l.a = r.a WHERE r.p < l.b"),
+        ("part", "SELECT a, min(p) AS p FROM reach GROUP BY a"),
+        ("member", "SELECT a, p FROM part UNION ALL SELECT e.a, p.p FROM edge e JOIN part p ON p.a = e.nearest"),
+        ("sized", "SELECT message_role, p, count(*) AS n, min(a) AS f FROM member JOIN pts ON row_index = a GROUP BY 1, 2 HAVING count(*) >= 8"),
+        ("numbered", "SELECT p, CAST(row_number() OVER (PARTITION BY message_role ORDER BY n DESC, f) - 1 AS INTEGER) AS topic_id FROM sized"),
+        body="""SELECT s.row_index, s.message_role, coalesce(topic_id, -1) AS topic_id, s.row_index IN (SELECT a FROM core) AS is_core
+            FROM pts s LEFT JOIN member m ON m.a = s.row_index LEFT JOIN numbered USING (p)"""),
+    "cluster_tree": _recursive(*_tree_steps(), body="""SELECT s.row_index, s.message_role, coalesce(topic_id, -1) AS topic_id
+        FROM pts s LEFT JOIN members m USING (row_index) LEFT JOIN numbers n ON n.level = m.level AND n.p = m.p"""),
+    "cluster_tree_nodes": _recursive(*_tree_steps(), body="""SELECT message_role, h.level, round(radius, 9) AS radius, n AS size,
+        round(chain, 6) AS stability, chosen, topic_id FROM heads h LEFT JOIN numbers b ON b.level = h.level AND b.p = h.p"""),
+    "spread_seeds": _recursive(*_GRAPH,
+        ("cells", f"SELECT row_index, message_role, {', '.join(f'floor({c} / {_CELL!r}) AS c{c}' for c in 'xyz')} FROM pts"),
+        ("dense", "SELECT message_role, cx, cy, cz, min(row_index) AS s FROM cells GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4"),
+        ("place", """SELECT c.row_index AS a, coalesce(d.s, c.row_index) AS s FROM cells c LEFT JOIN dense d USING (message_role, cx, cy, cz)
+            WHERE c.row_index IN (SELECT a FROM core)"""),
+        ("weight", "SELECT s, count(*) AS n FROM place GROUP BY s"),
+        ("touch", "SELECT DISTINCT x.s AS u, y.s AS v FROM link l JOIN place x ON x.a = l.a JOIN place y ON y.a = l.b WHERE x.s <> y.s"),
+        ("seeds", "SELECT row_index AS a, CAST(floor(row_index / 20) % 3 AS INTEGER) AS seed FROM pts WHERE row_index % 20 = 0"),
+        ("step_0", """SELECT s, seed, 0 AS step FROM (SELECT s, seed, row_number() OVER (PARTITION BY s ORDER BY count(*) DESC, seed) AS r
+            FROM seeds JOIN place USING (a) GROUP BY s, seed) WHERE r = 1"""),
+        *[(f"step_{k}", f"""SELECT s, seed, step FROM step_{k - 1} UNION ALL SELECT s, seed, {k} FROM (
+            SELECT t.v AS s, p.seed, row_number() OVER (PARTITION BY t.v ORDER BY sum(w.n) DESC, p.seed) AS r FROM touch t
+            JOIN step_{k - 1} p ON p.s = t.u JOIN weight w ON w.s = t.u
+            WHERE t.v NOT IN (SELECT s FROM step_{k - 1}) GROUP BY t.v, p.seed) WHERE r = 1""") for k in range(1, SPREAD_STEPS + 1)],
+        ("taken", f"SELECT * FROM step_{SPREAD_STEPS}"),
+        ("own", "SELECT a, s FROM place UNION ALL SELECT e.a, p.s FROM edge e JOIN place p ON p.a = e.nearest"),
+        body="""SELECT q.row_index, q.message_role, coalesce(d.seed, t.seed) AS spread_topic,
+            CASE WHEN d.seed IS NOT NULL THEN 0 ELSE t.step END AS spread_step FROM pts q LEFT JOIN seeds d ON d.a = q.row_index
+            LEFT JOIN own o ON o.a = q.row_index LEFT JOIN taken t ON t.s = o.s"""),
+    "blend_seeds": query(
+        ("e", "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"),
+        body="""SELECT e.vec_id AS row_index, array_to_string(list_transform(CASE WHEN s.v IS NULL THEN e.v ELSE
+            list_transform(list_zip(e.v, s.v), lambda p: (p[1] * 3.0 + p[2] * 1.0) / 4.0) END,
+            lambda x: CAST(CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS VARCHAR)), ' ') AS vector_millionths
+            FROM e LEFT JOIN e s ON s.vec_id < 3 AND s.vec_id = e.vec_id % 4"""),
+    "topics_to_target": query(_LETTERS, *[part for i in range(1, TARGET_ROUNDS + 1) for part in _target_round(i, f"emb_{i - 1}" if i > 1 else "emb")],
+        body=f"SELECT row_index, message_role, topic_id FROM emb_{TARGET_ROUNDS}"),
     "topic_chain": _recursive(_LINKED, *_density("linked", CHAIN_WIDTH * WIDTHS_PER_CELL),
         ("chained", "SELECT f.row_index, f.message_role, f.topic_id, l.text FROM found f JOIN linked l USING (row_index)"),
         *sql.term_steps("chained"), sql.KEYWORDS,

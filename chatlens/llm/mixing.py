@@ -147,6 +147,8 @@ def choose_copies(
     units = materialise(units, "mix-units")
     targets = materialise(source_targets(units, weights, share, most), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # A rate that misses a whole number by rounding only is that number.
+    rate = F.when(F.abs(rate - F.round(rate)) <= _NEAR, F.round(rate)).otherwise(rate)
     t = targets.withColumnRenamed("source", "_source")
     rated = units.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_rate", rate)
     rated = rated.withColumn("certain", F.floor("_rate").cast("int")).withColumn(

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.llm.texts import map_columns, mixed, window_hashes, word_hashes, word_pieces
+from chatlens.llm.texts import words as words_of
 from chatlens.session import materialise
 
 WIDTH = 20
@@ -159,23 +160,39 @@ _SPANS = "array<struct<start:int,end:int>>"
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (removed word ranges, end exclusive) and kept_sha256 of each row.
+    """doc_id, digest, n_words, n_removed, spans (removed word ranges, end exclusive) and kept_sha256 of each row.
 
     A word is removed if it is covered by a window whose words also start earlier: in a document
     with a smaller id, or before it in the same one. Null, empty and short texts lose nothing.
-    Rows without an id are compared with nothing and lose nothing. Repeated rows of an id are one
-    document and get the same answer. Only doc_id and the text are read, so other columns cannot
-    clash. An empty table gives an empty result.
+    Rows without an id are compared with nothing and lose nothing. Equal rows of an id are one
+    document and get the same answer. If an id has several texts, the one whose words have the
+    smallest digest is the document; its other texts are compared with nothing and lose nothing.
+    Only doc_id and the text are read, so other columns cannot clash. An empty table gives an empty
+    result.
     """
     measured = materialise(map_columns(
         docs, [text], "n_words long, digest binary", _measure, keep=["doc_id"]), "passages-base")
+    # Ids with several texts, and the digest of the one that counts.
+    several = materialise(measured.filter("doc_id is not null and n_words > 0").groupBy("doc_id").agg(
+        F.min("digest").alias("chosen"), F.max("digest").alias("_last")).filter(F.col("chosen") != F.col("_last")).drop("_last"),
+        "passages-several")
+    source = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text"))
+    if several.isEmpty():
+        measured = measured.withColumn("counts", F.col("doc_id").isNotNull())
+    else:
+        own = measured.join(several, "doc_id", "left")
+        measured = materialise(own.withColumn(
+            "counts", F.col("doc_id").isNotNull() & (F.col("digest") == F.coalesce("chosen", "digest"))).drop("chosen"), "passages-chosen")
+        among = map_columns(source.join(several, "doc_id"), ["text"], "n_words long, digest binary", _measure)
+        source = source.join(several, "doc_id", "left_anti").unionByName(
+            among.filter(F.col("digest") == F.col("chosen")).select("doc_id", "text"))
+
     # A later copy of a whole text is removed whole; only the first one needs a closer look.
-    firsts = measured.filter((F.col("n_words") >= width) & F.col("doc_id").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    copies = measured.join(firsts.filter("n > 1"), "digest").filter("doc_id > first").select("doc_id").distinct()
+    counted = measured.filter((F.col("n_words") >= width) & F.col("counts"))
+    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    copies = counted.join(firsts.filter("n > 1"), "digest").filter("doc_id > first").select("doc_id").distinct()
     copies = materialise(copies, "passages-copies")
 
-    source = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text"))
     anchors = source.mapInArrow(_anchors(width), "anchor long, doc_id long, at int, n int")
     times = F.sum("n").over(Window.partitionBy("anchor"))
     repeated = anchors.withColumn("times", times).filter("times > 1").groupBy("doc_id").agg(
@@ -192,18 +209,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
         f"n_removed long, spans {_SPANS}, kept_sha256 string", _cut(width), keep=["doc_id"])
     whole = copies.withColumn("whole", F.lit(True))
     out = measured.join(cut, "doc_id", "left").join(whole, "doc_id", "left")
-    gone = F.col("whole").isNotNull()
+    gone, counts = F.col("counts") & F.col("whole").isNotNull(), F.col("counts")
+    own = lambda c, other: F.coalesce(F.when(counts, F.col(c)), other)
     return out.select(
-        "doc_id", "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        "doc_id", "digest", "n_words",
+        F.when(gone, F.col("n_words")).otherwise(own("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))))
-        .otherwise(F.coalesce("spans", F.array().cast(_SPANS))).alias("spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        .otherwise(own("spans", F.array().cast(_SPANS))).alias("spans"),
+        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(own("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
     )
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the words outside of ``spans(doc_id, spans)`` joined by one space as ``text``."""
+    """``docs`` with the words outside of ``spans(doc_id, digest, spans)`` joined by one space as ``text``."""
 
     def run(texts: pa.Array, found: pa.Array):
         out = []
@@ -216,6 +234,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataF
             out.append(b" ".join(left + words[end:]).decode())
         return [out]
 
-    one = spans.select("doc_id", F.col("spans").alias("_spans")).dropDuplicates(["doc_id"])
-    joined = docs.join(one, "doc_id", "left").select(*docs.columns, "_spans")
+    # Rows of one id may hold several texts, told apart by the digest of their words.
+    one = spans.select("doc_id", F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).dropDuplicates(["doc_id", "_digest"])
+    digest = F.unhex(F.sha2(F.array_join(words_of(F.col(f"`{text}`")), " "), 256))
+    joined = docs.withColumn("_digest", digest).join(one, ["doc_id", "_digest"], "left").select(*docs.columns, "_spans")
     return map_columns(joined, [text, "_spans"], f"`{text}` string", run, [c for c in docs.columns])

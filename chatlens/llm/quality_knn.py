@@ -139,10 +139,15 @@ def _terms(texts: pa.Array):
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", per_label: int = SAMPLE_PER_LABEL, axes: int = AXES) -> Model:
-    """The model of a bounded sample; at most 2 * per_label term vectors of fixed size reach the driver."""
-    # Both sides of the sample have a fixed bound, which is what makes the broadcast safe.
+    """The model of a bounded sample; at most 2 * per_label term vectors of fixed size reach the driver.
+
+    A document votes once: of an id's rows, the one whose text has the smallest digest is learned from.
+    """
+    # The sample has a fixed bound, which is what makes the broadcast safe.
     sample = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(training_sample(labels, per_label)), "doc_id")
-    rows = map_columns(sample, ["text"], "terms binary", _terms, keep=["doc_id", "label"]).collect()
+    # Equal texts of an id are one; of different ones only the digests meet, and one text is left per id.
+    one = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text"))
+    rows = map_columns(one, ["text"], "terms binary", _terms, keep=["doc_id", "label"]).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
     terms = np.array([np.frombuffer(r.terms, np.float32) for r in rows], float).reshape(len(rows), TERMS)
     return fit_terms(terms, np.array([r.label for r in rows], float), axes)

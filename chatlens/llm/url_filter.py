@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.texts import map_columns
+from chatlens.llm.texts import map_columns, mixed
 from chatlens.session import materialise
 
 # Words in host names of advertising, gambling, malware and adult sites.
@@ -118,25 +119,73 @@ def with_seeds(counted: DataFrame, seeds: Sequence[str] = SEEDS) -> tuple[DataFr
     return counted, total + sum(lifted.values()) - sum(own.values())
 
 
+_FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_AT_ONCE = 1 << 18  # hashes that leave a task in one batch
+
+
+def part_hashes(text: str, lengths: Sequence[int]) -> Iterator[np.ndarray]:
+    """The distinct hashes of all parts of ``text`` with one of these lengths, length by length.
+
+    Equal parts have equal hashes wherever they stand; memory stays in proportion to the text.
+    """
+    letters = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n = len(letters)
+
+    def powers(of: int) -> np.ndarray:
+        return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, of, np.uint64))), dtype=np.uint64)
+
+    with np.errstate(over="ignore"):
+        up, total = powers(_FACTOR), np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * powers(_INVERSE)[:n], dtype=np.uint64)))
+        for k in lengths:
+            if k <= n:
+                yield np.unique(mixed((total[k:] - total[:-k]) * up[k - 1:n] ^ np.uint64(k)))
+
+
+def _hash_whole(words: pa.Array):
+    return [[int(next(part_hashes(w, [len(w)])).view(np.int64)[0]) if w else 0 for w in words.to_pylist()]]
+
+
+def parts_of(names: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """``id, h``: the hashes of all parts of the runs ``names(id, run)`` with one of these lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes, held = [], [], 0
+            for i, name in zip(batch.column("id").to_pylist(), batch.column("run").to_pylist()):
+                for found in part_hashes(name, lengths):
+                    ids.append(np.full(len(found), i, np.int64))
+                    hashes.append(found.view(np.int64))
+                    held += len(found)
+                    if held >= _AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, hashes)], names=["id", "h"])
+                        ids, hashes, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, hashes)], names=["id", "h"])
+
+    return names.select("id", "run").mapInArrow(run, "id long, h long")
+
+
 def split_names(names: DataFrame, dictionary: DataFrame, total: float) -> DataFrame:
-    """``run, words``: each distinct run of letters (stored) with its segmentation.
+    """``run, words``: each distinct run of letters, ``names(id, run)``, stored, with its segmentation.
 
-    Each run meets the dictionary words inside it by a join on its substrings, so the dictionary
-    has no bound. Only lengths that the dictionary has are tried.
+    Each run meets the dictionary words inside it through the hashes of its parts, so the dictionary
+    has no bound and a long run costs a number per part, not a copy of itself. Only lengths that the
+    dictionary has are tried. A word that only shares a hash with a part is never used by the split.
     """
     longest = names.agg(F.max(F.length("run"))).first()[0] or 0
-    lengths = [r.k for r in dictionary.select(F.length("w").alias("k")).filter(F.col("k") <= longest).distinct().collect()]
-    tried = names.select("run", F.explode(F.lit(sorted(lengths)).cast("array<int>")).alias("k")).filter(F.length("run") >= F.col("k"))
-    inside = tried.select("run", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("run") - F.col("k") + 1), lambda i: F.substr(F.col("run"), i, F.col("k"))))).alias("w"))
-    found = inside.join(dictionary, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("found"))
+    hashed = materialise(map_columns(dictionary.filter(F.length("w") <= longest), ["w"], "h long", _hash_whole), "url-dictionary")
+    lengths = sorted(r.k for r in hashed.select(F.length("w").alias("k")).distinct().collect())
+    # Stored first, so that a join knows how large it is.
+    parts = materialise(parts_of(names, lengths), "url-hashes")
+    found = parts.join(hashed, "h").groupBy("id").agg(F.collect_list(F.struct("w", "n")).alias("found"))
 
     def run(runs: pa.Array, known: pa.Array):
         return [[
             Segmenter({x["w"]: x["n"] for x in k or ()}, total).split(r) for r, k in zip(runs.to_pylist(), known.to_pylist())
         ]]
 
-    return map_columns(names.join(found, "run", "left"), ["run", "found"], "words array<string>", run, keep=["run"])
+    return map_columns(names.join(found, "id", "left"), ["run", "found"], "words array<string>", run, keep=["run"])
 
 
 def distinct_urls(parts: DataFrame) -> DataFrame:
@@ -211,13 +260,14 @@ def judge_urls(
 
     The rule decides where one fits; elsewhere the url is blocked if its log-odds exceed
     ``threshold``. A null url or one without ``://`` has an empty host and path and is judged by
-    the prior alone. Repeated rows are judged alike; columns named like an output are replaced. The
+    the prior alone. Urls and words may be of any length. Repeated rows are judged alike; columns named like an output are replaced. The
     page text is read for the dictionary and not returned.
     """
     parts = pages.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
     dictionary, total = with_seeds(word_counts(parts, html), seeds)
     urls = materialise(distinct_urls(parts), "url-names")
-    names = materialise(urls.select(F.explode("runs.run").alias("run")).distinct(), "url-parts")
+    names = urls.select(F.explode("runs.run").alias("run")).distinct()
+    names = materialise(names.withColumn("id", F.monotonically_increasing_id()), "url-parts")
     split = materialise(split_names(names, dictionary, total), "url-split")
     classes = materialise(run_classes(urls, split, seeds), "url-classes")
     odds, prior = fit(classes, split)

@@ -1,10 +1,15 @@
-"""Approximate nearest neighbours with a permutation index.
+"""Approximate nearest neighbours by inner product with a permutation index.
 
-Each vector is represented by the order of its nearest pivots. A block of vectors posts its
-members in one inverted file per pivot, with the place that the pivot has in their order. A
-query walks the files of its own nearest pivots and adds up, for each member it meets, how
+Each vector is represented by the order of its nearest pivots, computed once. A block of vectors
+posts its members in one inverted file per pivot, with the place that the pivot has in their order.
+A query walks the files of its own nearest pivots and adds up, for each member it meets, how
 close the two places are, which is the footrule distance of the two orders up to a constant.
-The members with the smallest footrule distance are ranked again by exact inner products.
+
+Orders see directions only, while the product also grows with a vector's length. So each block
+measures on a few of its queries how the cosine depends on the footrule distance (a straight line)
+and ranks its members by length times expected cosine. The first members of that ranking are ranked
+again by exact products: as many as the same queries needed to find the wanted share of their true
+nearest, so the share follows from the data of the block, not from a constant.
 
 Pivots are a bounded sample; all rows are indexed. The queries are a stated set that meets
 every block of rows, block against block, and each block answers with its best few.
@@ -20,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlens.llm.texts import map_columns
 from chatlens.session import materialise
 
 PIVOTS = 256  # bound of the sample that is collected and sent to the tasks
 PREFIX = 64  # nearest pivots that represent a vector
-RERANK = 0.12  # share of a block that is ranked by exact products
+TARGET = 0.95  # share of the true nearest of a block that its exact ranking must see
+PROBES = 16  # queries of a block on which that is measured
 LEAST_RERANK = 256
 ROW_BLOCK, QUERY_BLOCK = 8192, 2048
 
@@ -67,8 +74,8 @@ def post(orders: np.ndarray, pivots: int) -> list[tuple[np.ndarray, np.ndarray]]
     return [(members[by_pivot[a:b]], places[by_pivot[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def footrule_order(files: list, order: np.ndarray, n: int, prefix: int, most: int) -> np.ndarray:
-    """The ``most`` members with the smallest footrule distance to a query's order.
+def footrule_gains(files: list, order: np.ndarray, n: int, prefix: int) -> np.ndarray:
+    """How close the order of each of ``n`` members is to a query's; greater means closer.
 
     A pivot outside one of the two prefixes counts as if it stood just behind it, so each
     shared pivot lowers the distance by ``prefix - |difference of places|`` and a bit more.
@@ -77,22 +84,64 @@ def footrule_order(files: list, order: np.ndarray, n: int, prefix: int, most: in
     for place, pivot in enumerate(order.tolist()):
         members, places = files[pivot]
         gain[members] += 2 * prefix - place - places - np.abs(places - place)
-    if most >= n:
-        return np.arange(n)
-    return np.argpartition(-gain, most - 1)[:most]
+    return gain
+
+
+class Ranking:
+    """Ranks the members of a block by length times the cosine that their footrule distance suggests."""
+
+    def __init__(self, x: np.ndarray, files: list, prefix: int, probes: np.ndarray, orders: np.ndarray, k: int, target: float, least: int):
+        self.files, self.n, self.prefix = files, len(x), prefix
+        self.lengths = np.linalg.norm(x, axis=1)
+        exact = probes @ x.T
+        cosines = exact / (np.linalg.norm(probes, axis=1, keepdims=True) * self.lengths)
+        gains = np.stack([footrule_gains(files, o, self.n, prefix) for o in orders]).astype(float)
+        spread = gains.var()
+        self.slope = float(((gains - gains.mean()) * (cosines - cosines.mean())).mean() / spread) if spread > 0 else 0.0
+        self.start = float(cosines.mean() - self.slope * gains.mean())
+        # Where the true nearest of the probes stand in this ranking.
+        places = []
+        for scores, gain in zip(exact, gains):
+            place = np.empty(self.n, int)
+            place[np.argsort(-self.expected(gain), kind="stable")] = np.arange(self.n)
+            places.append(place[np.argsort(-scores, kind="stable")[:k]])
+        self.most = min(self.n, max(least, 1 + int(np.quantile(np.concatenate(places), target))))
+
+    def expected(self, gain: np.ndarray) -> np.ndarray:
+        return self.lengths * (self.start + self.slope * gain)
+
+    def first(self, order: np.ndarray) -> np.ndarray:
+        """The members that are ranked again for a query with this order."""
+        if self.most >= self.n:
+            return np.arange(self.n)
+        expected = self.expected(footrule_gains(self.files, order, self.n, self.prefix))
+        return np.sort(np.argpartition(-expected, self.most - 1)[:self.most])
+
+
+def _orders(pivots: np.ndarray, prefix: int):
+    def run(vectors: pa.Array):
+        x = np.array(vectors.to_pylist(), float)
+        return [[o.tobytes() for o in nearest_pivots(x, pivots, prefix)]]
+    return run
+
+
+def _matrices(frame: pd.DataFrame, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    orders = np.frombuffer(b"".join(frame["places"]), np.int16).reshape(len(frame), prefix)
+    return np.stack(frame["v"].to_numpy()), orders
 
 
-def _search_block(pivots: np.ndarray, prefix: int, share: float, least: int, k: int):
+def _search_block(pivots: int, prefix: int, target: float, least: int, k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "rep": [], "score": []}
         if len(rows) and len(queries):
             rows, queries = rows.sort_values("rep"), queries.sort_values("query")
-            x, q = np.stack(rows["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-            reps, n = rows["rep"].to_numpy(), len(rows)
-            files = post(nearest_pivots(x, pivots, prefix), len(pivots))
-            most = min(n, max(least, int(np.ceil(share * n))))
-            for query, vector, order in zip(queries["query"], q, nearest_pivots(q, pivots, prefix)):
-                found = np.sort(footrule_order(files, order, n, prefix, most))
+            (x, orders), (q, asked) = _matrices(rows, prefix), _matrices(queries, prefix)
+            reps, files = rows["rep"].to_numpy(), post(orders, pivots)
+            # Queries come in the order of their ids; the probes are spread over them.
+            probes = np.unique(np.linspace(0, len(q) - 1, PROBES).astype(int))
+            ranking = Ranking(x, files, prefix, q[probes], asked[probes], k, target, least)
+            for query, vector, order in zip(queries["query"], q, asked):
+                found = ranking.first(order)
                 scores = np.einsum("ij,j->i", x[found], vector)
                 best = np.lexsort((reps[found], -scores))[:k]
                 out["query"] += [query] * len(best)
@@ -104,7 +153,7 @@ def _search_block(pivots: np.ndarray, prefix: int, share: float, least: int, k:
 
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
-    pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, least_rerank: int = LEAST_RERANK,
+    pivots: int = PIVOTS, prefix: int = PREFIX, target: float = TARGET, least_rerank: int = LEAST_RERANK,
     row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found for each query.
@@ -112,7 +161,8 @@ def nearest(
     ``is_query`` is a condition on ``vec_id``. Equal vectors are indexed and searched once, under
     their smallest id; the ``k + 1`` smallest ids of each are enough for any answer, because ties
     go to the smaller id and only the query itself is left out. Repeated rows of an id with one
-    vector count once. Only the two named columns are read. No usable row gives an empty result.
+    vector count once. Vectors may differ in length: products decide, not cosines. Only the two
+    named columns are read. No usable row gives an empty result.
     """
     good = usable(vectors, vec_id, vector)
     # Equal vectors have equal text; the id lists are cut before the shuffle by the rank filter.
@@ -124,17 +174,18 @@ def nearest(
     members = stored.filter(is_query).join(groups.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"))
     chosen = choose_pivots(groups, pivots)
     prefix = min(prefix, max(len(chosen), 1))
-    asked = members.select(F.col("query").alias("rep")).distinct().join(groups, "rep").select(F.col("rep").alias("query"), "v")
+    indexed = materialise(map_columns(groups.select("rep", "v"), ["v"], "places binary", _orders(chosen, prefix)), "ann-orders")
+    asked = members.select(F.col("query").alias("rep")).distinct().join(indexed, "rep").select(F.col("rep").alias("query"), "v", "places")
     asked = materialise(asked, "ann-queries")
 
     n_rows, n_queries = groups.count(), asked.count()
     row_blocks, query_blocks = -(-n_rows // row_block) or 1, -(-n_queries // query_block) or 1
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = groups.select("rep", "v", block("rep", row_blocks).alias("rb")).withColumn("qb", every(query_blocks))
-    right = asked.select("query", "v", block("query", query_blocks).alias("qb")).withColumn("rb", every(row_blocks))
+    left = indexed.select("rep", "v", "places", block("rep", row_blocks).alias("rb")).withColumn("qb", every(query_blocks))
+    right = asked.select("query", "v", "places", block("query", query_blocks).alias("qb")).withColumn("rb", every(row_blocks))
     found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(
-        _search_block(chosen, prefix, rerank, least_rerank, k + 1), "query long, rep long, score double")
+        _search_block(len(chosen), prefix, target, least_rerank, k + 1), "query long, rep long, score double")
     # k + 1 groups per query: one of them may be the query's own vector.
     top = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     best = materialise(found.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= k + 1), "ann-best")

@@ -22,9 +22,19 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows without an id stay."""
+    """The document with the smallest id of each group of near-duplicates; rows without an id stay.
+
+    Of rows with one id and one text, one stays.
+    """
     gone = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.select(*DOCUMENT).join(gone, "doc_id", "left_anti")
+    kept = docs.select(*DOCUMENT).join(gone, "doc_id", "left_anti")
+    repeated = materialise(
+        docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(
+        F.min(F.struct(*DOCUMENT[2:])).alias("_rest")).select("doc_id", "text", "_rest.*")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,6 +104,9 @@ PHRASE_TOKENS = [
     ("login issue", "login_issue"),
 ]
 
+# Endings of English plural nouns and what stands in their place in the singular.
+DETACHMENTS = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")]
+
 # Irregular English plurals for the built-in lemmatiser.
 # Nouns that the suffix rules would get wrong.
 IRREGULAR_NOUNS = {
@@ -206,6 +209,7 @@ AGENCY_NEUTRAL_BAND = 0.15
 AGENCY_MAX_TOKENS = 256
 AGENCY_BATCH_SIZE = 32
 SENTIMENT_BATCH_SIZE = 16
+SENTIMENT_MAX_TOKENS = 512
 SENTIMENT_LABELS = ["1 star", "2 stars", "3 stars", "4 stars", "5 stars"]
 HISTOGRAM_BINS = 40
 SAMPLE_SEED = 42

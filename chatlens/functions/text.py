@@ -210,8 +210,43 @@ def lemmatise_with(df: DataFrame, id_col: str, text_col: str, dictionary: DataFr
     found = attach_by_key(words, counts.select("form", "lemma"), "form", counts.select("form", "n_rows"), (id_col, "_pos"))
     joined = found.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("w")))).alias("_parts")
-    ).select(id_col, F.array_join(F.col("_parts.w"), " ").alias("lemmas"))
-    return df.join(joined, id_col, "left").withColumn(text_col, F.coalesce("lemmas", F.lit(""))).drop("lemmas")
+    ).select(id_col, F.array_join(F.col("_parts.w"), " ").alias("_lemmas"))
+    return df.join(joined, id_col, "left").withColumn(text_col, F.coalesce("_lemmas", F.lit(""))).drop("_lemmas")
+
+
+def lexicon_lemmas(
+    words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None,
+    detachments: Sequence[tuple[str, str]] = fv.DETACHMENTS,
+) -> DataFrame:
+    """``form, lemma`` of the distinct ``words(form)`` that ``lexicon(word)`` confirms.
+
+    Candidates of a form are the form itself and what each detachment rule leaves of it. An entry of
+    ``exceptions(form, lemma)`` decides first; else the shortest candidate that the lexicon lists
+    counts, ties in alphabetical order. Forms without a confirmed candidate have no row. All
+    candidates are exploded once, so lexicon and exceptions may be of any size.
+    """
+    form = F.col("form")
+    stem = lambda ending, instead: F.concat(_without_last(form, len(ending)), F.lit(instead))
+    tried = F.array_compact(F.array(form, *[
+        F.when(form.endswith(ending) & (F.length(form) > len(ending) - len(instead)), stem(ending, instead)) for ending, instead in detachments]))
+    distinct = words.select("form").filter(form.isNotNull() & (form != "")).distinct()
+    candidates = distinct.select("form", F.explode(F.array_distinct(tried)).alias("lemma"))
+    found = candidates.join(lexicon.select(F.col("word").alias("lemma")).distinct(), "lemma", "left_semi").groupBy("form").agg(
+        F.min(F.struct(F.length("lemma").alias("n"), "lemma"))["lemma"].alias("lemma"))
+    if exceptions is None:
+        return found
+    first = exceptions.groupBy("form").agg(F.min(F.struct(F.length("lemma").alias("n"), "lemma"))["lemma"].alias("_first"))
+    chosen = distinct.join(found, "form", "left").join(first, "form", "left")
+    return chosen.select("form", F.coalesce("_first", "lemma").alias("lemma")).filter(F.col("lemma").isNotNull())
+
+
+def lemmatise_by_lexicon(
+    df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, exceptions: DataFrame | None = None,
+    detachments: Sequence[tuple[str, str]] = fv.DETACHMENTS,
+) -> DataFrame:
+    """Lemmatise with base forms instead of a finished dictionary; unknown words stay as they are."""
+    forms = df.select(F.explode(tokens(F.col(text_col))).alias("form"))
+    return lemmatise_with(df, id_col, text_col, lexicon_lemmas(forms, lexicon, exceptions, detachments))
 
 
 def clean_message(

@@ -7,13 +7,13 @@ from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import chatlens
 from chatlens.operators.joins import HOT_ROWS, attach_by_key, text_key
-from chatlens.session import materialise
+from chatlens.session import is_stored, materialise
 
 # Functions of this package travel with the job, so workers need no installed copy.
 cloudpickle.register_pickle_by_value(chatlens)
@@ -22,6 +22,8 @@ Model = Callable[[list[str]], Sequence[Any]]
 
 # A lost task repeats at most about this many model calls.
 TEXTS_PER_TASK = 2000
+# Answers that are kept at a time in a run that can be resumed.
+TEXTS_PER_COMMIT = 100_000
 
 
 def as_model(model: Any) -> Model:
@@ -42,6 +44,16 @@ def distinct_texts(df: DataFrame, text_col: str, first_by: str | None = None) ->
     return df.select(F.col(text_col).alias("text"), *([first_by] if first_by else [])).groupBy("text").agg(*aggregates)
 
 
+class WordTokenizer:
+    """The built-in tokenizer: words between blanks."""
+
+    def encode(self, text: str) -> list[str]:
+        return text.split()
+
+    def decode(self, tokens: Sequence[str]) -> str:
+        return " ".join(tokens)
+
+
 def run_model(
     texts: DataFrame,
     load_model: Callable[[], Any],
@@ -49,38 +61,96 @@ def run_model(
     batch_size: int,
     partitions: int | None = None,
     texts_per_task: int = TEXTS_PER_TASK,
+    max_tokens: int | None = None,
+    load_tokenizer: Callable[[], Any] = WordTokenizer,
+    stored: bool = False,
 ) -> DataFrame:
     """Add the model's columns to a table with a ``text`` column.
 
     The model is loaded once per task and called with lists of at most
     ``batch_size`` texts. Rows are spread evenly first, because the cost is per
     text and not per byte, so the partitions must not be merged by size. The
-    texts are stored and counted, and the number of tasks follows from that.
+    texts are stored and counted, and the number of tasks follows from that; ``stored`` says that
+    ``texts`` reads a stored table, so counting it is cheap and no copy is needed.
+
+    With ``max_tokens`` the model sees at most so many tokens of a text, as the tokenizer (an object
+    with ``encode`` and ``decode``, loaded once per task) counts them; shorter texts are passed
+    unchanged. Batches are then formed by length, longest first, so that a model which pads its
+    input wastes little; answers return to their rows.
     """
     names = result.fieldNames()
     single = len(names) == 1
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = as_model(load_model())
+        tokenizer = load_tokenizer() if max_tokens is not None else None
         for frame in batches:
-            found: list[Any] = []
             texts_here = frame["text"].tolist()
-            for start in range(0, len(texts_here), batch_size):
-                batch = texts_here[start:start + batch_size]
-                answers = list(model(batch))
-                if len(answers) != len(batch):
-                    raise RuntimeError(f"model returned {len(answers)} results for {len(batch)} texts")
-                found.extend((a,) if single else tuple(a) for a in answers)
+            order = list(range(len(texts_here)))
+            if tokenizer is not None:
+                parts = [tokenizer.encode(t) for t in texts_here]
+                texts_here = [tokenizer.decode(p[:max_tokens]) if len(p) > max_tokens else t for p, t in zip(parts, texts_here)]
+                order.sort(key=lambda i: -min(len(parts[i]), max_tokens))
+            found: list[Any] = [None] * len(texts_here)
+            for start in range(0, len(order), batch_size):
+                places = order[start:start + batch_size]
+                answers = list(model([texts_here[i] for i in places]))
+                if len(answers) != len(places):
+                    raise RuntimeError(f"model returned {len(answers)} results for {len(places)} texts")
+                for i, a in zip(places, answers):
+                    found[i] = (a,) if single else tuple(a)
             scored = pd.DataFrame(found, columns=names, index=frame.index)
             yield pd.concat([frame, scored], axis=1)
 
-    if partitions is None:
+    if partitions is None and not stored:
         texts = materialise(texts, "model-texts")
     n = partitions or max(texts.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // texts_per_task))
     schema = T.StructType(texts.schema.fields + result.fields)
     return texts.repartition(n).mapInPandas(score, schema)
 
 
+def run_resumable(
+    texts: DataFrame,
+    load_model: Callable[[], Any],
+    result: T.StructType,
+    batch_size: int,
+    folder: str,
+    texts_per_commit: int = TEXTS_PER_COMMIT,
+    partitions: int | None = None,
+    settled: Column | None = None,
+) -> DataFrame:
+    """:func:`run_model` whose answers are kept in ``folder`` as they come.
+
+    ``texts(text_key, text)`` has one row per key. Texts that the folder answers are not called
+    again. The others go in parts by a hash of the key, and the answers of a part are appended when
+    it is done; if a run stops, the next one with the same folder calls only what is missing.
+    ``settled`` says which answers count; others are asked again in a later run and replaced if that
+    helps. The folder belongs to one model and stays until its owner removes it.
+    """
+    spark = texts.sparkSession
+    schema = T.StructType([f for f in texts.schema.fields if f.name in ("text_key", "text")] + result.fields)
+    good = settled if settled is not None else F.lit(True)
+    texts = materialise(texts, "texts-to-answer")
+
+    def answered() -> DataFrame:
+        if not is_stored(spark, folder):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(folder)
+
+    open_texts = texts.join(answered().filter(good).select("text_key"), "text_key", "left_anti").select("text_key", "text")
+    parts = -(-open_texts.count() // texts_per_commit)
+    dealt = materialise(open_texts.withColumn("_part", F.pmod(F.xxhash64("text_key"), F.lit(max(parts, 1)))), "open-texts")
+    for part in range(parts):
+        asked = dealt.filter(F.col("_part") == part).drop("_part")
+        run_model(asked, load_model, result, batch_size, partitions, stored=True).select(schema.fieldNames()).write.mode("append").parquet(folder)
+    mine = answered().join(texts.select("text_key"), "text_key", "left_semi")
+    sure = mine.filter(good).dropDuplicates(["text_key"])
+    rest = mine.filter(~F.coalesce(good, F.lit(False))).dropDuplicates(["text_key"]).join(sure.select("text_key"), "text_key", "left_anti")
+    both = sure.unionByName(rest).select(schema.fieldNames())
+    others = [c for c in texts.columns if c not in schema.fieldNames()]
+    return both.join(texts.select("text_key", *others), "text_key") if others else both
+
+
 def score_texts(
     df: DataFrame,
     text_col: str,
@@ -90,6 +160,7 @@ def score_texts(
     spread_by: Sequence[str] = ("row_index",),
     partitions: int | None = None,
     hot_rows: int = HOT_ROWS,
+    **run_options: Any,
 ) -> DataFrame:
     """Add model columns to every row of ``df``; each distinct text is scored once.
 
@@ -98,7 +169,7 @@ def score_texts(
     """
     scored = materialise(
         run_model(distinct_texts(df.filter(F.col(text_col).isNotNull()), text_col), load_model, result, batch_size,
-                  partitions)
+                  partitions, **run_options)
         .withColumn("text_key", text_key(F.col("text"))).drop("text"),
         "scored-texts",
     )

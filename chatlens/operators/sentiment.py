@@ -13,7 +13,7 @@ from chatlens import fixed_values as fv
 from chatlens.functions.text import count_in, evaluated_once, latin_words
 from chatlens.operators.cleaning import nonblank
 from chatlens.operators.joins import exact_median
-from chatlens.operators.scoring import score_texts
+from chatlens.operators.scoring import WordTokenizer, score_texts
 
 MODEL_RESULT = T.StructType([
     T.StructField("sentiment_label", T.StringType()), T.StructField("sentiment_score", T.DoubleType()),
@@ -46,13 +46,19 @@ def sentiment_messages(
     long: DataFrame,
     load_model: Callable[[], Any] | None = None,
     batch_size: int = fv.SENTIMENT_BATCH_SIZE,
+    max_tokens: int | None = fv.SENTIMENT_MAX_TOKENS,
+    load_tokenizer: Callable[[], Any] = WordTokenizer,
     **word_lists: Sequence[str],
 ) -> DataFrame:
-    """Score every non-blank message; with no model the word lists are used."""
+    """Score every non-blank message; with no model the word lists are used.
+
+    A model sees at most ``max_tokens`` tokens of a message, counted by its tokenizer; the word
+    lists look at the whole message.
+    """
     rows = nonblank(long, "text")
     scored = (
         score_by_words(rows, "text", **word_lists) if load_model is None
-        else score_texts(rows, "text", load_model, MODEL_RESULT, batch_size)
+        else score_texts(rows, "text", load_model, MODEL_RESULT, batch_size, max_tokens=max_tokens, load_tokenizer=load_tokenizer)
     )
     return scored.withColumn("sentiment_stars", stars_of(F.col("sentiment_label"))).withColumnRenamed(
         "text", "message"

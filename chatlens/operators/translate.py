@@ -13,7 +13,7 @@ from chatlens import fixed_values as fv
 from chatlens.functions.text import clip, flag_retranslation, is_blank, strip
 from chatlens.operators.cleaning import dedup_first, place_after
 from chatlens.operators.joins import HOT_ROWS, attach_by_key, text_key
-from chatlens.operators.scoring import as_model, distinct_texts, run_model
+from chatlens.operators.scoring import TEXTS_PER_COMMIT, as_model, distinct_texts, run_model, run_resumable
 from chatlens.schemas import TRANSLATION_RESULT
 from chatlens.session import materialise
 
@@ -119,6 +119,8 @@ def translate_messages(
     batch_size: int = 32,
     partitions: int | None = None,
     hot_rows: int = HOT_ROWS,
+    resume: str | None = None,
+    texts_per_commit: int = TEXTS_PER_COMMIT,
 ) -> TranslationRun:
     """Add ``user_msg_en`` behind ``user_msg``.
 
@@ -126,6 +128,9 @@ def translate_messages(
     not acceptable English go once more to ``load_retry`` (the same translator,
     told to insist on English). A failed retry keeps the first answer. With no
     translator each text is its own translation.
+
+    With a folder ``resume`` the answers are kept there as they come, and a run that was stopped goes
+    on where it was: only texts without an answer, or whose call failed, are called.
     """
     work = work_list(messages)
     if load_translator is None:
@@ -139,19 +144,17 @@ def translate_messages(
     else:
         work = materialise(work.withColumn("cached_en", F.lit(None).cast("string")), "translation-work")
 
+    def called_once(texts: DataFrame, load: Callable[[], Any], name: str) -> DataFrame:
+        if resume is None:
+            return run_model(texts, _guarded(load), TRANSLATION_RESULT, batch_size, partitions, stored=True)
+        return run_resumable(
+            texts, _guarded(load), TRANSLATION_RESULT, batch_size, f"{resume}/{name}", texts_per_commit, partitions, ~F.col("failed"))
+
     misses = work.filter(F.col("cached_en").isNull()).select("text_key", "text")
-    first = materialise(
-        flag_retranslation(
-            run_model(misses, _guarded(load_translator), TRANSLATION_RESULT, batch_size, partitions), "text", "text_en"
-        ), "translation-first",
-    )
+    first = materialise(flag_retranslation(called_once(misses, load_translator, "first"), "text", "text_en"), "translation-first")
     flagged = first.filter("needs_retranslation").select("text_key", "text")
     again = materialise(
-        flag_retranslation(
-            run_model(flagged, _guarded(load_retry or load_translator), TRANSLATION_RESULT, batch_size, partitions),
-            "text", "text_en",
-        ), "translation-retry",
-    )
+        flag_retranslation(called_once(flagged, load_retry or load_translator, "retry"), "text", "text_en"), "translation-retry")
     second = again.select(
         "text_key", F.col("text_en").alias("retry_en"), F.col("input_tokens").alias("retry_input_tokens"),
         F.col("output_tokens").alias("retry_output_tokens"), (~F.col("needs_retranslation") & ~F.col("failed")).alias("retry_ok"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
 from chatlens.operators import agency, cleaning, sentiment, summary, translate
-from chatlens.session import materialise
+from chatlens.session import materialise, stored_tables
 from chatlens.sources import tables
 from chatlens.topics import cluster, cluster_tree, eligibility, guidance, labels, metrics, neighbours, refine, terms, vectors
 from chatlens.topics.eligibility import TOPIC
@@ -205,4 +205,6 @@ def analyse_csv(spark: SparkSession, path: str, schema, folder: str, **options:
     """Read a CSV export, analyse it and store every table."""
     raw = tables.read_csv(spark, path, schema)
     raw = tables.nullify_na_tokens(raw, raw.columns)
-    write_results(analyse_export(raw, **options), folder)
+    # What the analysis stores on the way ends with it.
+    with stored_tables(spark):
+        write_results(analyse_export(raw, **options), folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chatlens import fixed_values as fv
 from chatlens import schemas
 from chatlens.functions.text import flag_retranslation
-from chatlens.operators import agency, cleaning, scoring, sentiment, summary, translate
+from chatlens.operators import agency, cleaning, scoring, sentiment, states, summary, translate
 from chatlens.plans import fixtures as fx
 from chatlens.plans import sql
 from chatlens.plans.sql import BASE, BASE_LONG, EVENTS, PROBE, RAW, query, strip
@@ -290,6 +290,53 @@ def score_texts_plugin(spark, d):
     return scored.select("row_index", _r("agency_score"))
 
 
+class _CountingModel:
+    """A stand-in for a hosted model that tells how many words it was given."""
+
+    def predict(self, texts):
+        sizes = [len(t.split()) for t in texts]
+        return [(f"{1 + n % 5} stars", n / (n + 1.0)) for n in sizes]
+
+
+INPUT_CUT = 16
+
+
+def sentiment_input_cut(spark, d):
+    """Sentiment by a model that may see the first words of a message only."""
+    scored = sentiment.sentiment_messages(fx.long_messages(spark, d), _CountingModel, max_tokens=INPUT_CUT)
+    return scored.groupBy("role", "sentiment_label", "sentiment_stars", _r("sentiment_score")).agg(F.count("*").alias("messages"))
+
+
+def translated_resumably(spark, d):
+    """A translation whose answers are kept in parts, after a first run that saw every third message only."""
+    folder, messages = scratch_path(spark, "answers"), fx.translation_input(spark, d)
+    for rows in (messages.filter(F.col("row_index") % 3 == 0), messages):
+        run = translate.translate_messages(
+            rows, lambda: translate.WordTranslator(fx.FIRST_WORDS), lambda: translate.WordTranslator(fx.RETRY_WORDS),
+            resume=folder, texts_per_commit=400)
+    return run.messages.select("row_index", "user_msg_en")
+
+
+def _halves(rows):
+    """A table as two exports: even and odd seconds."""
+    second = F.coalesce(F.second("datetime"), F.lit(0)) % 2
+    return [rows.filter(second == 0), rows.filter(second == 1)]
+
+
+def additive_overview(spark, d):
+    """The overview from the merged states of two exports."""
+    state = states.merged([states.message_state(part) for part in _halves(fx.messages(spark, d))])
+    return states.overview_of(state).withColumn("messages_by_date", F.to_json("messages_by_date"))
+
+
+def additive_cal_state(spark, d):
+    return states.cal_state_of(states.merged([states.message_state(part) for part in _halves(fx.event_messages(spark, d))]))
+
+
+def additive_sentiment_counts(spark, d):
+    return states.sentiment_counts_of(states.merged([states.mood_state(part) for part in _halves(_sentiment(spark, d))]))
+
+
 QUERIES = {f.__name__: f for f in (
     scan_csv_roundtrip, datetime_overview, overview_json_scan, agency_parquet_roundtrip, named_tables_sql,
     ensure_columns, parse_session, parse_session_quarantine, clean_messages, nonblank_messages, max_items_cap, max_docs_cap,
@@ -298,6 +345,7 @@ QUERIES = {f.__name__: f for f in (
     translated_messages, translated_messages_cached, translation_preview, translation_retry, translation_stats, failed_retry_preview, needs_retranslation,
     sentiment_messages, sentiment_overview, sentiment_counts, sentiment_top_labels, agency_messages, agency_all,
     agency_summary, agency_histogram, agency_top_high, agency_top_low, agency_neutral_sample, score_texts_plugin,
+    sentiment_input_cut, translated_resumably, additive_overview, additive_cal_state, additive_sentiment_counts,
 )}
 
 # --- the same in SQL -------------------------------------------------------------
@@ -354,6 +402,15 @@ ORACLE = {
             (SELECT '[' || string_agg('{"date":"' || date || '","messages":' || messages || '}', ',' ORDER BY date) || ']'
              FROM by_date) AS messages_by_date
             FROM messages"""),
+    "additive_overview": query(*BASE, (
+        "by_date", "SELECT CAST(CAST(datetime AS DATE) AS VARCHAR) AS date, count(*) AS messages FROM messages GROUP BY 1"),
+        body="""SELECT count(*) AS total_messages, count(DISTINCT whatsapp_id) AS unique_users,
+            strftime(min(datetime), '%Y-%m-%dT%H:%M:%S') AS start_datetime,
+            strftime(max(datetime), '%Y-%m-%dT%H:%M:%S') AS end_datetime,
+            CAST(floor(epoch(max(datetime) - min(datetime)) / 86400) + 1 AS INTEGER) AS total_days,
+            (SELECT '[' || string_agg('{"date":"' || date || '","messages":' || messages || '}', ',' ORDER BY date) || ']'
+             FROM by_date) AS messages_by_date
+            FROM messages"""),
     "overview_json_scan": query(EVENTS, body="""
         SELECT (SELECT count(*) FROM event_messages) AS total_messages,
                (SELECT CAST(floor(epoch(max(datetime) - min(datetime)) / 86400) + 1 AS INTEGER) FROM event_messages) AS total_days,
@@ -436,6 +493,13 @@ ORACLE = {
         nullif(count(*) FILTER (WHERE sentiment_stars = 3), 0) AS count_3_stars,
         nullif(count(*) FILTER (WHERE sentiment_stars = 4), 0) AS count_4_stars,
         nullif(count(*) FILTER (WHERE sentiment_stars = 5), 0) AS count_5_stars FROM sentiment GROUP BY role"""),
+    "additive_cal_state": query(EVENTS, body="""SELECT whatsapp_id, coalesce(cal_state, 'Unknown') AS cal_state, count(*) AS message_count
+        FROM event_messages GROUP BY 1, 2"""),
+    "additive_sentiment_counts": query(*_SENT, body="SELECT role, sentiment_label, count(*) AS messages FROM sentiment GROUP BY 1, 2"),
+    "sentiment_input_cut": query(*BASE_LONG, ("seen", rf"""SELECT role, least(len(regexp_extract_all(text, '\S+')), {INPUT_CUT}) AS n FROM long
+        WHERE {strip('text')} <> ''"""), body="""SELECT role, (1 + n % 5) || ' stars' AS sentiment_label, CAST(1 + n % 5 AS INTEGER) AS sentiment_stars,
+        round(n / (n + 1.0), 6) AS sentiment_score, count(*) AS messages FROM seen GROUP BY ALL"""),
+    "translated_resumably": query(*_RUN, body="SELECT row_index, user_msg_en FROM out"),
     "sentiment_counts": query(*_SENT, body="SELECT role, sentiment_label, count(*) AS messages FROM sentiment GROUP BY 1, 2"),
     "sentiment_top_labels": query(*_SENT, ("c", "SELECT role, sentiment_label, count(*) AS messages FROM sentiment GROUP BY 1, 2"),
         body="""SELECT * FROM (SELECT role, sentiment_label, messages,

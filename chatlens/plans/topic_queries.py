@@ -10,7 +10,7 @@ from chatlens.operators import report, sentiment, summary
 from chatlens.plans import fixtures as fx
 from chatlens.plans.message_queries import _agency, _sentiment
 from chatlens.session import materialise
-from chatlens.topics import cluster, cluster_tree as tree, eligibility, guidance, labels, metrics, neighbours, refine, terms, vectors
+from chatlens.topics import cluster, cluster_tree as tree, eligibility, guidance, labels, metrics, neighbours, refine, spectral, terms, vectors
 from chatlens.topics.eligibility import TOPIC
 
 
@@ -130,6 +130,25 @@ def topic_labels(spark, d):
     return labels.intent_labels(_info(spark, d))
 
 
+LEMMA_EXCEPTIONS = [("better", "good"), ("went", "go"), ("les", "le"), ("des", "de")]
+
+
+def lexicon_lemmas(spark, d):
+    """Lemmas of the documents by base forms: the words of the benchmark texts, and a few exceptions."""
+    words = fx.table(spark, d, "benchmark").select(F.explode(tx.tokens(F.lower("text"))).alias("word")).filter(~F.col("word").endswith("es"))
+    exceptions = spark.createDataFrame(LEMMA_EXCEPTIONS, "form string, lemma string")
+    docs = fx.documents(spark, d).select("doc_id", F.lower("text").alias("lemmas"))
+    return tx.lemmatise_by_lexicon(docs, "doc_id", "lemmas", words, exceptions).select("doc_id", "lemmas")
+
+
+def _said_most(spark, d, top):
+    return terms.representative_by_terms(fx.topics_given(spark, d), "text", _ranked(spark, d), top)
+
+
+def representative_by_terms(spark, d):
+    return _said_most(spark, d, 3).select(*TOPIC, "rank", "row_index", _r("similarity"))
+
+
 class _FirstWordsLabeller:
     """A stand-in for a hosted labeller: answers with the first keywords, some unusable."""
 
@@ -142,13 +161,13 @@ class _FirstWordsLabeller:
 
 
 def supplied_labels(spark, d):
-    prompts = labels.labelling_prompts(_info(spark, d), terms.topic_examples(fx.topics_given(spark, d), "text", 10))
+    prompts = labels.labelling_prompts(_info(spark, d), _said_most(spark, d, 10))
     return labels.supplied_labels(prompts, _FirstWordsLabeller)
 
 
 def supplied_to_final_labels(spark, d):
     info = materialise(_info(spark, d), "info")
-    prompts = labels.labelling_prompts(info, terms.topic_examples(fx.topics_given(spark, d), "text", 10))
+    prompts = labels.labelling_prompts(info, _said_most(spark, d, 10))
     answers = labels.supplied_labels(prompts, _FirstWordsLabeller)
     return labels.intent_labels(info.join(answers, TOPIC, "left"))
 
@@ -312,6 +331,12 @@ def blend_seeds(spark, d):
     return vectors.blend_seeds(rows, seeds).select("row_index", F.array_join(scaled, " ").alias("vector_millionths"))
 
 
+def diffused_vectors(spark, d):
+    """Points of each role after three averagings over their neighbours."""
+    found = spectral.diffused(_placed(spark, d), "xyz", "row_index", NEAR, 3, ["message_role"])
+    return found.select("row_index", "message_role", *[F.round(F.get("diffused", F.lit(i)), 6).alias(c) for i, c in enumerate("xyz")])
+
+
 def topics_to_target(spark, d):
     docs = materialise(fx.letter_shares(spark, d), "letter-shares")
     return refine.reduce_to_target(docs, vectors.stored_centroids(docs), TARGET_TOPICS).select("row_index", *TOPIC)
@@ -366,5 +391,6 @@ QUERIES = {f.__name__: f for f in (
     topic_coherence, drop_low_quality_topics, filter_trivial, seed_topic_match, topic_similarity_pairs, merge_topics,
     reduce_topics, representative_docs, topic_representation, doc_vectors, reduced_vectors, density_clusters,
     neighbour_clusters, cluster_tree, cluster_tree_nodes, spread_seeds, blend_seeds, topics_to_target,
+    diffused_vectors, lexicon_lemmas, representative_by_terms,
     label_backfill, top_topics, topic_summary_text, keyword_variants, highlight_examples, summary_sentences, report_insights,
 )}

@@ -9,7 +9,7 @@ from chatlens.plans import fixtures as fx
 from chatlens.plans import sql
 from chatlens.plans.message_queries import _SENT
 from chatlens.plans.sql import EVENTS, PROBE, TABLE, TOPICS, array, in_list, mapping, query
-from chatlens.plans.topic_queries import CHAIN_WIDTH, NEAR, REDUCE_AT, TARGET_TOPICS, TREE_LEVELS, TREE_RADIUS
+from chatlens.plans.topic_queries import CHAIN_WIDTH, LEMMA_EXCEPTIONS, NEAR, REDUCE_AT, TARGET_TOPICS, TREE_LEVELS, TREE_RADIUS
 from chatlens.topics.cluster import WIDTHS_PER_CELL, grid_shifts
 from chatlens.topics.cluster_tree import ladder
 
@@ -390,6 +390,36 @@ ORACLE = {
             FROM e LEFT JOIN e s ON s.vec_id < 3 AND s.vec_id = e.vec_id % 4"""),
     "topics_to_target": query(_LETTERS, *[part for i in range(1, TARGET_ROUNDS + 1) for part in _target_round(i, f"emb_{i - 1}" if i > 1 else "emb")],
         body=f"SELECT row_index, message_role, topic_id FROM emb_{TARGET_ROUNDS}"),
+    "diffused_vectors": query(_LINKED, _PLACED,
+        ("w", f"SELECT a.row_index AS a, b.row_index AS b, exp(-2.0 * {_APART} / {NEAR * NEAR!r}) AS w FROM pts a JOIN pts b "
+              f"ON a.message_role = b.message_role AND {_APART} <= {NEAR * NEAR!r}"),
+        *[(f"at_{k}", f"""SELECT w.a AS row_index, sum(w * p.x) / sum(w) AS x, sum(w * p.y) / sum(w) AS y, sum(w * p.z) / sum(w) AS z
+            FROM w JOIN {f'at_{k - 1}' if k > 1 else 'pts'} p ON p.row_index = w.b GROUP BY w.a""") for k in (1, 2, 3)],
+        body="""SELECT row_index, message_role, round(t.x, 6) AS x, round(t.y, 6) AS y, round(t.z, 6) AS z FROM at_3 t
+            JOIN (SELECT row_index, message_role FROM pts) USING (row_index)"""),
+    "lexicon_lemmas": query(
+        ("lexicon", r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM benchmark"),
+        ("toks", r"SELECT doc_id, unnest(t) AS form, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS t FROM documents)"),
+        ("forms", "SELECT DISTINCT form FROM toks"),
+        ("tried", " UNION ".join(["SELECT form, form AS lemma FROM forms", *[
+            f"SELECT form, left(form, length(form) - {len(e)}) || '{r}' FROM forms WHERE form LIKE '%{e}' AND length(form) > {len(e) - len(r)}"
+            for e, r in fv.DETACHMENTS]])),
+        ("known", """SELECT form, lemma FROM tried JOIN (SELECT word FROM lexicon WHERE NOT word LIKE '%es') ON word = lemma
+            QUALIFY row_number() OVER (PARTITION BY form ORDER BY length(lemma), lemma) = 1"""),
+        ("first", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in LEMMA_EXCEPTIONS) + ") v(form, lemma)"),
+        ("joined", """SELECT doc_id, string_agg(coalesce(f.lemma, k.lemma, t.form), ' ' ORDER BY pos) AS lemmas FROM toks t
+            LEFT JOIN known k USING (form) LEFT JOIN first f USING (form) GROUP BY doc_id"""),
+        body="SELECT doc_id, coalesce(lemmas, '') AS lemmas FROM documents LEFT JOIN joined USING (doc_id)"),
+    "representative_by_terms": query(*TABLE,
+        ("counted", "SELECT row_index, message_role, topic_id, term, count(*) AS c FROM grams WHERE topic_id <> -1 GROUP BY ALL"),
+        ("length_", "SELECT row_index, sqrt(sum(c * c)) AS l FROM counted GROUP BY 1"),
+        ("topic_length", "SELECT message_role, topic_id, sqrt(sum(weight * weight)) AS l FROM topic_terms GROUP BY 1, 2"),
+        ("said", """SELECT c.row_index, sum(c.c * t.weight) AS s FROM counted c JOIN topic_terms t
+            ON t.message_role = c.message_role AND t.topic_id = c.topic_id AND t.term = c.term GROUP BY 1"""),
+        ("scored", """SELECT d.row_index, d.message_role, d.topic_id, coalesce(s.s / (n.l * t.l), 0.0) AS similarity FROM topics d
+            JOIN topic_length t USING (message_role, topic_id) LEFT JOIN length_ n USING (row_index) LEFT JOIN said s USING (row_index)"""),
+        body="""SELECT message_role, topic_id, rank, row_index, round(similarity, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (
+            PARTITION BY message_role, topic_id ORDER BY round(similarity, 9) DESC, row_index) AS INTEGER) AS rank FROM scored) WHERE rank <= 3"""),
     "topic_chain": _recursive(_LINKED, *_density("linked", CHAIN_WIDTH * WIDTHS_PER_CELL),
         ("chained", "SELECT f.row_index, f.message_role, f.topic_id, l.text FROM found f JOIN linked l USING (row_index)"),
         *sql.term_steps("chained"), sql.KEYWORDS,

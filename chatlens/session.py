@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +62,12 @@ def remove_stored(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table or folder is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 @contextlib.contextmanager
 def stored_tables(spark: SparkSession) -> Iterator[str]:
     """Give the tables stored inside the block an end: they are deleted when it is left.
@@ -79,6 +85,15 @@ def stored_tables(spark: SparkSession) -> Iterator[str]:
         remove_stored(spark, folder)
 
 
+def finished(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` describes, stored; whatever ``build`` has stored on the way is deleted."""
+    path = scratch_path(spark, name)
+    with stored_tables(spark):
+        result = build()
+        result.write.parquet(path)
+    return spark.read.schema(result.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy text stages at least one partition per core.
 

@@ -48,10 +48,13 @@ def topic_coherence(
     rows per topic are left before any pair of terms is formed. Pairs that
     never meet score -1.
     """
-    tops = ranked.filter(F.col("rank") <= top).select(*TOPIC, "term", "rank")
+    tops = materialise(ranked.filter(F.col("rank") <= top).select(*TOPIC, "term", "rank"), "top-terms")
+    # One row per role: all top terms of its topics, few per topic.
+    wanted = tops.groupBy("message_role").agg(F.collect_set("term").alias("_wanted"))
     roles = F.broadcast(docs.groupBy("message_role").agg(F.count("*").alias("_n")))
-    present = add_terms(docs.select("row_index", "message_role", text_col), text_col, stopwords).select(
-        "row_index", "message_role", F.explode(F.array_distinct("terms")).alias("term")
+    # A message's terms are held against the wanted ones before they become rows.
+    present = add_terms(docs.select("row_index", "message_role", text_col), text_col, stopwords).join(wanted, "message_role").select(
+        "row_index", "message_role", F.explode(F.array_intersect("terms", "_wanted")).alias("term")
     )
     bit = F.pow(F.lit(2), F.col("rank") - 1).cast("bigint")
     masks = (

@@ -105,6 +105,33 @@ def term_lists(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy(*TOPIC).agg(pairs.alias("_p")).select(*TOPIC, F.col("_p.term").alias("terms"))
 
 
+def representative_by_terms(
+    docs: DataFrame, text_col: str, ranked: DataFrame, top: int = 2, stopwords: Sequence[str] = STOPWORDS
+) -> DataFrame:
+    """``message_role, topic_id, rank, row_index, example, similarity``: the messages that say most of a topic.
+
+    Similarity is the cosine of a message's term counts and the weights of its topic's ``ranked``
+    terms. The weights of a topic, a list of bounded length, come to the message, so the product is
+    taken within the row and no terms are shuffled. Ties go to the smaller row index; a message
+    without terms has similarity 0. Topics without terms have no row.
+    """
+    weights = materialise(ranked.groupBy(*TOPIC).agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_w"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_l")),
+        "topic-weights")
+    kept = docs.filter(F.col("topic_id") != -1).select(*TOPIC, "row_index", F.col(text_col).alias("example"))
+    rows = evaluated_once(add_terms(kept, "example", stopwords, "_t"), _s=F.sort_array("_t")).join(weights, TOPIC)
+    said = F.aggregate("_s", F.lit(0.0), lambda total, t: total + F.coalesce(F.try_element_at("_w", t), F.lit(0.0)))
+    # Equal terms stand side by side: a run of n adds n squared, one odd number after the other.
+    state = lambda t, n, s: F.struct(t.alias("t"), n.cast("long").alias("n"), s.cast("long").alias("s"))
+    squares = F.aggregate(
+        "_s", state(F.lit(""), F.lit(0), F.lit(0)),
+        lambda a, t: F.when(a["t"] == t, state(t, a["n"] + 1, a["s"] + 2 * a["n"] + 1)).otherwise(state(t, F.lit(1), a["s"] + 1)))["s"]
+    cosine = F.when(F.size("_s") == 0, 0.0).otherwise(said / (F.sqrt(squares) * F.col("_l")))
+    best = Window.partitionBy(*TOPIC).orderBy(F.round("similarity", 9).desc(), "row_index")
+    scored = evaluated_once(rows, similarity=cosine).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    return scored.select(*TOPIC, "rank", "row_index", "example", "similarity")
+
+
 def topic_sizes(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("topic_id") != -1).groupBy(*TOPIC).agg(F.count("*").alias("message_count"))
 

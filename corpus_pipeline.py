@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatlens.llm import bpe, mixing, near_dedup, quality_rules, secret_scan
 from chatlens.llm.queries import tokenizer_path
 from chatlens.llm.texts import table
-from chatlens.session import materialise
+from chatlens.session import materialise, remove_stored, scratch_path, stored_tables
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -72,8 +72,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is stored and read by the next stage."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is stored and read by the next stage.
+
+    What a stage stores on the way is deleted with its end, and its result when the next one is
+    there; only the input of the last stage stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with stored_tables(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            remove_stored(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

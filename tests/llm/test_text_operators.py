@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -299,3 +300,43 @@ def test_quality_votes_on_messy_rows(spark):
     learned = quality_knn.training_sample(labels).collect()
     assert not {r.doc_id for r in learned} & {
         r.doc_id for r in messy(spark).filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).collect()}
+
+
+def test_votes_equal_plain_python(spark):
+    """Every score again by loops over the sample: cosine, nearest neighbours, weighted vote."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_knn.fit(docs, labels)
+    chosen = {r.doc_id: r.label for r in quality_knn.training_sample(labels).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text for r in rows}
+    assert len(model.labels) == len(set(chosen) & set(texts)) and not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in chosen)
+
+    def latent(text):
+        terms = quality_knn.term_counts(text)
+        z = [sum((t - c) * w * a for t, c, w, a in zip(terms, model.centre, model.weights, axis)) for axis in model.axes.T]
+        norm = math.sqrt(sum(x * x for x in z))
+        return [x / norm for x in z] if norm and any(terms) else [0.0] * len(z)
+
+    sample = [(latent(texts[i]), label) for i, label in chosen.items() if i in texts]
+    scored = {r.doc_id: r for r in quality_knn.classify(docs, labels).collect()}
+    assert len(scored) == len(rows)
+    for i in sorted(texts)[::4]:
+        own = latent(texts[i])
+        near = sorted(((sum(a * b for a, b in zip(own, v)), label) for v, label in sample), reverse=True)[:quality_knn.NEIGHBOURS]
+        weights = [max(c, 0) ** quality_knn.POWER for c, _ in near]
+        want = sum(w * label for w, (_, label) in zip(weights, near)) / sum(weights) if sum(weights) else model.prior
+        assert abs(scored[i].score - want) < 1e-6 and scored[i].predicted == int(scored[i].score >= 0.3)
+        assert scored[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_a_repeated_labelled_document_votes_once(spark, monkeypatch):
+    rows = [(1, "good words of a fine text")] * 5000 + [(1, "another text")] + [(i, f"{'x ' * 30}{i}") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6), 0) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    fitted = []
+    fit_terms = quality_knn.fit_terms
+    monkeypatch.setattr(quality_knn, "fit_terms", lambda terms, *rest: fitted.append(len(terms)) or fit_terms(terms, *rest))
+    models = [quality_knn.fit(table, labels) for table in (docs, docs.orderBy("text").repartition(3))]
+    assert fitted == [len([i for i in range(1, 12) if zlib.crc32(str(i).encode()) % 5])] * 2
+    assert np.allclose(models[0].vectors, models[1].vectors)

@@ -238,6 +238,19 @@ def _target_round(i: int, source: str) -> tuple[tuple[str, str], ...]:
 
 TARGET_ROUNDS = 10  # more than the given tables need; a round without excess changes nothing
 
+_VARIANTS = (
+    ("base", "SELECT message_role, topic_id, lower(trim(unnest(string_split(keywords, ',')))) AS b FROM kw"),
+    ("rules", """SELECT *, NOT regexp_matches(b, '(?:s|ed|ing|tion|ment)$') AS plain, b LIKE '%e' AS e, left(b, length(b) - 1) AS stem
+        FROM base WHERE b <> ''"""),
+    ("variants", f"SELECT DISTINCT message_role, topic_id, unnest({_SPELL}) AS variant FROM rules"),
+)
+
+# Words stand between two marks, so that a whole word is a literal; the tags' own words do, too.
+_OPEN, _CLOSE = "chr(1)", "chr(2)"
+_TAG = f"{_OPEN} || 'mark' || {_CLOSE}"
+_MARKED = rf"""list_reduce(spelt, lambda t, v: regexp_replace(t, '(?i)' || {_OPEN} || replace(v, ' ', {_CLOSE} || ' ' || {_OPEN}) || {_CLOSE},
+    '<' || {_TAG} || '>\0</' || {_TAG} || '>', 'g'), regexp_replace(example, '([{fv.WORD_CLASS}]+)', {_OPEN} || '\1' || {_CLOSE}, 'g'))"""
+
 ORACLE = {
     "lang_flags": query(PROBE, ("f", f"SELECT doc_id, {sql.language_columns('text')} FROM probe"),
                         body="SELECT * REPLACE (round(english_ratio, 6) AS english_ratio) FROM f"),
@@ -440,13 +453,15 @@ ORACLE = {
     "topic_summary_text": query(*_KW, body="""SELECT message_role, string_agg('Topic ' || topic_id || ': ' || keywords || ' (' || message_count || ' msgs)',
         chr(10) ORDER BY rank) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY message_role ORDER BY message_count DESC, topic_id) AS rank FROM kw)
         WHERE rank <= 5 GROUP BY 1"""),
-    "keyword_variants": query(*_KW,
-        ("base", "SELECT message_role, topic_id, lower(trim(unnest(string_split(keywords, ',')))) AS b FROM kw"),
-        ("rules", """SELECT *, NOT regexp_matches(b, '(?:s|ed|ing|tion|ment)$') AS plain, b LIKE '%e' AS e, left(b, length(b) - 1) AS stem
-            FROM base WHERE b <> ''"""),
-        ("variants", f"SELECT DISTINCT message_role, topic_id, unnest({_SPELL}) AS variant FROM rules"),
+    "keyword_variants": query(*_KW, *_VARIANTS,
         body="""SELECT message_role, topic_id, CAST(row_number() OVER (PARTITION BY message_role, topic_id ORDER BY length(variant) DESC, variant) - 1
             AS INTEGER) AS position, variant FROM variants"""),
+    "highlight_examples": query(*_KW, *_VARIANTS,
+        ("spelling", "SELECT message_role, topic_id, list(variant ORDER BY length(variant) DESC, variant) AS spelt FROM variants GROUP BY 1, 2"),
+        _examples(3),
+        body=f"""SELECT e.message_role, e.topic_id, e.rank, CASE WHEN {sql.strip('example')} = '' THEN '' ELSE
+            replace(replace({_MARKED}, {_OPEN}, ''), {_CLOSE}, '') END AS example
+            FROM examples e JOIN spelling s USING (message_role, topic_id)"""),
     "summary_sentences": query(*_SENT,
         ("counted", "SELECT role, sentiment_label, count(*) AS n FROM sentiment GROUP BY 1, 2"),
         ("topped", """SELECT role, sentiment_label, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY role) AS share,

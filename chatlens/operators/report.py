@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,31 +107,26 @@ def report_insights(
 
     Inputs are the small aggregate tables; ``agency`` is the scored table.
     """
-    def fact(name: Column | str, value: Column) -> list[Column]:
-        return [(F.lit(name) if isinstance(name, str) else name).alias("name"), value.cast("string").alias("value")]
-
-    # On equal counts the smallest key wins, as in a sorted table.
-    peak = hourly.agg(F.min_by("hour", F.struct(-F.col("messages"), F.col("hour"))).alias("v"))
-    total = hourly.agg(F.sum("messages").alias("v"))
-    state = states.agg(F.min_by("cal_state", F.struct(-F.col("message_count"), F.col("cal_state"))).alias("v"))
-    state_n = states.agg(F.max("message_count").alias("v"))
+    def fact(name: Column | str, value: Column) -> Column:
+        return F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), value.cast("string").alias("value"))
+
+    # Each small aggregate is computed once and turned into its rows. On equal counts the smallest
+    # key wins, as in a sorted table.
+    hours = hourly.agg(F.min_by("hour", F.struct(-F.col("messages"), F.col("hour"))).alias("h"), F.sum("messages").alias("n"))
+    top = states.agg(F.min_by("cal_state", F.struct(-F.col("message_count"), F.col("cal_state"))).alias("s"), F.max("message_count").alias("n"))
     mood = sentiments.groupBy("role").agg(
         F.min_by("sentiment_label", F.struct(-F.col("messages"), F.col("sentiment_label"))).alias("v"))
     topic = keywords.groupBy("message_role").agg(
         F.min_by("keywords", F.struct(-F.col("message_count"), F.col("topic_id"))).alias("v"))
     scores = agency.filter(F.col("agency_score").isNotNull()).groupBy("message_role").agg(
         F.avg("agency_score").alias("mean"), F.avg(F.col("is_high").cast("int")).alias("high"))
-    rows = [
-        peak.select(*fact("peak_hour", F.col("v"))),
-        total.select(*fact("total_messages", F.col("v"))),
-        state.select(*fact("top_state", F.col("v"))),
-        state_n.select(*fact("top_state_messages", F.col("v"))),
-        mood.select(*fact(F.concat(F.lit("dominant_sentiment_"), F.col("role")), F.lower("v"))),
-        topic.select(*fact(F.concat(F.lit("top_topic_"), F.col("message_role")), F.col("v"))),
-        scores.select(*fact(F.concat(F.lit("mean_agency_"), F.col("message_role")), F.format_string("%.2f", "mean"))),
-        scores.select(*fact(F.concat(F.lit("pct_high_agency_"), F.col("message_role")), F.format_string("%.1f", F.col("high") * 100))),
+    of_role = lambda name, role: F.concat(F.lit(name), F.col(role))
+    facts = [
+        (hours, [fact("peak_hour", F.col("h")), fact("total_messages", F.col("n"))]),
+        (top, [fact("top_state", F.col("s")), fact("top_state_messages", F.col("n"))]),
+        (mood, [fact(of_role("dominant_sentiment_", "role"), F.lower("v"))]),
+        (topic, [fact(of_role("top_topic_", "message_role"), F.col("v"))]),
+        (scores, [fact(of_role("mean_agency_", "message_role"), F.format_string("%.2f", "mean")),
+                  fact(of_role("pct_high_agency_", "message_role"), F.format_string("%.1f", F.col("high") * 100))]),
     ]
-    out, *rest = rows
-    for row in rest:
-        out = out.unionByName(row)
-    return out
+    return functools.reduce(DataFrame.unionByName, [table.select(F.inline(F.array(*rows))) for table, rows in facts])

@@ -6,7 +6,8 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from chatlens.plans.end_to_end import analyse_export
+from chatlens.plans import end_to_end
+from chatlens.plans.end_to_end import analyse_export, model_topics
 from chatlens.topics import cluster, components, eligibility, labels, metrics, refine, terms, vectors
 
 
@@ -290,3 +291,19 @@ def test_analyse_export(spark):
     assert {r.message_role for r in one_role["message_topics"].collect()} == {"user"}
     alone = sorted((r.row_index, r.topic_id) for r in one_role["message_topics"].collect())
     assert alone == sorted((r.row_index, r.topic_id) for r in assigned if r.message_role == "user")
+
+
+def test_analysis_with_neighbours_seeds_and_a_target(spark):
+    subjects = [["team", "portal", "login", "screen", "button"], ["product", "soap", "wood", "price", "market"],
+                ["translate", "poem", "hindi", "verse", "rhyme"]]
+    rng = random.Random(11)
+    rows = [(i, "user", "u", None, " ".join(rng.sample(subjects[i % 3], 4) + ["work"])) for i in range(150)]
+    long = spark.createDataFrame(rows, "row_index long, role string, whatsapp_id string, datetime string, text string")
+    out = model_topics(long, roles=["user"], cell_width=0.2, min_cluster_size=10, clustering="neighbours", seed_radius=0.2, target_topics=2)
+    assigned = out["message_topics"].collect()
+    assert len(assigned) == 150
+    found = {r.topic_id for r in assigned if r.topic_id != -1}
+    assert 1 <= len(found) <= 2 and sum(r.topic_id != -1 for r in assigned) > 60
+    assert {r.topic_id for r in out["topic_keywords"].collect()} == found
+    with pytest.raises(ValueError):
+        end_to_end._clusters(long, "none of these", 0.2, 10)

@@ -81,7 +81,7 @@ def map_columns(
 class _WordHashes(dict):
     """64-bit hash of a word; remembers the words seen lately, so memory stays bounded."""
 
-    limit = 1_000_000
+    limit = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 import chatlens
 from chatlens.operators.joins import HOT_ROWS, attach_by_key, text_key
-from chatlens.session import is_stored, materialise
+from chatlens.session import is_stored, materialise, scratch_path
 
 # Functions of this package travel with the job, so workers need no installed copy.
 cloudpickle.register_pickle_by_value(chatlens)
@@ -24,6 +24,8 @@ Model = Callable[[list[str]], Sequence[Any]]
 TEXTS_PER_TASK = 2000
 # Answers that are kept at a time in a run that can be resumed.
 TEXTS_PER_COMMIT = 100_000
+# Jobs that such a run is at most divided into; a job has a task for each part of the answers.
+MOST_ROUNDS = 16
 
 
 def as_model(model: Any) -> Model:
@@ -122,8 +124,11 @@ def run_resumable(
     """:func:`run_model` whose answers are kept in ``folder`` as they come.
 
     ``texts(text_key, text)`` has one row per key. Texts that the folder answers are not called
-    again. The others go in parts by a hash of the key, and the answers of a part are appended when
-    it is done; if a run stops, the next one with the same folder calls only what is missing.
+    again. The others go in parts of about ``texts_per_commit`` at most, and the answers of a part are
+    appended when it is done; if a run stops, the next one with the same folder calls only what is
+    missing. Few parts are a job each; many share :data:`MOST_ROUNDS` jobs, in which each part is a
+    task whose files are moved to the folder as soon as it ends, so the number of jobs does not grow
+    with the texts, and a job reads no texts but its own.
     ``settled`` says which answers count; others are asked again in a later run and replaced if that
     helps. The folder belongs to one model and stays until its owner removes it.
     """
@@ -138,11 +143,23 @@ def run_resumable(
         return spark.read.schema(schema).parquet(folder)
 
     open_texts = texts.join(answered().filter(good).select("text_key"), "text_key", "left_anti").select("text_key", "text")
-    parts = -(-open_texts.count() // texts_per_commit)
-    dealt = materialise(open_texts.withColumn("_part", F.pmod(F.xxhash64("text_key"), F.lit(max(parts, 1)))), "open-texts")
-    for part in range(parts):
-        asked = dealt.filter(F.col("_part") == part).drop("_part")
-        run_model(asked, load_model, result, batch_size, partitions, stored=True).select(schema.fieldNames()).write.mode("append").parquet(folder)
+    n = open_texts.count()
+    parts = -(-n // texts_per_commit)
+    rounds = min(parts, MOST_ROUNDS)
+    path = scratch_path(spark, "open-texts")
+    if rounds:
+        dealt = open_texts.withColumn("_round", F.pmod(F.xxhash64("text_key"), F.lit(rounds)).cast("int"))
+        dealt.write.partitionBy("_round").parquet(path)
+    for part in range(rounds):
+        if not is_stored(spark, f"{path}/_round={part}"):
+            continue
+        asked = spark.read.schema(open_texts.schema).parquet(f"{path}/_round={part}")
+        tasks = partitions
+        if parts > rounds:
+            tasks = max(partitions or spark.sparkContext.defaultParallelism, -(-n // (rounds * min(texts_per_commit, TEXTS_PER_TASK))))
+        # The second version of the output committer moves the files of a task when it ends, not at the end of the job.
+        run_model(asked, load_model, result, batch_size, tasks, stored=True).select(schema.fieldNames()).write.option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(folder)
     mine = answered().join(texts.select("text_key"), "text_key", "left_semi")
     sure = mine.filter(good).dropDuplicates(["text_key"])
     rest = mine.filter(~F.coalesce(good, F.lit(False))).dropDuplicates(["text_key"]).join(sure.select("text_key"), "text_key", "left_anti")

@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 from collections import Counter
 
 import pytest
@@ -193,3 +194,33 @@ def test_a_state_is_smaller_than_its_messages(spark):
         F.lit("x").alias("cal_state"))
     state = states.message_state(many)
     assert state.count() == 7 * 14 and state.agg(F.sum("n")).first()[0] == 20_000
+
+
+def test_many_parts_share_a_few_jobs_and_are_kept_one_by_one(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(200)], "text_key string, text string")
+    result = T.StructType([T.StructField("n", T.LongType())])
+    jobs, run_model = [], scoring.run_model
+    monkeypatch.setattr(scoring, "run_model", lambda *a, **b: jobs.append(1) or run_model(*a, **b))
+    marker = str(tmp_path / "failed")
+
+    def load():
+        def model(batch):
+            if "text 7" in batch and not os.path.exists(marker):
+                time.sleep(5)  # the other parts of this job end meanwhile
+                open(marker, "w").close()
+                raise RuntimeError("stopped half way")
+            return [len(t) for t in batch]
+
+        return model
+
+    folder = scratch_path(spark, "resume")
+    with pytest.raises(Exception, match="stopped half way"):
+        scoring.run_resumable(texts, load, result, 4, folder, texts_per_commit=2)
+    kept = spark.read.parquet(folder).count()
+    before = len(jobs)
+    # Of the jobs before the last all is kept, of the last one the parts that had ended.
+    assert kept > 0 and before <= scoring.MOST_ROUNDS
+    out = scoring.run_resumable(texts, load, result, 4, folder, texts_per_commit=2)
+    assert {r.text_key: r.n for r in out.collect()} == {f"k{i}": len(f"text {i}") for i in range(200)}
+    assert len(jobs) - before <= scoring.MOST_ROUNDS
+    assert spark.read.parquet(folder).count() == 200

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
-from chatlens.functions.text import evaluated_once, token_count
+from chatlens.functions.text import bound_to, evaluated_once, token_count
 from chatlens.session import materialise
 from chatlens.topics.eligibility import TOPIC
 
@@ -57,11 +57,10 @@ def term_table(
     sorted_terms = evaluated_once(
         add_terms(docs.select(*TOPIC, text_col), text_col, stopwords).drop(text_col), _s=F.sort_array("terms")
     )
-    flagged = F.transform(
-        "_s", lambda term, i: F.struct(term.alias("term"), ((i == 0) | (term != F.get(F.col("_s"), i - 1))).alias("first"))
-    )
-    counts = sorted_terms.select(*TOPIC, F.inline(flagged)).groupBy(*TOPIC, "term").agg(
-        F.count("*").alias("tf"), F.count_if("first").alias("docs")
+    # A term is held against its neighbour after the explosion, where the comparison is compiled.
+    first = (F.col("_i") == 0) | (F.col("term") != F.get("_s", F.col("_i") - 1))
+    counts = sorted_terms.select(*TOPIC, "_s", F.posexplode("_s").alias("_i", "term")).groupBy(*TOPIC, "term").agg(
+        F.count("*").alias("tf"), F.count_if(first).alias("docs")
     )
     in_topic = F.col("topic_id") != -1
     same_term = Window.partitionBy("message_role", "term")
@@ -121,11 +120,10 @@ def representative_by_terms(
     kept = docs.filter(F.col("topic_id") != -1).select(*TOPIC, "row_index", F.col(text_col).alias("example"))
     rows = evaluated_once(add_terms(kept, "example", stopwords, "_t"), _s=F.sort_array("_t")).join(weights, TOPIC)
     said = F.aggregate("_s", F.lit(0.0), lambda total, t: total + F.coalesce(F.try_element_at("_w", t), F.lit(0.0)))
-    # Equal terms stand side by side: a run of n adds n squared, one odd number after the other.
-    state = lambda t, n, s: F.struct(t.alias("t"), n.cast("long").alias("n"), s.cast("long").alias("s"))
-    squares = F.aggregate(
-        "_s", state(F.lit(""), F.lit(0), F.lit(0)),
-        lambda a, t: F.when(a["t"] == t, state(t, a["n"] + 1, a["s"] + 2 * a["n"] + 1)).otherwise(state(t, F.lit(1), a["s"] + 1)))["s"]
+    # Equal terms stand side by side: a run of n, from its start to the next one, adds n squared.
+    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    lengths = bound_to(starts, lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size("_s"))), lambda x, y: y - x))
+    squares = F.aggregate(lengths, F.lit(0).cast("long"), lambda total, n: total + n.cast("long") * n)
     cosine = F.when(F.size("_s") == 0, 0.0).otherwise(said / (F.sqrt(squares) * F.col("_l")))
     best = Window.partitionBy(*TOPIC).orderBy(F.round("similarity", 9).desc(), "row_index")
     scored = evaluated_once(rows, similarity=cosine).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)

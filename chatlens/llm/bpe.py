@@ -131,6 +131,7 @@ class Codec:
         self.lengths = np.array([len(s) for s in self.strings], np.int64)  # in bytes
         self.of_pre_token = _Lately(self._pre_token, limit)
         self.of_part = _Lately(self._part, limit)
+        self.of_word = _Lately(lambda word: self._part(" " + word), limit)  # a part without the space before it
 
     def _pre_token(self, text: str) -> bytes:
         ids = merge_symbols([self.first[b] for b in text.encode()], self.merges)
@@ -160,14 +161,20 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
-        one = self.part if self.added and any(a in text for a in self.added) else self.of_part.__getitem__
-        return np.frombuffer(b"".join(map(one, self.parts(text))), "<i4")
+        if self.added and any(a in text for a in self.added):
+            return np.frombuffer(b"".join(map(self.part, self.parts(text))), "<i4")
+        first, *words = _CUT.split(text)
+        return np.frombuffer(b"".join([self.of_part[first] if first else b"", *map(self.of_word.__getitem__, words)]), "<i4")
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; ids outside the vocabulary stand for nothing, broken UTF-8 for U+FFFD."""
         known = len(self.strings)
         return b"".join([self.strings[i] for i in ids if i is not None and 0 <= i < known]).decode("utf-8", "replace")
 
+    def decode_own(self, ids: np.ndarray) -> str:
+        """:meth:`decode` of ids that :meth:`encode` gave, which are all in the vocabulary."""
+        return b"".join(map(self.strings.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
 
 def codec_of(vocabulary: Broadcast) -> Codec:
     """The codec of this worker process, kept with the broadcast value it is made from."""
@@ -221,7 +228,7 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", keep=None)
     def run(texts: pa.Array):
         codec = codec_of(vocabulary)
         lists, arrays = _id_lists(codec, texts.to_pylist())
-        return [lists, [codec.decode(a.tolist()) for a in arrays]]
+        return [lists, [codec.decode_own(a) for a in arrays]]
 
     return map_columns(docs, [text], "ids array<int>, decoded string", run, keep)
 

@@ -135,7 +135,7 @@ def run_resumable(
     spark = texts.sparkSession
     schema = T.StructType([f for f in texts.schema.fields if f.name in ("text_key", "text")] + result.fields)
     good = settled if settled is not None else F.lit(True)
-    texts = materialise(texts, "texts-to-answer")
+    texts = materialise(texts, "texts-to-answer", "zstd")
 
     def answered() -> DataFrame:
         if not is_stored(spark, folder):
@@ -149,7 +149,7 @@ def run_resumable(
     path = scratch_path(spark, "open-texts")
     if rounds:
         dealt = open_texts.withColumn("_round", F.pmod(F.xxhash64("text_key"), F.lit(rounds)).cast("int"))
-        dealt.write.partitionBy("_round").parquet(path)
+        dealt.write.option("compression", "zstd").partitionBy("_round").parquet(path)
     for part in range(rounds):
         if not is_stored(spark, f"{path}/_round={part}"):
             continue

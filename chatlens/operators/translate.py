@@ -17,6 +17,7 @@ from chatlens.operators.scoring import TEXTS_PER_COMMIT, as_model, distinct_text
 from chatlens.schemas import TRANSLATION_RESULT
 from chatlens.session import materialise
 
+TEXT_CODEC = "zstd"  # of the stored texts, which are most of what a run writes
 DEDUP_KEYS = ("datetime", "whatsapp_id", "user_msg")
 
 
@@ -140,9 +141,9 @@ def translate_messages(
         return TranslationRun(same, texts)
 
     if cache is not None:
-        work = materialise(work.join(cached_answers(cache), "text_key", "left"), "translation-work")
+        work = materialise(work.join(cached_answers(cache), "text_key", "left"), "translation-work", TEXT_CODEC)
     else:
-        work = materialise(work.withColumn("cached_en", F.lit(None).cast("string")), "translation-work")
+        work = materialise(work.withColumn("cached_en", F.lit(None).cast("string")), "translation-work", TEXT_CODEC)
 
     def called_once(texts: DataFrame, load: Callable[[], Any], name: str) -> DataFrame:
         if resume is None:
@@ -151,10 +152,10 @@ def translate_messages(
             texts, _guarded(load), TRANSLATION_RESULT, batch_size, f"{resume}/{name}", texts_per_commit, partitions, ~F.col("failed"))
 
     misses = work.filter(F.col("cached_en").isNull()).select("text_key", "text")
-    first = materialise(flag_retranslation(called_once(misses, load_translator, "first"), "text", "text_en"), "translation-first")
+    first = materialise(flag_retranslation(called_once(misses, load_translator, "first"), "text", "text_en"), "translation-first", TEXT_CODEC)
     flagged = first.filter("needs_retranslation").select("text_key", "text")
     again = materialise(
-        flag_retranslation(called_once(flagged, load_retry or load_translator, "retry"), "text", "text_en"), "translation-retry")
+        flag_retranslation(called_once(flagged, load_retry or load_translator, "retry"), "text", "text_en"), "translation-retry", TEXT_CODEC)
     second = again.select(
         "text_key", F.col("text_en").alias("retry_en"), F.col("input_tokens").alias("retry_input_tokens"),
         F.col("output_tokens").alias("retry_output_tokens"), (~F.col("needs_retranslation") & ~F.col("failed")).alias("retry_ok"),
@@ -167,7 +168,7 @@ def translate_messages(
         work.join(answers, "text_key", "left").withColumn(
             "text_en", F.coalesce("cached_en", F.when(F.col("retry_ok"), F.col("retry_en")), "first_en")
         ).withColumn("source", F.when(F.col("cached_en").isNotNull(), "cache").otherwise("model")),
-        "translation-texts",
+        "translation-texts", TEXT_CODEC,
     )
     keyed = normalised(messages).withColumn("text_key", text_key(F.col("_text"))).drop("_text")
     joined = attach_by_key(

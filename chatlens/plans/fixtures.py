@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatlens.operators.cleaning import clean_export, role_long
 from chatlens.operators.translate import WordTranslator, cache_from_previous, translate_messages
-from chatlens.session import spread
+from chatlens.session import materialise, spread
 
 # Short word lists whose entries occur in the given tables.
 TEST_POSITIVE = ["the", "of", "to", "was", "la", "der", "el", "with"]
@@ -103,7 +103,8 @@ def translation_run(spark: SparkSession, sf_dir: str):
 
 def cached_translation_run(spark: SparkSession, sf_dir: str):
     """The same with the acceptable answers of the earlier run as cache, each entry twice, once padded."""
-    cache = cache_from_previous(previous_run(spark, sf_dir))
+    # It is read three times below, so it is computed once.
+    cache = materialise(cache_from_previous(previous_run(spark, sf_dir)), "previous-answers")
     padded = cache.withColumn("text", F.concat(F.lit(" "), "text", F.lit("\n")))
     return translate_messages(
         translation_input(spark, sf_dir), lambda: WordTranslator(FIRST_WORDS), lambda: WordTranslator(RETRY_WORDS),

@@ -105,15 +105,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Used where a result feeds several consumers and must not be computed twice
     (model output, loop state), and where the lineage has to be cut. The table
     survives the loss of executors. Its file size is known to the optimizer, so
     a join broadcasts it only if it is really below the broadcast threshold.
+    ``compression`` is a codec of Parquet for tables of long texts; without it the session's holds.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

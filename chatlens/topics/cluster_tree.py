@@ -8,8 +8,10 @@ parallel edges only the shortest goes on. A ladder of radii then gives a tree of
 clusters that last longest in it are chosen, so dense and sparse ones are found side by side.
 
 Points are first put together in cells of a ``grain`` (equal points always are), each with its mean
-and its count. A cell has a bounded number of others within the radius, so the number of edges
-depends on the space that the points fill, not on how many there are in one place.
+and its count. The tree asks for clusters at the radii of its ladder only, so the lengths are taken
+in these steps: an edge is as long as the least radius that links its ends. The edges come from the
+sets of `neighbours.core_graph` at each radius, whose number depends on the space that the points
+fill; no list of all pairs within a radius is made.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from chatlens.session import materialise
 from chatlens.sources.tables import with_row_index
 from chatlens.topics.cluster import numbered_by_size
 from chatlens.topics.components import connected_components
-from chatlens.topics.neighbours import GROUP, group_key, squared_distance, usable_coordinates
+from chatlens.topics.neighbours import GROUP, core_graph, group_key, squared_distance, usable_coordinates
 
 LEVELS = 8
 SHRINK = 2 ** 0.5  # ratio of a radius to the next one
@@ -96,6 +98,32 @@ def reachability(edges: DataFrame, cores: DataFrame) -> DataFrame:
     return edges.join(core("u"), "u").join(core("v"), "v").select("u", "v", F.greatest("d", "core_u", "core_v").alias("w"))
 
 
+def ladder_edges(cells: DataFrame, radii: Sequence[float], dims: int, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """``node, core, home`` of the cells that are core at some radius, and edges ``u, v, w`` between homes.
+
+    ``core`` and ``w`` are squares of the least radius of the ladder at which a cell is core and an
+    edge links its ends. ``home`` is the set that the cell is in at that radius, named after its first
+    cell; a cell stays with its home at all larger radii. Paths of edges up to the square of a radius
+    link just the cells that chains of core cells within this radius link.
+    """
+    spots = cells.select(GROUP, "x", F.col("node").alias("spot"), "n")
+    homes, steps = None, []
+    for radius in sorted(radii):
+        graph, length = core_graph(spots, radius, dims, min_samples), F.lit(radius * radius)
+        here = graph.spots.filter("core").select(F.col("spot").alias("node"), "set")
+        if homes is None:
+            homes = materialise(here.select("node", length.alias("core"), F.col("set").alias("home")), "homes")
+        else:
+            # What was core at a smaller radius still is.
+            here = materialise(here.join(homes, "node", "left").select(
+                "node", "set", F.coalesce("core", length).alias("core"), F.coalesce("home", "set").alias("home")), "homes")
+            homes = here.select("node", "core", "home")
+            steps.append(here.select(F.col("home").alias("u"), F.col("set").alias("v"), length.alias("w")).distinct())
+        steps.append(graph.links.select("u", "v", length.alias("w")))
+    ends = functools.reduce(DataFrame.unionByName, steps).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
+    return homes, ends.groupBy("u", "v").agg(F.min("w").alias("w"))
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The minimum spanning forest of ``edges(u, v, w)``, u < v, as a stored table of the same columns.
 
@@ -119,10 +147,10 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return materialise(functools.reduce(DataFrame.unionByName, taken), "forest")
 
 
-def level_parts(cells: DataFrame, cores: DataFrame, forest: DataFrame, radii: Sequence[float]) -> DataFrame:
+def level_parts(homes: DataFrame, forest: DataFrame, radii: Sequence[float]) -> DataFrame:
     """``level, node, part``: the clusters at each radius, all levels in one search for components.
 
-    A cell takes part from the radius on that reaches its core distance.
+    A cell takes part, where its home is, from the radius on that reaches its core distance.
     """
     n = len(radii)
     squares = F.array(*[F.lit(r * r) for r in radii])
@@ -130,9 +158,9 @@ def level_parts(cells: DataFrame, cores: DataFrame, forest: DataFrame, radii: Se
     number = lambda c: F.col(c) * n + F.col("level")
     edges = forest.withColumn("level", F.explode(inside("w"))).select(number("u").alias("u"), number("v").alias("v"))
     parts = connected_components(edges)
-    members = cores.join(cells.select("node"), "node").withColumn("level", F.explode(inside("core")))
-    joined = members.withColumn("_id", number("node")).join(parts.select(F.col("node").alias("_id"), "component"), "_id", "left")
-    return joined.select("level", "node", F.coalesce(F.expr(f"component div {n}"), F.col("node")).alias("part"))
+    members = homes.withColumn("level", F.explode(inside("core")))
+    joined = members.withColumn("_id", number("home")).join(parts.select(F.col("node").alias("_id"), "component"), "_id", "left")
+    return joined.select("level", "node", F.coalesce(F.expr(f"component div {n}"), F.col("home")).alias("part"))
 
 
 def _weighed(nodes: DataFrame, radii: Sequence[float]) -> dict[int, DataFrame]:
@@ -209,10 +237,8 @@ def cluster_tree(
     """
     radii = ladder(radius, levels, shrink)
     cells, key = grains(points, coords_col, id_col, radius / GRAINS_PER_RADIUS if grain is None else grain, dims, by)
-    edges = materialise(radius_edges(cells, radius, dims), "radius-edges")
-    cores = materialise(core_distances(cells, edges, min_samples), "core-distances")
-    forest = spanning_forest(reachability(edges, cores))
-    parts = materialise(level_parts(cells, cores, forest, radii), "level-parts")
+    homes, edges = ladder_edges(cells, radii, dims, min_samples)
+    parts = materialise(level_parts(homes, spanning_forest(edges), radii), "level-parts")
 
     sized = parts.join(cells.select(GROUP, "node", "n"), "node").groupBy(GROUP, "level", "part").agg(F.sum("n").alias("n")).filter(
         F.col("n") >= min_cluster_size)

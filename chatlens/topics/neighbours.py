@@ -171,21 +171,21 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(*[F.col(turned[c]).alias(c) for c in pairs.columns]))
 
 
-def neighbour_graph(
-    points: DataFrame, coords_col: str, id_col: str, radius: float, dims: int = fv.REDUCED_DIMENSIONS,
-    min_samples: int = fv.MIN_SAMPLES, by: Sequence[str] = (),
-) -> NeighbourGraph:
-    """The neighbourhood structure of ``points`` within each group of ``by``.
+class _CoreGraph(NamedTuple):
+    """``spots`` and ``links`` of a `NeighbourGraph`, and what the search for border spots goes on with."""
 
-    A point is core if at least ``min_samples`` points, itself included, are within ``radius``.
-    ``id_col`` must be unique and integral. Points without ``dims`` finite coordinates have no part.
-    """
+    spots: DataFrame
+    links: DataFrame
+    pairs: DataFrame
+    core: DataFrame
+    search: _Undecided
+
+
+def core_graph(spots: DataFrame, radius: float, dims: int, min_samples: int) -> _CoreGraph:
+    """Core spots of ``spots(_g, x, spot, n)`` within a radius, and the links between their sets."""
     limit = radius * radius
     width = radius / math.sqrt(dims) * (1 - 1e-9)
-    good = points.filter(usable_coordinates(coords_col, dims))
-    spots = good.groupBy(group_key(by).alias(GROUP), F.transform(coords_col, lambda v: v.cast("double") + F.lit(0.0)).alias("x")).agg(
-        F.min(F.col(id_col).cast("long")).alias("spot"), F.count("*").alias("n"))
-    spots = materialise(spots.withColumn("cell", F.transform("x", lambda v: F.floor(v / width).cast("long"))), "spots")
+    spots = spots.withColumn("cell", F.transform("x", lambda v: F.floor(v / width).cast("long")))
     cells = spots.groupBy(GROUP, "cell").agg(F.sum("n").alias("_n"), F.min("spot").alias("_first")).filter(F.col("_n") >= min_samples)
     spots = materialise(spots.join(cells, [GROUP, "cell"], "left").select(
         GROUP, "cell", "x", "spot", "n", F.coalesce("_first", "spot").alias("set"), F.col("_first").isNotNull().alias("dense")), "spot-sets")
@@ -223,6 +223,24 @@ def neighbour_graph(
     search.walk(open_pairs.filter(~near), link)
     links = functools.reduce(DataFrame.unionByName, linked)
     links = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "set-links")
+    return _CoreGraph(spots, links, pairs, core, search)
+
+
+def neighbour_graph(
+    points: DataFrame, coords_col: str, id_col: str, radius: float, dims: int = fv.REDUCED_DIMENSIONS,
+    min_samples: int = fv.MIN_SAMPLES, by: Sequence[str] = (),
+) -> NeighbourGraph:
+    """The neighbourhood structure of ``points`` within each group of ``by``.
+
+    A point is core if at least ``min_samples`` points, itself included, are within ``radius``.
+    ``id_col`` must be unique and integral. Points without ``dims`` finite coordinates have no part.
+    """
+    limit = radius * radius
+    good = points.filter(usable_coordinates(coords_col, dims))
+    spots = good.groupBy(group_key(by).alias(GROUP), F.transform(coords_col, lambda v: v.cast("double") + F.lit(0.0)).alias("x")).agg(
+        F.min(F.col(id_col).cast("long")).alias("spot"), F.count("*").alias("n"))
+    spots, links, pairs, core, search = core_graph(materialise(spots, "spots"), radius, dims, min_samples)
+    of_core = lambda c: core.select(F.col("set").alias(c))
 
     # The nearest core spot of every spot that is not core but has one within the radius.
     edge = _both_ways(pairs).join(of_core("b"), "b", "left_semi").join(of_core("a"), "a", "left_anti")

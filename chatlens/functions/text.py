@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatlens import fixed_values as fv
 from chatlens.operators.joins import attach_by_key
+from chatlens.session import materialise
 
 _NOT_IN_WORD_BEFORE = f"(?<![{fv.WORD_CLASS}])"
 _NOT_IN_WORD_AFTER = f"(?![{fv.WORD_CLASS}])"
@@ -219,9 +220,20 @@ def lemmatise_with(df: DataFrame, id_col: str, text_col: str, dictionary: DataFr
     are. Frequent words are split in the join back, and the regrouping is by row,
     so no task holds all uses of a word and no group is longer than one text.
     """
+    return _replace_words(df, id_col, text_col, _word_counts(df, text_col), dictionary)
+
+
+def _word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """Stored table ``(form, n_rows)`` of the distinct words, so that the texts are split once for it."""
+    words = df.select(F.explode(tokens(F.col(text_col))).alias("form"))
+    return materialise(words.groupBy("form").agg(F.count("*").alias("n_rows")), "word-counts")
+
+
+def _replace_words(df: DataFrame, id_col: str, text_col: str, counted: DataFrame, dictionary: DataFrame) -> DataFrame:
     words = df.select(id_col, F.posexplode_outer(tokens(F.col(text_col))).alias("_pos", "form"))
     entries = dictionary.groupBy("form").agg(F.min(F.struct(F.length("lemma"), "lemma"))["lemma"].alias("lemma"))
-    counts = words.groupBy("form").agg(F.count("*").alias("n_rows")).join(entries, "form")
+    # Words that stay as they are need no entry; the others are stored, so that Spark knows how few they are.
+    counts = materialise(counted.join(entries, "form").filter(F.col("lemma") != F.col("form")), "lemmas")
     found = attach_by_key(words, counts.select("form", "lemma"), "form", counts.select("form", "n_rows"), (id_col, "_pos"))
     joined = found.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("w")))).alias("_parts")
@@ -250,9 +262,10 @@ def lexicon_lemmas(
         F.min(F.struct(F.length("lemma").alias("n"), "lemma"))["lemma"].alias("lemma"))
     if exceptions is None:
         return found
-    first = exceptions.groupBy("form").agg(F.min(F.struct(F.length("lemma").alias("n"), "lemma"))["lemma"].alias("_first"))
-    chosen = distinct.join(found, "form", "left").join(first, "form", "left")
-    return chosen.select("form", F.coalesce("_first", "lemma").alias("lemma")).filter(F.col("lemma").isNotNull())
+    first = exceptions.groupBy("form").agg(F.min(F.struct(F.length("lemma").alias("n"), "lemma"))["lemma"].alias("lemma"))
+    # Only confirmed forms and exceptions are joined, never all words.
+    first = first.filter(F.col("lemma").isNotNull())
+    return first.join(distinct, "form", "left_semi").unionByName(found.join(first, "form", "left_anti"))
 
 
 def lemmatise_by_lexicon(
@@ -260,8 +273,8 @@ def lemmatise_by_lexicon(
     detachments: Sequence[tuple[str, str]] = fv.DETACHMENTS,
 ) -> DataFrame:
     """Lemmatise with base forms instead of a finished dictionary; unknown words stay as they are."""
-    forms = df.select(F.explode(tokens(F.col(text_col))).alias("form"))
-    return lemmatise_with(df, id_col, text_col, lexicon_lemmas(forms, lexicon, exceptions, detachments))
+    counted = _word_counts(df, text_col)
+    return _replace_words(df, id_col, text_col, counted, lexicon_lemmas(counted, lexicon, exceptions, detachments))
 
 
 def clean_message(

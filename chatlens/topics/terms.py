@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlens import fixed_values as fv
 from chatlens.functions.text import bound_to, evaluated_once, token_count
@@ -15,15 +19,27 @@ from chatlens.topics.eligibility import TOPIC
 STOPWORDS = sorted({*fv.ENGLISH_STOPWORDS, *fv.PLATFORM_STOPWORDS, *fv.FILLER_STOPWORDS, *fv.BANNED_LABEL_WORDS})
 
 
+# The Arrow bytes of words that a task counts at a time, in whole messages.
+COUNTED_BYTES = 32 << 20
+LARGEST_NUMBER = 1 << 62
+
+
 def vocabulary_words(text: Column) -> Column:
     """Lower-cased words of two or more characters."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{fv.WORD_CLASS}]{{2,}}"), 0)
+    # ASCII letters come first because they are the cheapest to test; "+" is matched in one loop, "{2,}" is not.
+    one = f"[a-z{fv.WORD_CLASS}]"
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{one}{one}+"), 0)
+
+
+def kept_words(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """The words of a text that are no stopwords."""
+    listed = list(stopwords)
+    return F.filter(vocabulary_words(text), lambda w: ~w.isin(listed))
 
 
 def add_terms(df: DataFrame, text_col: str, stopwords: Sequence[str] = STOPWORDS, out: str = "terms") -> DataFrame:
     """Add the array of words and word pairs that remain without stopwords."""
-    listed = list(stopwords)
-    df = evaluated_once(df, _w=F.filter(vocabulary_words(F.col(text_col)), lambda w: ~w.isin(listed)))
+    df = evaluated_once(df, _w=kept_words(F.col(text_col), stopwords))
     pairs = F.greatest(F.size("_w") - 1, F.lit(0))
     grams = F.concat(
         F.col("_w"),
@@ -39,6 +55,57 @@ def stopword_table(docs: DataFrame, text_col: str, stopwords: Sequence[str] = ST
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("occurrences"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole rows with about ``COUNTED_BYTES`` each, or one row if that is longer."""
+    held, size = [], 0
+    for batch in batches:
+        step = max(1, batch.num_rows * COUNTED_BYTES // max(batch.nbytes, COUNTED_BYTES))
+        for start in range(0, batch.num_rows, step):
+            held.append(batch.slice(start, step))
+            size += held[-1].nbytes
+            if size >= COUNTED_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each topic and each word or pair of neighbours in ``words``: occurrences and messages, piece by piece."""
+    for rows in _pieces(batches):
+        words = rows["words"].combine_chunks()
+        coded = words.flatten().dictionary_encode()
+        row, a, n = pc.list_parent_indices(words).to_numpy(), coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        if not n:
+            continue
+        # A word has its place in the dictionary as its number; a pair has a number from n on.
+        paired = row[1:] == row[:-1]
+        term, span = np.concatenate([a, (n + a[:-1] * n + a[1:])[paired]]), n * (n + 1)
+        numbers = None
+        # Many rows with many words: only the pairs that occur are numbered.
+        if rows.num_rows * span >= LARGEST_NUMBER:
+            numbers, term = np.unique(term, return_inverse=True)
+            span = len(numbers)
+        said, times = np.unique(np.concatenate([row, row[1:][paired]]) * span + term, return_counts=True)
+        roles, topics = (rows[key].combine_chunks().dictionary_encode("encode") for key in TOPIC)
+        width = len(topics.dictionary)
+        groups, group = np.unique(roles.indices.to_numpy().astype(np.int64) * width + topics.indices.to_numpy(), return_inverse=True)
+        found = group[said // span] * span + said % span
+        order = np.argsort(found)
+        found = found[order]
+        starts = np.flatnonzero(np.diff(found, prepend=-1))
+        group, term = groups[found[starts] // span], found[starts] % span
+        if numbers is not None:
+            term = numbers[term]
+        single, pair = term < n, np.maximum(term - n, 0)
+        first, second = (coded.dictionary.take(pa.array(x)) for x in (np.where(single, term, pair // n), pair % n))
+        yield from pa.table({
+            TOPIC[0]: roles.dictionary.take(pa.array(group // width)), TOPIC[1]: topics.dictionary.take(pa.array(group % width)),
+            "term": pc.if_else(pa.array(single), first, pc.binary_join_element_wise(first, second, " ")),
+            "tf": np.add.reduceat(times[order], starts), "docs": np.diff(starts, append=len(found)),
+        }).to_batches(10_000)
+
+
 def term_table(
     docs: DataFrame,
     text_col: str,
@@ -47,36 +114,32 @@ def term_table(
     max_share: float = fv.MAX_TERM_SHARE,
     df_unit: str = "message",
 ) -> DataFrame:
-    """Stored table ``(message_role, topic_id, term, tf, df, f)`` of the vocabulary.
+    """Stored table ``(message_role, topic_id, term, tf, docs, df, f)`` of the vocabulary.
 
-    ``tf`` counts a term in a topic, ``f`` in all topics of the role, ``df`` the
-    messages (or topics, with ``df_unit='topic'``) that contain it. Terms are
-    sorted inside each message, so that one exploded pass gives both counts:
-    the first of equal neighbours is a document, every one is an occurrence.
+    ``tf`` counts a term in a topic and ``docs`` the messages there that contain it,
+    ``f`` counts it in all topics of the role, ``df`` the messages (or topics, with
+    ``df_unit='topic'``). Each task counts the terms of its messages under short
+    numbers; only these counts are shuffled, once, by term. Terms outside the
+    limits, which are most, leave before the counts of a topic are put together.
     """
-    sorted_terms = evaluated_once(
-        add_terms(docs.select(*TOPIC, text_col), text_col, stopwords).drop(text_col), _s=F.sort_array("terms")
-    )
-    # A term is held against its neighbour after the explosion, where the comparison is compiled.
-    first = (F.col("_i") == 0) | (F.col("term") != F.get("_s", F.col("_i") - 1))
-    counts = sorted_terms.select(*TOPIC, "_s", F.posexplode("_s").alias("_i", "term")).groupBy(*TOPIC, "term").agg(
-        F.count("*").alias("tf"), F.count_if(first).alias("docs")
-    )
+    keys = docs.select(*TOPIC).schema
+    words = docs.select(*TOPIC, kept_words(F.col(text_col), stopwords).alias("words"))
+    schema = T.StructType([*keys.fields, *T.StructType.fromDDL("term string, tf long, docs long").fields])
+    counts = words.mapInArrow(_count_terms, schema).repartition("message_role", "term")
     in_topic = F.col("topic_id") != -1
-    same_term = Window.partitionBy("message_role", "term")
     if df_unit == "topic":
-        unit, universe = F.when(in_topic, 1), F.count_distinct(F.when(in_topic, F.col("topic_id")))
+        found = universe = F.count_distinct(F.when(in_topic, F.col("topic_id")))
     else:
-        unit, universe = F.col("docs"), F.count("*")
+        found, universe = F.sum("docs"), F.count("*")
     # One row per role, and there are two roles.
     totals = F.broadcast(docs.groupBy("message_role").agg(universe.alias("_n")))
     kept = (
-        counts.withColumn("df", F.sum(unit).over(same_term))
-        .withColumn("f", F.sum(F.when(in_topic, F.col("tf"))).over(same_term))
-        .join(totals, "message_role")
-        .filter((F.col("df") >= min_docs) & (F.col("df") <= F.col("_n") * max_share))
+        counts.groupBy("message_role", "term").agg(found.alias("df"), F.sum(F.when(in_topic, F.col("tf"))).alias("f"))
+        .filter(F.col("df") >= min_docs).join(totals, "message_role").filter(F.col("df") <= F.col("_n") * max_share)
     )
-    return materialise(kept.select(*TOPIC, "term", "tf", "df", "f"), "topic-terms")
+    return materialise(
+        counts.join(kept.hint("shuffle_hash"), ["message_role", "term"]).groupBy(*TOPIC, "term", "df", "f")
+        .agg(F.sum("tf").alias("tf"), F.sum("docs").alias("docs")).select(*TOPIC, "term", "tf", "docs", "df", "f"), "topic-terms")
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
@@ -89,10 +152,21 @@ def topic_terms(terms: DataFrame, top: int = 10) -> DataFrame:
     mean_words = F.broadcast(rows.groupBy("message_role").agg(
         (F.sum("tf") / F.count_distinct("topic_id")).alias("_a")
     ))
-    weight = F.col("tf") * F.log1p(F.col("_a") / F.col("f"))
+    weighed = rows.join(mean_words, "message_role").withColumn("weight", F.col("tf") * F.log1p(F.col("_a") / F.col("f")))
+    # Ranking all terms would sort them all. Terms of like weight are counted first, in steps of a sixteenth of a
+    # power of two, and only those from one step below the last place upwards are ranked: two steps and more apart,
+    # weights above the floor of 1e-6 still differ when they are rounded.
+    step = F.floor(F.log2(F.greatest("weight", F.lit(1e-6))) * 16)
+    stepped = weighed.withColumn("_step", step)
+    above = Window.partitionBy(*TOPIC).orderBy(F.col("_step").desc())
+    # One row per topic.
+    lowest = materialise(
+        stepped.groupBy(*TOPIC, "_step").agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.sum("_n").over(above) - F.col("_n")).filter(F.col("_before") < top)
+        .groupBy(*TOPIC).agg(F.min("_step").alias("_lowest")), "lowest-steps")
     best = Window.partitionBy(*TOPIC).orderBy(F.round("weight", 9).desc(), "term")
     return (
-        rows.join(mean_words, "message_role").withColumn("weight", weight)
+        stepped.join(lowest, TOPIC).filter(F.col("_step") >= F.col("_lowest") - 1)
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
         .select(*TOPIC, "rank", "term", "weight")
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -12,16 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens import fixed_values as fv
-from chatlens.functions.text import bound_to, evaluated_once, token_count
+from chatlens.functions.text import evaluated_once, token_count
+from chatlens.functions.words import WordSplitter, word_characters
 from chatlens.session import materialise
 from chatlens.topics.eligibility import TOPIC
 
 STOPWORDS = sorted({*fv.ENGLISH_STOPWORDS, *fv.PLATFORM_STOPWORDS, *fv.FILLER_STOPWORDS, *fv.BANNED_LABEL_WORDS})
 
 
-# The Arrow bytes of words that a task counts at a time, in whole messages.
+# The Arrow bytes of texts or words that a task counts at a time, in whole messages.
 COUNTED_BYTES = 32 << 20
 LARGEST_NUMBER = 1 << 62
+# The counts of one part of all terms are in the memory of a task at a time.
+PARTS_PER_PARTITION = 4
 
 
 def vocabulary_words(text: Column) -> Column:
@@ -70,42 +75,147 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each topic and each word or pair of neighbours in ``words``: occurrences and messages, piece by piece."""
+def _words(batches: Iterator[pa.RecordBatch], splitter: Callable[[], WordSplitter]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, with ``words`` in place of the lower-cased ``text``."""
+    split = splitter()
     for rows in _pieces(batches):
-        words = rows["words"].combine_chunks()
+        rows = rows.combine_chunks()
+        at = rows.column_names.index("text")
+        yield from rows.set_column(at, "words", split(rows["text"].combine_chunks())).to_batches()
+
+
+class _Said:
+    """The words and pairs of neighbours of messages, under numbers.
+
+    A word has its place in ``dictionary`` as its number, the pair of a and b has n + a · n + b.
+    ``rows`` and ``terms`` list each term of a message once, in this order, ``times`` how often it occurs there.
+    """
+
+    def __init__(self, words: pa.ListArray):
         coded = words.flatten().dictionary_encode()
         row, a, n = pc.list_parent_indices(words).to_numpy(), coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-        if not n:
-            continue
-        # A word has its place in the dictionary as its number; a pair has a number from n on.
         paired = row[1:] == row[:-1]
         term, span = np.concatenate([a, (n + a[:-1] * n + a[1:])[paired]]), n * (n + 1)
-        numbers = None
+        self.dictionary, self.n, self.numbers = coded.dictionary, n, None
         # Many rows with many words: only the pairs that occur are numbered.
-        if rows.num_rows * span >= LARGEST_NUMBER:
-            numbers, term = np.unique(term, return_inverse=True)
-            span = len(numbers)
-        said, times = np.unique(np.concatenate([row, row[1:][paired]]) * span + term, return_counts=True)
+        if len(words) * span >= LARGEST_NUMBER:
+            self.numbers, term = np.unique(term, return_inverse=True)
+            span = len(self.numbers)
+        self.span = max(span, 1)
+        self.keys, self.times = np.unique(np.concatenate([row, row[1:][paired]]) * self.span + term, return_counts=True)
+        self.rows, self.terms = np.divmod(self.keys, self.span)
+
+    def words_of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether a term is a single word, the place of its first (or only) word, and that of the second."""
+        numbers = terms if self.numbers is None else self.numbers[terms]
+        single, pair = numbers < self.n, np.maximum(numbers - self.n, 0)
+        return single, np.where(single, numbers, pair // self.n), pair % self.n
+
+    def times_of(self, rows: np.ndarray, terms: pa.StringArray) -> np.ndarray:
+        """How often each of the named terms occurs in the row beside it."""
+        if not len(self.keys):
+            return np.zeros(len(rows), np.int64)
+        # An empty last part stands where a single word has no second one.
+        parts = pc.split_pattern(pc.binary_join_element_wise(terms, "", " "), " ")
+        single = pc.equal(pc.list_value_length(parts), 2).to_numpy(zero_copy_only=False)
+        first, second = (
+            pc.fill_null(pc.index_in(pc.list_element(parts, i), value_set=self.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i in (0, 1))
+        known = (first >= 0) & (single | (second >= 0))
+        number = np.where(single, first, self.n + first * self.n + second)
+        if self.numbers is not None:
+            at = np.minimum(np.searchsorted(self.numbers, number), self.span - 1)
+            number, known = at, known & (self.numbers[at] == number)
+        key = rows * self.span + number
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(known & (self.keys[at] == key), self.times[at], 0)
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch], parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """For each topic and each word or pair of neighbours in ``words``: occurrences, messages and part, piece by piece.
+
+    A term is in the same one of ``parts`` parts wherever it is counted. Rows come in the order of
+    parts, then of ``group``, a number of the topic within the piece.
+    """
+    for rows in _pieces(batches):
+        said = _Said(rows["words"].combine_chunks())
+        if not said.n:
+            continue
         roles, topics = (rows[key].combine_chunks().dictionary_encode("encode") for key in TOPIC)
         width = len(topics.dictionary)
         groups, group = np.unique(roles.indices.to_numpy().astype(np.int64) * width + topics.indices.to_numpy(), return_inverse=True)
-        found = group[said // span] * span + said % span
+        found = group[said.rows] * said.span + said.terms
         order = np.argsort(found)
         found = found[order]
         starts = np.flatnonzero(np.diff(found, prepend=-1))
-        group, term = groups[found[starts] // span], found[starts] % span
-        if numbers is not None:
-            term = numbers[term]
-        single, pair = term < n, np.maximum(term - n, 0)
-        first, second = (coded.dictionary.take(pa.array(x)) for x in (np.where(single, term, pair // n), pair % n))
+        group, term = np.divmod(found[starts], said.span)
+        single, first, second = said.words_of(term)
+        mixed = pd.util.hash_array(said.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+        mixed = np.where(single, mixed[first], mixed[first] * np.uint64(0x9E3779B97F4A7C15) + mixed[second])
+        part = (mixed % np.uint64(parts)).astype(np.min_scalar_type(parts))
+        by_part = np.argsort(part, kind="stable")
+        tf, seen = np.add.reduceat(said.times[order], starts), np.diff(starts, append=len(found))
+        part, group, tf, seen, single = (x[by_part] for x in (part, group, tf, seen, single))
+        one, two = (said.dictionary.take(pa.array(x[by_part])) for x in (first, second))
+        keys = groups[group]
         yield from pa.table({
-            TOPIC[0]: roles.dictionary.take(pa.array(group // width)), TOPIC[1]: topics.dictionary.take(pa.array(group % width)),
-            "term": pc.if_else(pa.array(single), first, pc.binary_join_element_wise(first, second, " ")),
-            "tf": np.add.reduceat(times[order], starts), "docs": np.diff(starts, append=len(found)),
+            TOPIC[0]: roles.dictionary.take(pa.array(keys // width)), TOPIC[1]: topics.dictionary.take(pa.array(keys % width)),
+            "term": pc.if_else(pa.array(single), one, pc.binary_join_element_wise(one, two, " ")),
+            "tf": tf, "docs": seen, "part": part.astype(np.int32), "group": group,
+        }).to_batches()
+
+
+def _term_lists(batches: Iterator[pa.RecordBatch], splitter: Callable[[], WordSplitter], parts: int) -> Iterator[pa.RecordBatch]:
+    """The counts of a piece, one row for each topic and part; no word holds the line break that joins the terms."""
+    for counts in _count_terms(_words(batches, splitter), parts):
+        part, group = counts["part"].to_numpy(), counts["group"].to_numpy()
+        starts = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+        places = pa.array(np.append(starts, len(part)).astype(np.int32))
+        listed = lambda column: pa.ListArray.from_arrays(places, column)
+        yield from pa.table({
+            **{key: counts[key].take(pa.array(starts)) for key in (*TOPIC, "part")}, "terms": pc.binary_join(listed(counts["term"]), "\n"),
+            **{key: listed(counts[key].cast(pa.int32())) for key in ("tf", "docs")},
         }).to_batches(10_000)
 
 
+def _sums(group: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(group, values, size).astype(np.int64)
+
+
+def _put_together(lists: pa.Table, min_docs: int, by_topic: bool) -> pa.Table:
+    """All counts of the terms of one part, put together; terms in too few messages (or topics) leave first."""
+    lists = lists.combine_chunks()
+    terms = pc.split_pattern(lists["terms"].combine_chunks(), "\n")
+    row = pc.list_parent_indices(terms).to_numpy()
+    tf, docs = (lists[key].combine_chunks().flatten().to_numpy() for key in ("tf", "docs"))
+    roles, topics = (lists[key].combine_chunks().dictionary_encode("encode") for key in TOPIC)
+    # A null topic is neither inside nor outside.
+    inside = pc.fill_null(pc.not_equal(topics.dictionary, -1), False).to_numpy(zero_copy_only=False)
+    role, topic = roles.indices.to_numpy().astype(np.int64)[row], topics.indices.to_numpy().astype(np.int64)[row]
+    words = terms.flatten().dictionary_encode()
+    # From here on a term is that of one role.
+    term = pa.array(role * len(words.dictionary) + words.indices.to_numpy()).dictionary_encode()
+    of, size = term.indices.to_numpy(), len(term.dictionary)
+    if by_topic:
+        cells = np.unique((of * np.int64(len(inside)) + topic)[inside[topic]])
+        df = np.bincount(cells // len(inside), minlength=size)
+    else:
+        df = _sums(of, docs, size)
+    chosen = np.flatnonzero(df[of] >= min_docs)
+    of, topic, tf, docs = of[chosen], topic[chosen], tf[chosen], docs[chosen]
+    within = inside[topic]
+    f, counted = _sums(of[within], tf[within], size), np.bincount(of[within], minlength=size) > 0
+    cells = pa.array(of * np.int64(len(inside)) + topic).dictionary_encode()
+    cell, n = cells.indices.to_numpy(), len(cells.dictionary)
+    of, topic = np.divmod(cells.dictionary.to_numpy(), len(inside))
+    role, place = np.divmod(term.dictionary.to_numpy()[of], len(words.dictionary))
+    return pa.table({
+        TOPIC[0]: roles.dictionary.take(pa.array(role)), TOPIC[1]: topics.dictionary.take(pa.array(topic)),
+        "term": words.dictionary.take(pa.array(place)), "tf": _sums(cell, tf, n), "docs": _sums(cell, docs, n),
+        "df": df[of], "f": pa.array(f[of], mask=~counted[of]),
+    })
+
+
 def term_table(
     docs: DataFrame,
     text_col: str,
@@ -118,28 +228,27 @@ def term_table(
 
     ``tf`` counts a term in a topic and ``docs`` the messages there that contain it,
     ``f`` counts it in all topics of the role, ``df`` the messages (or topics, with
-    ``df_unit='topic'``). Each task counts the terms of its messages under short
-    numbers; only these counts are shuffled, once, by term. Terms outside the
-    limits, which are most, leave before the counts of a topic are put together.
+    ``df_unit='topic'``). Each task splits its messages into words and counts their terms
+    under short numbers. Only these counts are shuffled, once, as lists by part: the terms
+    are dealt by a hash over ``PARTS_PER_PARTITION`` parts per shuffle partition, and one
+    part at a time is put together in memory. Terms outside the limits, which are most,
+    leave before the counts of a topic are put together.
     """
-    keys = docs.select(*TOPIC).schema
-    words = docs.select(*TOPIC, kept_words(F.col(text_col), stopwords).alias("words"))
-    schema = T.StructType([*keys.fields, *T.StructType.fromDDL("term string, tf long, docs long").fields])
-    counts = words.mapInArrow(_count_terms, schema).repartition("message_role", "term")
-    in_topic = F.col("topic_id") != -1
-    if df_unit == "topic":
-        found = universe = F.count_distinct(F.when(in_topic, F.col("topic_id")))
-    else:
-        found, universe = F.sum("docs"), F.count("*")
+    spark = docs.sparkSession
+    parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splitter = functools.partial(WordSplitter, word_characters(spark), list(stopwords))
+    keys = docs.select(*TOPIC).schema.fields
+    texts = docs.select(*TOPIC, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    packed = T.StructType([*keys, *T.StructType.fromDDL("part int, terms string, tf array<int>, docs array<int>").fields])
+    counted = T.StructType([*keys, *T.StructType.fromDDL("term string, tf long, docs long, df long, f long").fields])
+    lists = texts.mapInArrow(lambda batches: _term_lists(batches, splitter, parts), packed).repartition("part")
+    by_topic = df_unit == "topic"
+    found = lists.groupBy("part").applyInArrow(lambda part: _put_together(part, min_docs, by_topic), counted)
+    universe = F.count_distinct(F.when(F.col("topic_id") != -1, F.col("topic_id"))) if by_topic else F.count("*")
     # One row per role, and there are two roles.
     totals = F.broadcast(docs.groupBy("message_role").agg(universe.alias("_n")))
-    kept = (
-        counts.groupBy("message_role", "term").agg(found.alias("df"), F.sum(F.when(in_topic, F.col("tf"))).alias("f"))
-        .filter(F.col("df") >= min_docs).join(totals, "message_role").filter(F.col("df") <= F.col("_n") * max_share)
-    )
-    return materialise(
-        counts.join(kept.hint("shuffle_hash"), ["message_role", "term"]).groupBy(*TOPIC, "term", "df", "f")
-        .agg(F.sum("tf").alias("tf"), F.sum("docs").alias("docs")).select(*TOPIC, "term", "tf", "docs", "df", "f"), "topic-terms")
+    kept = found.join(totals, "message_role").filter(F.col("df") <= F.col("_n") * max_share)
+    return materialise(kept.select(*TOPIC, "term", "tf", "docs", "df", "f"), "topic-terms")
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
@@ -178,6 +287,19 @@ def term_lists(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy(*TOPIC).agg(pairs.alias("_p")).select(*TOPIC, F.col("_p.term").alias("terms"))
 
 
+def _similarities(batches: Iterator[pa.RecordBatch], splitter: Callable[[], WordSplitter]) -> Iterator[pa.RecordBatch]:
+    """The messages with the cosine of their term counts and the weights beside them."""
+    for rows in _words(batches, splitter):
+        said = _Said(rows["words"])
+        listed = rows["_terms"]
+        row, weight = pc.list_parent_indices(listed).to_numpy(), pc.fill_null(rows["_weights"].flatten(), 0.0).to_numpy()
+        total = np.bincount(row, weight * said.times_of(row, listed.flatten()), rows.num_rows)
+        squares = np.bincount(said.rows, said.times * said.times, rows.num_rows)
+        length = np.sqrt(squares) * rows["_l"].to_numpy(zero_copy_only=False)
+        cosine = np.divide(total, length, out=np.zeros(rows.num_rows), where=squares > 0)
+        yield pa.RecordBatch.from_pydict({**{key: rows[key] for key in (*TOPIC, "row_index", "example")}, "similarity": cosine})
+
+
 def representative_by_terms(
     docs: DataFrame, text_col: str, ranked: DataFrame, top: int = 2, stopwords: Sequence[str] = STOPWORDS
 ) -> DataFrame:
@@ -189,19 +311,16 @@ def representative_by_terms(
     without terms has similarity 0. Topics without terms have no row.
     """
     weights = materialise(ranked.groupBy(*TOPIC).agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_w"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_l")),
-        "topic-weights")
+        F.collect_list(F.struct("term", "weight")).alias("_w"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_l")),
+        "topic-weights").select(*TOPIC, F.col("_w.term").alias("_terms"), F.col("_w.weight").alias("_weights"), "_l")
+    splitter = functools.partial(WordSplitter, word_characters(docs.sparkSession), list(stopwords))
     kept = docs.filter(F.col("topic_id") != -1).select(*TOPIC, "row_index", F.col(text_col).alias("example"))
-    rows = evaluated_once(add_terms(kept, "example", stopwords, "_t"), _s=F.sort_array("_t")).join(weights, TOPIC)
-    said = F.aggregate("_s", F.lit(0.0), lambda total, t: total + F.coalesce(F.try_element_at("_w", t), F.lit(0.0)))
-    # Equal terms stand side by side: a run of n, from its start to the next one, adds n squared.
-    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
-    lengths = bound_to(starts, lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size("_s"))), lambda x, y: y - x))
-    squares = F.aggregate(lengths, F.lit(0).cast("long"), lambda total, n: total + n.cast("long") * n)
-    cosine = F.when(F.size("_s") == 0, 0.0).otherwise(said / (F.sqrt(squares) * F.col("_l")))
+    rows = kept.withColumn("text", F.lower(F.coalesce("example", F.lit("")))).join(weights, TOPIC)
+    schema = T.StructType([*kept.schema.fields, T.StructField("similarity", T.DoubleType())])
+    scored = rows.mapInArrow(lambda batches: _similarities(batches, splitter), schema)
     best = Window.partitionBy(*TOPIC).orderBy(F.round("similarity", 9).desc(), "row_index")
-    scored = evaluated_once(rows, similarity=cosine).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    return scored.select(*TOPIC, "rank", "row_index", "example", "similarity")
+    ranks = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    return ranks.select(*TOPIC, "rank", "row_index", "example", "similarity")
 
 
 def topic_sizes(docs: DataFrame) -> DataFrame:

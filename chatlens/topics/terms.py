@@ -26,7 +26,7 @@ STOPWORDS = sorted({*fv.ENGLISH_STOPWORDS, *fv.PLATFORM_STOPWORDS, *fv.FILLER_ST
 COUNTED_BYTES = 32 << 20
 LARGEST_NUMBER = 1 << 62
 # The counts of one part of all terms are in the memory of a task at a time.
-PARTS_PER_PARTITION = 4
+PARTS_PER_PARTITION, LEAST_PARTS = 4, 512
 
 
 def vocabulary_words(text: Column) -> Column:
@@ -230,12 +230,12 @@ def term_table(
     ``f`` counts it in all topics of the role, ``df`` the messages (or topics, with
     ``df_unit='topic'``). Each task splits its messages into words and counts their terms
     under short numbers. Only these counts are shuffled, once, as lists by part: the terms
-    are dealt by a hash over ``PARTS_PER_PARTITION`` parts per shuffle partition, and one
-    part at a time is put together in memory. Terms outside the limits, which are most,
+    are dealt by a hash over ``PARTS_PER_PARTITION`` parts per shuffle partition, ``LEAST_PARTS``
+    at least, and a task puts one part at a time together in memory. Terms outside the limits, which are most,
     leave before the counts of a topic are put together.
     """
     spark = docs.sparkSession
-    parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(LEAST_PARTS, PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
     splitter = functools.partial(WordSplitter, word_characters(spark), list(stopwords))
     keys = docs.select(*TOPIC).schema.fields
     texts = docs.select(*TOPIC, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))

@@ -22,11 +22,13 @@ from chatlens.topics.eligibility import TOPIC
 STOPWORDS = sorted({*fv.ENGLISH_STOPWORDS, *fv.PLATFORM_STOPWORDS, *fv.FILLER_STOPWORDS, *fv.BANNED_LABEL_WORDS})
 
 
-# The Arrow bytes of texts or words that a task counts at a time, in whole messages.
-COUNTED_BYTES = 32 << 20
+# The Arrow bytes of words that a task counts at a time, and of texts that it splits, in whole messages. Counting
+# takes about 40 times as much memory, and a machine runs a task per core.
+COUNTED_BYTES, SPLIT_BYTES = 2 << 20, 1 << 20
 LARGEST_NUMBER = 1 << 62
-# The counts of one part of all terms are in the memory of a task at a time.
-PARTS_PER_PARTITION, LEAST_PARTS = 4, 512
+# The counts of one part of all terms are in the memory of a task at a time, those of about ``PART_BYTES`` of stored messages.
+PARTS_PER_PARTITION, LEAST_PARTS, MOST_PARTS, PART_BYTES = 4, 512, 8192, 1 << 20
+UNKNOWN_SIZE = 1 << 50  # Spark takes a table of unknown size for larger than any
 
 
 def vocabulary_words(text: Column) -> Column:
@@ -60,15 +62,15 @@ def stopword_table(docs: DataFrame, text_col: str, stopwords: Sequence[str] = ST
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("occurrences"))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole rows with about ``COUNTED_BYTES`` each, or one row if that is longer."""
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of whole rows with about ``most`` bytes each, or one row if that is longer."""
     held, size = [], 0
     for batch in batches:
-        step = max(1, batch.num_rows * COUNTED_BYTES // max(batch.nbytes, COUNTED_BYTES))
+        step = max(1, batch.num_rows * most // max(batch.nbytes, most))
         for start in range(0, batch.num_rows, step):
             held.append(batch.slice(start, step))
             size += held[-1].nbytes
-            if size >= COUNTED_BYTES:
+            if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
     if held:
@@ -78,7 +80,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _words(batches: Iterator[pa.RecordBatch], splitter: Callable[[], WordSplitter]) -> Iterator[pa.RecordBatch]:
     """The batches in pieces, with ``words`` in place of the lower-cased ``text``."""
     split = splitter()
-    for rows in _pieces(batches):
+    for rows in _pieces(batches, SPLIT_BYTES):
         rows = rows.combine_chunks()
         at = rows.column_names.index("text")
         yield from rows.set_column(at, "words", split(rows["text"].combine_chunks())).to_batches()
@@ -94,15 +96,19 @@ class _Said:
     def __init__(self, words: pa.ListArray):
         coded = words.flatten().dictionary_encode()
         row, a, n = pc.list_parent_indices(words).to_numpy(), coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-        paired = row[1:] == row[:-1]
-        term, span = np.concatenate([a, (n + a[:-1] * n + a[1:])[paired]]), n * (n + 1)
+        first = np.flatnonzero(row[1:] == row[:-1])
+        term, span = np.concatenate([a, n + a[first] * n + a[first + 1]]), n * (n + 1)
         self.dictionary, self.n, self.numbers = coded.dictionary, n, None
         # Many rows with many words: only the pairs that occur are numbered.
         if len(words) * span >= LARGEST_NUMBER:
             self.numbers, term = np.unique(term, return_inverse=True)
             span = len(self.numbers)
         self.span = max(span, 1)
-        self.keys, self.times = np.unique(np.concatenate([row, row[1:][paired]]) * self.span + term, return_counts=True)
+        # Each key takes the place of its term.
+        term[:len(row)] += row * self.span
+        term[len(row):] += row[first] * self.span
+        self.keys, self.times = np.unique(term, return_counts=True)
+        del term
         self.rows, self.terms = np.divmod(self.keys, self.span)
 
     def words_of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +143,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch], parts: int = 1) -> Iterator[
     A term is in the same one of ``parts`` parts wherever it is counted. Rows come in the order of
     parts, then of ``group``, a number of the topic within the piece.
     """
-    for rows in _pieces(batches):
+    for rows in _pieces(batches, COUNTED_BYTES):
         said = _Said(rows["words"].combine_chunks())
         if not said.n:
             continue
@@ -148,33 +154,45 @@ def _count_terms(batches: Iterator[pa.RecordBatch], parts: int = 1) -> Iterator[
         order = np.argsort(found)
         found = found[order]
         starts = np.flatnonzero(np.diff(found, prepend=-1))
-        group, term = np.divmod(found[starts], said.span)
+        tf, seen = np.add.reduceat(said.times[order], starts), np.diff(starts, append=len(found))
+        found = found[starts]
+        said.keys = said.times = said.rows = said.terms = order = starts = None
+        group, term = np.divmod(found, said.span)
         single, first, second = said.words_of(term)
         mixed = pd.util.hash_array(said.dictionary.to_numpy(zero_copy_only=False), categorize=False)
         mixed = np.where(single, mixed[first], mixed[first] * np.uint64(0x9E3779B97F4A7C15) + mixed[second])
         part = (mixed % np.uint64(parts)).astype(np.min_scalar_type(parts))
         by_part = np.argsort(part, kind="stable")
-        tf, seen = np.add.reduceat(said.times[order], starts), np.diff(starts, append=len(found))
         part, group, tf, seen, single = (x[by_part] for x in (part, group, tf, seen, single))
         one, two = (said.dictionary.take(pa.array(x[by_part])) for x in (first, second))
+        found = term = first = second = mixed = by_part = None
+        term = pc.if_else(pa.array(single), one, pc.binary_join_element_wise(one, two, " "))
+        one = two = single = None
         keys = groups[group]
         yield from pa.table({
             TOPIC[0]: roles.dictionary.take(pa.array(keys // width)), TOPIC[1]: topics.dictionary.take(pa.array(keys % width)),
-            "term": pc.if_else(pa.array(single), one, pc.binary_join_element_wise(one, two, " ")),
-            "tf": tf, "docs": seen, "part": part.astype(np.int32), "group": group,
+            "term": term, "tf": tf, "docs": seen, "part": part.astype(np.int32), "group": group,
         }).to_batches()
 
 
 def _term_lists(batches: Iterator[pa.RecordBatch], splitter: Callable[[], WordSplitter], parts: int) -> Iterator[pa.RecordBatch]:
-    """The counts of a piece, one row for each topic and part; no word holds the line break that joins the terms."""
+    """The counts of a piece, one row for each part: the terms, topic by topic, and how many belong to each topic.
+
+    No word holds the line break that joins the terms.
+    """
     for counts in _count_terms(_words(batches, splitter), parts):
         part, group = counts["part"].to_numpy(), counts["group"].to_numpy()
-        starts = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
-        places = pa.array(np.append(starts, len(part)).astype(np.int32))
-        listed = lambda column: pa.ListArray.from_arrays(places, column)
+        first = np.diff(part, prepend=-1) != 0
+        starts, runs = np.flatnonzero(first), np.flatnonzero(first | (np.diff(group, prepend=-1) != 0))
+        bounds = lambda at, end: pa.array(np.append(at, end).astype(np.int32))
+        of_terms, of_runs = bounds(starts, len(part)), bounds(np.searchsorted(runs, starts), len(runs))
+        lengths = pa.array(np.diff(runs, append=len(part)).astype(np.int32))
         yield from pa.table({
-            **{key: counts[key].take(pa.array(starts)) for key in (*TOPIC, "part")}, "terms": pc.binary_join(listed(counts["term"]), "\n"),
-            **{key: listed(counts[key].cast(pa.int32())) for key in ("tf", "docs")},
+            "part": counts["part"].take(pa.array(starts)),
+            **{key: pa.ListArray.from_arrays(of_runs, counts[key].take(pa.array(runs))) for key in TOPIC},
+            "lengths": pa.ListArray.from_arrays(of_runs, lengths),
+            "terms": pc.binary_join(pa.ListArray.from_arrays(of_terms, counts["term"]), "\n"),
+            **{key: pa.ListArray.from_arrays(of_terms, counts[key].cast(pa.int32())) for key in ("tf", "docs")},
         }).to_batches(10_000)
 
 
@@ -184,18 +202,15 @@ def _sums(group: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 def _put_together(lists: pa.Table, min_docs: int, by_topic: bool) -> pa.Table:
     """All counts of the terms of one part, put together; terms in too few messages (or topics) leave first."""
-    lists = lists.combine_chunks()
-    terms = pc.split_pattern(lists["terms"].combine_chunks(), "\n")
-    row = pc.list_parent_indices(terms).to_numpy()
-    tf, docs = (lists[key].combine_chunks().flatten().to_numpy() for key in ("tf", "docs"))
-    roles, topics = (lists[key].combine_chunks().dictionary_encode("encode") for key in TOPIC)
+    words = pc.split_pattern(lists["terms"], "\n").combine_chunks().flatten().dictionary_encode()
+    words, of = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    tf, docs, lengths = (pc.list_flatten(lists[key]).to_numpy() for key in ("tf", "docs", "lengths"))
+    roles, topics = (pc.list_flatten(lists[key]).combine_chunks().dictionary_encode("encode") for key in TOPIC)
     # A null topic is neither inside nor outside.
     inside = pc.fill_null(pc.not_equal(topics.dictionary, -1), False).to_numpy(zero_copy_only=False)
-    role, topic = roles.indices.to_numpy().astype(np.int64)[row], topics.indices.to_numpy().astype(np.int64)[row]
-    words = terms.flatten().dictionary_encode()
     # From here on a term is that of one role.
-    term = pa.array(role * len(words.dictionary) + words.indices.to_numpy()).dictionary_encode()
-    of, size = term.indices.to_numpy(), len(term.dictionary)
+    of += np.repeat(roles.indices.to_numpy().astype(np.int64) * len(words), lengths)
+    topic, size = np.repeat(topics.indices.to_numpy(), lengths), len(roles.dictionary) * len(words)
     if by_topic:
         cells = np.unique((of * np.int64(len(inside)) + topic)[inside[topic]])
         df = np.bincount(cells // len(inside), minlength=size)
@@ -208,14 +223,21 @@ def _put_together(lists: pa.Table, min_docs: int, by_topic: bool) -> pa.Table:
     cells = pa.array(of * np.int64(len(inside)) + topic).dictionary_encode()
     cell, n = cells.indices.to_numpy(), len(cells.dictionary)
     of, topic = np.divmod(cells.dictionary.to_numpy(), len(inside))
-    role, place = np.divmod(term.dictionary.to_numpy()[of], len(words.dictionary))
+    role, place = np.divmod(of, len(words))
     return pa.table({
         TOPIC[0]: roles.dictionary.take(pa.array(role)), TOPIC[1]: topics.dictionary.take(pa.array(topic)),
-        "term": words.dictionary.take(pa.array(place)), "tf": _sums(cell, tf, n), "docs": _sums(cell, docs, n),
+        "term": words.take(pa.array(place)), "tf": _sums(cell, tf, n), "docs": _sums(cell, docs, n),
         "df": df[of], "f": pa.array(f[of], mask=~counted[of]),
     })
 
 
+def _parts(docs: DataFrame) -> int:
+    """Into how many parts the terms of ``docs`` are dealt: by the size that Spark expects of the messages, if it knows one."""
+    least = max(LEAST_PARTS, PARTS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= UNKNOWN_SIZE else max(least, min(MOST_PARTS, size // PART_BYTES))
+
+
 def term_table(
     docs: DataFrame,
     text_col: str,
@@ -230,16 +252,17 @@ def term_table(
     ``f`` counts it in all topics of the role, ``df`` the messages (or topics, with
     ``df_unit='topic'``). Each task splits its messages into words and counts their terms
     under short numbers. Only these counts are shuffled, once, as lists by part: the terms
-    are dealt by a hash over ``PARTS_PER_PARTITION`` parts per shuffle partition, ``LEAST_PARTS``
-    at least, and a task puts one part at a time together in memory. Terms outside the limits, which are most,
+    are dealt by a hash over parts whose number grows with the messages, and a task puts one part
+    at a time together in memory. Terms outside the limits, which are most,
     leave before the counts of a topic are put together.
     """
-    spark = docs.sparkSession
-    parts = max(LEAST_PARTS, PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark, parts = docs.sparkSession, _parts(docs)
     splitter = functools.partial(WordSplitter, word_characters(spark), list(stopwords))
     keys = docs.select(*TOPIC).schema.fields
     texts = docs.select(*TOPIC, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    packed = T.StructType([*keys, *T.StructType.fromDDL("part int, terms string, tf array<int>, docs array<int>").fields])
+    packed = T.StructType([
+        T.StructField("part", T.IntegerType()), *[T.StructField(key.name, T.ArrayType(key.dataType)) for key in keys],
+        *T.StructType.fromDDL("lengths array<int>, terms string, tf array<int>, docs array<int>").fields])
     counted = T.StructType([*keys, *T.StructType.fromDDL("term string, tf long, docs long, df long, f long").fields])
     lists = texts.mapInArrow(lambda batches: _term_lists(batches, splitter, parts), packed).repartition("part")
     by_topic = df_unit == "topic"

@@ -6,18 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import chatlens
 from chatlens.operators.joins import HOT_ROWS, attach_by_key, text_key
 from chatlens.session import is_stored, materialise, scratch_path
 
-# Functions of this package travel with the job, so workers need no installed copy.
-cloudpickle.register_pickle_by_value(chatlens)
-
 Model = Callable[[list[str]], Sequence[Any]]
 
 # A lost task repeats at most about this many model calls.

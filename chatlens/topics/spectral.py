@@ -5,13 +5,18 @@ an edge whose weight falls with their distance. Orthogonal iteration then finds
 eigenvectors: each step is one join of the edges with the present vectors and one aggregation, and
 only a matrix of a few rows and columns ever reaches the driver. Between two orthogonalisations the
 steps follow the Chebyshev recurrence, which damps everything below the least eigenvalue wanted.
+
+Averaging over neighbours needs no list of edges: the points of neighbouring cells meet as blocks,
+whose weights are summed as they are computed, in each step anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ SPARE = 3  # vectors next to the wanted ones, which speed up the iteration
 STEPS = 10  # multiplications between two orthogonalisations
 ROUNDS = 30
 TOLERANCE = 1e-8
+BLOCK = 2048  # points of a cell that meet those of another cell at a time
+AT_ONCE = 256  # of them, for which weights are held
 
 
 def normalised_edges(cells: DataFrame, radius: float, dims: int) -> DataFrame:
@@ -143,24 +150,78 @@ def reduce_by_graph(
     return keyed.join(placed, [GROUP, "_key"], "left").drop(GROUP, "_key")
 
 
+def _weighed_sums(batches: Iterator[pa.RecordBatch], radius: float, dims: int) -> Iterator[pa.RecordBatch]:
+    """``node, s0, s1 …``: for pairs of blocks, the sums of ``values`` over the points around each of ``nodes``, by weight."""
+    def flat(batch, name, width):
+        column = batch[name]
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), (column.offsets.to_numpy() - column.offsets[0].as_py()) // width
+
+    for batch in batches:
+        (nodes, ends), (at, _), (near, near_ends), (values, _) = (
+            flat(batch, name, width) for name, width in (("nodes", 1), ("at_nodes", dims), ("near", dims), ("values", dims + 1)))
+        sums = np.empty((len(nodes), dims + 1))
+        for i, start in ((i, start) for i in range(batch.num_rows) for start in range(ends[i], ends[i + 1], AT_ONCE)):
+            here, there = slice(start, min(start + AT_ONCE, ends[i + 1])), slice(near_ends[i], near_ends[i + 1])
+            distance = 0.0
+            for k in range(dims):
+                gap = at[here, k, None] - near[None, there, k]
+                distance = distance + gap * gap
+            weight = np.where(distance <= radius * radius, np.exp(distance * (-2.0 / radius**2)), 0.0)
+            sums[here] = weight @ values[there]
+        # A block meets many others in one batch.
+        node, place = np.unique(nodes[:, 0], return_inverse=True)
+        yield pa.RecordBatch.from_pydict({"node": node, **{f"s{k}": np.bincount(place, sums[:, k], len(node)) for k in range(dims + 1)}})
+
+
+class _Neighbourhoods:
+    """The points of ``cells(_g, node, x, n)`` in cells as wide as the radius, those of a crowded cell dealt over blocks."""
+
+    def __init__(self, cells: DataFrame, radius: float, dims: int):
+        width = radius * (1 + 1e-9)
+        placed = cells.select(GROUP, "node", "x", "n", F.transform("x", lambda v: F.floor(v / width).cast("long")).alias("at"))
+        crowds = materialise(placed.groupBy(GROUP, "at").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "crowds")
+        self.radius, self.dims, self.crowds = radius, dims, crowds
+        self.points = materialise(placed.join(crowds, [GROUP, "at"]).select(
+            GROUP, "at", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "x", "n"), "placed")
+        self.blocks = materialise(self._packed(self.points.select(GROUP, "at", "block", F.struct("node", "x").alias("_p"))).select(
+            GROUP, "at", "block", F.col("_p.node").alias("nodes"), F.flatten("_p.x").alias("at_nodes")), "blocks")
+
+    @staticmethod
+    def _packed(points: DataFrame) -> DataFrame:
+        return points.groupBy(GROUP, "at", "block").agg(F.collect_list("_p").alias("_p"))
+
+    def averages(self, now: DataFrame, names: Sequence[str]) -> DataFrame:
+        """``node`` and ``names``: the mean over all points around, by weight, of the columns ``names`` of ``now``."""
+        values = F.array(*[F.col("n") * F.col(c) for c in names], F.col("n").cast("double"))
+        around = self._packed(self.points.join(now, "node").select(GROUP, "at", "block", F.struct("x", values.alias("v")).alias("_p")))
+        steps = F.array(*[F.array(*[F.lit(v).cast("long") for v in s]) for s in itertools.product((-1, 0, 1), repeat=self.dims)])
+        # A block goes to each block of the cells around that hold points.
+        reach = around.withColumn("_s", F.explode(steps)).select(
+            GROUP, F.zip_with("at", "_s", lambda k, s: k + s).alias("at"), F.flatten("_p.x").alias("near"), F.flatten("_p.v").alias("values"))
+        reach = reach.join(self.crowds, [GROUP, "at"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = self.blocks.join(reach.drop("blocks"), [GROUP, "at", "block"]).select("nodes", "at_nodes", "near", "values")
+        radius, dims = self.radius, self.dims
+        schema = ", ".join(["node long", *[f"s{k} double" for k in range(dims + 1)]])
+        sums = met.mapInArrow(lambda batches: _weighed_sums(batches, radius, dims), schema)
+        total = sums.groupBy("node").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(dims + 1)])
+        return total.select("node", *[(F.col(f"s{k}") / F.col(f"s{dims}")).alias(c) for k, c in enumerate(names)])
+
+
 def diffused(
     points: DataFrame, coords_col: str, id_col: str, radius: float, dims: int, by: Sequence[str] = (), steps: int = 3, grain: float = 0.0,
 ) -> DataFrame:
     """Add ``diffused``: the coordinates after ``steps`` averagings over the neighbour graph.
 
     Each step replaces a point by the mean of all points within ``radius``, itself included, weighted
-    as in :func:`normalised_edges`; noise fades while the shape that neighbours share stays.
+    as in :func:`normalised_edges`; noise fades while the shape that neighbours share stays. What is
+    shuffled and stored grows with the points, the work with the pairs of points in neighbouring cells.
     """
     cells, key = grains(points, coords_col, id_col, grain, dims, by)
-    near = radius_edges(cells, radius, dims).withColumn("w", F.exp(F.col("d") * F.lit(-2.0 / radius**2))).select("u", "v", "w")
-    loops = cells.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(1.0).alias("w"))
-    both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).unionByName(loops)
-    weighted = materialise(both.join(cells.select(F.col("node").alias("v"), "n"), "v").select("u", "v", (F.col("w") * F.col("n")).alias("s")), "graph")
+    around = _Neighbourhoods(cells, radius, dims)
     names = [f"x{i}" for i in range(dims)]
-    now = cells.select("node", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(names)], F.lit(1.0).alias("one"))
+    now = cells.select("node", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(names)])
     for _ in range(steps):
-        times = multiplied(weighted, now, [*names, "one"])
-        now = times.select("node", *[(F.col(c) / F.col("one")).alias(c) for c in names], F.lit(1.0).alias("one"))
+        now = materialise(around.averages(now, names), "averages")
     placed = materialise(now.join(cells.select("node", GROUP, "key"), "node").select(
         GROUP, F.col("key").alias("_key"), F.array(*names).alias("diffused")), "diffused")
     keyed = points.drop("diffused").withColumns({GROUP: group_key(by), "_key": F.when(usable_coordinates(coords_col, dims), key)})

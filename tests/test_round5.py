@@ -3,11 +3,12 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from chatlens.functions.words import WordSplitter, word_characters
-from chatlens.topics import terms
+from chatlens.topics import spectral, terms
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,3 +76,28 @@ def test_parts_of_terms_grow_with_the_messages(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(terms, "PART_BYTES", 200)
     assert 16 < terms._parts(few) < terms._parts(many) <= terms.MOST_PARTS
     assert want and {tuple(r) for r in terms.term_table(few, "text", []).collect()} == want
+
+
+def brute_average(x, groups, values, radius):
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    w = np.where((d <= radius * radius) & (groups[:, None] == groups[None]), np.exp(-2 * d / radius**2), 0.0)
+    return w @ values / w.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("block, at_once", [(7, 3), (2048, 256)])
+def test_diffusion_stores_no_pairs(spark, monkeypatch, block, at_once):
+    monkeypatch.setattr(spectral, "BLOCK", block, raising=False)
+    monkeypatch.setattr(spectral, "AT_ONCE", at_once, raising=False)
+    rng = np.random.default_rng(2)
+    # One crowded place, a few far points, and some that are equal.
+    x = np.concatenate([rng.normal(0, 0.1, (110, 2)), rng.normal(0, 2, (20, 2))])
+    x = np.concatenate([x, x[:9]])
+    groups = np.array(["a", "b"])[np.arange(len(x)) % 2]
+    df = spark.createDataFrame([(i, str(g), v.tolist()) for i, (g, v) in enumerate(zip(groups, x))], "id long, g string, c array<double>")
+    stored, materialise = {}, spectral.materialise
+    monkeypatch.setattr(spectral, "materialise", lambda t, name, *a: stored.setdefault((name, len(stored)), materialise(t, name, *a)))
+    got = np.array([r.diffused for r in spectral.diffused(df, "c", "id", 0.5, 2, ["g"], steps=2).orderBy("id").collect()])
+    want = brute_average(x, groups, brute_average(x, groups, x, 0.5), 0.5)
+    assert np.allclose(got, want)
+    # Thousands of pairs are within the radius; no stored table has more rows than there are points.
+    assert max(t.count() for t in stored.values()) <= len(x)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlens.operators.joins import HOT_ROWS, attach_by_key, text_key
-from chatlens.session import is_stored, materialise, scratch_path
+from chatlens.session import is_stored, materialise, remove_stored, scratch_path
 
 Model = Callable[[list[str]], Sequence[Any]]
 
@@ -61,6 +61,7 @@ def run_model(
     max_tokens: int | None = None,
     load_tokenizer: Callable[[], Any] = WordTokenizer,
     stored: bool = False,
+    placed: bool = False,
 ) -> DataFrame:
     """Add the model's columns to a table with a ``text`` column.
 
@@ -68,7 +69,8 @@ def run_model(
     ``batch_size`` texts. Rows are spread evenly first, because the cost is per
     text and not per byte, so the partitions must not be merged by size. The
     texts are stored and counted, and the number of tasks follows from that; ``stored`` says that
-    ``texts`` reads a stored table, so counting it is cheap and no copy is needed.
+    ``texts`` reads a stored table, so counting it is cheap and no copy is needed, ``placed`` that its
+    rows are spread over the tasks already.
 
     With ``max_tokens`` the model sees at most so many tokens of a text, as the tokenizer (an object
     with ``encode`` and ``decode``, loaded once per task) counts them; shorter texts are passed
@@ -99,10 +101,12 @@ def run_model(
             scored = pd.DataFrame(found, columns=names, index=frame.index)
             yield pd.concat([frame, scored], axis=1)
 
+    schema = T.StructType(texts.schema.fields + result.fields)
+    if placed:
+        return texts.mapInPandas(score, schema)
     if partitions is None and not stored:
         texts = materialise(texts, "model-texts")
     n = partitions or max(texts.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // texts_per_task))
-    schema = T.StructType(texts.schema.fields + result.fields)
     return texts.repartition(n).mapInPandas(score, schema)
 
 
@@ -115,10 +119,11 @@ def run_resumable(
     texts_per_commit: int = TEXTS_PER_COMMIT,
     partitions: int | None = None,
     settled: Column | None = None,
+    stored: bool = False,
 ) -> DataFrame:
-    """:func:`run_model` whose answers are kept in ``folder`` as they come.
+    """:func:`run_model` whose answers are kept in ``folder`` as they come, by the key of their text.
 
-    ``texts(text_key, text)`` has one row per key. Texts that the folder answers are not called
+    ``texts(text_key, text)`` has one row per key; ``stored`` says that it reads a stored table. Texts that the folder answers are not called
     again. The others go in parts of about ``texts_per_commit`` at most, and the answers of a part are
     appended when it is done; if a run stops, the next one with the same folder calls only what is
     missing. Few parts are a job each; many share :data:`MOST_ROUNDS` jobs, in which each part is a
@@ -128,39 +133,43 @@ def run_resumable(
     helps. The folder belongs to one model and stays until its owner removes it.
     """
     spark = texts.sparkSession
-    schema = T.StructType([f for f in texts.schema.fields if f.name in ("text_key", "text")] + result.fields)
+    schema = T.StructType([texts.schema["text_key"], *result.fields])
     good = settled if settled is not None else F.lit(True)
-    texts = materialise(texts, "texts-to-answer", "zstd")
+    texts = texts if stored else materialise(texts, "texts-to-answer", "zstd")
 
     def answered() -> DataFrame:
         if not is_stored(spark, folder):
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(folder)
 
-    open_texts = texts.join(answered().filter(good).select("text_key"), "text_key", "left_anti").select("text_key", "text")
-    n = open_texts.count()
+    done = answered().filter(good).select("text_key")
+    n = texts.select("text_key").join(done, "text_key", "left_anti").count()
     parts = -(-n // texts_per_commit)
     rounds = min(parts, MOST_ROUNDS)
-    path = scratch_path(spark, "open-texts")
-    if rounds:
-        dealt = open_texts.withColumn("_round", F.pmod(F.xxhash64("text_key"), F.lit(rounds)).cast("int"))
-        dealt.write.option("compression", "zstd").partitionBy("_round").parquet(path)
+    dealt, of_round = texts.select("text_key", "text"), F.pmod(F.xxhash64("text_key"), F.lit(max(rounds, 1))).cast("int")
+    path = scratch_path(spark, "dealt-texts")
+    if rounds > 1:
+        dealt.withColumn("_round", of_round).write.option("compression", "zstd").partitionBy("_round").parquet(path)
     for part in range(rounds):
-        if not is_stored(spark, f"{path}/_round={part}"):
+        if rounds > 1 and not is_stored(spark, f"{path}/_round={part}"):
             continue
-        asked = spark.read.schema(open_texts.schema).parquet(f"{path}/_round={part}")
-        tasks = partitions
-        if parts > rounds:
-            tasks = max(partitions or spark.sparkContext.defaultParallelism, -(-n // (rounds * min(texts_per_commit, TEXTS_PER_TASK))))
+        asked = dealt if rounds == 1 else spark.read.schema(dealt.schema).parquet(f"{path}/_round={part}")
+        per_task = min(texts_per_commit, TEXTS_PER_TASK) if parts > rounds else TEXTS_PER_TASK
+        tasks = partitions or spark.sparkContext.defaultParallelism
+        if parts > rounds or partitions is None:
+            tasks = max(tasks, -(-n // (rounds * per_task)))
+        # One shuffle spreads the texts and leaves out those with an answer: the keys are hashes already.
+        asked = asked.repartition(tasks, "text_key").join(done.filter(of_round == part), "text_key", "left_anti")
         # The second version of the output committer moves the files of a task when it ends, not at the end of the job.
-        run_model(asked, load_model, result, batch_size, tasks, stored=True).select(schema.fieldNames()).write.option(
-            "mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(folder)
+        run_model(asked, load_model, result, batch_size, placed=True).select(schema.fieldNames()).write.option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2").option("compression", "zstd").mode("append").parquet(folder)
+    remove_stored(spark, path)
     mine = answered().join(texts.select("text_key"), "text_key", "left_semi")
     sure = mine.filter(good).dropDuplicates(["text_key"])
     rest = mine.filter(~F.coalesce(good, F.lit(False))).dropDuplicates(["text_key"]).join(sure.select("text_key"), "text_key", "left_anti")
-    both = sure.unionByName(rest).select(schema.fieldNames())
-    others = [c for c in texts.columns if c not in schema.fieldNames()]
-    return both.join(texts.select("text_key", *others), "text_key") if others else both
+    both = sure.unionByName(rest).join(texts, "text_key")
+    others = [c for c in texts.columns if c not in ("text_key", "text")]
+    return both.select("text_key", "text", *result.fieldNames(), *others)
 
 
 def score_texts(

@@ -149,13 +149,15 @@ def translate_messages(
         if resume is None:
             return run_model(texts, _guarded(load), TRANSLATION_RESULT, batch_size, partitions, stored=True)
         return run_resumable(
-            texts, _guarded(load), TRANSLATION_RESULT, batch_size, f"{resume}/{name}", texts_per_commit, partitions, ~F.col("failed"))
+            texts, _guarded(load), TRANSLATION_RESULT, batch_size, f"{resume}/{name}", texts_per_commit, partitions, ~F.col("failed"), stored=True)
 
     misses = work.filter(F.col("cached_en").isNull()).select("text_key", "text")
-    first = materialise(flag_retranslation(called_once(misses, load_translator, "first"), "text", "text_en"), "translation-first", TEXT_CODEC)
+    # Of the texts, only those that are called again are stored beside their answers.
+    first = materialise(flag_retranslation(called_once(misses, load_translator, "first"), "text", "text_en").withColumn(
+        "text", F.when(F.col("needs_retranslation"), F.col("text"))), "translation-first", TEXT_CODEC)
     flagged = first.filter("needs_retranslation").select("text_key", "text")
     again = materialise(
-        flag_retranslation(called_once(flagged, load_retry or load_translator, "retry"), "text", "text_en"), "translation-retry", TEXT_CODEC)
+        flag_retranslation(called_once(flagged, load_retry or load_translator, "retry"), "text", "text_en").drop("text"), "translation-retry", TEXT_CODEC)
     second = again.select(
         "text_key", F.col("text_en").alias("retry_en"), F.col("input_tokens").alias("retry_input_tokens"),
         F.col("output_tokens").alias("retry_output_tokens"), (~F.col("needs_retranslation") & ~F.col("failed")).alias("retry_ok"),
@@ -164,16 +166,14 @@ def translate_messages(
         "text_key", F.col("text_en").alias("first_en"), "input_tokens", "output_tokens", "needs_retranslation", "failed"
     )
     answers = called.join(second, "text_key", "left")
-    texts = materialise(
-        work.join(answers, "text_key", "left").withColumn(
-            "text_en", F.coalesce("cached_en", F.when(F.col("retry_ok"), F.col("retry_en")), "first_en")
-        ).withColumn("source", F.when(F.col("cached_en").isNotNull(), "cache").otherwise("model")),
-        "translation-texts", TEXT_CODEC,
-    )
+    # Joined from stored tables whenever it is read, since most readers need no more than one of its texts.
+    texts = work.join(answers, "text_key", "left").withColumn(
+        "text_en", F.coalesce("cached_en", F.when(F.col("retry_ok"), F.col("retry_en")), "first_en")
+    ).withColumn("source", F.when(F.col("cached_en").isNotNull(), "cache").otherwise("model"))
     keyed = normalised(messages).withColumn("text_key", text_key(F.col("_text"))).drop("_text")
     joined = attach_by_key(
         keyed.drop("user_msg_en"), texts.select("text_key", "text_en"), "text_key",
-        texts.select("text_key", "n_rows"), ("row_index",), hot_rows,
+        work.select("text_key", "n_rows"), ("row_index",), hot_rows,
     )
     placed = place_after(joined, "user_msg_en", F.coalesce("text_en", F.lit("")), "user_msg")
     return TranslationRun(placed.drop("text_key", "text_en"), texts)

@@ -11,7 +11,7 @@ from chatlens.operators import agency, cleaning, scoring, sentiment, states, sum
 from chatlens.plans import fixtures as fx
 from chatlens.plans import sql
 from chatlens.plans.sql import BASE, BASE_LONG, EVENTS, PROBE, RAW, query, strip
-from chatlens.session import materialise, scratch_path
+from chatlens.session import materialise, scratch_path, stored_tables
 from chatlens.sources import tables
 from chatlens.topics import eligibility
 
@@ -310,11 +310,15 @@ def sentiment_input_cut(spark, d):
 def translated_resumably(spark, d):
     """A translation whose answers are kept in parts, after a first run that saw every third message only."""
     folder, messages = scratch_path(spark, "answers"), fx.translation_input(spark, d)
-    for rows in (messages.filter(F.col("row_index") % 3 == 0), messages):
-        run = translate.translate_messages(
+
+    def run(rows):
+        return translate.translate_messages(
             rows, lambda: translate.WordTranslator(fx.FIRST_WORDS), lambda: translate.WordTranslator(fx.RETRY_WORDS),
             resume=folder, texts_per_commit=400)
-    return run.messages.select("row_index", "user_msg_en")
+
+    with stored_tables(spark):  # of the first run only the answers stay
+        run(messages.filter(F.col("row_index") % 3 == 0))
+    return run(messages).messages.select("row_index", "user_msg_en")
 
 
 def _halves(rows):

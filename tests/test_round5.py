@@ -1,5 +1,6 @@
 """Costs that grew too fast, fifth part: memory of the tasks, disk of steps that listed what they only summed."""
 
+import os
 import random
 import tracemalloc
 
@@ -8,6 +9,8 @@ import pyarrow as pa
 import pytest
 
 from chatlens.functions.words import WordSplitter, word_characters
+from chatlens.operators import scoring, translate
+from chatlens.session import stored_tables
 from chatlens.topics import spectral, terms
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -101,3 +104,30 @@ def test_diffusion_stores_no_pairs(spark, monkeypatch, block, at_once):
     assert np.allclose(got, want)
     # Thousands of pairs are within the radius; no stored table has more rows than there are points.
     assert max(t.count() for t in stored.values()) <= len(x)
+
+
+def test_resumable_translation_stores_each_text_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scoring, "MOST_ROUNDS", 3)
+    rows = [(i, f"the text number {i % 30} is here and it is fine" if i % 2 else f"mujhe batao kya hai the text {i % 30} and it is here with the words") for i in range(80)]
+    messages = spark.createDataFrame(rows + [(90, None), (91, " ")], "row_index long, user_msg string")
+    stored = {}
+    for module in (scoring, translate):
+        plain = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda t, name, *a, plain=plain: stored.setdefault(name, plain(t, name, *a)))
+    folder = f"{tmp_path}/answers"
+    load, words = translate.WordTranslator, {"mujhe": "me", "batao": "tell", "kya": "what", "hai": "is"}
+    with stored_tables(spark) as scope:
+        run = translate.translate_messages(
+            messages, lambda: load({}), lambda: load(words), resume=folder, texts_per_commit=4)
+        got = {r.row_index: r.user_msg_en for r in run.messages.collect()}
+        texts, first = run.texts.collect(), stored["translation-first"].collect()
+        kept = [f for f in os.listdir(scope.removeprefix("file:")) if not f.startswith(".")]
+    assert got[0] == "me tell what is the text 0 and it is here with the words" and got[1] == rows[1][1] and got[90] == got[91] == "" and len(got) == 82
+    assert sorted(r.text for r in texts) == sorted({t for _, t in rows})
+    assert all(r.text_en == " ".join(words.get(w, w) for w in r.text.split()) for r in texts)
+    # The answers are kept by key, and the texts beside them only where they are called again.
+    assert {"text_key", "text_en"} <= set(spark.read.parquet(f"{folder}/first").columns) and "text" not in spark.read.parquet(f"{folder}/first").columns
+    assert all((r.text is not None) == r.needs_retranslation for r in first) and {r.needs_retranslation for r in first} == {True, False}
+    # No copy of the texts for the calls, no table of all texts and answers; what was dealt over the jobs is deleted.
+    assert not {"texts-to-answer", "translation-texts"} & set(stored)
+    assert not [f for f in kept if f.startswith(("open-texts", "dealt-texts"))]
